@@ -6,13 +6,50 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .byte_bpe import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import compared_with_next
+
+    return compared_with_next(_table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import section_token_counts
+
+    return section_token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extracted
+
+    return extracted(_table(spark, sf_dir, "pages"))
+
+
+def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed_matrix
+
+    return packed_matrix(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_reputation import judged_urls
+
+    # a labelled page is one whose id has a label: bad if it is of low quality or toxic
+    labels = _table(spark, sf_dir, "labels").selectExpr("doc_id AS page_id", "quality = 0 OR toxic = 1 AS bad")
+    return judged_urls(_table(spark, sf_dir, "pages"), labels)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judged
 
@@ -45,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_quality_rules, op8_ngram_jaccard, op9_best_fit_packing, op10_language_id, pipeline)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_fingerprints, op3_token_counts, op4_html_text, op5_packed_ids, op6_quality_rules, op7_url_reputation, op8_ngram_jaccard, op9_best_fit_packing, op10_language_id, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
