@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     pre-aggregated minimum and a join, both splittable when a hub holds many edges. The loop ends when a whole
     round changes nothing, told by a count and an order-free digest of the edges.
     """
-    edges = edges.toDF("u", "v").where("u <> v")
+    edges = edges.toDF("u", "v").where("u <> v").distinct()
     seen = None
     while True:
         edges = stage(_small_star(_large_star(edges)), "edges")
