@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordhash import Units, column_bytes
+from .wordhash import Units, column_bytes, parts
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -204,7 +204,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
-        for b in batches:
+        for b in parts(batches):
             n, ids, back = [], [], []
             for count, shown, plain in bpe.encode(b.column("text")):
                 n.append(count)

@@ -76,7 +76,7 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for a, e in zip(offs[:-1], offs[1:], strict=True):
             counts = np.bincount(ngram_buckets(data[a:e]).ravel(), minlength=len(LENGTHS) * BUCKETS)
-            rows.append((counts / max(1, counts.sum())).astype(np.float32).tobytes())
+            rows.append((counts / max(1, counts.sum())).astype(np.float16).tobytes())
         yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(rows, pa.binary())], ["lang", "shares"])
 
 
@@ -104,23 +104,23 @@ class Model:
         self.members = {f: [v for v in self.langs if _FAMILY.get(v, v) == f] for f in self.families}
         self.pairs = [p for f in self.families for p in combinations(self.members[f], 2)]
         rows, bias = [], []
-        if len(x):
-            scale = 1 / np.sqrt(x.mean(0) + 1e-7)
-            z = x * scale
-            unit = np.sqrt((z**2).sum(1).mean())
-            z /= unit
+        if len(x):  # in place: the sample is the largest thing that the driver holds
+            scale = 1 / np.sqrt(x.mean(0) + np.float32(1e-7))
+            x *= scale
+            unit = np.float32(np.sqrt(np.einsum("ij,ij->i", x, x).mean()))
+            x /= unit
+            gram = (x @ x.T).astype(float) + 1.0
 
             def fit(keep, y):
-                part = z[keep]
-                coef = fit_svm(part @ part.T + 1.0, y[keep].astype(float))
-                rows.append((coef @ part) * scale / unit)
-                bias.append(coef.sum())
+                coef = np.zeros(len(x), np.float32)
+                coef[keep] = fit_svm(gram[np.ix_(keep, keep)], y[keep].astype(float))
+                rows.append((coef @ x) / unit * scale)
+                bias.append(float(coef.sum()))
 
-            everyone = np.ones(len(z), bool)
             for f in self.families if len(self.families) > 1 else []:
-                fit(everyone, np.where(family == f, 1, -1))
+                fit(np.arange(len(x)), np.where(family == f, 1, -1))
             for a, b in self.pairs:
-                fit((lang == a) | (lang == b), np.where(lang == a, 1, -1))
+                fit(np.flatnonzero((lang == a) | (lang == b)), np.where(lang == a, 1, -1))
         self.weights, self.bias = np.array(rows, np.float32), np.array(bias)
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -160,9 +160,13 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     chosen = stage(ids.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).select("doc_id", "lang").distinct(), "sample")
     texts = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(small(chosen, 48), ["doc_id", "lang"], "left_semi")
     made = texts.select("lang", "text").where(F.col("text").rlike(r"\p{L}")).mapInArrow(_shares, "lang string, shares binary")
-    rows = sorted(made.collect())  # at most per_language rows of 48 KB for each language
-    x = np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(len(rows), -1) if rows else np.zeros((0, len(LENGTHS) * BUCKETS), np.float32)
-    return Model([r[0] for r in rows], x.astype(np.float32))
+    rows = sorted(made.collect())  # at most per_language rows of 24 KB for each language
+    x = np.empty((len(rows), len(LENGTHS) * BUCKETS), np.float32)
+    for k, r in enumerate(rows):
+        x[k] = np.frombuffer(r[1], np.float16)
+    langs = [r[0] for r in rows]
+    del rows
+    return Model(langs, x)
 
 
 def predicted(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -52,6 +52,14 @@ def chunks(offs: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         row = end
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``limit`` bytes of text, which bounds what is held for one of them."""
+    for b in batches:
+        _, offs = column_bytes(b.column(column))
+        for start, end in chunks(offs, limit):
+            yield b.slice(start, end - start)
+
+
 def spans(data: np.ndarray, offs: np.ndarray, gaps: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of all words, in row order. ``offs`` starts at 0.
 
