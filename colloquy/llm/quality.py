@@ -105,6 +105,6 @@ def judged(docs: DataFrame) -> DataFrame:
     """``docs`` with the measures, base_failed and kept."""
     limits = stage(fences(docs), "fences").toDF("__l", "__s", "__ms", "__ll", "__ml")
     x = measures(docs).join(limits, F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s")), "left")
-    symbols, length = F.col("n_symbols") / F.col("n_words"), F.col("word_chars") / F.col("n_words")
+    symbols, length = F.try_divide("n_symbols", "n_words"), F.try_divide("word_chars", "n_words")
     odd = (symbols > F.col("__ms")) | (length < F.col("__ll")) | (length > F.col("__ml"))
     return x.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).drop("__l", "__s", "__ms", "__ll", "__ml")

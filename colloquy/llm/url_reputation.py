@@ -69,8 +69,8 @@ def _prior(children: DataFrame, parent: str) -> DataFrame:
         F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - F.col("mu"), 2)).alias("s"),
     )
     spread = F.col("m") * (1 - F.col("m"))
-    between = (F.col("s") - (F.col("c") - 1) * spread) / (F.col("t") - F.col("t2") / F.col("t"))
-    weight = F.when((F.col("c") < 2) | (between <= 0), MOST_WEIGHT).otherwise(F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(MOST_WEIGHT), spread / between - 1)))
+    between = F.try_divide(F.col("s") - (F.col("c") - 1) * spread, F.col("t") - F.try_divide("t2", "t"))
+    weight = F.when((F.col("c") < 2) | ~(between > 0), MOST_WEIGHT).otherwise(F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(MOST_WEIGHT), F.try_divide(spread, between) - 1)))
     return seen.select(F.col(parent).alias("__p"), weight.alias("weight"))
 
 
