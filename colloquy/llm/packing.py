@@ -95,7 +95,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
-        for b in parts(batches):
+        for b in parts(batches, limit=3 << 20):
             ids, offs = bpe.encode(b.column("text"))
             rows, number, start, length, crc, place, cuts = [], [], [], [], [], [], []
             for k in range(len(b)):

@@ -71,7 +71,7 @@ class _Pairs:
 class WordBpe:
     """Encoder whose table of known words lives on from batch to batch, emptied when it passes ``max_words``."""
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = 400_000):
         from tokenizers import Tokenizer
 
         self.path, self.max_words = path, max_words
