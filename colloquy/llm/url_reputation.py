@@ -112,4 +112,4 @@ def judged_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES) -> DataFrame
     known = stage(reputation(seen), "reputation")
     own = known.select(F.col("host").alias("__h"), F.col("rate").alias("block_rate"), F.col("bound").alias("block_bound"))
     verdict = F.coalesce("ruled", F.when(F.col("block_bound") >= 0.5, "block").otherwise("allow"))
-    return x.join(own, F.col("host") == F.col("__h"), "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_rate", "block_bound")
+    return x.join(own, F.col("host") == F.col("__h"), "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round("block_rate", 9).alias("block_rate"), F.round("block_bound", 9).alias("block_bound"))

@@ -238,3 +238,20 @@ def test_pipeline_stages_keep_what_they_should(spark, tmp_path):
     docs_of(spark, rows).select(*corpus_pipeline.COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted({r.doc_id for r in got}) == [1, 2]
+
+
+@pytest.mark.parametrize("name", ["op6_quality_rules", "op7_url_reputation", "op8_ngram_jaccard"])
+def test_against_duckdb(spark, name):
+    import duckdb
+
+    from colloquy.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(registry.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    got = registry.queries()[name](spark, sf)
+    assert sorted(names) == sorted(got.columns)
+    assert Counter(tuple(r[c] for c in names) for r in got.collect()) == Counter(want.fetchall())
