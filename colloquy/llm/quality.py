@@ -27,6 +27,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 REACH, SYMBOL_FLOOR, LENGTH_FLOOR = 6, 0.05, 0.15
 #: Documents that a group needs for fences of its own.
 MIN_GROUP = 200
+#: Accuracy of the sketches: about 50 KB each at most, exact below this many documents.
+SKETCH_K = 2048
 
 
 def _let(value: Column, use) -> Column:
@@ -81,8 +83,8 @@ def fences(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     words = F.regexp_count(text, F.lit(WORD))
     seen = docs.select("lang", "source", words.alias("n"), symbol_count(text).alias("s"), word_chars(text).alias("c")).where(F.col("n") >= MIN_WORDS)
-    sketch = [F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(F.col("s") / F.col("n")).alias("s"), F.kll_sketch_agg_double(F.col("c") / F.col("n")).alias("c")]
-    merge = [F.sum("n").alias("n"), F.kll_merge_agg_double("s").alias("s"), F.kll_merge_agg_double("c").alias("c")]
+    sketch = [F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(F.col(c) / F.col("n"), SKETCH_K).alias(c) for c in ("s", "c"))]
+    merge = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(c, SKETCH_K).alias(c) for c in ("s", "c"))]
     group = stage(seen.groupBy("lang", "source").agg(*sketch), "sketches")
     lang = group.groupBy("lang").agg(*merge)
     everything = lang.agg(*merge)
