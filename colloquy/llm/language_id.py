@@ -26,6 +26,8 @@ from .wordhash import chunks, column_bytes
 
 #: Rows to learn from, at most, for each language; buckets of each n-gram length.
 PER_LANGUAGE, BUCKETS = 256, 4096
+#: Shares of a language in which those rows are ranked first.
+SHARES = 8
 LENGTHS = (2, 3, 4)
 # ISO 639-1 codes by family; a code that is not here is a family of its own.
 FAMILIES = {
@@ -156,8 +158,10 @@ def held_out(id_col) -> F.Column:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fits the model on a bounded sample: at most ``per_language`` documents of each language."""
     ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", "lang")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = stage(ids.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).select("doc_id", "lang").distinct(), "sample")
+    least = lambda x, *by: x.withColumn("k", F.row_number().over(Window.partitionBy("lang", *by).orderBy("o", "doc_id"))).where(F.col("k") <= per_language)
+    # first in shares of each language, so that no task ranks a whole language
+    shares = least(ids.withColumn("o", F.xxhash64("doc_id")).withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARES))), "share")
+    chosen = stage(least(shares.select("doc_id", "lang", "o")).select("doc_id", "lang").distinct(), "sample")
     texts = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(small(chosen, 48), ["doc_id", "lang"], "left_semi")
     made = texts.select("lang", "text").where(F.col("text").rlike(r"\p{L}")).mapInArrow(_shares, "lang string, shares binary")
     rows = sorted(made.collect())  # at most per_language rows of 24 KB for each language
