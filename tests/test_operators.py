@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import evaluation as E
 from colloquy.operators import retrieval as R
-from colloquy.plans import analysis  # noqa: F401  (adds its queries)
+from colloquy.plans import analysis, reports  # noqa: F401  (add their queries)
 from colloquy.plans.registry import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
