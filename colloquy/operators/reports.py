@@ -288,3 +288,80 @@ def item_coverage(answers: DataFrame, items: DataFrame) -> DataFrame:
     """(query_id, answer) and (query_id, item): items, those that the answer covers, and whether all are."""
     x = items.join(answers, "query_id").withColumn("covered", covers_item(F.col("answer"), F.col("item")))
     return x.groupBy("query_id").agg(_rows().alias("items"), F.count_if("covered").alias("covered"), F.bool_and("covered").alias("whole"))
+
+
+def linked_pages(pages: DataFrame) -> DataFrame:
+    """Pages of a sample that share trajectories, the lesser id first, with the number shared.
+
+    Only pages of a common trajectory meet, so the rows made are those of its pages, which the seed cap bounds.
+    """
+    one = pages.select("sample_id", "page_id", "trajectory_id").distinct()
+    other = one.withColumnRenamed("page_id", "linked_id")
+    x = one.join(other, ["sample_id", "trajectory_id"]).where("page_id < linked_id")
+    return x.groupBy("page_id", "linked_id").agg(_rows().alias("shared"))
+
+
+def fine_snapshots(scored: DataFrame, k: int) -> DataFrame:
+    """(query_id, trajectory_id, snapshot_id, score): the best snapshot of each trajectory first, then the best of the
+    rest, 2k in all; ties by id."""
+    best = F.row_number().over(Window.partitionBy("query_id", "trajectory_id").orderBy(F.desc("score"), "snapshot_id"))
+    x = scored.withColumn("rest", (best > 1).cast("int"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rest", F.desc("score"), "snapshot_id"))
+    return x.withColumn("place", place).where(F.col("place") <= 2 * k).select("query_id", "snapshot_id", "place")
+
+
+def supported_claims(claims: DataFrame, selected: DataFrame) -> DataFrame:
+    """Per query its selected trajectories' claims that name a source, and the distinct sources."""
+    x = claims.where("source_message_id is not null").join(selected.select("query_id", "trajectory_id"), "trajectory_id")
+    return x.groupBy("query_id").agg(_rows().alias("claims"), F.countDistinct("source_message_id").alias("sources"))
+
+
+def repair_events(calls: DataFrame) -> DataFrame:
+    """One event for each repair call and each call that shares its provider call with an earlier one (a cache hit)."""
+    earlier = F.row_number().over(Window.partitionBy("provider_call_uid").orderBy("call_item_uid")) > 1
+    kinds = F.array_compact(F.array(F.when(F.col("task").contains("repair"), "repair"), F.when(F.col("again"), "cache_hit")))
+    x = calls.withColumn("again", earlier & F.col("provider_call_uid").isNotNull())
+    return x.select("call_item_uid", phase_for_task(F.col("task")).alias("phase"), F.explode(kinds).alias("kind"))
+
+
+def answer_table(outcomes: DataFrame) -> DataFrame:
+    """Per variant all means, each with the rows it rests on."""
+    measures = {"judge": judge_score(F.col("verdict")), "token_f1": F.col("token_f1"), "coverage": F.col("gold_ref_coverage"), "prompt_tokens": F.col("prompt_tokens")}
+    parts = [e for m, c in measures.items() for e in (F.count(c).alias(f"{m}_n"), F.round(F.avg(c), 6).alias(m))]
+    return outcomes.groupBy("variant").agg(_rows().alias("n"), *parts)
+
+
+def stratified_sample(rows: DataFrame, stratum: str, key: str, shares: dict[str, int], size: int) -> DataFrame:
+    """A sample of ``size`` rows with each stratum's share in percent, rounded down, in a hashed order; a stratum with
+    too few rows gives all it has. Each row carries the stratum's prevalence. A sampling operator."""
+    quota = F.lit(0)
+    for name, percent in shares.items():
+        quota = F.when(F.col(stratum) == name, size * percent // 100).otherwise(quota)
+    n = rows.groupBy(stratum).agg(_rows().alias("n"))  # one row for each stratum
+    prevalence = n.select(stratum, F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 9).alias("prevalence"))
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy(hashed_order(stratum, key), key))
+    chosen = rows.withColumn("place", place).where(F.col("place") <= size).where(F.col("place") <= quota)
+    return chosen.join(F.broadcast(prevalence), stratum).select(stratum, key, "place", "prevalence")
+
+
+def cutoff_choice(recalls: DataFrame, levels: list[float]) -> DataFrame:
+    """(cutoff, recall, all_gold_rate): for each level the least cutoff at which both reach it; null if none does."""
+    met = (F.col("recall") >= F.col("level")) & (F.col("all_gold_rate") >= F.col("level"))
+    return recalls.withColumn("level", F.explode(_literals(levels))).groupBy("level").agg(F.min(F.when(met, F.col("cutoff"))).alias("cutoff"))
+
+
+def prevalence_bootstrap(outcomes: DataFrame, baseline: str, strata: list[str], draws: int, seed: int = 7) -> DataFrame:
+    """95 % interval of the paired judge difference per variant: pairs are reweighted within their stratum, and the
+    strata's means are weighted by the strata's shares of the baseline's rows; null unless every stratum is seen in
+    every draw."""
+    x = outcomes.select("variant", "query_id", judge_score(F.col("verdict")).alias("s"), "stratum")
+    base = x.where(F.col("variant") == baseline).select("query_id", F.col("s").alias("b"), F.col("stratum").alias("of"))
+    share = base.where(F.col("of").isin(strata)).groupBy("of").agg(_rows().alias("share"))  # one row for each stratum
+    d = x.where(F.col("variant") != baseline).join(base, "query_id").where(F.col("of").isin(strata)).withColumn("d", F.col("s") - F.col("b")).where("d is not null")
+    d = d.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    key = F.concat_ws(":", F.lit(str(seed)), "variant", F.col("query_id").cast("string"), F.col("draw").cast("string"))
+    d = d.withColumn("w", F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.lit(3)))
+    per = d.groupBy("variant", "draw", "of").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("m"))
+    m = per.join(F.broadcast(share), "of").groupBy("variant", "draw").agg(F.count("m").alias("seen"), (F.sum(F.col("m") * F.col("share")) / F.sum("share")).alias("m"))
+    whole = F.min("seen") == len(strata)
+    return m.groupBy("variant").agg(F.when(whole, F.round(F.expr("percentile(m, 0.025)"), 9)).alias("low"), F.when(whole, F.round(F.expr("percentile(m, 0.975)"), 9)).alias("high"))

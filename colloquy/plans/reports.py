@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import answers as T
-from ..functions.text import estimate_tokens
+from ..functions.text import cosine, estimate_tokens
 from ..operators import reports as P
 from ..operators import retrieval as R
 from .registry import _JUDGE, _NORM, _PHASE, _RANKED, _TOKENS, query
@@ -104,3 +104,27 @@ def _(v):
 @query("l20_run_integrity", "SELECT 'duplicate_call_id' AS finding, (SELECT count(*) FROM (SELECT 1 FROM fx_calls GROUP BY call_item_uid HAVING count(*) > 1)) AS n UNION ALL SELECT 'mixed_worker', (SELECT count(*) FROM (SELECT 1 FROM fx_calls GROUP BY provider_call_uid HAVING min(worker_id) <> max(worker_id))) UNION ALL SELECT 'foreign_source', (SELECT count(*) FROM fx_gold g ANTI JOIN fx_messages m ON m.sample_id = g.sample_id AND m.source_ref = g.source_ref)")
 def _(v):
     return P.run_integrity(v("fx_calls"), v("fx_gold"), v("fx_messages"))
+
+
+_of("e9_page_links", "SELECT a.page_id, b.page_id AS linked_id, count(DISTINCT a.trajectory_id) AS shared FROM fx_page_members a JOIN fx_page_members b ON a.sample_id = b.sample_id AND a.trajectory_id = b.trajectory_id AND a.page_id < b.page_id GROUP BY ALL", "fx_page_members", P.linked_pages)
+_of("i14_fallback_repair_events", f"SELECT call_item_uid, {_PHASE} AS phase, 'repair' AS kind FROM fx_calls WHERE contains(task, 'repair') UNION ALL SELECT call_item_uid, {_PHASE}, 'cache_hit' FROM fx_calls QUALIFY row_number() OVER (PARTITION BY provider_call_uid ORDER BY call_item_uid) > 1", "fx_calls", P.repair_events)
+_of("l12_answer_ablation_table", f"SELECT variant, count(*) AS n, count({_JUDGE}) AS judge_n, round(avg({_JUDGE}), 6) AS judge, count(token_f1) AS token_f1_n, round(avg(token_f1), 6) AS token_f1, count(gold_ref_coverage) AS coverage_n, round(avg(gold_ref_coverage), 6) AS coverage, count(prompt_tokens) AS prompt_tokens_n, round(avg(prompt_tokens), 6) AS prompt_tokens FROM fx_outcomes GROUP BY variant", "fx_outcomes", P.answer_table)
+_of("l6_stratified_sample", "SELECT o.stratum, query_id, place, prevalence FROM (SELECT stratum, query_id, row_number() OVER (PARTITION BY stratum ORDER BY md5(stratum || ':' || query_id), query_id) AS place FROM fx_outcomes WHERE variant = 'v1') o JOIN (SELECT stratum, round(count(*) / (SELECT count(*) FROM fx_outcomes WHERE variant = 'v1'), 9) AS prevalence FROM fx_outcomes WHERE variant = 'v1' GROUP BY 1) p ON o.stratum = p.stratum WHERE place <= CASE o.stratum WHEN 'A' THEN 30 WHEN 'R' THEN 86 WHEN 'N' THEN 84 ELSE 0 END", "fx_outcomes", lambda x: P.stratified_sample(x.where("variant = 'v1'"), "stratum", "query_id", {"A": 15, "R": 43, "N": 42}, 200))
+_of("l8_prevalence_bootstrap", f"WITH b AS (SELECT query_id, stratum AS o, {_JUDGE} AS b FROM fx_outcomes WHERE variant = 'v1'), sh AS (SELECT o, count(*) AS share FROM b GROUP BY o), d AS (SELECT variant, query_id, o, s - b AS d FROM (SELECT variant, query_id, {_JUDGE} AS s FROM fx_outcomes WHERE variant <> 'v1') JOIN b USING (query_id) WHERE s IS NOT NULL AND b IS NOT NULL), p AS (SELECT variant, draw, o, sum(w * d) / nullif(sum(w), 0) AS m FROM (SELECT *, ('0x' || substr(md5('7:' || variant || ':' || query_id || ':' || draw), 1, 8))::BIGINT % 3 AS w FROM d, (SELECT unnest(range(20)) AS draw)) GROUP BY ALL), q AS (SELECT variant, draw, count(m) AS seen, sum(m * share) / sum(share) AS m FROM p JOIN sh USING (o) GROUP BY ALL) SELECT variant, CASE WHEN min(seen) = 3 THEN round(quantile_cont(m, 0.025), 9) END AS low, CASE WHEN min(seen) = 3 THEN round(quantile_cont(m, 0.975), 9) END AS high FROM q GROUP BY variant", "fx_outcomes", lambda x: P.prevalence_bootstrap(x, "v1", ["A", "N", "R"], 20))
+
+
+@query("f12_fine_snapshots", "WITH s AS (SELECT a.sample_id AS query_id, a.trajectory_id, a.snapshot_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM fx_vectors a JOIN (SELECT sample_id, arg_min(embedding, snapshot_id) AS embedding FROM fx_vectors GROUP BY sample_id) b ON a.sample_id = b.sample_id), r AS (SELECT *, (row_number() OVER (PARTITION BY query_id, trajectory_id ORDER BY score DESC, snapshot_id) > 1)::INT AS rest FROM s) SELECT query_id, snapshot_id, row_number() OVER (PARTITION BY query_id ORDER BY rest, score DESC, snapshot_id) AS place FROM r QUALIFY place <= 12")
+def _(v):
+    asked = v("fx_vectors").groupBy("sample_id").agg(F.min_by("embedding", "snapshot_id").alias("asked"))
+    x = v("fx_vectors").join(asked, "sample_id").withColumn("score", F.round(cosine(F.col("embedding"), F.col("asked")), 6))
+    return P.fine_snapshots(x.withColumnRenamed("sample_id", "query_id"), 6)
+
+
+@query("h7_supported_claims", "SELECT query_id, count(*) AS claims, count(DISTINCT source_message_id) AS sources FROM fx_ranked r JOIN fx_claims c ON c.trajectory_id = r.trajectory_id WHERE rnk <= 2 AND source_message_id IS NOT NULL GROUP BY query_id")
+def _(v):
+    return P.supported_claims(v("fx_claims"), v("fx_ranked").where("rnk <= 2"))
+
+
+@query("k10_cutoff_diagnostics", "WITH t AS (SELECT DISTINCT g.query_id, s.trajectory_id FROM fx_gold g JOIN fx_snapshots s ON g.sample_id = s.sample_id AND g.source_ref = s.source_ref), r AS (SELECT cutoff, t.query_id, avg(CASE WHEN k.rnk <= cutoff THEN 1.0 ELSE 0.0 END) AS r FROM t LEFT JOIN fx_ranked k ON k.query_id = t.query_id AND k.trajectory_id = t.trajectory_id CROSS JOIN (SELECT unnest([1, 2, 3, 5]) AS cutoff) GROUP BY ALL), c AS (SELECT cutoff, avg(r) AS a, avg(CASE WHEN r = 1 THEN 1.0 ELSE 0.0 END) AS b FROM r GROUP BY cutoff) SELECT level, min(cutoff) FILTER (a >= level AND b >= level) AS cutoff FROM c, (SELECT unnest([0.5, 0.95, 0.99])::DOUBLE AS level) GROUP BY level")
+def _(v):
+    return P.cutoff_choice(R.rank_recall(v("fx_ranked"), R.gold_trajectories(v("fx_gold"), v("fx_snapshots")), [1, 2, 3, 5]), [0.5, 0.95, 0.99])
