@@ -147,7 +147,7 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
         h, n_words = words(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
         ends = np.cumsum(n_words)
         s = h.copy()
-        for k in range(1, width):
+        for k in range(1, min(width, len(h))):  # fewer words in all: no window is that long
             s[: len(h) - k] = mix(s[: len(h) - k] * np.uint64(0xD6E8FEB86659FD93) + h[k:])
         for row in range(b - a):
             n, end = int(n_words[row]), int(ends[row])

@@ -178,6 +178,19 @@ def test_jaccard_components_against_all_pairs(spark, monkeypatch, limit):
     assert ngram_jaccard.similarity_components(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("text", ["one", "one Two", "one two three", "one two three four"])
+def test_a_short_text_alone_has_one_shingle(spark, text):
+    import pyarrow as pa
+
+    from colloquy.llm.ngram_jaccard import similarity_components
+    from colloquy.llm.wordhash import shingle_sets
+
+    (alone,), (beside, *_) = shingle_sets(pa.array([text])), shingle_sets(pa.array([text, "a b c d e f g"]))
+    assert len(alone) == 1 and (alone == beside).all()
+    rows = [(7, text)]
+    assert Counter(tuple(r)[:3] for r in similarity_components(docs_of(spark, rows)).collect()) == components_of(rows)
+
+
 def test_packing_is_best_fit_decreasing_and_ids_are_the_librarys(spark):
     import zlib
 
