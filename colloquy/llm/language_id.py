@@ -44,11 +44,19 @@ _LETTER[97:123] = True
 _LETTER[128:] = True
 
 
-def ngram_buckets(data: np.ndarray) -> np.ndarray:
-    """For each n-gram length a row with the bucket of the n-gram that starts at each byte."""
+def ngram_buckets(data: np.ndarray, offs: np.ndarray | None = None) -> np.ndarray:
+    """For each n-gram length a row with the bucket of the n-gram that starts at each byte.
+
+    ``offs`` (from 0) says where the texts of ``data`` lie: an n-gram that runs over a text's end reads spaces there.
+    """
     buf = np.full(len(data) + 8, 32, np.uint8)
     buf[: len(data)] = np.where(_LETTER[data], data, 32)
     fours = np.lib.stride_tricks.as_strided(buf[:4].view(np.uint32), shape=(len(data),), strides=(1,))
+    if offs is not None:
+        fours, sizes = fours.copy(), np.diff(offs)
+        for left in range(1, max(LENGTHS)):
+            at = offs[1:][sizes >= left] - left
+            fours[at] = fours[at] & np.uint32((1 << 8 * left) - 1) | np.uint32(0x20202020 << 8 * left & 0xFFFFFFFF)
     out = np.empty((len(LENGTHS), len(data)), np.int32)
     for k, n in enumerate(LENGTHS):
         x = (fours & np.uint32((1 << 8 * n) - 1)) * np.uint32(2654435761)
@@ -65,7 +73,7 @@ def _scored(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
         full = np.flatnonzero(n)
         if not len(full):
             continue
-        where = ngram_buckets(data[offs[a] : offs[b]])
+        where = ngram_buckets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
         for m, w in enumerate(weights):
             per_byte = w[where[0]] + w[where[1]] + w[where[2]]
             out[a + full, m] = np.add.reduceat(per_byte, (offs[a:b] - offs[a])[full], dtype=np.float64) / (len(LENGTHS) * n[full])

@@ -244,6 +244,24 @@ def test_language_id_on_held_out_documents(spark):
     assert odd == {k: ("und", 0.0) for k in (1, 2, 3, 4)}
 
 
+def test_language_of_a_text_is_the_same_beside_any_neighbour():
+    import numpy as np
+    import pyarrow as pa
+
+    from colloquy.llm.language_id import BUCKETS, LENGTHS, Model, ngram_buckets
+
+    known = [("en", "the cat sat with the other cats there"), ("de", "der hund und die katze sind schon dort"), ("fr", "le chat est avec les autres chats")]
+    shares = [np.bincount(ngram_buckets(np.frombuffer(t.encode(), np.uint8)).ravel(), minlength=len(LENGTHS) * BUCKETS) for _, t in known]
+    model = Model([v for v, _ in known], np.array([s / s.sum() for s in shares], np.float32))
+    for text in ("d", "le", "und", "thé", "the cat"):
+        lang, score = model.predict(pa.array([text]))
+        for beside in (*(t for _, t in known), "zzz", "", None, "x", text):
+            for texts in ([text, beside], [beside, text], [beside, text, beside]):
+                got = model.predict(pa.array(texts, pa.string()))
+                k = texts.index(text)
+                assert (got[0][k], got[1][k]) == (lang[0], score[0])
+
+
 def test_pipeline_stages_keep_what_they_should(spark, tmp_path):
     import corpus_pipeline
 
