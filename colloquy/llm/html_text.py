@@ -4,7 +4,8 @@ Every DOM node gets a density: its characters per tag, lowered where much of it
 its children's densities. The threshold is the least density on the path from the densest node up to the body; of the
 nodes that reach it, the one with the largest sum is the article. An article or main element around it is taken as a
 whole, and otherwise the parts beside it, up to the body, that reach the threshold too. Page furniture (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, comments) is cut out of the tree first.
+footers, sidebars, notices, adverts, forms, scripts, styles, comments) is cut out of the tree first; a class, id, role
+or label alone never takes the page's only article with it (see ``_cut``). Figures and formulas are text.
 
 Null or empty html, and pages without such a text, give an empty text. Broken markup is read as browsers do in the
 common cases: open paragraphs, list items and cells are closed by the next one, stray end tags are ignored. Every row
@@ -26,21 +27,24 @@ _MARK = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]
 _NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_TOKENS = re.compile(r"[^\s\"']+")
 # Elements of HTML by their part in a page.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe svg math object canvas textarea title".split())
-_FURNITURE = frozenset("head nav footer aside form button select option label fieldset dialog menu audio video figure".split()) | _RAW
+_RAW = frozenset("script style noscript template iframe svg object canvas textarea title".split())
+_FURNITURE = frozenset("head nav footer aside form button select option label fieldset dialog menu audio video".split()) | _RAW
 _BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CLOSES = {"p": _BLOCK - {"br", "body", "html", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 _HINTS = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner sidebar cookie cookies consent notice notices alert comment comments disqus respond reply replies menu navbar navigation nav breadcrumb breadcrumbs footer masthead share sharing social related recommended newsletter subscribe subscription popup modal toolbar widget pagination pager skip".split())
+_ADVERTS = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion".split())
+_ARTICLE, _TEXT = ("article", "main"), frozenset("p h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "drop")
+    __slots__ = ("hint", "tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "drop")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool = False):
-        self.tag, self.parent, self.children, self.drop = tag, parent, [], drop
+        self.tag, self.parent, self.children, self.drop, self.hint = tag, parent, [], drop, 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -50,9 +54,43 @@ def _furniture(tag: str, attrs: str, parent: Node) -> bool:
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
-    if _HIDDEN.search(attrs):
-        return True
-    return any(w in _HINTS for m in _NAMED.finditer(attrs) for w in _WORDS.findall(m[1].lower()))
+    return bool(_HIDDEN.search(attrs))
+
+
+def _hint(attrs: str) -> int:
+    """2 if a whole class, id, role or label says furniture, 3 if it says advert, 1 if a part of one does, else 0."""
+    found = 0
+    for m in _NAMED.finditer(attrs) if attrs else ():
+        for token in _TOKENS.findall(m[1].lower()):
+            words = _WORDS.findall(token)
+            if any(w in _HINTS for w in words):
+                whole = all(w in _HINTS for w in words) and not any(c.isdigit() for c in token)
+                found = max(found, 3 if whole and all(w in _ADVERTS for w in words) else 2 if whole else 1)
+    return found
+
+
+def _cut(root: Node) -> None:
+    """Drops what its names call furniture.
+
+    A part of a name counts only outside an article or main element and for what holds neither one nor half of the
+    page's text. A whole name counts for all but what holds every article and main element of the page, and the
+    paragraphs and headings inside one, which only the name of an advert drops.
+    """
+    nodes = _order(root)
+    if not any(n.hint for n in nodes):
+        return
+    size, held = {}, {}
+    for n in reversed(nodes):
+        kids = [c for c in n.children if isinstance(c, Node) and not c.drop]
+        size[id(n)] = sum(len("".join(c.split())) for c in n.children if isinstance(c, str)) + sum(size[id(c)] for c in kids)
+        held[id(n)] = (n.tag in _ARTICLE) + sum(held[id(c)] for c in kids)
+    within = {}
+    for n in nodes:
+        inside = within[id(n)] = n.parent is not None and (within[id(n.parent)] or n.parent.tag in _ARTICLE)
+        if n.hint == 1:
+            n.drop = not inside and not held[id(n)] and 2 * size[id(n)] < size[id(root)]
+        elif n.hint:
+            n.drop = not (held[id(n)] and held[id(n)] == held[id(root)]) and not (inside and n.tag in _TEXT and n.hint == 2)
 
 
 def _inside(node: Node | None, tags) -> bool:
@@ -94,6 +132,8 @@ def parse(html: str) -> Node:
                 if up is not None:
                     at = up.parent
         node = Node(name, at, at.drop or _furniture(name, m[3], at))
+        if not node.drop and name not in ("html", "body", *_ARTICLE):
+            node.hint = _hint(m[3])
         if not at.drop:
             at.children.append(node)
         if name in _RAW:
@@ -156,6 +196,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
+    _cut(root)
     nodes = measure(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     below = [n for n in _order(body) if n.chars]

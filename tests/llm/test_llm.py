@@ -106,6 +106,26 @@ def test_html_keeps_the_article_alone(spark):
     assert Counter((r.page_id, r.text, r.n_chars) for r in extracted(df).collect()) == Counter((i, t, len(t)) for i, _, t in pages)
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div class='has-sidebar'><article><p>{p}</article></div>", "{p}"),
+        ("<div class='has-sidebar'><div class=sidebar>menu</div><div><p>{p}<p>{p}</div></div>", "{p} {p}"),
+        ("<div class='sidebar'><article><p>{p}</article></div>", "{p}"),
+        ("<article><h2 id='share-prices'>Prices</h2><p>{p}<section id='related-work'><p>{p}</section><p id='notice-1'>n</article>", "Prices {p} {p} n"),
+        ("<article><h2 id=related>Related</h2><p>{p}<p class=notice>n<p class=ad>buy</p><div class='social-share'>s</div><div id=comments>c</div></article>", "Related {p} n"),
+        ("<div class='related'><article>teaser</article></div><article><p>{p}</article><div class='comment-list'>c</div>", "{p}"),
+        ("<article><p>{p}<figure><img src=x><figcaption>A cat</figcaption></figure><figure><table><tr><td>1<td>2</table></figure><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</article>", "{p} A cat 1 2 so x=2 holds"),
+    ],
+)
+def test_html_names_do_not_take_the_article(page, want):
+    from colloquy.llm.html_text import main_text
+
+    p = " ".join(["Word and more text in a long enough paragraph."] * 4)
+    got = main_text("<html><body><nav>n</nav>" + page.format(p=p) + "<footer>f</footer></body></html>")
+    assert got == want.format(p=p)
+
+
 def measures_of(text):
     words = WORD.findall(text or "")
     seen = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
