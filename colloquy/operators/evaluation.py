@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,16 +102,58 @@ def query_strata(gold: DataFrame, snapshots: DataFrame, claims: DataFrame) -> Da
     return x.select("query_id", F.when(F.col("deep"), "strict_deep_history").when(F.col("update"), "update_sensitive").otherwise("ordinary").alias("stratum"))
 
 
+#: Draws that a resampling task makes.
+DRAW_BLOCK = 500
+#: The metrics that outcomes may have.
+METRICS = ("judge", "token_f1", "gold_ref_coverage", "prompt_tokens")
+
+
+def metric_deltas(outcomes: DataFrame, baseline: str) -> DataFrame:
+    """(variant, query_id, sample_id, of, metric, d): every metric's difference to the baseline's outcome of the same
+    query, null where one is unknown; ``of`` is the baseline's stratum."""
+    x = outcomes.withColumn("judge", judge_score(F.col("verdict")))
+    names = [m for m in METRICS if m in x.columns]
+    base = x.where(F.col("variant") == baseline).select("query_id", F.col("stratum").alias("of"), *(F.col(m).cast("double").alias(f"b_{m}") for m in names))
+    pairs = F.array(*(F.struct(F.lit(m).alias("metric"), F.round(F.col(m).cast("double") - F.col(f"b_{m}"), 12).alias("d")) for m in names))
+    return x.where(F.col("variant") != baseline).join(base, "query_id").select("variant", "query_id", "sample_id", "of", F.inline(pairs))
+
+
+def resampled(cells: DataFrame, draws: int, seed: int) -> DataFrame:
+    """(variant, metric, part, draw, m): the mean of each of ``draws`` resamples with replacement.
+
+    A row of ``cells`` stands for ``times`` equal units, each with the sum ``d`` of ``n`` pairs. How often a row's units
+    come up in a resample is multinomial, so a resample costs as many steps as there are different units.
+    """
+
+    def run(key, table):
+        variant, metric, part, block = (k.as_py() for k in key)
+        table = table.sort_by([("d", "ascending"), ("n", "ascending")])
+        d, n, times = (table.column(c).to_numpy() for c in ("d", "n", "times"))
+        rng = np.random.default_rng([seed, zlib.crc32(f"{variant}:{metric}:{part}".encode()), block])
+        todo, step, found = min(DRAW_BLOCK, draws - block * DRAW_BLOCK), max(1, (1 << 22) // len(d)), []
+        for at in range(0, todo, step):
+            w = rng.multinomial(times.sum(), times / times.sum(), size=min(step, todo - at))
+            found.append((w @ d) / (w @ n))
+        m = np.concatenate(found)
+        same = lambda v: pa.array([v] * len(m), pa.string())
+        return pa.table({"variant": same(variant), "metric": same(metric), "part": same(part), "draw": pa.array(np.arange(len(m)) + block * DRAW_BLOCK), "m": pa.array(m)})
+
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // DRAW_BLOCK)))
+    x = cells.select("variant", "metric", "part", F.col("d").cast("double").alias("d"), F.col("n").cast("double").alias("n"), F.col("times").cast("long").alias("times"), blocks.alias("block"))
+    return x.groupBy("variant", "metric", "part", "block").applyInArrow(run, "variant string, metric string, part string, draw long, m double")
+
+
+def interval(means: DataFrame, deltas: DataFrame) -> DataFrame:
+    """(variant, metric, low, high): the 95 % interval of ``means``; null for a variant's metric without any."""
+    ends = means.groupBy("variant", "metric").agg(*(F.round(F.expr(f"percentile(m, {q})"), 9).alias(c) for c, q in (("low", 0.025), ("high", 0.975))))
+    return deltas.select("variant", "metric").distinct().join(ends, ["variant", "metric"], "left")
+
+
 def bootstrap_interval(outcomes: DataFrame, baseline: str, draws: int, seed: int = 7) -> DataFrame:
-    """95 % interval of the mean paired judge difference per variant, over ``draws`` hashed reweightings of the pairs.
+    """95 % interval of the mean paired difference per variant and metric, over ``draws`` resamples of the pairs.
 
-    A pair's weight in a draw (0, 1 or 2) is a hash of its key, so every pair is weighed where it lies and only
-    (variant, draw) sums are shuffled.
+    Pairs with equal differences are counted first.
     """
-    x = outcomes.select("variant", "query_id", judge_score(F.col("verdict")).alias("s"))
-    base = x.where(F.col("variant") == baseline).select("query_id", F.col("s").alias("b"))
-    d = x.where(F.col("variant") != baseline).join(base, "query_id").withColumn("d", F.col("s") - F.col("b"))
-    d = d.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    weight = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "variant", F.col("query_id").cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(3))
-    per = d.withColumn("w", weight).groupBy("variant", "draw").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m"))
-    return per.groupBy("variant").agg(F.round(F.expr("percentile(m, 0.025)"), 9).alias("low"), F.round(F.expr("percentile(m, 0.975)"), 9).alias("high"))
+    d = metric_deltas(outcomes, baseline)
+    cells = d.where("d is not null").groupBy("variant", "metric", "d").agg(F.count(F.lit(1)).alias("times"))
+    return interval(resampled(cells.withColumns({"part": F.lit(""), "n": F.lit(1)}), draws, seed), d)

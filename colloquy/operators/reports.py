@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.answers import covers_item
 from ..functions.text import judge_score, normalize_answer, phase_for_task
+from .evaluation import interval, metric_deltas, resampled
 
 
 def _rows() -> Column:
@@ -270,18 +271,14 @@ def call_ledger(calls: DataFrame) -> DataFrame:
 
 
 def cluster_bootstrap(outcomes: DataFrame, baseline: str, draws: int, seed: int = 7) -> DataFrame:
-    """95 % interval of the mean paired judge difference per variant, whole samples being drawn with their pairs.
+    """95 % interval of the mean paired difference per variant and metric, whole samples being drawn with their pairs.
 
-    Pairs are summed to one row per variant and sample first; a sample's weight in a draw (0, 1 or 2) is a hash.
+    Pairs are summed to one row per variant, metric and sample first, and samples with equal sums and counts are counted.
     """
-    x = outcomes.select("variant", "query_id", "sample_id", judge_score(F.col("verdict")).alias("s"))
-    base = x.where(F.col("variant") == baseline).select("query_id", F.col("s").alias("b"))
-    d = x.where(F.col("variant") != baseline).join(base, "query_id").withColumn("d", F.col("s") - F.col("b"))
-    c = d.groupBy("variant", "sample_id").agg(F.sum("d").alias("d"), F.count("d").alias("n")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    key = F.concat_ws(":", F.lit(str(seed)), "variant", F.col("sample_id").cast("string"), F.col("draw").cast("string"))
-    c = c.withColumn("w", F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.lit(3)))
-    m = c.groupBy("variant", "draw").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum(F.col("w") * F.col("n"))).alias("m"))
-    return m.groupBy("variant").agg(F.round(F.expr("percentile(m, 0.025)"), 9).alias("low"), F.round(F.expr("percentile(m, 0.975)"), 9).alias("high"))
+    d = metric_deltas(outcomes, baseline)
+    sums = d.where("d is not null").groupBy("variant", "metric", "sample_id").agg(F.round(F.sum("d"), 12).alias("d"), _rows().alias("n"))
+    cells = sums.groupBy("variant", "metric", "d", "n").agg(_rows().alias("times"))
+    return interval(resampled(cells.withColumn("part", F.lit("")), draws, seed), d)
 
 
 def item_coverage(answers: DataFrame, items: DataFrame) -> DataFrame:
@@ -351,17 +348,10 @@ def cutoff_choice(recalls: DataFrame, levels: list[float]) -> DataFrame:
 
 
 def prevalence_bootstrap(outcomes: DataFrame, baseline: str, strata: list[str], draws: int, seed: int = 7) -> DataFrame:
-    """95 % interval of the paired judge difference per variant: pairs are reweighted within their stratum, and the
-    strata's means are weighted by the strata's shares of the baseline's rows; null unless every stratum is seen in
-    every draw."""
-    x = outcomes.select("variant", "query_id", judge_score(F.col("verdict")).alias("s"), "stratum")
-    base = x.where(F.col("variant") == baseline).select("query_id", F.col("s").alias("b"), F.col("stratum").alias("of"))
-    share = base.where(F.col("of").isin(strata)).groupBy("of").agg(_rows().alias("share"))  # one row for each stratum
-    d = x.where(F.col("variant") != baseline).join(base, "query_id").where(F.col("of").isin(strata)).withColumn("d", F.col("s") - F.col("b")).where("d is not null")
-    d = d.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    key = F.concat_ws(":", F.lit(str(seed)), "variant", F.col("query_id").cast("string"), F.col("draw").cast("string"))
-    d = d.withColumn("w", F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.lit(3)))
-    per = d.groupBy("variant", "draw", "of").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("m"))
-    m = per.join(F.broadcast(share), "of").groupBy("variant", "draw").agg(F.count("m").alias("seen"), (F.sum(F.col("m") * F.col("share")) / F.sum("share")).alias("m"))
-    whole = F.min("seen") == len(strata)
-    return m.groupBy("variant").agg(F.when(whole, F.round(F.expr("percentile(m, 0.025)"), 9)).alias("low"), F.when(whole, F.round(F.expr("percentile(m, 0.975)"), 9)).alias("high"))
+    """95 % interval of the paired difference per variant and metric: pairs are resampled within their stratum, and the
+    strata's means are weighted by the strata's shares of the baseline's rows; null unless every stratum has pairs."""
+    d = metric_deltas(outcomes, baseline)
+    share = outcomes.where((F.col("variant") == baseline) & F.col("stratum").isin(strata)).groupBy(F.col("stratum").alias("part")).agg(_rows().alias("share"))  # one row for each stratum
+    cells = d.where(F.col("d").isNotNull() & F.col("of").isin(strata)).groupBy("variant", "metric", F.col("of").alias("part"), "d").agg(_rows().alias("times"))
+    m = resampled(cells.withColumn("n", F.lit(1)), draws, seed).join(F.broadcast(share), "part").groupBy("variant", "metric", "draw")
+    return interval(m.agg(_rows().alias("seen"), (F.sum(F.col("m") * F.col("share")) / F.sum("share")).alias("m")).where(F.col("seen") == len(strata)), d)

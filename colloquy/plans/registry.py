@@ -16,6 +16,8 @@ from ..sources.fixtures import view, with_views
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 BUDGET, MOST, CUTOFFS = 400, 15, [1, 2, 3, 5]
+#: Resamples of a bootstrap.
+DRAWS = 10_000
 
 
 def query(name: str, sql: str):
@@ -213,4 +215,4 @@ def _(v):
 
 @query("l7_paired_bootstrap", f"SELECT variant, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM (SELECT variant, draw, sum(w * d) / sum(w) AS m FROM (SELECT *, ('0x' || substr(md5('7:' || variant || ':' || query_id || ':' || draw), 1, 8))::BIGINT % 3 AS w FROM ({_PAIRS}), (SELECT unnest(range(20)) AS draw)) GROUP BY ALL) GROUP BY variant")
 def _(v):
-    return E.bootstrap_interval(v("fx_outcomes"), "v1", 20)
+    return E.bootstrap_interval(v("fx_outcomes"), "v1", DRAWS)

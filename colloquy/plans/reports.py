@@ -8,7 +8,7 @@ from ..functions import answers as T
 from ..functions.text import cosine, estimate_tokens
 from ..operators import reports as P
 from ..operators import retrieval as R
-from .registry import _JUDGE, _NORM, _PHASE, _RANKED, _TOKENS, query
+from .registry import DRAWS, _JUDGE, _NORM, _PHASE, _RANKED, _TOKENS, query
 
 VARIANTS = ["v1", "v2", "v3", "v4"]
 CUTOFF_GRID, BUDGET_GRID = [2, 5], [40, 400]
@@ -48,7 +48,7 @@ _of("j8_failure_localization", f"WITH t AS (SELECT a.verdict AS p, b.verdict AS
 _of("j12_audit_sample", "SELECT stratum, query_id, row_number() OVER (PARTITION BY stratum ORDER BY md5(stratum || ':' || query_id), query_id) AS place FROM fx_outcomes WHERE variant = 'v1' QUALIFY place <= 20", "fx_outcomes", lambda x: P.quota_sample(x.where("variant = 'v1'"), "stratum", "query_id", 20))
 _of("j13_counterbalanced_tasks", "SELECT query_id, annotator, position, CASE WHEN (query_id + annotator + position) % 2 = 0 THEN 'packet' ELSE 'dialogue' END AS condition FROM fx_queries, (SELECT unnest([0, 1]) AS annotator), (SELECT unnest([0, 1]) AS position)", "fx_queries", lambda x: P.counterbalanced_tasks(x, "query_id"))
 _of("k13_page_granularity_fields", "SELECT page_type, width, count(*) AS pages FROM (SELECT page_type, page_id, count(DISTINCT trajectory_id) AS width FROM fx_page_members GROUP BY ALL) GROUP BY ALL", "fx_page_members", P.page_widths)
-_of("l9_cluster_bootstrap", f"WITH d AS (SELECT a.variant, a.sample_id, a.s - b.s AS d FROM (SELECT *, {_JUDGE} AS s FROM fx_outcomes WHERE variant <> 'v1') a JOIN (SELECT query_id, {_JUDGE} AS s FROM fx_outcomes WHERE variant = 'v1') b ON a.query_id = b.query_id), m AS (SELECT variant, draw, sum(w * d) / nullif(sum(w * (d IS NOT NULL)::INT), 0) AS m FROM (SELECT *, ('0x' || substr(md5('7:' || variant || ':' || sample_id || ':' || draw), 1, 8))::BIGINT % 3 AS w FROM d, (SELECT unnest(range(20)) AS draw)) GROUP BY ALL) SELECT variant, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m GROUP BY variant", "fx_outcomes", lambda x: P.cluster_bootstrap(x, "v1", 20))
+_of("l9_cluster_bootstrap", f"WITH d AS (SELECT a.variant, a.sample_id, a.s - b.s AS d FROM (SELECT *, {_JUDGE} AS s FROM fx_outcomes WHERE variant <> 'v1') a JOIN (SELECT query_id, {_JUDGE} AS s FROM fx_outcomes WHERE variant = 'v1') b ON a.query_id = b.query_id), m AS (SELECT variant, draw, sum(w * d) / nullif(sum(w * (d IS NOT NULL)::INT), 0) AS m FROM (SELECT *, ('0x' || substr(md5('7:' || variant || ':' || sample_id || ':' || draw), 1, 8))::BIGINT % 3 AS w FROM d, (SELECT unnest(range(20)) AS draw)) GROUP BY ALL) SELECT variant, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m GROUP BY variant", "fx_outcomes", lambda x: P.cluster_bootstrap(x, "v1", DRAWS))
 _of("l10_stratum_summary", f"SELECT variant, stratum, count(*) AS n, count({_JUDGE}) AS judged, round(avg({_JUDGE}), 9) AS judge, count(gold_ref_coverage) AS covered, round(avg(gold_ref_coverage), 6) AS coverage FROM fx_outcomes GROUP BY ALL", "fx_outcomes", P.stratum_summary)
 _of("l16_variant_cost_summary", "SELECT task, CAST(sum(completion_tokens) FILTER (role = 'backbone') AS BIGINT) AS backbone, CAST(sum(completion_tokens) FILTER (role = 'judge') AS BIGINT) AS judge FROM fx_calls GROUP BY task", "fx_calls", lambda x: P.role_costs(x, ["backbone", "judge"]))
 _of("l17_balanced_failure_examples", f"SELECT a.query_id, a.verdict AS before, b.verdict AS after, row_number() OVER (PARTITION BY a.verdict, b.verdict ORDER BY a.query_id) AS place FROM {_V1} a JOIN {_V2} b ON a.query_id = b.query_id WHERE a.verdict <> b.verdict QUALIFY place <= 5", "fx_outcomes", lambda x: P.transition_examples(x, "v1", "v2", 5))
@@ -110,7 +110,7 @@ _of("e9_page_links", "SELECT a.page_id, b.page_id AS linked_id, count(DISTINCT a
 _of("i14_fallback_repair_events", f"SELECT call_item_uid, {_PHASE} AS phase, 'repair' AS kind FROM fx_calls WHERE contains(task, 'repair') UNION ALL SELECT call_item_uid, {_PHASE}, 'cache_hit' FROM fx_calls QUALIFY row_number() OVER (PARTITION BY provider_call_uid ORDER BY call_item_uid) > 1", "fx_calls", P.repair_events)
 _of("l12_answer_ablation_table", f"SELECT variant, count(*) AS n, count({_JUDGE}) AS judge_n, round(avg({_JUDGE}), 6) AS judge, count(token_f1) AS token_f1_n, round(avg(token_f1), 6) AS token_f1, count(gold_ref_coverage) AS coverage_n, round(avg(gold_ref_coverage), 6) AS coverage, count(prompt_tokens) AS prompt_tokens_n, round(avg(prompt_tokens), 6) AS prompt_tokens FROM fx_outcomes GROUP BY variant", "fx_outcomes", P.answer_table)
 _of("l6_stratified_sample", "SELECT o.stratum, query_id, place, prevalence FROM (SELECT stratum, query_id, row_number() OVER (PARTITION BY stratum ORDER BY md5(stratum || ':' || query_id), query_id) AS place FROM fx_outcomes WHERE variant = 'v1') o JOIN (SELECT stratum, round(count(*) / (SELECT count(*) FROM fx_outcomes WHERE variant = 'v1'), 9) AS prevalence FROM fx_outcomes WHERE variant = 'v1' GROUP BY 1) p ON o.stratum = p.stratum WHERE place <= CASE o.stratum WHEN 'A' THEN 30 WHEN 'R' THEN 86 WHEN 'N' THEN 84 ELSE 0 END", "fx_outcomes", lambda x: P.stratified_sample(x.where("variant = 'v1'"), "stratum", "query_id", {"A": 15, "R": 43, "N": 42}, 200))
-_of("l8_prevalence_bootstrap", f"WITH b AS (SELECT query_id, stratum AS o, {_JUDGE} AS b FROM fx_outcomes WHERE variant = 'v1'), sh AS (SELECT o, count(*) AS share FROM b GROUP BY o), d AS (SELECT variant, query_id, o, s - b AS d FROM (SELECT variant, query_id, {_JUDGE} AS s FROM fx_outcomes WHERE variant <> 'v1') JOIN b USING (query_id) WHERE s IS NOT NULL AND b IS NOT NULL), p AS (SELECT variant, draw, o, sum(w * d) / nullif(sum(w), 0) AS m FROM (SELECT *, ('0x' || substr(md5('7:' || variant || ':' || query_id || ':' || draw), 1, 8))::BIGINT % 3 AS w FROM d, (SELECT unnest(range(20)) AS draw)) GROUP BY ALL), q AS (SELECT variant, draw, count(m) AS seen, sum(m * share) / sum(share) AS m FROM p JOIN sh USING (o) GROUP BY ALL) SELECT variant, CASE WHEN min(seen) = 3 THEN round(quantile_cont(m, 0.025), 9) END AS low, CASE WHEN min(seen) = 3 THEN round(quantile_cont(m, 0.975), 9) END AS high FROM q GROUP BY variant", "fx_outcomes", lambda x: P.prevalence_bootstrap(x, "v1", ["A", "N", "R"], 20))
+_of("l8_prevalence_bootstrap", f"WITH b AS (SELECT query_id, stratum AS o, {_JUDGE} AS b FROM fx_outcomes WHERE variant = 'v1'), sh AS (SELECT o, count(*) AS share FROM b GROUP BY o), d AS (SELECT variant, query_id, o, s - b AS d FROM (SELECT variant, query_id, {_JUDGE} AS s FROM fx_outcomes WHERE variant <> 'v1') JOIN b USING (query_id) WHERE s IS NOT NULL AND b IS NOT NULL), p AS (SELECT variant, draw, o, sum(w * d) / nullif(sum(w), 0) AS m FROM (SELECT *, ('0x' || substr(md5('7:' || variant || ':' || query_id || ':' || draw), 1, 8))::BIGINT % 3 AS w FROM d, (SELECT unnest(range(20)) AS draw)) GROUP BY ALL), q AS (SELECT variant, draw, count(m) AS seen, sum(m * share) / sum(share) AS m FROM p JOIN sh USING (o) GROUP BY ALL) SELECT variant, CASE WHEN min(seen) = 3 THEN round(quantile_cont(m, 0.025), 9) END AS low, CASE WHEN min(seen) = 3 THEN round(quantile_cont(m, 0.975), 9) END AS high FROM q GROUP BY variant", "fx_outcomes", lambda x: P.prevalence_bootstrap(x, "v1", ["A", "N", "R"], DRAWS))
 
 
 @query("f12_fine_snapshots", "WITH s AS (SELECT a.sample_id AS query_id, a.trajectory_id, a.snapshot_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM fx_vectors a JOIN (SELECT sample_id, arg_min(embedding, snapshot_id) AS embedding FROM fx_vectors GROUP BY sample_id) b ON a.sample_id = b.sample_id), r AS (SELECT *, (row_number() OVER (PARTITION BY query_id, trajectory_id ORDER BY score DESC, snapshot_id) > 1)::INT AS rest FROM s) SELECT query_id, snapshot_id, row_number() OVER (PARTITION BY query_id ORDER BY rest, score DESC, snapshot_id) AS place FROM r QUALIFY place <= 12")

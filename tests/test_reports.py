@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import answers as T
+from colloquy.operators import evaluation as E
 from colloquy.operators import reports as P
+from colloquy.plans.registry import DRAWS
 
 
 def test_answers_are_cut_and_trimmed(spark):
@@ -52,3 +54,25 @@ def test_ties_are_correct_and_no_votes_are_null(spark):
     x = spark.createDataFrame([("v1", 1, "correct"), ("v2", 1, "correct"), ("v3", 1, "partial"), ("v2", 2, None)], "variant string, query_id long, verdict string")
     got = {r.query_id: r.majority for r in P.vote_majority(x, "v1").collect()}
     assert got == {1: True, 2: None}
+
+
+def outcomes_of(spark, better, strata=("A",)):
+    """Outcomes of 100 queries, ten in a sample, all wrong in v1 and right in v2 where ``better`` says so."""
+    rows = [(v, k, k // 10, strata[k % len(strata)], "correct" if v == "v2" and better(k) else "incorrect", None if v == "v2" else 1.0) for v in ("v1", "v2") for k in range(100)]
+    return spark.createDataFrame(rows, "variant string, query_id long, sample_id long, stratum string, verdict string, token_f1 double")
+
+
+def test_bootstraps_are_as_wide_as_resamples(spark):
+    def ends(df):
+        return {r.metric: (r.low, r.high) for r in df.collect()}
+
+    half = outcomes_of(spark, lambda k: k % 2 == 0, ("A", "A", "N", "N"))
+    assert DRAWS == 10_000
+    paired = ends(E.bootstrap_interval(half, "v1", DRAWS))  # the quantiles of Bin(100, 0.5) / 100
+    assert paired["judge"] == pytest.approx((0.40, 0.60), abs=0.0101) and paired["token_f1"] == (None, None)
+    weighted = ends(P.prevalence_bootstrap(half, "v1", ["A", "N"], DRAWS))
+    assert weighted["judge"] == pytest.approx((0.40, 0.60), abs=0.0101) and weighted["token_f1"] == (None, None)
+    assert ends(P.prevalence_bootstrap(half, "v1", ["A", "N", "R"], DRAWS))["judge"] == (None, None)
+    assert ends(P.cluster_bootstrap(half, "v1", DRAWS))["judge"] == (0.5, 0.5)  # each sample is half right
+    whole = outcomes_of(spark, lambda k: k // 10 % 2 == 0)
+    assert ends(P.cluster_bootstrap(whole, "v1", DRAWS))["judge"] == (0.2, 0.8)  # the quantiles of Bin(10, 0.5) / 10
