@@ -42,9 +42,9 @@ def exclusion_report(rows: DataFrame, reason: Column) -> DataFrame:
     return rows.select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(_rows().alias("n"))
 
 
-def deprecated_hits(answers: DataFrame, claims: DataFrame, preview: int = 80, least: int = 12) -> DataFrame:
-    """(query_id, sample_id, answer): whether a deprecated claim's normalised start, if long enough, stands in it."""
-    shown = F.substring(normalize_answer(F.col("text")), 1, preview)
+def deprecated_hits(answers: DataFrame, claims: DataFrame, least: int = 12) -> DataFrame:
+    """(query_id, sample_id, answer): whether a deprecated claim's whole normalised text, if long enough, stands in it."""
+    shown = normalize_answer(F.col("text"))
     old = claims.where("status = 'deprecated'").select("sample_id", shown.alias("shown")).where(F.length("shown") >= least).distinct()
     x = answers.join(old, "sample_id", "left").withColumn("hit", F.coalesce(F.contains(normalize_answer(F.col("answer")), F.col("shown")), F.lit(False)))
     return x.groupBy("query_id").agg(F.bool_or("hit").alias("hit"))

@@ -76,3 +76,10 @@ def test_bootstraps_are_as_wide_as_resamples(spark):
     assert ends(P.cluster_bootstrap(half, "v1", DRAWS))["judge"] == (0.5, 0.5)  # each sample is half right
     whole = outcomes_of(spark, lambda k: k // 10 % 2 == 0)
     assert ends(P.cluster_bootstrap(whole, "v1", DRAWS))["judge"] == (0.2, 0.8)  # the quantiles of Bin(10, 0.5) / 10
+
+
+def test_a_deprecated_claim_is_looked_for_as_a_whole(spark):
+    start = "the red kite hangs in the hall " * 4
+    claims = spark.createDataFrame([(1, "deprecated", start + "and is torn"), (2, "deprecated", start + "and is torn")], "sample_id long, status string, text string")
+    answers = spark.createDataFrame([(1, 1, start + "and is whole"), (2, 2, "Yes, " + start + "and is torn.")], "query_id long, sample_id long, answer string")
+    assert {r.query_id: r.hit for r in P.deprecated_hits(answers, claims).collect()} == {1: False, 2: True}
