@@ -104,7 +104,7 @@ def _(v):
 
 @query("f13_expand_neighbors", "SELECT DISTINCT a.snapshot_id, b.snapshot_id AS neighbor_id FROM fx_vectors a JOIN fx_vectors b ON a.trajectory_id = b.trajectory_id AND abs(a.version - b.version) <= 1 WHERE a.snapshot_id % 5 = 0")
 def _(v):
-    return D.expand_neighbors(v("fx_vectors").where("snapshot_id % 5 = 0"), v("fx_vectors"), 1)
+    return D.expand_neighbors(v("fx_vectors"), v("fx_vectors"), 1)
 
 
 @query("f21_flat_lexical_rank", f"SELECT query_id, sample_id, message_id, source_ref, score::DOUBLE AS score, tokens, rank FROM ({_RANKED})")

@@ -8,6 +8,7 @@ from colloquy.operators import evaluation as E
 from colloquy.operators import retrieval as R
 from colloquy.plans import analysis, reports  # noqa: F401  (add their queries)
 from colloquy.plans.registry import QUERIES, SQL
+from colloquy.sources.fixtures import view
 
 DATA = "/root/testdata/sf0.001"
 
@@ -50,3 +51,12 @@ def test_against_duckdb(spark, name):
     mine = sorted(repr([tidy(r[c]) for c in cols]) for r in df.collect())
     theirs = sorted(repr([tidy(r[names.index(c)]) for c in cols]) for r in want.fetchall())
     assert mine == theirs
+
+
+def test_every_snapshot_has_its_neighbors(spark):
+    rows = duckdb.execute(f"SELECT * FROM '{DATA}/embeddings.parquet'").fetchnumpy()
+    got = QUERIES["f13_expand_neighbors"](spark, DATA).collect()
+    place = {r.snapshot_id: (r.trajectory_id, r.version) for r in view(spark, DATA, "fx_vectors").select("snapshot_id", "trajectory_id", "version").collect()}
+    at = {v: k for k, v in place.items()}
+    assert len(place) == len(at) == len(next(iter(rows.values())))
+    assert sorted(map(tuple, got)) == sorted((k, at[t, n + d]) for k, (t, n) in place.items() for d in (-1, 0, 1) if (t, n + d) in at)
