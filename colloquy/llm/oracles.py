@@ -1,11 +1,12 @@
 r"""DuckDB SQL for the queries that SQL can express, written from the definitions: exact quantiles where the operator
 merges sketches, all pairs of shingle sets where it filters candidates."""
 
-from . import quality as Q
-from . import url_reputation as U
-
 _WORD = r"[^\x20\x09-\x0D]+"
 
+_BEYOND = "{x} > q.{m}[3] * pow(greatest(q.{m}[3] / q.{m}[1], 1.02::DOUBLE), {k})"
+_FOUR = "quantile_disc(ms, [0.25, 0.5, 0.75]) AS ms, quantile_disc(ml, [0.25, 0.5, 0.75]) AS ml, quantile_disc(mr, [0.25, 0.5, 0.75]) AS mr, quantile_disc(mc, [0.25, 0.5, 0.75]) AS mc"
+_PICK = ", ".join(f"CASE WHEN own.n >= 200 AND own.{m}[1] < own.{m}[3] THEN own.{m} WHEN up.n >= 200 AND up.{m}[1] < up.{m}[3] THEN up.{m} ELSE a.{m} END AS {m}" for m in ("ms", "ml", "mr", "mc"))
+
 _QUALITY = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
   w AS (SELECT r, unnest(list) AS word, generate_subscripts(list, 1) AS i FROM (SELECT r, regexp_extract_all(t, '{_WORD}') AS list FROM d)),
@@ -14,45 +15,46 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text
   rep AS (SELECT r, count(DISTINCT i + k) AS n FROM again, range(5) AS t(k) GROUP BY r),
   m AS (SELECT r, doc_id, lang, source, len(regexp_extract_all(t, '{_WORD}')) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
       len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines, coalesce(rep.n, 0) AS n_repeat_words FROM d LEFT JOIN rep USING (r)),
-  f AS (SELECT r, doc_id, lang, source, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words,
-      n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT_PERCENT} * n_words AS base_failed, n_symbols / nullif(n_words, 0) AS s, word_chars / nullif(n_words, 0) AS c FROM m),
-  seen AS (SELECT * FROM f WHERE n_words >= {Q.MIN_WORDS}),
-  own AS (SELECT lang, source, count(*) AS n, quantile_disc(s, [0.25, 0.5, 0.75]) AS s, quantile_disc(c, [0.25, 0.5, 0.75]) AS c FROM seen GROUP BY lang, source),
-  up AS (SELECT lang, count(*) AS n, quantile_disc(s, [0.25, 0.5, 0.75]) AS s, quantile_disc(c, [0.25, 0.5, 0.75]) AS c FROM seen GROUP BY lang),
-  everything AS (SELECT quantile_disc(s, [0.25, 0.5, 0.75]) AS s, quantile_disc(c, [0.25, 0.5, 0.75]) AS c FROM seen),
-  q AS (SELECT own.lang, own.source, CASE WHEN own.n >= {Q.MIN_GROUP} THEN own.s WHEN up.n >= {Q.MIN_GROUP} THEN up.s ELSE a.s END AS s, CASE WHEN own.n >= {Q.MIN_GROUP} THEN own.c WHEN up.n >= {Q.MIN_GROUP} THEN up.c ELSE a.c END AS c
-    FROM own JOIN up ON own.lang IS NOT DISTINCT FROM up.lang CROSS JOIN everything a)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(f.s > q.s[2] + {Q.REACH} * greatest(q.s[2] - q.s[1], {Q.SYMBOL_FLOOR}::DOUBLE) OR f.c < q.c[2] - {Q.REACH} * greatest(q.c[3] - q.c[2], {Q.LENGTH_FLOOR}::DOUBLE * q.c[2])
-    OR f.c > q.c[2] + {Q.REACH} * greatest(q.c[2] - q.c[1], {Q.LENGTH_FLOOR}::DOUBLE * q.c[2]), false) AS kept
+  f AS (SELECT r, doc_id, lang, source, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+      (n_symbols + 0.5::DOUBLE) / (n_words + 1) AS ms, (len(lines) - len(list_distinct(lines)) + 0.5::DOUBLE) / (len(list_distinct(lines)) + 0.5::DOUBLE) AS ml,
+      (n_repeat_words + 0.5::DOUBLE) / (n_words - n_repeat_words + 0.5::DOUBLE) AS mr, word_chars / nullif(n_words, 0) AS mc FROM m),
+  seen AS (SELECT * FROM f WHERE n_words >= 10),
+  own AS (SELECT lang, source, count(*) AS n, {_FOUR} FROM seen GROUP BY lang, source),
+  up AS (SELECT lang, count(*) AS n, {_FOUR} FROM seen GROUP BY lang),
+  a AS (SELECT {_FOUR} FROM seen),
+  q AS (SELECT own.lang, own.source, {_PICK} FROM own JOIN up ON own.lang IS NOT DISTINCT FROM up.lang CROSS JOIN a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(
+    {_BEYOND.format(x="(word_chars + 10 * q.mc[2]) / (n_words + 10)", m="mc", k=3)} OR (word_chars + 10 * q.mc[2]) / (n_words + 10) < q.mc[1] / pow(greatest(q.mc[3] / q.mc[1], 1.02::DOUBLE), 3)
+    OR n_symbols > 0 AND {_BEYOND.format(x="f.ms", m="ms", k=3)} OR n_dup_lines > 0 AND {_BEYOND.format(x="f.ml", m="ml", k=2)} OR n_repeat_words > 0 AND {_BEYOND.format(x="f.mr", m="mr", k=3)}, false) AS kept
 FROM f LEFT JOIN q ON f.lang IS NOT DISTINCT FROM q.lang AND f.source IS NOT DISTINCT FROM q.source"""
 
 
 def _level(name: str, parents: str, key: str) -> str:
-    """Three common table expressions: ``name`` shrunk towards ``parents``, which ``key`` names."""
+    """Common table expressions: ``name`` shrunk towards ``parents``, which ``key`` names; one weight for the level."""
     return f"""
   {name}_in AS (SELECT c.*, p.rate AS mu FROM {name}_sums c JOIN {parents} p ON c."{key}" = p."{key}"),
-  {name}_prior AS (SELECT "{key}" AS parent, max(mu) * (1 - max(mu)) AS spread, count(*) AS c, (sum(n * pow(k / n - mu, 2)) - (count(*) - 1) * max(mu) * (1 - max(mu))) / nullif(sum(n) - sum(n * n) / sum(n), 0) AS between_ FROM {name}_in WHERE n > 0 GROUP BY "{key}"),
-  {name}_weighed AS (SELECT x.*, coalesce(CASE WHEN p.c < 2 OR NOT p.between_ > 0 THEN {U.MOST_WEIGHT}::DOUBLE ELSE greatest({U.LEAST_WEIGHT}::DOUBLE, least({U.MOST_WEIGHT}::DOUBLE, p.spread / p.between_ - 1)) END, {U.MOST_WEIGHT}::DOUBLE) AS weight FROM {name}_in x LEFT JOIN {name}_prior p ON x."{key}" = p.parent),
-  {name} AS (SELECT *, weight * mu + k AS alpha, weight * (1 - mu) + n - k AS beta, (weight * mu + k) / (weight + n) AS rate FROM {name}_weighed)"""
+  {name}_part AS (SELECT count(*) - 1 AS free, sum(n) AS t, sum(k) / sum(n) AS p, sum(n * n) AS t2, sum(k * k / n) - sum(k) * sum(k) / sum(n) AS s FROM {name}_in WHERE n > 0 GROUP BY "{key}"),
+  {name}_sum AS (SELECT sum(t) AS t, sum(t * p * (1 - p)) / sum(t) AS spread, (sum(s) - sum(free * p * (1 - p))) / nullif(sum(t - t2 / t), 0) AS between_ FROM {name}_part),
+  {name}_prior AS (SELECT coalesce(CASE WHEN between_ > 0 THEN greatest(1::DOUBLE, least(t, spread / between_ - 1)) ELSE t END, 1::DOUBLE) AS weight FROM {name}_sum),
+  {name} AS (SELECT x.*, weight * mu + k AS alpha, weight * (1 - mu) + n - k AS beta, (weight * mu + k) / (weight + n) AS rate FROM {name}_in x, {name}_prior)"""
 
 
 _URLS = rf"""
-WITH rules(verdict, h, p) AS (VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in U.RULES)}),
+WITH rules(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
   rest AS (SELECT row_number() OVER () AS r, page_id, coalesce(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages),
   x AS (SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
   ruled AS (SELECT r, h || p AS rule, verdict FROM x JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(h || p) DESC, length(h) DESC) = 1),
   labelled AS (SELECT doc_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels GROUP BY doc_id),
-  counted AS (SELECT host, count(bad) AS n, count(*) FILTER (bad) AS k FROM x LEFT JOIN labelled ON page_id = doc_id GROUP BY host),
-  parts AS (SELECT *, string_split(host, '.') AS l FROM counted),
-  tails AS (SELECT *, array_to_string(l[greatest(1, len(l) - 1):], '.') AS two, array_to_string(l[greatest(1, len(l) - 2):], '.') AS three FROM parts),
-  hosts_sums AS (SELECT host, CASE WHEN two IN {U.TWO_LABEL_SUFFIXES} THEN three ELSE two END AS domain, CASE WHEN two IN {U.TWO_LABEL_SUFFIXES} THEN two ELSE l[len(l)] END AS suffix, n, k FROM tails),
+  counted AS (SELECT regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS site, count(bad) AS n, count(*) FILTER (bad) AS k FROM x LEFT JOIN labelled ON page_id = doc_id GROUP BY 1),
+  parts AS (SELECT *, string_split(site, '.') AS l, regexp_matches(site, '^([0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}|\[.*\])$') AS ip FROM counted),
+  tails AS (SELECT *, array_to_string(l[greatest(1, len(l) - 1):], '.') AS two, array_to_string(l[greatest(1, len(l) - 2):], '.') AS three, regexp_matches(site, '(^|[.])(ac|co|com|edu|go|gob|gov|ltd|me|mil|ne|net|nom|or|org|plc|sch)[.][a-z]{{2}}$') AS deep FROM parts),
+  hosts_sums AS (SELECT site, CASE WHEN ip THEN site WHEN deep THEN three ELSE two END AS domain, CASE WHEN ip THEN 'ip' WHEN deep THEN two ELSE l[len(l)] END AS suffix, n, k FROM tails),
   domains_sums AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM hosts_sums GROUP BY ALL),
   suffixes_sums AS (SELECT suffix, '' AS "all", sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM domains_sums GROUP BY ALL),
   whole AS (SELECT '' AS "all", (sum(k) + 1) / (sum(n) + 2) AS rate FROM suffixes_sums),{_level("suffixes", "whole", "all")},{_level("domains", "suffixes", "suffix")},{_level("hosts", "domains", "domain")},
-  known AS (SELECT host, rate, rate - {U.Z}::DOUBLE * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) AS bound FROM hosts)
-SELECT page_id, x.host, path, rule, coalesce(verdict, CASE WHEN bound >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(rate, 9) AS block_rate, round(bound, 9) AS block_bound
-FROM x LEFT JOIN ruled USING (r) LEFT JOIN known ON x.host = known.host"""
+  known AS (SELECT site, hosts.rate, hosts.rate - 1.645::DOUBLE * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) AS bound, whole.rate AS usual FROM hosts, whole)
+SELECT page_id, x.host, path, rule, coalesce(verdict, CASE WHEN bound > usual THEN 'block' ELSE 'allow' END) AS verdict, round(rate, 9) AS block_rate, round(bound, 9) AS block_bound, round(usual, 9) AS usual_rate
+FROM x LEFT JOIN ruled USING (r) LEFT JOIN known ON regexp_replace(regexp_replace(x.host, '^.*@', ''), ':[0-9]*$', '') = known.site"""
 
 _JACCARD = rf"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS list FROM documents),

@@ -1,16 +1,24 @@
 """Quality rules with adaptive thresholds, in DataFrame functions alone.
 
-A fixed base rule comes first. Beyond it, cutoffs are not constants: quantile sketches (KLL) of symbols per word and of
-mean word length are built per language and source in one pre-aggregated pass, merged to the language and to the whole
-corpus, and turned into fences around the median. A group with few documents takes the fences of its language, a small
-language those of the corpus. The documents are then joined with their group's fences and filtered.
+A fixed base rule comes first. Beyond it no cutoff is a constant: quantile sketches (KLL) of four measures are built per
+language and source in one pre-aggregated pass and merged to the language and to the whole corpus. The measures are
+never zero for most documents, so that their quartiles tell something: symbols to words, the odds of duplicate lines,
+the odds of repeated words (each with half an event added to both sides), and the mean word length.
 
-A fence is q50 + REACH * max(q50 - q25, floor): the half of the distribution away from the tail sets the width, so up
-to half of a group may be junk without moving it. Clean groups have narrow distributions; the floors keep their
-ordinary variety inside.
+A measure's fence lies ``REACH`` interquartile ratios beyond the quartile: q75 * (q75 / q25) ** REACH above, and for the
+word length also q25 / (q75 / q25) ** REACH below. So a source that is used to symbols may have more of them than one that
+has none. Up to a quarter of a group may be junk at either end without moving its fence. A document is rejected beyond
+a fence of its own group. For the word length it is read with ``STEADY`` more words of the group's median length, as the
+mean of a few words varies; a document without any symbol, duplicate line or repeated word is never rejected for that.
 
-Nulls: a null text has no words (base_failed); null languages and sources are groups of their own. Repeated rows stay.
-Columns that are not used here pass through or are ignored, whatever their names.
+A group with few documents, or whose quartiles are equal (a group of copies), takes its language's quartiles, and a
+language of that kind those of the corpus. ``LEAST_RATIO`` only keeps a corpus of copies from rejecting all that differs.
+
+The texts are read once: measures are written to the shared folder, and sketches and verdicts are made from them.
+
+Nulls: a null text has no words (base_failed); null languages and sources are groups of their own. Repeated rows stay and
+count each time. An empty table gives no rows. A very long text costs O(n log n). Other columns pass through, except that
+those with a measure's name are replaced.
 """
 
 from __future__ import annotations
@@ -23,12 +31,15 @@ from .runtime import stage
 WORD = r"[^\x20\x09-\x0D]+"
 #: Base rule: fewest words, and most words (percent) in 5-word windows that the text repeats.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-#: Width of a fence in half-spreads, and the least half-spread: of symbols per word, and of the mean word length as a share of its median.
-REACH, SYMBOL_FLOOR, LENGTH_FLOOR = 6, 0.05, 0.15
-#: Documents that a group needs for fences of its own.
-MIN_GROUP = 200
+#: Interquartile ratios from a quartile to its fence: 3 is far out; lines are few, so their odds spread more.
+REACH = {"symbols": 3, "lines": 2, "repeats": 3, "length": 3}
+#: Words of median length that are added to a text before its mean length is judged.
+STEADY = 10
+#: Documents that a group needs for fences of its own, and the least interquartile ratio.
+MIN_GROUP, LEAST_RATIO = 200, 1.02
 #: Accuracy of the sketches: about 50 KB each at most, exact below this many documents.
 SKETCH_K = 2048
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
 def _let(value: Column, use) -> Column:
@@ -44,9 +55,10 @@ def word_chars(text: Column) -> Column:
     return F.length(F.translate(text, " \t\n\x0b\f\r", ""))
 
 
-def duplicate_lines(text: Column) -> Column:
+def line_counts(text: Column) -> Column:
+    """Struct (n, d): lines with a word, and the distinct ones of them."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    return _let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d")))
 
 
 def repeated_words(words: Column, width: int = 5) -> Column:
@@ -68,45 +80,66 @@ def repeated_words(words: Column, width: int = 5) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
+    """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, and __lines."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    x = docs.withColumn("__w", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    x = docs.withColumn("__w", F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).withColumn("__l", line_counts(text))
     x = x.withColumns({
         "n_words": F.size("__w").cast("long"), "word_chars": word_chars(text).cast("long"), "n_symbols": symbol_count(text).cast("long"),
-        "n_dup_lines": duplicate_lines(text).cast("long"), "n_repeat_words": repeated_words(F.col("__w")).cast("long"),
-    }).drop("__w")
+        "n_dup_lines": (F.col("__l.n") - F.col("__l.d")).cast("long"), "n_repeat_words": repeated_words(F.col("__w")).cast("long"), "__lines": F.col("__l.n"),
+    }).drop("__w", "__l")
     return x.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def fences(docs: DataFrame) -> DataFrame:
-    """(lang, source, most_symbols, least_length, most_length): one row per language and source, from merged sketches."""
-    text = F.col("text").cast("string")
-    words = F.regexp_count(text, F.lit(WORD))
-    seen = docs.select("lang", "source", words.alias("n"), symbol_count(text).alias("s"), word_chars(text).alias("c")).where(F.col("n") >= MIN_WORDS)
-    sketch = [F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(F.col(c) / F.col("n"), SKETCH_K).alias(c) for c in ("s", "c"))]
-    merge = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(c, SKETCH_K).alias(c) for c in ("s", "c"))]
-    group = stage(seen.groupBy("lang", "source").agg(*sketch), "sketches")
-    lang = group.groupBy("lang").agg(*merge)
-    everything = lang.agg(*merge)
-    named = lambda df, tag: df.withColumnsRenamed({c: f"{c}_{tag}" for c in ("n", "s", "c")})
-    own, up = named(group, "g"), named(lang, "l").withColumnRenamed("lang", "lang_l")
-    x = own.join(up, F.col("lang").eqNullSafe(F.col("lang_l"))).drop("lang_l").crossJoin(F.broadcast(named(everything, "a")))  # one row
-    pick = lambda c: F.when(F.col("n_g") >= MIN_GROUP, F.col(f"{c}_g")).when(F.col("n_l") >= MIN_GROUP, F.col(f"{c}_l")).otherwise(F.col(f"{c}_a"))
-    q = lambda c, r: F.kll_sketch_get_quantile_double(pick(c), F.lit(r))
-    x = x.select("lang", "source", *(q(c, r).alias(f"{c}{k}") for c in ("s", "c") for k, r in ((1, 0.25), (2, 0.5), (3, 0.75))))
-    low = LENGTH_FLOOR * F.col("c2")
-    return x.select(
-        "lang", "source",
-        (F.col("s2") + REACH * F.greatest(F.col("s2") - F.col("s1"), F.lit(SYMBOL_FLOOR))).alias("most_symbols"),
-        (F.col("c2") - REACH * F.greatest(F.col("c3") - F.col("c2"), low)).alias("least_length"),
-        (F.col("c2") + REACH * F.greatest(F.col("c2") - F.col("c1"), low)).alias("most_length"),
-    )
-
-
-def judged(docs: DataFrame) -> DataFrame:
-    """``docs`` with the measures, base_failed and kept."""
-    limits = stage(fences(docs), "fences").toDF("__l", "__s", "__ms", "__ll", "__ml")
-    x = measures(docs).join(limits, F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s")), "left")
-    symbols, length = F.try_divide("n_symbols", "n_words"), F.try_divide("word_chars", "n_words")
-    odd = (symbols > F.col("__ms")) | (length < F.col("__ll")) | (length > F.col("__ml"))
-    return x.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).drop("__l", "__s", "__ms", "__ll", "__ml")
+def _odds(part: Column, whole: Column) -> Column:
+    return (part + 0.5) / (whole - part + 0.5)
+
+
+def _judged_by() -> dict[str, Column]:
+    n = F.col("n_words")
+    return {
+        "symbols": (F.col("n_symbols") + 0.5) / (n + 1), "lines": _odds(F.col("n_dup_lines"), F.col("__lines")),
+        "repeats": _odds(F.col("n_repeat_words"), n), "length": F.col("word_chars") / n,
+    }
+
+
+def quartiles(measured: DataFrame) -> DataFrame:
+    """(lang, source, symbols, lines, repeats, length): one row per language and source with the quartiles (q1, q2, q3) of
+    each measure that its documents are judged by, from merged sketches."""
+    seen = measured.where(F.col("n_words") >= MIN_WORDS).select("lang", "source", *(c.alias(m) for m, c in _judged_by().items()))
+    group = stage(seen.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(m, SKETCH_K).alias(m) for m in REACH)), "sketches")
+    merge = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(m, SKETCH_K).alias(m) for m in REACH)]
+    lang = stage(group.groupBy("lang").agg(*merge), "languages")
+
+    def named(level: DataFrame, tag: str, whole: bool = False) -> DataFrame:
+        q = lambda m: F.struct(*(F.kll_sketch_get_quantile_double(m, F.lit(r)).alias(f"q{k}") for k, r in ((1, 0.25), (2, 0.5), (3, 0.75))))
+        x = level.withColumns({f"{m}_{tag}": q(m) for m in REACH}).drop(*REACH)
+        good = lambda c: F.lit(whole) | ((F.col("n") >= MIN_GROUP) & (F.col(f"{c}.q1") < F.col(f"{c}.q3")))
+        return x.withColumns({f"{m}_{tag}": F.when(good(f"{m}_{tag}"), F.col(f"{m}_{tag}")) for m in REACH}).drop("n")
+
+    own, up, every = named(group, "g"), named(lang, "l").withColumnRenamed("lang", "__up"), named(lang.agg(*merge), "a", True)
+    x = own.join(up, F.col("lang").eqNullSafe(F.col("__up"))).crossJoin(F.broadcast(every))  # one row
+    return x.select("lang", "source", *(F.coalesce(f"{m}_g", f"{m}_l", f"{m}_a").alias(m) for m in REACH))
+
+
+def _odd() -> Column:
+    """True for a document that lies beyond a fence of its group."""
+    step = lambda m: F.pow(F.greatest(F.col(f"__q_{m}.q3") / F.col(f"__q_{m}.q1"), F.lit(LEAST_RATIO)), F.lit(REACH[m]))
+    above = lambda m, c: c > F.col(f"__q_{m}.q3") * step(m)
+    by = _judged_by()
+    length = (F.col("word_chars") + STEADY * F.col("__q_length.q2")) / (F.col("n_words") + STEADY)
+    some = {"symbols": "n_symbols", "lines": "n_dup_lines", "repeats": "n_repeat_words"}
+    found = above("length", length) | (length < F.col("__q_length.q1") / step("length"))
+    for m, c in some.items():
+        found = found | ((F.col(c) > 0) & above(m, by[m]))
+    return found
+
+
+def judged(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``docs`` (or ``columns`` of it) with the measures, base_failed and kept."""
+    own = [c for c in columns or docs.columns if c not in (*MEASURES, "kept")]
+    seen = measures(docs).select(*own, *(F.col(c).alias(f"__{c}") for c in ("lang", "source")), *MEASURES, "__lines")
+    seen = stage(seen, "measures")
+    groups = seen.select(F.col("__lang").alias("lang"), F.col("__source").alias("source"), *MEASURES, "__lines")
+    limits = stage(quartiles(groups), "quartiles").toDF("__g", "__s", *(f"__q_{m}" for m in REACH))
+    x = seen.join(limits, F.col("__lang").eqNullSafe(F.col("__g")) & F.col("__source").eqNullSafe(F.col("__s")), "left")
+    return x.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(_odd(), F.lit(False))).select(*own, *MEASURES, "kept")
