@@ -5,7 +5,7 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 _BEYOND = "{x} > q.{m}[3] * pow(greatest(q.{m}[3] / q.{m}[1], 1.02::DOUBLE), {k})"
 _FOUR = "quantile_disc(ms, [0.25, 0.5, 0.75]) AS ms, quantile_disc(ml, [0.25, 0.5, 0.75]) AS ml, quantile_disc(mr, [0.25, 0.5, 0.75]) AS mr, quantile_disc(mc, [0.25, 0.5, 0.75]) AS mc"
-_PICK = ", ".join(f"CASE WHEN own.n >= 200 AND own.{m}[1] < own.{m}[3] THEN own.{m} WHEN up.n >= 200 AND up.{m}[1] < up.{m}[3] THEN up.{m} ELSE a.{m} END AS {m}" for m in ("ms", "ml", "mr", "mc"))
+_PICK = ", ".join(f"CASE WHEN own.n >= 200 AND own.{m}[1] < own.{m}[3] THEN own.{m} WHEN up.n >= 200 AND up.{m}[1] < up.{m}[3] THEN up.{m} WHEN a.{m}[1] < a.{m}[3] THEN a.{m} END AS {m}" for m in ("ms", "ml", "mr", "mc"))
 
 _QUALITY = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
@@ -24,8 +24,8 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text
   a AS (SELECT {_FOUR} FROM seen),
   q AS (SELECT own.lang, own.source, {_PICK} FROM own JOIN up ON own.lang IS NOT DISTINCT FROM up.lang CROSS JOIN a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(
-    {_BEYOND.format(x="(word_chars + 10 * q.mc[2]) / (n_words + 10)", m="mc", k=3)} OR (word_chars + 10 * q.mc[2]) / (n_words + 10) < q.mc[1] / pow(greatest(q.mc[3] / q.mc[1], 1.02::DOUBLE), 3)
-    OR n_symbols > 0 AND {_BEYOND.format(x="f.ms", m="ms", k=3)} OR n_dup_lines > 0 AND {_BEYOND.format(x="f.ml", m="ml", k=2)} OR n_repeat_words > 0 AND {_BEYOND.format(x="f.mr", m="mr", k=3)}, false) AS kept
+    {_BEYOND.format(x="(word_chars + 10 * q.mc[2]) / (n_words + 10)", m="mc", k=3)} OR (word_chars + 10 * q.mc[2]) / (n_words + 10) < q.mc[1] / pow(greatest(q.mc[3] / q.mc[1], 1.02::DOUBLE), 3), false)
+    AND NOT coalesce(n_symbols > 0 AND {_BEYOND.format(x="f.ms", m="ms", k=3)}, false) AND NOT coalesce(n_dup_lines > 0 AND {_BEYOND.format(x="f.ml", m="ml", k=2)}, false) AND NOT coalesce(n_repeat_words > 0 AND {_BEYOND.format(x="f.mr", m="mr", k=3)}, false) AS kept
 FROM f LEFT JOIN q ON f.lang IS NOT DISTINCT FROM q.lang AND f.source IS NOT DISTINCT FROM q.source"""
 
 

@@ -11,8 +11,9 @@ has none. Up to a quarter of a group may be junk at either end without moving it
 a fence of its own group. For the word length it is read with ``STEADY`` more words of the group's median length, as the
 mean of a few words varies; a document without any symbol, duplicate line or repeated word is never rejected for that.
 
-A group with few documents, or whose quartiles are equal (a group of copies), takes its language's quartiles, and a
-language of that kind those of the corpus. ``LEAST_RATIO`` only keeps a corpus of copies from rejecting all that differs.
+A group with few documents, or whose quartiles are equal (copies of one text), takes its language's quartiles, and a
+language of that kind the corpus's; if even those are equal, there is no fence. ``LEAST_RATIO`` is far below the spread of
+different texts: it only keeps a group of nearly equal texts from rejecting all others.
 
 The texts are read once: measures are written to the shared folder, and sketches and verdicts are made from them.
 
@@ -23,6 +24,8 @@ those with a measure's name are replaced.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,15 +113,19 @@ def quartiles(measured: DataFrame) -> DataFrame:
     merge = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(m, SKETCH_K).alias(m) for m in REACH)]
     lang = stage(group.groupBy("lang").agg(*merge), "languages")
 
-    def named(level: DataFrame, tag: str, whole: bool = False) -> DataFrame:
+    def named(level: DataFrame, tag: str) -> DataFrame:
         q = lambda m: F.struct(*(F.kll_sketch_get_quantile_double(m, F.lit(r)).alias(f"q{k}") for k, r in ((1, 0.25), (2, 0.5), (3, 0.75))))
-        x = level.withColumns({f"{m}_{tag}": q(m) for m in REACH}).drop(*REACH)
-        good = lambda c: F.lit(whole) | ((F.col("n") >= MIN_GROUP) & (F.col(f"{c}.q1") < F.col(f"{c}.q3")))
-        return x.withColumns({f"{m}_{tag}": F.when(good(f"{m}_{tag}"), F.col(f"{m}_{tag}")) for m in REACH}).drop("n")
+        return level.withColumns({f"{m}_{tag}": q(m) for m in REACH}).drop(*REACH).withColumnRenamed("n", f"n_{tag}")
+
+    every = lang.groupBy(F.lit(0).alias("__all")).agg(*merge).drop("__all")
+    x = named(group, "g").join(named(lang, "l").withColumnRenamed("lang", "__up"), F.col("lang").eqNullSafe(F.col("__up"))).crossJoin(F.broadcast(named(every, "a")))  # one row
+
+    def pick(m: str) -> Column:
+        differ = lambda tag: F.col(f"{m}_{tag}.q1") < F.col(f"{m}_{tag}.q3")
+        own, up = (F.col("n_g") >= MIN_GROUP) & differ("g"), (F.col("n_l") >= MIN_GROUP) & differ("l")
+        return F.when(own, F.col(f"{m}_g")).when(up, F.col(f"{m}_l")).when(differ("a"), F.col(f"{m}_a"))
 
-    own, up, every = named(group, "g"), named(lang, "l").withColumnRenamed("lang", "__up"), named(lang.agg(*merge), "a", True)
-    x = own.join(up, F.col("lang").eqNullSafe(F.col("__up"))).crossJoin(F.broadcast(every))  # one row
-    return x.select("lang", "source", *(F.coalesce(f"{m}_g", f"{m}_l", f"{m}_a").alias(m) for m in REACH))
+    return x.select("lang", "source", *(pick(m).alias(m) for m in REACH))
 
 
 def _odd() -> Column:
@@ -128,10 +135,8 @@ def _odd() -> Column:
     by = _judged_by()
     length = (F.col("word_chars") + STEADY * F.col("__q_length.q2")) / (F.col("n_words") + STEADY)
     some = {"symbols": "n_symbols", "lines": "n_dup_lines", "repeats": "n_repeat_words"}
-    found = above("length", length) | (length < F.col("__q_length.q1") / step("length"))
-    for m, c in some.items():
-        found = found | ((F.col(c) > 0) & above(m, by[m]))
-    return found
+    rules = [above("length", length), length < F.col("__q_length.q1") / step("length"), *((F.col(c) > 0) & above(m, by[m]) for m, c in some.items())]
+    return reduce(lambda a, b: a | b, (F.coalesce(r, F.lit(False)) for r in rules))
 
 
 def judged(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -142,4 +147,4 @@ def judged(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     groups = seen.select(F.col("__lang").alias("lang"), F.col("__source").alias("source"), *MEASURES, "__lines")
     limits = stage(quartiles(groups), "quartiles").toDF("__g", "__s", *(f"__q_{m}" for m in REACH))
     x = seen.join(limits, F.col("__lang").eqNullSafe(F.col("__g")) & F.col("__source").eqNullSafe(F.col("__s")), "left")
-    return x.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(_odd(), F.lit(False))).select(*own, *MEASURES, "kept")
+    return x.withColumn("kept", ~F.col("base_failed") & ~_odd()).select(*own, *MEASURES, "kept")
