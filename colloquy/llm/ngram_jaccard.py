@@ -12,8 +12,10 @@ first n - ceil(t * n) + 1 tokens of each hold a common one. Three orders are use
 
 Equal sets are one class from the start. A bucket is not expanded into all its pairs: every member is first compared
 with one leader, links are closed into components, and only members of different components of a bucket are then
-compared with one another - as pairs in small buckets, and in blocks of classes (whole sets against whole sets, no rows
-made for pairs) where a bucket is large. No link between different components can be lost by that.
+compared with one another. Small buckets are joined with themselves. A large one is first cut by sizes (two sets that
+differ by more than the threshold cannot link); what is still large is compared in blocks of sets, each pair of which
+passes the size, second and third order before it is counted, and buckets of the same members are compared once. Tokens
+that very many classes have are dealt over several tasks in every join. No link between different components is lost.
 
 Nulls, empty texts and texts without words have no shingles and link with nothing. Repeated rows and repeated ids keep
 their rows; a null id is never the smallest id of a component unless all its ids are null. Other columns are ignored.
@@ -21,6 +23,7 @@ their rows; a null id is never the smallest id of a component unless all its ids
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import small, stage
+from .runtime import dealt_join, small, stage
 from .wordhash import shingle_sets
 
 #: Similarity in hundredths and words in a shingle.
@@ -148,70 +151,104 @@ def _with_prefixes(whole: DataFrame, threshold: int) -> DataFrame:
 def _links(pairs: DataFrame, whole: DataFrame, threshold: int) -> DataFrame:
     """Of the pairs (a, b), those that pass the other orders and then the exact comparison."""
     side = lambda s: whole.select(*(F.col(c).alias(c if c == "key" else f"{c}_{s}") for c in ("key", "n", "tokens", "p2", "p3"))).withColumnRenamed("key", s)
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
+    pairs = stage(pairs, "pairs")
+    hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("rows"))
+    both = dealt_join(pairs, side("a"), "a", "b", hot).join(side("b"), "b").where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     return both.where(100 * common >= threshold * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
+class _Postings:
+    """An inverted index of the tokens of list rows."""
+
+    def __init__(self, lists: pa.ListArray, rows: np.ndarray):
+        offs, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        owner = np.repeat(np.arange(len(rows)), np.diff(offs)[rows])
+        tokens = np.concatenate([flat[offs[i] : offs[i + 1]] for i in rows]) if len(rows) else flat[:0]
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner, self.n = tokens[order], owner[order], len(rows)
+
+    def common(self, mine: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
+        """How many tokens of ``mine`` each row has; 0 for rows that are not ``among`` those asked for."""
+        lo, hi = np.searchsorted(self.tokens, mine, "left"), np.searchsorted(self.tokens, mine, "right")
+        size = hi - lo
+        found = self.owner[np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())] if len(mine) else self.owner[:0]
+        return np.bincount(found if among is None else found[among[found]], minlength=self.n)
+
+
 def _block_links(threshold: int):
-    """Compares two blocks of whole sets through an inverted index of the second one's tokens."""
+    """Compares two blocks of whole sets: sizes first, then the second and third order, then what is left of them."""
 
     def compare(table: pa.Table) -> pa.Table:
-        comp, side, key = (table.column(c).to_numpy() for c in ("comp", "side", "key"))
-        lists = table.column("tokens").combine_chunks()
-        offs, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        comp, side, key, n = (table.column(c).to_numpy() for c in ("comp", "side", "key", "n"))
+        lists = {c: table.column(c).combine_chunks() for c in ("tokens", "p2", "p3")}
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(right):
             right = left
-        n = np.diff(offs)
-        tokens = np.concatenate([flat[offs[i] : offs[i + 1]] for i in right])
-        owner = np.repeat(np.arange(len(right)), n[right])
-        order = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[order], owner[order]
+        index = {c: _Postings(x, right) for c, x in lists.items()}
+        row = lambda c, i: lists[c].values.to_numpy()[lists[c].offsets[i].as_py() : lists[c].offsets[i + 1].as_py()]
         a, b = [], []
         for i in left:
-            mine = flat[offs[i] : offs[i + 1]]
-            lo, hi = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
-            size = hi - lo
-            at = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-            common = np.bincount(owner[at], minlength=len(right))
-            hit = (100 * common >= threshold * (n[i] + n[right] - common)) & (comp[right] != comp[i])
-            a += [key[i]] * int(hit.sum())
-            b += key[right[hit]].tolist()
+            some = (comp[right] != comp[i]) & (100 * np.minimum(n[i], n[right]) >= threshold * np.maximum(n[i], n[right]))
+            for c in ("p2", "p3"):
+                if some.any():
+                    some &= index[c].common(row(c, i), some) > 0
+            if some.any():
+                common = index["tokens"].common(row("tokens", i), some)
+                hit = some & (100 * common >= threshold * (n[i] + n[right] - common))
+                a += [key[i]] * int(hit.sum())
+                b += key[right[hit]].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return compare
 
 
+def _sub_buckets(big: DataFrame, threshold: int) -> DataFrame:
+    """(sub, members, size, key, n, comp): large open buckets by sizes that can link, without those of one component and
+    those that have the same members as another one (a passage of many tokens makes many such buckets)."""
+    band = F.floor(F.log(F.col("n")) / (math.log(100 / threshold) * 1.0001))
+    rows = big.withColumn("sub", F.explode(F.array(F.xxhash64("h", band), F.xxhash64("h", band + 1)))).select("sub", "key", "n", "comp")
+    mark = F.xxhash64("key")
+    stats = rows.groupBy("sub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("size"), F.bit_xor(mark).alias("x"), F.sum(mark.cast("decimal(38,0)")).alias("y"))
+    kept = stats.where("lo <> hi").groupBy("members", "size", "x", "y").agg(F.min("sub").alias("sub")).select("sub", "members", "size")
+    kept = stage(kept, "subs")
+    return stage(dealt_join(rows, kept, "sub", "key", kept.select("sub", F.col("members").alias("rows"))), "sub_members")
+
+
 def class_components(whole: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(node, root) over the keys of ``whole``, which has prefixes; keys without a link are left out."""
+    alike = lambda a, b: 100 * F.least(a, b) >= threshold * F.greatest(a, b)
     member = whole.select("key", "n", "copies", F.explode("p1").alias("h"))
-    leader = member.groupBy("h").agg(F.max(F.struct("copies", "key")).alias("l"), F.count(F.lit(1)).alias("members"), F.max("n").alias("most")).where("members > 1").select("h", F.col("l.key").alias("leader"), "members")
-    star = stage(member.join(leader, "h").where("key <> leader").select("leader", "key", "members"), "stars")
-    pairs = star.select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
-    sized = whole.select("key", "n")
-    pairs = pairs.join(sized.toDF("a", "na"), "a").join(sized.toDF("b", "nb"), "b").where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b")
-    found = stage(_links(pairs, whole, threshold), "links")
+    leader = member.groupBy("h").agg(F.max(F.struct("copies", "key", "n")).alias("l"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    leader = stage(leader.select("h", F.col("l.key").alias("leader"), F.col("l.n").alias("leader_n"), "members"), "leaders")
+    star = dealt_join(member, leader, "h", "key", leader.select("h", F.col("members").alias("rows"))).where(F.col("key") != F.col("leader")).where(alike("n", "leader_n"))
+    found = stage(_links(star.select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct(), whole, threshold), "links")
     root = stage(components(found), "roots")
 
-    placed = member.join(root.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "h", F.coalesce("root", "key").alias("comp"))
-    open_ = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("h", "members")
-    placed = stage(placed.join(open_, "h"), "open")
-    few = placed.where(F.col("members") <= PAIR_BUCKET)
-    x, y = few.select("h", "key", "n", "comp").toDF("h", "a", "na", "ca"), few.select("h", "key", "n", "comp").toDF("h", "b", "nb", "cb")
-    rest = x.join(y, "h").where("a < b AND ca <> cb").where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b").distinct()
-    found = found.unionByName(_links(rest.join(found, ["a", "b"], "left_anti"), whole, threshold))
-
+    placed = stage(member.join(root.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "h", F.coalesce("root", "key").alias("comp")), "placed")
+    open_ = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi")
+    open_ = stage(open_.select("h", "members"), "open")
+    placed = stage(dealt_join(placed, open_, "h", "key", open_.select("h", F.col("members").alias("rows"))), "open_members")
     big = placed.where(F.col("members") > PAIR_BUCKET)
-    if big.limit(1).count():
-        group = components(big.groupBy("h").agg(F.min("key").alias("least")).join(big, "h").select("least", "key"))
-        crowd = whole.select("key", "n", "tokens").join(group.toDF("key", "crowd"), "key").join(root.toDF("key", "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        blocks = crowd.groupBy("crowd").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-        crowd = crowd.join(blocks, "crowd").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-        # block i meets every block j: it stands left for j > i and right for j < i
+    large = big.limit(1).count() > 0
+    few = placed.where(F.col("members") <= PAIR_BUCKET).select("h", "key", "n", "comp")
+    if large:
+        subs = _sub_buckets(big, threshold)
+        few = few.unionByName(subs.where(F.col("members") <= PAIR_BUCKET).select(F.col("sub").alias("h"), "key", "n", "comp"))
+    x, y = few.toDF("h", "a", "na", "ca"), few.toDF("h", "b", "nb", "cb")
+    rest = x.join(y, "h").where("a < b AND ca <> cb").where(alike("na", "nb")).select("a", "b").distinct()
+    known = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = found.unionByName(_links(rest.join(known, ["a", "b"], "left_anti"), whole, threshold))
+
+    if large:
+        crowd = subs.where(F.col("members") > PAIR_BUCKET)
+        blocks = F.greatest(F.ceil(F.col("members") / BLOCK_CLASSES), F.ceil(F.col("size") / BLOCK_TOKENS)).cast("int")
+        crowd = crowd.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        # block i of a bucket meets every block j of it: it stands left for j > i and right for j < i
         met = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        met = met.select("crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "key", "comp", "tokens")
-        found = found.unionByName(met.groupBy("crowd", "i", "j").applyInArrow(_block_links(threshold), "a long, b long"))
+        met = met.select("sub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "key", "comp")
+        met = met.join(whole.select("key", "n", "tokens", "p2", "p3"), "key")
+        found = found.unionByName(met.groupBy("sub", "i", "j").applyInArrow(_block_links(threshold), "a long, b long"))
     return components(stage(found, "links"))
 
 
