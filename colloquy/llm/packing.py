@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .runtime import small, stage
 from .word_bpe import encoder
@@ -86,15 +87,20 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int = CAPACITY) ->
     return steps
 
 
+def id_type(tokenizer: str) -> str:
+    """The numpy type that ids travel in: two bytes if the vocabulary allows it."""
+    return "<u2" if encoder(tokenizer).size <= 1 << 16 else "<u4"
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """The documents' token ids, each followed by ``end_id``, cut where longer than ``capacity``.
 
     Rows: doc_id, piece, start, length, ids_crc32, and (part, place): the partition that made the row and its number
-    there among those of its length. A null text is empty.
+    there among those of its length; with ``with_ids`` the ids as a binary of ``id_type``. A null text is empty.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
+        bpe, part, seen, kind = encoder(tokenizer), TaskContext.get().partitionId(), defaultdict(int), id_type(tokenizer)
         for b in parts(batches, limit=3 << 20):
             ids, offs = bpe.encode(b.column("text"))
             rows, number, start, length, crc, place, cuts = [], [], [], [], [], [], []
@@ -111,17 +117,16 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     place.append(seen[n])
                     seen[n] += 1
                     if with_ids:
-                        cuts.append(piece)
+                        cuts.append(piece.astype(kind).tobytes())
             out = [b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(place, pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"]
             if with_ids:
-                flat = np.concatenate(cuts).astype(np.int32) if cuts else np.zeros(0, np.int32)
-                out.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(flat)))
+                out.append(pa.array(cuts, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, place long" + ", ids array<int>" * with_ids
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, place long" + ", ids binary" * with_ids
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
 
 
@@ -153,40 +158,67 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     return place(cut, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def _sequences(capacity: int, kind: str, doc_type: pa.DataType):
+    """Rows in order of (sequence_id, offset) -> one row for each sequence. The last sequence waits for the next batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[dict] = []
+
+        def written(rows: list[dict]) -> pa.RecordBatch:
+            groups: list[list[dict]] = []
+            for r in rows:
+                if not groups or groups[-1][0]["sequence_id"] != r["sequence_id"]:
+                    groups.append([])
+                groups[-1].append(r)
+            ids, positions, ends, tokens = [], [], [], []
+            for g in groups:
+                sizes = np.array([r["length"] for r in g])
+                bounds = np.concatenate(([0], np.cumsum(sizes)))
+                line, place = np.zeros(capacity, "<u4"), np.zeros(capacity, "<u4")
+                line[: bounds[-1]] = np.frombuffer(b"".join(r["ids"] for r in g), kind)
+                place[: bounds[-1]] = np.arange(bounds[-1]) - np.repeat(bounds[:-1], sizes)
+                ids.append(line.tobytes())
+                positions.append(place.tobytes())
+                ends.append(bounds.tolist())
+                tokens.append(int(bounds[-1]))
+            each = lambda c: [[r[c] for r in g] for g in groups]
+            return pa.RecordBatch.from_arrays([
+                pa.array([g[0]["sequence_id"] for g in groups], pa.int64()), pa.array(tokens, pa.int64()), pa.array(ids, pa.binary()),
+                pa.array(ends, pa.list_(pa.int32())), pa.array(positions, pa.binary()), pa.array(each("doc_id"), pa.list_(doc_type)),
+                pa.array(each("piece"), pa.list_(pa.int32())), pa.array(each("start"), pa.list_(pa.int64())),
+            ], MATRIX)
+
+        for b in batches:
+            for at in range(0, len(b), 512):
+                rows = waiting + b.slice(at, 512).to_pylist()
+                last = next((k for k in range(len(rows) - 1, 0, -1) if rows[k]["sequence_id"] != rows[k - 1]["sequence_id"]), 0)
+                waiting = rows[last:]
+                if last:
+                    yield written(rows[:last])
+        if waiting:
+            yield written(waiting)
+
+    return run
+
+
+MATRIX = ["sequence_id", "n_tokens", "ids", "cu_seqlens", "position_ids", "doc_ids", "pieces", "starts"]
+
+
 def packed_matrix(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row per packed sequence: sequence_id, n_tokens, ids (without padding), cu_seqlens (0 and each segment's end),
-    position_ids (from 0 in each segment) and the segments' doc_ids, pieces and starts. No token is lost or cut off.
+    """The packed matrix, one row per sequence: sequence_id, n_tokens, ids and position_ids (little-endian unsigned 32-bit
+    binaries of ``capacity`` numbers, zeros behind the tokens; positions start again at 0 in each segment), cu_seqlens (0
+    and each segment's end), and the segments' doc_ids, pieces and starts. No token is lost or cut off.
 
-    A sequence has at most ``capacity`` tokens, so a group is bounded.
+    Ids travel once, as two-byte binaries where the vocabulary allows it, and only to the partition of their sequence,
+    which reads its rows in order: a sequence has at most ``capacity`` tokens.
     """
     put = place(stage(pieces(docs, tokenizer, capacity, end_id, with_ids=True), "pieces"), capacity)
-    rows = put.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "length", "doc_id", "piece", "start", "ids"))).alias("s"))
-    return rows.select(
-        "sequence_id",
-        F.aggregate("s", F.lit(0).cast("long"), lambda n, x: n + x.length).alias("n_tokens"),
-        F.flatten(F.transform("s", lambda x: x.ids)).alias("ids"),
-        F.concat(F.array(F.lit(0)), F.transform("s", lambda x: (x.offset + x.length).cast("int"))).alias("cu_seqlens"),
-        F.flatten(F.transform("s", lambda x: F.sequence(F.lit(0), (x.length - 1).cast("int")))).alias("position_ids"),
-        F.transform("s", lambda x: x.doc_id).alias("doc_ids"),
-        F.transform("s", lambda x: x.piece).alias("pieces"),
-        F.transform("s", lambda x: x.start).alias("starts"),
-    )
+    rows = put.select("sequence_id", "offset", "length", "doc_id", "piece", "start", "ids").repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    kind = docs.schema["doc_id"].dataType
+    schema = f"sequence_id long, n_tokens long, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<{kind.simpleString()}>, pieces array<int>, starts array<long>"
+    return rows.drop("offset").mapInArrow(_sequences(capacity, id_type(tokenizer), to_arrow_type(kind)), schema)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
-    """Writes the matrix as Parquet, ids and positions as little-endian unsigned 32-bit binaries of a fixed width.
-
-    Short sequences are padded with zeros; cu_seqlens tells where the tokens end.
-    """
-
-    def pad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols = []
-            for name in ("ids", "position_ids"):
-                rows = np.zeros((len(b), CAPACITY), "<u4")
-                for k, x in enumerate(b.column(name).to_pylist()):
-                    rows[k, : len(x)] = x
-                cols.append(pa.array([r.tobytes() for r in rows], pa.binary()))
-            yield pa.RecordBatch.from_arrays([b.column("sequence_id"), *cols, b.column("cu_seqlens")], ["sequence_id", "ids", "position_ids", "cu_seqlens"])
-
-    packed.mapInArrow(pad, "sequence_id long, ids binary, position_ids binary, cu_seqlens array<int>").write.parquet(path)
+    """Writes the matrix as Parquet, a row per sequence, as it is."""
+    packed.select("sequence_id", "n_tokens", "ids", "cu_seqlens", "position_ids").write.parquet(path)

@@ -2,7 +2,7 @@
 
 The tokenizer file is read by path. Words of plain Latin text are merged in numpy: in each round every word merges its
 leftmost pair of lowest rank, which is what the merge list prescribes. Anything else (other scripts, combining marks,
-unusual spaces) goes through the ``tokenizers`` library itself.
+unusual spaces, words that hold an added token such as ``<|endoftext|>``) goes through the ``tokenizers`` library itself.
 """
 
 from __future__ import annotations
@@ -76,10 +76,13 @@ class WordBpe:
 
         self.path, self.max_words = path, max_words
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
+        # an added token that stands in a text is that token, as the library has it
+        self.added = [t["content"] for t in whole.get("added_tokens", ())]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
+        self.size = max([*vocab.values(), *(t["id"] for t in whole.get("added_tokens", ()))]) + 1
         sign = byte_alphabet()
         self.inner = np.array([vocab[sign[b]] for b in range(256)], np.int32)
         self.final = np.array([vocab[sign[b] + end] for b in range(256)], np.int32)
@@ -140,8 +143,8 @@ class WordBpe:
     def _learn(self, words: list[str]) -> None:
         """Adds the ids of new words to the table."""
         joined, odd = " ".join(words), []
-        if not _PLAIN_WORDS.fullmatch(joined):
-            odd = [k for k, w in enumerate(words) if not _PLAIN_WORD.fullmatch(w)]
+        if not _PLAIN_WORDS.fullmatch(joined) or any(t in joined for t in self.added):
+            odd = [k for k, w in enumerate(words) if not _PLAIN_WORD.fullmatch(w) or any(t in w for t in self.added)]
             plain = words.copy()
             for k in odd:
                 plain[k] = ""
