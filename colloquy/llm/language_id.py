@@ -3,8 +3,10 @@ linear SVMs between the languages of that family.
 
 Features are hashed byte n-grams (2, 3 and 4) of the lower-cased text with everything but letters as a space, as shares
 of the text's n-grams; a score is the mean of a weight over a text's n-grams, so a whole column is scored in numpy
-without a matrix. The SVMs are fitted in the dual on at most ``PER_LANGUAGE`` texts of each language, those with the
-least hash of their id; every text is then scored.
+without a matrix. The SVMs are fitted in the dual on a bounded sample: of the ``LANGUAGES`` languages with the most
+documents (ties by name) at most ``PER_LANGUAGE`` texts each and ``IN_ALL`` together, those with the least hash of their id
+(ties by id). The Gram matrix on the driver has ``IN_ALL`` rows at most. Every text is then scored, a very long one as a
+whole; of equally good languages the first by name is taken.
 
 Nulls: a null text, or one without letters, is ``und`` with score 0; a null language or id is never learned from.
 Equal texts get equal answers. Without any row to learn from, everything is ``und``. Other columns are ignored.
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 from .runtime import small, stage
 from .wordhash import chunks, column_bytes
 
-#: Rows to learn from, at most, for each language; buckets of each n-gram length.
-PER_LANGUAGE, BUCKETS = 256, 4096
+#: Rows to learn from, at most, for each language and in all; languages to learn, at most: those of the most documents.
+PER_LANGUAGE, IN_ALL, LANGUAGES = 256, 4096, 256
+#: Buckets of each n-gram length.
+BUCKETS = 4096
 #: Shares of a language in which those rows are ranked first.
 SHARES = 8
 LENGTHS = (2, 3, 4)
@@ -164,8 +168,10 @@ def held_out(id_col) -> F.Column:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Fits the model on a bounded sample: at most ``per_language`` documents of each language."""
+    """Fits the model on a bounded sample: at most ``per_language`` documents of each language, ``IN_ALL`` of all."""
     ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", "lang")
+    largest = [r[0] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    ids, per_language = ids.where(F.col("lang").isin(largest)), min(per_language, IN_ALL // max(1, len(largest)))
     least = lambda x, *by: x.withColumn("k", F.row_number().over(Window.partitionBy("lang", *by).orderBy("o", "doc_id"))).where(F.col("k") <= per_language)
     # first in shares of each language, so that no task ranks a whole language
     shares = least(ids.withColumn("o", F.xxhash64("doc_id")).withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARES))), "share")

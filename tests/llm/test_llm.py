@@ -147,6 +147,43 @@ def test_quality_measures_and_thresholds(spark):
         elif 10 <= r.doc_id < 100:
             assert r.kept == (not r.base_failed)
     assert judged(docs_of(spark, [])).count() == 0
+    assert judged(docs_of(spark, [(k, "a b c d e f g h i j") for k in range(300)])).where("kept").count() == 300  # copies alone
+
+
+def test_quality_thresholds_follow_the_source(spark):
+    from colloquy.llm.quality import judged
+
+    rng = random.Random(5)
+    text = lambda signs: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7))) + ("*" if rng.random() < signs else "") for _ in range(rng.randint(60, 200)))
+    odd = " ".join(f"{w}{'*' if k % 3 == 0 else ''}" for k, w in enumerate(text(0).split()))
+    rows = [(k, text(0), "en", "plain") for k in range(300)] + [(1000 + k, text(0.3), "en", "starred") for k in range(300)]
+    rows += [(5000, odd, "en", "plain"), (5001, odd, "en", "starred"), (5002, odd, "en", "plain"), (5003, odd, None, None)]
+    kept = {r.doc_id: r.kept for r in judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert (kept[5000], kept[5001], kept[5002]) == (False, True, False)
+    assert sum(kept[k] for k in range(300)) >= 295 and sum(kept[1000 + k] for k in range(300)) >= 290
+
+
+def test_url_reputation_blocks_hosts_domains_and_suffixes(spark):
+    from colloquy.llm.url_reputation import judged_urls
+
+    rng, pages, marks = random.Random(2), [], []
+    rate = lambda host: 0.9 if host.endswith(".bad.info") or host.endswith(".worse") or host == "one.mixed.info" else 0.05
+    hosts = [f"h{k}.{d}" for k in range(6) for d in ("bad.info", "good.info", "fine.de", "more.de", "x.worse", "y.worse", "z.co.uk")] + ["one.mixed.info", "two.mixed.info", "three.mixed.info"]
+    for host in hosts:
+        for _ in range(30):
+            pages.append((len(pages), f"http://{host}/p"))
+            marks.append((len(marks), rng.random() < rate(host)))
+    unseen = ["new.bad.info", "new.good.info", "new.other.worse", "new.z.co.uk", "u@h0.bad.info:8080", "10.0.0.7"]
+    pages += [(9000 + k, f"http://{h}/p") for k, h in enumerate(unseen)]
+    pages += [(9100, None), (9100, None)]
+    got = judged_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(marks, "page_id long, bad boolean")).collect()
+    verdict = {r.host: r.verdict for r in got}
+    assert all(verdict[h] == ("block" if rate(h) > 0.5 else "allow") for h in hosts)
+    assert [verdict[h] for h in unseen] == ["block", "allow", "block", "allow", "block", "allow"]
+    assert len(got) == len(pages) and verdict[""] == "allow"
+    none = judged_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([], "page_id long, bad boolean")).collect()
+    assert {r.verdict for r in none} == {"allow"}
+    assert judged_urls(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "page_id long, bad boolean")).count() == 0
 
 
 def test_url_rules_and_reputation(spark):
@@ -221,8 +258,7 @@ def test_packing_is_best_fit_decreasing_and_ids_are_the_librarys(spark):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    rows, cap = sample() + [(950, "It's 'S İstanbul Σ 12ab <|endoftext|> áé")], 64
+    rows, cap = sample() + [(950, "It's 'S İstanbul Σ 12ab <|endoftext|> áé"), (951, "a<|endoftext|>b <|startoftext|> c <|ENDOFTEXT|>"), (952, "long text " * 3000)], 64
     ids = [library.encode(t or "", add_special_tokens=False).ids + [1] for _, t in rows]
     want = Counter((i, k // cap, k, len(x[k : k + cap]), zlib.crc32(np.array(x[k : k + cap], "<u4").tobytes())) for (i, _), x in zip(rows, ids) for k in range(0, len(x), cap))
     got = pack(docs_of(spark, rows), path, cap).collect()
@@ -243,14 +279,21 @@ def test_packing_is_best_fit_decreasing_and_ids_are_the_librarys(spark):
         else:
             room.append(cap - n)
     assert len(bins) == len(room)
-    back = Counter()
+    found, sequences = {}, 0
     for r in packed_matrix(docs_of(spark, rows), path, cap).collect():
-        assert len(r.ids) == r.n_tokens == r.cu_seqlens[-1] == len(r.position_ids)
-        for k, i in enumerate(r.doc_ids):
-            a, b = r.cu_seqlens[k], r.cu_seqlens[k + 1]
-            assert r.position_ids[a:b] == list(range(b - a))
-            back[i] += b - a
-    assert back == Counter({i: sum(len(x) for (j, _), x in zip(rows, ids) if j == i) for i, _ in rows})
+        sequences += 1
+        line, place = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.position_ids, "<u4")
+        assert len(line) == len(place) == cap and r.n_tokens == r.cu_seqlens[-1] and not line[r.n_tokens :].any() and not place[r.n_tokens :].any()
+        for i, k, start, a, b in zip(r.doc_ids, r.pieces, r.starts, r.cu_seqlens[:-1], r.cu_seqlens[1:], strict=True):
+            assert place[a:b].tolist() == list(range(b - a)) and start == k * cap
+            found.setdefault(i, Counter())[k, tuple(line[a:b].tolist())] += 1
+    assert sequences == len(room)
+    wanted = {}
+    for (i, _), x in zip(rows, ids, strict=True):
+        for k in range(0, len(x), cap):
+            wanted.setdefault(i, Counter())[k // cap, tuple(x[k : k + cap])] += 1
+    assert found == wanted
+    assert packed_matrix(docs_of(spark, []), path).count() == 0
     assert pack(docs_of(spark, []), path).count() == 0
 
 
