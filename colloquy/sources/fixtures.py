@@ -20,17 +20,39 @@ VIEWS = {
     "fx_calls": "SELECT event_id AS call_item_uid, CAST(floor(event_id/2) AS BIGINT) AS provider_call_uid, event_id%4 AS worker_id, CASE WHEN event_id%9=0 THEN NULL ELSE user_id%20 END AS sample_id, CASE WHEN event_id%9=0 THEN NULL ELSE user_id END AS query_id, CASE event_type WHEN 'signup' THEN 'episodic_extract' WHEN 'view' THEN 'wiki_page_rerank' WHEN 'click' THEN 'answer_generation' WHEN 'purchase' THEN 'benchmark_judge' ELSE 'answer_repair' END AS task, CASE event_type WHEN 'purchase' THEN 'judge' ELSE 'backbone' END AS role, CASE WHEN event_id%11=0 THEN NULL ELSE CAST(floor(value*10) AS BIGINT) END AS prompt_tokens, CAST(regexp_extract(props,'([0-9]+)',1) AS BIGINT) AS completion_tokens, value AS latency_ms, ts FROM events",
     "fx_outcomes": "SELECT concat('v', l_linenumber) AS variant, l_orderkey AS query_id, min(l_suppkey) AS sample_id, min(l_returnflag) AS stratum, CASE min(l_partkey)%3 WHEN 0 THEN 'correct' WHEN 1 THEN 'partial' ELSE 'incorrect' END AS verdict, min(l_discount)*10 AS token_f1, CASE WHEN min(l_partkey)%13=0 THEN NULL ELSE min(l_tax)*10 END AS gold_ref_coverage, CAST(floor(min(l_quantity)*100) AS BIGINT) AS prompt_tokens FROM lineitem GROUP BY l_linenumber, l_orderkey",
     "fx_phrases": "SELECT event_id AS message_id, user_id AS sample_id, concat(1+event_id%28, ' May, 2023') AS occurred_at, CASE event_id%8 WHEN 0 THEN concat('I went to a pottery workshop ', 2+event_id%5, ' days ago') WHEN 1 THEN 'I enjoy hiking, painting and chess' WHEN 2 THEN 'How many books did Anna read last year?' WHEN 3 THEN 'Thanks, bye!' WHEN 4 THEN 'My favorite color is green' WHEN 5 THEN concat('[D', 1+event_id%3, ':', event_id%20, '] Anna: I met Ben yesterday') WHEN 6 THEN 'Which cities have both Anna and Ben visited?' ELSE concat('VERDICT: ', CASE event_id%3 WHEN 0 THEN 'CORRECT' WHEN 1 THEN 'PARTIAL' ELSE 'INCORRECT' END) END AS phrase FROM events",
+    # what one retrieval of each query of fx_queries found, tier by tier
+    "fx_page_ranks": "SELECT r.sample_id, r.query_id, p.page_id, row_number() OVER (PARTITION BY r.query_id ORDER BY min(r.rnk), p.page_id) AS rnk FROM fx_ranked r JOIN fx_page_members p ON r.trajectory_id=p.trajectory_id WHERE p.page_type='topic' GROUP BY r.sample_id, r.query_id, p.page_id",
+    "fx_expanded": "SELECT r.sample_id, r.query_id, r.trajectory_id, s.snapshot_id, s.version, s.source_ref, s.content, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rnk, s.version) AS rnk FROM fx_ranked r JOIN fx_snapshots s ON r.trajectory_id=s.trajectory_id WHERE r.rnk<=2",
+    "fx_event_items": "SELECT sample_id, query_id, 'page' AS tier, rnk, page_id AS item_id FROM fx_page_ranks WHERE rnk<=1 UNION ALL SELECT sample_id, query_id, 'trajectory', rnk, trajectory_id FROM fx_ranked WHERE rnk<=2 UNION ALL SELECT sample_id, query_id, 'expanded', rnk, snapshot_id FROM fx_expanded UNION ALL SELECT sample_id, query_id, 'source', row_number() OVER (PARTITION BY query_id ORDER BY rnk), snapshot_id FROM fx_expanded WHERE snapshot_id%3<>0",
+    # an answer of each query: what it says, the references that it cites, and its verdict
+    "fx_answers": "SELECT q.sample_id, q.query_id, q.question, g.gold_answer, CASE WHEN q.query_id%5=0 THEN 'Not enough information.' WHEN q.query_id%7=0 THEN '' ELSE a.answer_text END AS answer_text, CASE q.query_id%4 WHEN 0 THEN 'correct' WHEN 1 THEN 'partial' WHEN 2 THEN 'incorrect' ELSE 'judge_error' END AS verdict, CASE WHEN q.query_id%6=0 THEN 'unsupported_count' WHEN q.query_id%6=1 THEN 'format_repaired' END AS issue FROM fx_queries q LEFT JOIN (SELECT g.query_id, min_by(h.content, g.message_id) AS gold_answer FROM fx_gold g JOIN fx_history h ON g.message_id=h.message_id GROUP BY g.query_id) g ON q.query_id=g.query_id LEFT JOIN (SELECT query_id, min_by(content, rnk) AS answer_text FROM fx_expanded GROUP BY query_id) a ON q.query_id=a.query_id",
+    "fx_support": "SELECT e.sample_id, e.query_id, m.source_ref, m.message_id, CASE WHEN e.item_id%10=4 THEN 'invalid' ELSE 'valid' END AS kind FROM fx_event_items e JOIN fx_messages m ON e.item_id=m.message_id WHERE e.tier='source' AND e.item_id%2=0",
+    # English notes in chains of four, and the questions of the same samples
+    "fx_notes": "SELECT sample_id, message_id, phrase, occurred_at, sample_id*100000+CAST(floor((rn-1)/4) AS BIGINT) AS trajectory_id, (rn-1)%4+1 AS version FROM (SELECT p.*, row_number() OVER (PARTITION BY sample_id ORDER BY message_id) AS rn FROM fx_phrases p WHERE message_id%8 IN (0,1,4,5)) z",
+    "fx_note_claims": "SELECT sample_id, trajectory_id, version, message_id AS snapshot_id, message_id*10+1 AS claim_id, message_id AS source_message_id, CASE sample_id%2 WHEN 0 THEN 'Anna' ELSE 'Ben' END AS speaker, phrase AS source_text, occurred_at, replace(replace(phrase, 'My favorite', CASE message_id%3 WHEN 0 THEN 'Ben''s favorite' ELSE 'Anna''s favorite' END), 'I ', CASE message_id%5 WHEN 0 THEN 'The user ' ELSE 'Anna ' END) AS text, CASE message_id%7 WHEN 0 THEN 'deprecated' WHEN 1 THEN 'contradictory' WHEN 2 THEN 'needs-confirmation' ELSE 'active' END AS status FROM fx_notes",
+    # what people found who judged some of the answers
+    "fx_audit_labels": "SELECT sample_id, query_id, CASE query_id%3 WHEN 0 THEN true WHEN 1 THEN false END AS supported, CASE query_id%4 WHEN 0 THEN 'correct' WHEN 1 THEN 'trajectory_selection_miss' WHEN 2 THEN 'answer_synthesis_error' END AS stage, CASE WHEN query_id%5<3 THEN 20+query_id%50 END AS seconds, CASE query_id%4 WHEN 1 THEN true WHEN 2 THEN false END AS audit_correct, query_id%2=0 AS conflict_required, query_id%8<4 AS conflict_handled, query_id%3=0 AS obsolete_required, CASE query_id%6 WHEN 0 THEN true WHEN 3 THEN false END AS obsolete_handled FROM fx_queries",
+    # a claim of an even message revises the claim of the version before
+    "fx_claim_edges": "SELECT a.trajectory_id, a.claim_id, b.claim_id AS other_id FROM fx_note_claims a JOIN fx_note_claims b ON a.trajectory_id=b.trajectory_id AND a.version=b.version+1 WHERE a.claim_id%20=1",
+    # a snapshot's own message and the one before it in its trajectory
+    "fx_note_sources": "SELECT snapshot_id, source_message_id AS message_id, 1 AS position FROM fx_note_claims UNION ALL SELECT a.snapshot_id, b.source_message_id, 2 FROM fx_note_claims a JOIN fx_note_claims b ON a.trajectory_id=b.trajectory_id AND a.version=b.version+1",
+    "fx_asks": "SELECT sample_id, message_id AS query_id, phrase AS question FROM fx_phrases WHERE message_id%8 IN (2,6)",
 }
 
 
+_NAMES = re.compile(r"\b(" + "|".join(TABLES) + r"|fx_\w+)\b")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One fixture view over the tables of ``sf_dir``."""
+    """One fixture view over the tables of ``sf_dir``. Its temporary views have a prefix of their own."""
+    own = lambda sql: _NAMES.sub(r"colloquy_\1", sql)
+    needs = _needs(name)
     for t in TABLES:
-        if t in _needs(name):
-            spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet").createOrReplaceTempView(t)
+        if re.search(rf"\b{t}\b", needs):
+            spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet").createOrReplaceTempView(own(t))
     for v in _chain(name):
-        spark.sql(VIEWS[v]).createOrReplaceTempView(v)
-    return spark.table(name)
+        spark.sql(own(VIEWS[v])).createOrReplaceTempView(own(v))
+    return spark.table(own(name))
 
 
 def _chain(name: str) -> list[str]:
