@@ -159,43 +159,51 @@ def _links(pairs: DataFrame, whole: DataFrame, threshold: int) -> DataFrame:
 
 
 class _Postings:
-    """An inverted index of the tokens of list rows."""
+    """An inverted index of the tokens of some rows of a list column."""
 
-    def __init__(self, lists: pa.ListArray, rows: np.ndarray):
-        offs, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    def __init__(self, offs: np.ndarray, flat: np.ndarray, rows: np.ndarray):
         owner = np.repeat(np.arange(len(rows)), np.diff(offs)[rows])
         tokens = np.concatenate([flat[offs[i] : offs[i + 1]] for i in rows]) if len(rows) else flat[:0]
-        order = np.argsort(tokens, kind="stable")
+        order = np.argsort(tokens)
         self.tokens, self.owner, self.n = tokens[order], owner[order], len(rows)
 
-    def common(self, mine: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
-        """How many tokens of ``mine`` each row has; 0 for rows that are not ``among`` those asked for."""
+    def common(self, mine: np.ndarray, among: np.ndarray) -> np.ndarray:
+        """How many tokens of ``mine`` each of the rows ``among`` (a mask) has; 0 for all others."""
         lo, hi = np.searchsorted(self.tokens, mine, "left"), np.searchsorted(self.tokens, mine, "right")
         size = hi - lo
         found = self.owner[np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())] if len(mine) else self.owner[:0]
-        return np.bincount(found if among is None else found[among[found]], minlength=self.n)
+        return np.bincount(found[among[found]], minlength=self.n)
 
 
 def _block_links(threshold: int):
-    """Compares two blocks of whole sets: sizes first, then the second and third order, then what is left of them."""
+    """Compares two blocks of whole sets: sizes first, then the second and third order, then what is left of them.
+
+    A later filter's index is made only if a pair passes those before it.
+    """
 
     def compare(table: pa.Table) -> pa.Table:
         comp, side, key, n = (table.column(c).to_numpy() for c in ("comp", "side", "key", "n"))
-        lists = {c: table.column(c).combine_chunks() for c in ("tokens", "p2", "p3")}
+        lists = {c: (x.offsets.to_numpy(), x.values.to_numpy()) for c in ("tokens", "p2", "p3") for x in [table.column(c).combine_chunks()]}
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(right):
             right = left
-        index = {c: _Postings(x, right) for c, x in lists.items()}
-        row = lambda c, i: lists[c].values.to_numpy()[lists[c].offsets[i].as_py() : lists[c].offsets[i + 1].as_py()]
+        made: dict[str, _Postings] = {}
+
+        def common(c: str, i: int, among: np.ndarray) -> np.ndarray:
+            offs, flat = lists[c]
+            if c not in made:
+                made[c] = _Postings(offs, flat, right)
+            return made[c].common(flat[offs[i] : offs[i + 1]], among)
+
         a, b = [], []
         for i in left:
             some = (comp[right] != comp[i]) & (100 * np.minimum(n[i], n[right]) >= threshold * np.maximum(n[i], n[right]))
             for c in ("p2", "p3"):
                 if some.any():
-                    some &= index[c].common(row(c, i), some) > 0
+                    some &= common(c, i, some) > 0
             if some.any():
-                common = index["tokens"].common(row("tokens", i), some)
-                hit = some & (100 * common >= threshold * (n[i] + n[right] - common))
+                shared = common("tokens", i, some)
+                hit = some & (100 * shared >= threshold * (n[i] + n[right] - shared))
                 a += [key[i]] * int(hit.sum())
                 b += key[right[hit]].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
