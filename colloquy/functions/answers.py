@@ -56,8 +56,9 @@ def covers_item(answer: Column, item: Column, least: float = 0.67) -> Column:
 
 
 def hash_embedding(text: Column) -> Column:
-    """A unit vector of 32 numbers made from the bytes of the text's SHA-256."""
-    digest = F.sha2(text, 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 - 0.5)
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(raw, lambda v: v / norm)
+    """A unit vector of 32 numbers made from the bytes of the text's SHA-256. Digest and norm are made once a text."""
+    once = lambda value, use: F.transform(F.array(value), use)[0]
+    byte = lambda d, i: F.conv(F.substring(d, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 - 0.5
+    raw = once(F.sha2(text, 256), lambda d: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: byte(d, i)))
+    norm = lambda r: F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, v: s + v * v))
+    return once(raw, lambda r: once(norm(r), lambda n: F.transform(r, lambda v: v / n)))

@@ -143,7 +143,7 @@ def temporal_match(expression: Column, text: Column) -> Column:
 
 def scoreable_answer(text: Column) -> Column:
     """An answer without the lines that only name its sources."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?im)^\s*(?:supporting\s+)?sources?\s*:.*$", ""))
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?im)^\s*(?:supporting\s+)?sources?\s*:.*$", ""), r"^\s+|\s+$", "")
 
 
 def expected_type(question: Column) -> Column:

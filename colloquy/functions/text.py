@@ -33,6 +33,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norms > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norms)))
 
 
+def unit_cosine(a: Column, b: Column) -> Column:
+    """The cosine of two unit vectors, clamped to -1..1."""
+    dot = F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))
+
+
 def judge_score(verdict: Column) -> Column:
     """1, 0.5 or 0; null for anything else."""
     return F.when(verdict == "correct", 1.0).when(verdict == "partial", 0.5).when(verdict == "incorrect", 0.0)

@@ -5,14 +5,12 @@ Every score is a row of (query, candidate) inside a sample; arrays hold sets of
 
 from __future__ import annotations
 
-from collections.abc import Iterator  # noqa: F401
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.answers import hash_embedding
-from ..functions.text import cosine, keywords, overlap
+from ..functions.text import keywords, overlap, unit_cosine
 from .memory import ordered
 from .retrieval import SEARCH_STOP_WORDS, rrf_fuse
 
@@ -42,7 +40,7 @@ def question_profiles(asks: DataFrame) -> DataFrame:
     for name, words in reversed(FAMILIES.items()):
         family = F.when(F.arrays_overlap(keywords(F.col("question")), _literal(words)), name).otherwise(family)
     terms = F.filter(keywords(F.col("question")), lambda w: ~w.isin(SEARCH_STOP_WORDS))
-    return asks.select("query_id", "sample_id", "question", terms.alias("terms"), names_in(F.substring("question", 2, 1 << 20)).alias("entities"), family.alias("family"), q.rlike("^how many").alias("counting"), q.rlike("^which").alias("listing"), q.rlike(r"\b(when|date|year|last)\b").alias("temporal"))
+    return asks.select("query_id", "sample_id", "question", terms.alias("terms"), names_in(F.substring("question", 2, 1 << 20)).alias("entities"), family.alias("family"), q.rlike("^how many").alias("counting"), q.rlike("^which").alias("listing"), q.rlike(r"\b(when|date|year|last)\b").alias("temporal"), hash_embedding(F.col("question")).alias("question_vector"))
 
 
 def trajectory_signals(claims: DataFrame) -> DataFrame:
@@ -55,7 +53,7 @@ def trajectory_signals(claims: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.when(happened, event))).alias("events"), F.count(F.lit(1)).alias("claims"),
     )
     listed = F.filter(keywords(F.array_join(F.regexp_extract_all("text", F.lit("enjoy ([a-z, ]+)"), F.lit(1)), " ")), lambda w: w != "and")
-    return x.withColumns({"have": keywords(F.col("text")), "names": names_in(F.col("text")), "values": F.array_distinct(F.regexp_extract_all("text", F.lit("favorite color is ([a-z]+)"), F.lit(1))), "items": listed})
+    return x.withColumns({"have": keywords(F.col("text")), "names": names_in(F.col("text")), "values": F.array_distinct(F.regexp_extract_all("text", F.lit("favorite color is ([a-z]+)"), F.lit(1))), "items": listed, "text_vector": hash_embedding(F.col("text")), "latest_vector": hash_embedding(F.col("latest"))})
 
 
 def pairs(questions: DataFrame, signals: DataFrame) -> DataFrame:
@@ -104,8 +102,7 @@ def trajectory_scores(x: DataFrame) -> DataFrame:
 
     The text vectors are the deterministic hash embeddings; an event that fits strongly softens a family's mismatch.
     """
-    vector = lambda c: hash_embedding(F.col(c))
-    x = x.withColumn("asked", vector("question")).withColumns({"s": F.round(cosine(F.col("asked"), vector("text")), 9), "l": F.round(cosine(F.col("asked"), vector("latest")), 9)})
+    x = x.withColumns({c: F.round(unit_cosine(F.col("question_vector"), F.col(v)), 9) for c, v in (("s", "text_vector"), ("l", "latest_vector"))})
     met = lambda a, b: F.coalesce(F.arrays_overlap(a, b), F.lit(False))
     bonus = F.when(met("entities", "names"), 0.10).otherwise(0.0) + F.when(met("terms", "values"), 0.05).otherwise(0.0)
     soft = F.when(F.col("event_score") >= 0.70, F.least("mismatch", F.lit(0.05))).otherwise(F.col("mismatch"))
@@ -124,9 +121,9 @@ def page_scores(questions: DataFrame, pages: DataFrame, widest: int = 6) -> Data
     """
     others = F.max((F.col("page_type") != "index").cast("int")).over(Window.partitionBy("sample_id"))
     p = pages.withColumn("others", others).where((F.col("page_type") != "index") | (F.col("others") == 0)).drop("others")
-    p = p.withColumns({"have": keywords(F.col("text")), "names": names_in(F.col("text")), "items": _strings(), "values": _strings()})
+    p = p.withColumns({"have": keywords(F.col("text")), "names": names_in(F.col("text")), "items": _strings(), "values": _strings(), "text_vector": hash_embedding(F.col("text"))})
     x = with_family(questions.join(p, "sample_id"))
-    close = F.round(cosine(hash_embedding(F.col("question")), hash_embedding(F.col("text"))), 9)
+    close = F.round(unit_cosine(F.col("question_vector"), F.col("text_vector")), 9)
     dense = close + F.when(F.coalesce(F.arrays_overlap("entities", "names"), F.lit(False)), 0.10).otherwise(0.0) + F.when(F.col("width") <= widest, 0.05).otherwise(0.0) + 0.08 * F.col("family_score")
     sparse = F.greatest(F.lit(0.0), overlap(F.col("terms"), F.col("have")) + 0.60 * F.col("family_score") - 0.25 * F.col("mismatch"))
     y = x.select("query_id", F.col("page_id").alias("id"), F.round(dense, 6).alias("dense"), F.round(sparse, 6).alias("sparse"))
@@ -152,11 +149,11 @@ def broad_cap(ranked: DataFrame, routed: DataFrame, cap: int) -> DataFrame:
 
 
 def snapshot_scores(x: DataFrame) -> DataFrame:
-    """(query_id, question, terms, entities, snapshot_id, trajectory_id, version, text, names, values) ->  score 0.75 dense +
-    0.15 lexical + 0.10 symbolic."""
+    """(query_id, question_vector, terms, entities, snapshot_id, trajectory_id, version, text, text_vector, names, values) ->
+    score: 0.75 dense + 0.15 lexical + 0.10 symbolic."""
     met = lambda a, b: F.when(F.coalesce(F.arrays_overlap(a, b), F.lit(False)), 0.05).otherwise(0.0)
     symbolic = F.least(F.lit(0.10), met("entities", "names") + met("terms", "values"))
-    dense = F.round(cosine(hash_embedding(F.col("question")), hash_embedding(F.col("text"))), 9)
+    dense = F.round(unit_cosine(F.col("question_vector"), F.col("text_vector")), 9)
     score = F.round(0.75 * dense + 0.15 * overlap(F.col("terms"), keywords(F.col("text"))) + 0.10 * F.least(F.lit(1.0), symbolic / 0.10), 6)
     return x.select("query_id", "trajectory_id", "snapshot_id", "version", score.alias("score"))
 
@@ -213,12 +210,12 @@ def compact_sources(kept: DataFrame, sources: DataFrame) -> DataFrame:
 def raw_rescue(questions: DataFrame, messages: DataFrame, prefilter: int = 80, few: int = 8, many: int = 12) -> DataFrame:
     """The messages of a question's sample that the words alone find: the ``prefilter`` best by shared keywords and terms in
     the text, then the best ``few`` (``many`` for a list) with the vectors' cosine; system turns only if nothing else is found."""
-    x = questions.join(messages, "sample_id")
+    x = questions.join(messages.withColumn("text_vector", hash_embedding(F.col("content"))), "sample_id")
     hits = F.size(F.filter("terms", lambda t: F.contains(F.lower(F.col("content")), t)))
     x = x.withColumn("lexical", overlap(F.col("terms"), keywords(F.col("content"))) + F.least(F.lit(1.0), hits / 4)).where("lexical > 0")
     x = x.withColumn("plain", F.max((F.col("role") != "system").cast("int")).over(Window.partitionBy("query_id"))).where((F.col("role") != "system") | (F.col("plain") == 0))
     x = x.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("lexical", 9)), "turn_index"))).where(F.col("k") <= prefilter)
-    score = F.round(0.65 * F.round(cosine(hash_embedding(F.col("question")), hash_embedding(F.col("content"))), 9) + 0.35 * F.col("lexical"), 6)
+    score = F.round(0.65 * F.round(unit_cosine(F.col("question_vector"), F.col("text_vector")), 9) + 0.35 * F.col("lexical"), 6)
     x = x.withColumn("score", score)
     x = x.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "turn_index")))
     return x.where(F.col("rank") <= F.when(F.col("listing"), many).otherwise(few)).select("query_id", "message_id", "score", "rank")
@@ -237,10 +234,10 @@ def evidence_state(questions: DataFrame, evidence: DataFrame, weak: float = 0.34
 def hybrid_messages(questions: DataFrame, messages: DataFrame) -> DataFrame:
     """Messages of a question's sample by reciprocal ranks: shared keywords (ties by turn) and cosine of the hash embeddings
     (ties by id)."""
-    x = questions.join(messages, "sample_id")
+    x = questions.withColumn("qv", hash_embedding(F.col("question"))).join(messages.withColumn("mv", hash_embedding(F.col("content"))), "sample_id")
     q, m = keywords(F.col("question")), keywords(F.col("content"))
     hit = F.size(F.array_intersect(q, m))
-    x = x.withColumns({"lexical": F.round(hit + F.coalesce(hit / F.nullif(F.size(q), F.lit(0)), F.lit(0.0)), 9), "dense": F.round(cosine(hash_embedding(F.col("question")), hash_embedding(F.col("content"))), 6)})
+    x = x.withColumns({"lexical": F.round(hit + F.coalesce(hit / F.nullif(F.size(q), F.lit(0)), F.lit(0.0)), 9), "dense": F.round(unit_cosine(F.col("qv"), F.col("mv")), 6)})
     by = lambda *c: F.row_number().over(Window.partitionBy("query_id").orderBy(*c))
     fused = F.round(1 / (60 + by(F.desc("lexical"), "turn_index")) + 1 / (60 + by(F.desc("dense"), "message_id")), 12)
     x = x.withColumn("fused", fused)
@@ -258,7 +255,7 @@ def coverage_greedy(candidates: DataFrame, k: int) -> DataFrame:
     less ``REPEAT`` times the share of its terms that are covered already; ties by rank. A query's pool is bounded.
     """
 
-    def choose(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def choose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rank").reset_index(drop=True)
         sets = {c: [set(v) for v in rows[c]] for c in GAINS}
         covered, left, out = {c: set() for c in GAINS}, list(range(len(rows))), []

@@ -83,7 +83,6 @@ def _(v):
     return P.run_integrity(v("fx_calls"), v("fx_gold"), v("fx_messages"))
 
 
-_of("e9_page_links", "SELECT a.page_id, b.page_id AS linked_id, count(DISTINCT a.trajectory_id) AS shared FROM fx_page_members a JOIN fx_page_members b ON a.sample_id = b.sample_id AND a.trajectory_id = b.trajectory_id AND a.page_id < b.page_id GROUP BY ALL", "fx_page_members", P.linked_pages)
 _of("i14_fallback_repair_events", f"SELECT call_item_uid, {_PHASE} AS phase, 'repair' AS kind FROM fx_calls WHERE contains(task, 'repair') UNION ALL SELECT call_item_uid, {_PHASE}, 'cache_hit' FROM fx_calls QUALIFY row_number() OVER (PARTITION BY provider_call_uid ORDER BY call_item_uid) > 1", "fx_calls", P.repair_events)
 _of("l12_answer_ablation_table", f"SELECT variant, count(*) AS n, count({_JUDGE}) AS judge_n, round(avg({_JUDGE}), 6) AS judge, count(token_f1) AS token_f1_n, round(avg(token_f1), 6) AS token_f1, count(gold_ref_coverage) AS coverage_n, round(avg(gold_ref_coverage), 6) AS coverage, count(prompt_tokens) AS prompt_tokens_n, round(avg(prompt_tokens), 6) AS prompt_tokens FROM fx_outcomes GROUP BY variant", "fx_outcomes", P.answer_table)
 _of("l6_stratified_sample", "SELECT o.stratum, query_id, place, prevalence FROM (SELECT stratum, query_id, row_number() OVER (PARTITION BY stratum ORDER BY md5(stratum || ':' || query_id), query_id) AS place FROM fx_outcomes WHERE variant = 'v1') o JOIN (SELECT stratum, round(count(*) / (SELECT count(*) FROM fx_outcomes WHERE variant = 'v1'), 9) AS prevalence FROM fx_outcomes WHERE variant = 'v1' GROUP BY 1) p ON o.stratum = p.stratum WHERE place <= CASE o.stratum WHEN 'A' THEN 30 WHEN 'R' THEN 86 WHEN 'N' THEN 84 ELSE 0 END", "fx_outcomes", lambda x: P.stratified_sample(x.where("variant = 'v1'"), "stratum", "query_id", {"A": 15, "R": 43, "N": 42}, 200))

@@ -69,7 +69,7 @@ def _matches(x):
 
 _LEXICON = "SELECT sample_id, lower(speaker) AS key, min(speaker) AS surface FROM fx_note_claims GROUP BY 1, 2 UNION SELECT sample_id, lower(w) AS key, min(w) FROM (SELECT sample_id, unnest(regexp_extract_all(source_text, '\\b[A-Z][a-z]+\\b')) AS w FROM fx_note_claims) WHERE lower(w) NOT IN ('the', 'my', 'how', 'which', 'thanks') GROUP BY 1, 2 HAVING count(*) >= 2"
 query("c15_entity_lexicon", _LEXICON)(lambda v: M.entity_lexicon(v("fx_note_claims"), S.NO_NAMES))
-query("c16_extract_entities", f"WITH l AS ({_LEXICON}), m AS (SELECT c.claim_id, l.surface, strpos(lower(text), key) AS at FROM fx_note_claims c JOIN l ON l.sample_id = c.sample_id WHERE regexp_matches(lower(text), '\\b' || key || '\\b')) SELECT claim_id, string_agg(surface, ' ' ORDER BY at, length(surface) DESC, surface) AS names FROM m GROUP BY claim_id")(
+query("c16_extract_entities", f"WITH l AS ({_LEXICON}), m AS (SELECT c.claim_id, l.surface, strpos(lower(text), key) AS pos FROM fx_note_claims c JOIN l ON l.sample_id = c.sample_id WHERE regexp_matches(lower(text), '\\b' || key || '\\b')) SELECT claim_id, string_agg(surface, ' ' ORDER BY pos, length(surface) DESC, surface) AS names FROM m GROUP BY claim_id")(
     lambda v: M.entities_in(v("fx_note_claims"), M.entity_lexicon(v("fx_note_claims"), S.NO_NAMES), "claim_id").select("claim_id", M.shown("names").alias("names"))
 )
 query("c21_scoreable_answer_text", "SELECT message_id, phrase AS text FROM fx_phrases")(
@@ -84,9 +84,9 @@ query("c25_time_question", f"WITH x AS (SELECT message_id, lower({_SP.format('ph
 query("a6_gold_refs", "SELECT message_id, array_to_string(CASE WHEN message_id % 8 = 5 THEN list_distinct(regexp_extract_all(phrase, '\\bD\\d+:\\d+\\b')) WHEN message_id % 8 = 0 THEN ['D9:9'] ELSE [] END, ' ') AS refs FROM fx_phrases")(
     lambda v: v("fx_phrases").select("message_id", M.shown(A.first_refs(F.col("phrase"), F.when(F.col("message_id") % 8 == 0, "evidence D9:9, D9:9"), F.lit(None).cast("string"))).alias("refs"))
 )
-query("a4_parse_transcript", """WITH l AS (SELECT sample_id, message_id AS at, 'DATE: ' || occurred_at AS line FROM fx_phrases WHERE message_id % 16 = 0 UNION ALL SELECT sample_id, message_id, phrase FROM fx_phrases WHERE message_id % 8 = 5),
+query("a4_parse_transcript", """WITH l AS (SELECT sample_id, message_id AS pos, 'DATE: ' || occurred_at AS line FROM fx_phrases WHERE message_id % 16 = 0 UNION ALL SELECT sample_id, message_id, phrase FROM fx_phrases WHERE message_id % 8 = 5),
   h AS (SELECT *, regexp_extract(line, '^DATE: (.*)$', 1) AS d, regexp_extract(line, '^\\[(D\\d+:\\d+)\\] ([^:]+): (.*)$', 1) AS ref, regexp_extract(line, '^\\[(D\\d+:\\d+)\\] ([^:]+): (.*)$', 2) AS who, regexp_extract(line, '^\\[(D\\d+:\\d+)\\] ([^:]+): (.*)$', 3) AS said FROM l),
-  c AS (SELECT *, last_value(nullif(d, '') IGNORE NULLS) OVER (PARTITION BY sample_id ORDER BY at ROWS UNBOUNDED PRECEDING) AS day FROM h) SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY at) - 1 AS turn_index, ref AS source_ref, who AS speaker, 'user' AS role, said AS content, day AS occurred_at FROM c WHERE ref <> ''""")(
+  c AS (SELECT *, last_value(nullif(d, '') IGNORE NULLS) OVER (PARTITION BY sample_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS day FROM h) SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY pos) - 1 AS turn_index, ref AS source_ref, who AS speaker, 'user' AS role, said AS content, day AS occurred_at FROM c WHERE ref <> ''""")(
     lambda v: M.parse_transcript(_lines(v))
 )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.answers import hash_embedding
-from ..functions.text import cosine
+from ..functions.text import unit_cosine
 from ..operators import memory as M
 from ..operators import retrieval as R
 from ..operators import scoring as S
@@ -113,7 +113,7 @@ def seeds(v):
 
 
 _SEEDS = f"{_P}, {_F5}, best AS (SELECT query_id, id AS trajectory_id, rank AS place FROM ({_FUSE.format('d')}) WHERE rank <= 2), seeds AS (SELECT b.*, (SELECT arg_max(c.snapshot_id, c.version) FROM fx_note_claims c WHERE c.trajectory_id = b.trajectory_id) AS snapshot_id FROM best b)"
-_LINKED = f"""RECURSIVE {_SEEDS}, ed AS (SELECT trajectory_id, claim_id AS a, other_id AS b FROM fx_claim_edges UNION SELECT trajectory_id, other_id, claim_id FROM fx_claim_edges),
+_LINKED = f"""{_SEEDS}, ed AS (SELECT trajectory_id, claim_id AS a, other_id AS b FROM fx_claim_edges UNION SELECT trajectory_id, other_id, claim_id FROM fx_claim_edges),
   reach(query_id, trajectory_id, claim_id, n) AS (SELECT s.query_id, s.trajectory_id, c.claim_id, 0 FROM seeds s JOIN fx_note_claims c ON c.snapshot_id = s.snapshot_id UNION SELECT r.query_id, r.trajectory_id, ed.b, n + 1 FROM reach r JOIN ed ON ed.trajectory_id = r.trajectory_id AND ed.a = r.claim_id WHERE n < 4),
   linked AS (SELECT DISTINCT r.query_id, r.trajectory_id, c.snapshot_id FROM reach r JOIN fx_note_claims c ON c.claim_id = r.claim_id ANTI JOIN seeds s ON s.query_id = r.query_id AND s.snapshot_id = c.snapshot_id)"""
 
@@ -122,7 +122,7 @@ def linked(v):
     return S.update_linked(seeds(v), v("fx_note_claims"), v("fx_claim_edges"), 4)
 
 
-query("f14_expand_update_linked", f"WITH {_LINKED} SELECT query_id, trajectory_id, snapshot_id FROM linked")(linked)
+query("f14_expand_update_linked", f"WITH RECURSIVE {_LINKED} SELECT query_id, trajectory_id, snapshot_id FROM linked")(linked)
 
 
 def expanded(v):
@@ -134,7 +134,7 @@ def expanded(v):
     kinds = {0: s, 1: linked(v), 2: near}
     rows = [df.select("query_id", "trajectory_id", "snapshot_id", F.lit(k).alias("k"), (F.col("place") if k == 0 else F.lit(0)).cast("long").alias("place")) for k, df in kinds.items()]
     one = rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("query_id", "trajectory_id", "snapshot_id").agg(F.min("k").alias("k"), F.max("place").alias("place"))
-    x = one.join(n.select("snapshot_id", "version", "text"), "snapshot_id").join(asked(v), "query_id")
+    x = one.join(n.select("snapshot_id", "version", "text", hash_embedding(F.col("text")).alias("text_vector")), "snapshot_id").join(asked(v), "query_id")
     x = x.withColumns({"names": S.names_in(F.col("text")), "values": F.regexp_extract_all("text", F.lit("favorite color is ([a-z]+)"), F.lit(1))})
     kind = F.when(F.col("k") == 0, "seed").when(F.col("k") == 1, "update_linked").otherwise("neighbor")
     return S.snapshot_scores(x).join(one.select("query_id", "snapshot_id", kind.alias("kind"), "place"), ["query_id", "snapshot_id"]).join(asked(v).select("query_id", "listing"), "query_id")
@@ -144,11 +144,11 @@ _SCORED = f"""{_LINKED}, near AS (SELECT DISTINCT s.query_id, s.trajectory_id, b
   al AS (SELECT query_id, trajectory_id, snapshot_id, 0 AS k, place FROM seeds UNION ALL SELECT query_id, trajectory_id, snapshot_id, 1, 0 FROM linked UNION ALL SELECT query_id, trajectory_id, snapshot_id, 2, 0 FROM near),
   one AS (SELECT query_id, trajectory_id, snapshot_id, min(k) AS k, max(place) AS place FROM al GROUP BY ALL),
   sc AS (SELECT o.*, c.version, q.listing, round(0.75::DOUBLE * {_COS.format('question', 'c.text')} + 0.15::DOUBLE * {_JAC.format('terms', f"({_KEYS.format('c.text')})")} + 0.10::DOUBLE * least(1, least(0.10::DOUBLE, CASE WHEN {_MET.format('entities', f"({_NAMES.format('c.text')})")} THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN {_MET.format('terms', "regexp_extract_all(c.text, 'favorite color is ([a-z]+)', 1)")} THEN 0.05::DOUBLE ELSE 0 END) / 0.10::DOUBLE), 6) AS score FROM one o JOIN fx_note_claims c ON c.snapshot_id = o.snapshot_id JOIN q ON q.query_id = o.query_id)"""
-query("f15_snapshot_score", f"WITH {_SCORED} SELECT query_id, snapshot_id, score FROM sc")(lambda v: expanded(v).select("query_id", "snapshot_id", "score"))
+query("f15_snapshot_score", f"WITH RECURSIVE {_SCORED} SELECT query_id, snapshot_id, score FROM sc")(lambda v: expanded(v).select("query_id", "snapshot_id", "score"))
 _COMPACT = f"""{_SCORED}, ti AS (SELECT *, CASE WHEN k = 0 THEN 0 WHEN k = 1 AND row_number() OVER (PARTITION BY query_id, trajectory_id, k ORDER BY score DESC, version, snapshot_id DESC) = 1 THEN 1 WHEN k = 1 THEN 2 ELSE 3 END AS tier, count(*) FILTER (k = 0) OVER (PARTITION BY query_id) AS ns FROM sc),
   co AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, place, score DESC, version, snapshot_id DESC) AS o, greatest(ns, CASE WHEN listing THEN least(greatest(ns + 8, 12), 18) ELSE least(greatest(ns + 6, 10), 14) END) AS budget FROM ti)"""
-query("f16_compact_snapshots", f"WITH {_COMPACT} SELECT query_id, snapshot_id, tier, o AS place, o <= budget AS kept FROM co")(lambda v: S.compact_snapshots(expanded(v)).select("query_id", "snapshot_id", "tier", F.col("order").alias("place"), "kept"))
-query("f17_compact_sources", f"""WITH {_COMPACT}, so AS (SELECT c.query_id, c.trajectory_id, c.version, c.snapshot_id, c.listing, c.k AS grp, s.message_id, s.position FROM co c JOIN fx_note_sources s ON s.snapshot_id = c.snapshot_id WHERE o <= budget),
+query("f16_compact_snapshots", f"WITH RECURSIVE {_COMPACT} SELECT query_id, snapshot_id, tier, o AS place, o <= budget AS kept FROM co")(lambda v: S.compact_snapshots(expanded(v)).select("query_id", "snapshot_id", "tier", F.col("order").alias("place"), "kept"))
+query("f17_compact_sources", f"""WITH RECURSIVE {_COMPACT}, so AS (SELECT c.query_id, c.trajectory_id, c.version, c.snapshot_id, c.listing, c.k AS grp, s.message_id, s.position FROM co c JOIN fx_note_sources s ON s.snapshot_id = c.snapshot_id WHERE o <= budget),
   u AS (SELECT *, row_number() OVER (PARTITION BY query_id, message_id ORDER BY grp, trajectory_id, version, snapshot_id, position) AS first FROM so), n AS (SELECT *, row_number() OVER (PARTITION BY query_id, snapshot_id ORDER BY position, message_id) AS nth FROM u WHERE first = 1),
   m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grp, trajectory_id, version, snapshot_id, position) AS place FROM n WHERE grp = 0 OR (grp = 1 AND nth <= 2) OR nth <= 1)
   SELECT query_id, message_id, grp AS "group", row_number() OVER (PARTITION BY query_id ORDER BY grp, message_id) AS rank FROM m WHERE grp = 0 OR place <= CASE WHEN listing THEN 40 ELSE 28 END""")(
@@ -184,7 +184,8 @@ query("f22_hybrid_message_rank", f"{_HYBRID}, y AS (SELECT *, round(1 / (60 + ro
 
 @query("f1_rrf_fuse", f"{_HYBRID}, d AS (SELECT query_id, message_id AS id, dense, lexical AS sparse FROM x) SELECT query_id, id, fused, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, dense DESC, sparse DESC, id DESC) AS rank FROM (SELECT *, 1 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, id DESC)) + 1 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY sparse DESC, id DESC)) AS fused FROM d)")
 def _(v):
-    x = v("fx_queries").join(v("fx_history").select("sample_id", "message_id", "content"), "sample_id").withColumn("dense", F.round(cosine(hash_embedding(F.col("question")), hash_embedding(F.col("content"))), 6))
+    x = v("fx_queries").withColumn("qv", hash_embedding(F.col("question"))).join(v("fx_history").select("sample_id", "message_id", hash_embedding(F.col("content")).alias("mv")), "sample_id")
+    x = x.withColumn("dense", F.round(unit_cosine(F.col("qv"), F.col("mv")), 6))
     lexical = R.flat_lexical_rank(v("fx_queries"), v("fx_history")).select("query_id", "message_id", F.when(F.col("score") > 0.001, F.round("score", 9)).otherwise(0.0).alias("sparse"))
     return R.rrf_fuse(x.join(lexical, ["query_id", "message_id"]).select("query_id", F.col("message_id").alias("id"), "dense", "sparse"))
 

@@ -70,6 +70,7 @@ def with_views(sql: str) -> str:
     """``sql`` behind the common table expressions of the views that it names."""
     used = dict.fromkeys(x for v in VIEWS if v in sql for x in _chain(v))
     ctes = [f"{v} AS ({VIEWS[v]})" for v in used]
-    if sql.lstrip().upper().startswith("WITH "):
-        return "WITH " + ", ".join(ctes) + ", " + sql.lstrip()[5:]
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if sql.lstrip().upper().startswith(head):
+            return head + ", ".join(ctes) + ", " + sql.lstrip()[len(head) :]
     return "WITH " + ", ".join(ctes) + " " + sql
