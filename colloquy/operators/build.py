@@ -29,14 +29,15 @@ def _rows() -> Column:
 def candidates(messages: DataFrame) -> DataFrame:
     """(sample_id, category, relation, surface, temporal, message_ids): what the messages (sample_id, message_id, text) say
     that a memory must keep, one row per category, relation and surface; lists are cut into their items."""
-    found = []
-    for category, relation, pattern in CANDIDATES:
+
+    def found(category: str, relation: str, pattern: str) -> Column:
         surfaces = F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
         if category == "list":
             surfaces = F.flatten(F.transform(surfaces, lambda s: F.split(F.regexp_replace(F.trim(s), " and ", ", "), ", *")))
-        found.append(F.transform(surfaces, lambda s, c=category, r=relation: F.struct(F.lit(c).alias("category"), F.lit(r).alias("relation"), F.lower(F.trim(s)).alias("surface"))))
+        return F.transform(surfaces, lambda s: F.struct(F.lit(category).alias("category"), F.lit(relation).alias("relation"), F.lower(F.trim(s)).alias("surface")))
+
     temporal = F.nullif(F.regexp_extract(F.lower("text"), r"\b(\d+ (?:day|week|month|year)s? ago|yesterday|today|last (?:week|month|year))\b", 1), F.lit(""))
-    x = messages.select("sample_id", "message_id", temporal.alias("temporal"), F.inline(F.flatten(F.array(*found)))).where("surface <> ''")
+    x = messages.select("sample_id", "message_id", temporal.alias("temporal"), F.inline(F.flatten(F.array(*(found(*c) for c in CANDIDATES))))).where("surface <> ''")
     return x.groupBy("sample_id", "category", "relation", "surface").agg(F.min("temporal").alias("temporal"), sorted_set("message_id").alias("message_ids"))
 
 

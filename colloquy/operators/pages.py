@@ -20,15 +20,15 @@ def _rows() -> Column:
     return F.count(F.lit(1))
 
 
-def page_seeds(signals: DataFrame, keywords_each: int = 3) -> DataFrame:
+def page_seeds(signals: DataFrame, keywords_each: int = 3, least: int = 2) -> DataFrame:
     """(sample_id, seed_type, seed_key, trajectory_id, broad): an index of all, a page for each name and each of the first
-    keywords that two trajectories share, and one for a name's trajectories with lists. Signals: names, items, terms."""
+    keywords that ``least`` trajectories share, and one for a name's trajectories with lists. Signals: names, items, terms."""
     one = lambda kind, key: signals.select("sample_id", F.lit(kind).alias("seed_type"), key.alias("seed_key"), "trajectory_id", F.size("items").alias("listed"))
     first = F.slice("terms", 1, keywords_each)
     rows = one("index", F.lit("all")).unionByName(one("entity", F.explode("names"))).unionByName(one("inventory", F.explode("names")).where("listed > 0")).unionByName(one("topic", F.explode(first)))
     rows = rows.drop("listed").distinct()
     n = rows.groupBy(*_KEY).agg(_rows().alias("n"))
-    good = n.where(F.col("seed_type").isin("index", "inventory") | (F.col("n") >= 2)).select(*_KEY, ((F.col("seed_type") == "entity") & (F.col("n") > BROAD)).alias("broad"))
+    good = n.where(F.col("seed_type").isin("index", "inventory") | (F.col("n") >= least)).select(*_KEY, ((F.col("seed_type") == "entity") & (F.col("n") > BROAD)).alias("broad"))
     return rows.join(good, _KEY)
 
 

@@ -138,7 +138,7 @@ query("e2_entity_facet_pages", f"WITH {_SEED}, {_FAM}, wide AS (SELECT sample_id
 )
 _RED = f"{_SEED}, red AS (SELECT DISTINCT t.sample_id, t.seed_key FROM (SELECT t.sample_id, t.seed_key, o.seed_type, o.seed_key AS other, count(*) AS m FROM sd t JOIN sd o ON o.sample_id = t.sample_id AND o.trajectory_id = t.trajectory_id AND o.seed_type IN ('entity', 'inventory') WHERE t.seed_type = 'topic' GROUP BY ALL) t JOIN sz ON sz.sample_id = t.sample_id AND sz.seed_type = 'topic' AND sz.seed_key = t.seed_key WHERE m >= 0.8 * n), sp AS (SELECT sd.* FROM sd ANTI JOIN red ON sd.seed_type = 'topic' AND red.sample_id = sd.sample_id AND red.seed_key = sd.seed_key)"
 query("e3_suppress_redundant_topics", f"WITH {_RED} SELECT {_KEYED}, count(*) AS width FROM sp GROUP BY ALL")(lambda v: G.without_redundant_topics(seeds(v)).groupBy("sample_id", "seed_type", "seed_key").agg(F.count(F.lit(1)).alias("width")))
-query("e6_singleton_policy", f"WITH {_SEED} SELECT {_KEYED}, CASE WHEN length(seed_key) > 3 AND seed_key NOT IN ('user') THEN 'allowed' ELSE 'must_merge' END AS policy FROM sd WHERE seed_type <> 'index' GROUP BY ALL HAVING count(*) = 1")(lambda v: G.singleton_policy(seeds(v), ["user"]))
+query("e6_singleton_policy", f"WITH {_SEED} SELECT {_KEYED}, CASE WHEN length(seed_key) > 3 AND seed_key NOT IN ('user') THEN 'allowed' ELSE 'must_merge' END AS policy FROM raw WHERE seed_type <> 'index' GROUP BY ALL HAVING count(*) = 1")(lambda v: G.singleton_policy(G.page_seeds(page_signals(v), least=1), ["user"]))
 _CHUNK = "CASE WHEN n <= 6 THEN 0 WHEN n % 4 IN (1, 2) AND i >= n - n % 4 THEN i // 4 - 1 ELSE i // 4 END"
 _AUD = f"""{_SEED}, ent AS (SELECT * FROM sd WHERE seed_type IN ('index', 'inventory')), al AS (SELECT e.sample_id, e.trajectory_id FROM ent e WHERE seed_type = 'index' AND NOT EXISTS (SELECT 1 FROM ent o WHERE o.seed_type <> 'index' AND o.sample_id = e.sample_id AND o.trajectory_id = e.trajectory_id)),
   ac AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY trajectory_id) - 1 AS i, count(*) OVER (PARTITION BY sample_id) AS n FROM al), pc AS (SELECT *, row_number() OVER (PARTITION BY {_KEYED} ORDER BY trajectory_id) - 1 AS i, count(*) OVER (PARTITION BY {_KEYED}) AS n FROM ent WHERE seed_type <> 'index'),
