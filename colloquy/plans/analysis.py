@@ -29,7 +29,6 @@ _of("f11_candidate_union", "SELECT sample_id, trajectory_id, page_id, row_number
 _of("g7_judge_accuracy", f"SELECT variant, round(avg({_JUDGE}), 9) AS score, round(avg(CASE WHEN verdict = 'correct' THEN 1.0::DOUBLE ELSE 0 END), 9) AS accuracy FROM fx_outcomes GROUP BY variant", "fx_outcomes", A.judge_accuracy)
 _of("g14_split_usage", f"SELECT sample_id, queries, round(c / queries, 9) AS calls, round(l / queries, 3) AS latency_ms, CAST(floor(t / queries) AS BIGINT) AS tokens FROM (SELECT sample_id, count(DISTINCT query_id) AS queries, count(*) FILTER ({_PHASE} = 'memory') AS c, sum(latency_ms) FILTER ({_PHASE} = 'memory') AS l, sum(completion_tokens) FILTER ({_PHASE} = 'memory') AS t FROM fx_calls WHERE sample_id IS NOT NULL GROUP BY sample_id) WHERE c > 0", "fx_calls", A.split_usage)
 _of("i1_compact_calls", f"SELECT call_item_uid, {_PHASE} AS phase, prompt_tokens, completion_tokens, prompt_tokens + completion_tokens AS total_tokens FROM fx_calls", "fx_calls", A.compact_calls)
-_of("i4_price_calls", "SELECT role, round(sum(CASE WHEN role = 'backbone' THEN (prompt_tokens * 0.15::DOUBLE + completion_tokens * 0.6::DOUBLE) / 1e6 END), 6) AS dollars, count(*) FILTER (role <> 'backbone' OR prompt_tokens IS NULL OR completion_tokens IS NULL) AS unpriced FROM fx_calls GROUP BY role", "fx_calls", lambda x: A.priced_calls(x, PRICES))
 _of("i6_scope_cost_calls", "SELECT CASE WHEN query_id IS NOT NULL THEN 'query' WHEN sample_id IS NOT NULL THEN 'sample' ELSE 'shared' END AS scope, count(*) AS calls, CAST(sum(completion_tokens) AS BIGINT) AS tokens FROM fx_calls GROUP BY 1", "fx_calls", A.call_scopes)
 _of("j7_binary_label_metrics", f"SELECT stratum, n, round(same / n, 9) AS accuracy, round(tp / nullif(pp, 0), 9) AS precision, round(tp / nullif(gp, 0), 9) AS recall, round(2 * tp / nullif(pp + gp, 0), 9) AS f1 FROM (SELECT x.stratum, count(*) AS n, count(*) FILTER (x.verdict = 'correct' AND y.verdict = 'correct') AS tp, count(*) FILTER (x.verdict = 'correct') AS pp, count(*) FILTER (y.verdict = 'correct') AS gp, count(*) FILTER ((x.verdict = 'correct') = (y.verdict = 'correct')) AS same {_TWO} GROUP BY x.stratum)", "fx_outcomes", lambda x: A.binary_metrics(x, "v1", "v2"))
 _of("j15_cohen_kappa", f"WITH t AS (SELECT x.verdict AS a, y.verdict AS b {_TWO}), n AS (SELECT count(*) AS n, avg(CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0 END) AS po FROM t), p AS (SELECT sum((SELECT count(*) FROM t WHERE a = v) * (SELECT count(*) FROM t WHERE b = v))::DOUBLE AS xy FROM (SELECT unnest(['correct', 'partial', 'incorrect']) AS v)) SELECT n AS pairs, round(po, 9) AS agreement, round((po - xy / (n * n)) / (1 - xy / (n * n)), 9) AS kappa FROM n, p", "fx_outcomes", lambda x: A.cohen_kappa(x, "v1", "v2"))

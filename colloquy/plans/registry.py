@@ -153,26 +153,11 @@ def _(v):
     return R.rank_recall(v("fx_ranked"), R.gold_trajectories(v("fx_gold"), v("fx_snapshots")), CUTOFFS)
 
 
-@query("i2_cost_reconciliation", "SELECT count(*) AS calls, count(*) - count(DISTINCT call_item_uid) AS duplicates, count(*) FILTER (sample_id IS NULL) AS unassigned, count(*) FILTER (prompt_tokens IS NULL) AS unknown_usage FROM fx_calls")
-def _(v):
-    return E.reconciliation(v("fx_calls"))
-
-
-@query("i5_cost_phase_summary", f"SELECT {_PHASE} AS phase, count(*) AS calls, count(DISTINCT provider_call_uid) AS provider_calls, count(prompt_tokens) AS known, CAST(CASE WHEN count(prompt_tokens) = count(*) THEN sum(prompt_tokens) END AS BIGINT) AS prompt_total, CAST(CASE WHEN count(completion_tokens) = count(*) THEN sum(completion_tokens) END AS BIGINT) AS completion_total, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_seen, round(sum(latency_ms), 3) AS latency_ms FROM fx_calls GROUP BY 1")
-def _(v):
-    return E.cost_by_phase(v("fx_calls"))
-
-
 @query("i9_amortized_curve", f"WITH o AS (SELECT sum(CASE WHEN {_PHASE} = 'memory' THEN completion_tokens END) AS upfront, sum(CASE WHEN {_PHASE} <> 'memory' THEN completion_tokens END) / count(DISTINCT query_id) AS each_one FROM fx_calls) SELECT n, round((upfront + each_one * n) / n, 6) AS cost FROM o, (SELECT unnest([1, 10, 100]) AS n)")
 def _(v):
     return E.amortized_cost(v("fx_calls"), [1, 10, 100])
 
 
-@query("i12_call_summary", "SELECT coalesce(role, 'all') AS role, coalesce(task, 'all') AS task, count(*) AS calls, count(DISTINCT provider_call_uid) AS provider_calls, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens FROM fx_calls GROUP BY ROLLUP (role, task)")
-def _(v):
-    return E.call_summary(v("fx_calls"))
-
-
 @query("i13_token_share", "WITH t AS (SELECT task, sum(completion_tokens) AS t FROM fx_calls GROUP BY task), r AS (SELECT *, row_number() OVER (ORDER BY t DESC, task) AS r, sum(t) OVER () AS a FROM t) SELECT CASE WHEN r <= 3 THEN task ELSE 'Other' END AS task, CAST(sum(t) AS BIGINT) AS tokens, round(sum(t / a), 9) AS share FROM r GROUP BY 1")
 def _(v):
     return E.token_share(v("fx_calls"), 3)

@@ -37,7 +37,6 @@ _of("f23_chunk_conversation", f"WITH t AS (SELECT *, sum(tokens) OVER (PARTITION
 _of("g10_stratum_grid", f"SELECT v.variant, g.stratum, count(o.variant) AS n, round(avg({_JUDGE}), 9) AS judge FROM (SELECT DISTINCT variant FROM fx_outcomes) v CROSS JOIN (SELECT unnest(['A', 'N', 'R', 'X']) AS stratum) g LEFT JOIN fx_outcomes o ON o.variant = v.variant AND o.stratum = g.stratum GROUP BY ALL", "fx_outcomes", lambda x: P.stratum_grid(x, ["A", "N", "R", "X"]))
 _of("g12_baseline_vote_majority", "SELECT query_id, count(*) FILTER (verdict = 'correct') AS yes, count(verdict) AS votes, CASE WHEN count(verdict) > 0 THEN yes >= votes / 2 END AS majority FROM fx_outcomes WHERE variant <> 'v1' GROUP BY query_id", "fx_outcomes", lambda x: P.vote_majority(x, "v1"))
 _of("g13_judge_counts", f"SELECT variant, count({_JUDGE}) AS evaluable, count(*) FILTER (verdict = 'correct') AS correct, count(*) FILTER (verdict = 'partial') AS partial, count(*) FILTER (verdict = 'incorrect') AS failed FROM fx_outcomes GROUP BY variant", "fx_outcomes", P.judge_counts)
-_of("i8_break_even", f"WITH p AS (SELECT worker_id, coalesce(sum(completion_tokens) FILTER ({_PHASE} = 'memory'), 0) AS u, sum(completion_tokens) FILTER ({_PHASE} <> 'memory') / nullif(count(DISTINCT query_id), 0) AS e FROM fx_calls GROUP BY 1) SELECT a.worker_id, CASE WHEN b.e > a.e THEN CAST(greatest(0, ceil((a.u - b.u) / (b.e - a.e))) AS BIGINT) END AS queries, CASE WHEN b.e > a.e THEN 'ok' ELSE 'no_saving' END AS reason FROM p a, (SELECT * FROM p WHERE worker_id = 0) b WHERE a.worker_id <> 0", "fx_calls", lambda x: P.break_even(x, 0))
 _of("i15_fallback_repair_summary", f"SELECT {_PHASE} AS phase, role, count(*) FILTER (contains(task, 'repair')) AS repairs, CAST(coalesce(sum(completion_tokens) FILTER (contains(task, 'repair')), 0) AS BIGINT) AS tokens, round(count(*) FILTER (contains(task, 'repair')) / count(*), 9) AS share FROM fx_calls GROUP BY 1, 2", "fx_calls", P.repair_summary)
 _of("i16_rebuild_calls_from_usage", "SELECT query_id, task, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens FROM fx_calls WHERE query_id IS NOT NULL GROUP BY ALL", "fx_calls", P.calls_from_usage)
 _of("j12_audit_sample", "SELECT stratum, query_id, row_number() OVER (PARTITION BY stratum ORDER BY md5(stratum || ':' || query_id), query_id) AS place FROM fx_outcomes WHERE variant = 'v1' QUALIFY place <= 20", "fx_outcomes", lambda x: P.quota_sample(x.where("variant = 'v1'"), "stratum", "query_id", 20))
@@ -45,7 +44,6 @@ _of("j13_counterbalanced_tasks", "SELECT query_id, annotator, position, CASE WHE
 _of("k13_page_granularity_fields", "SELECT page_type, width, count(*) AS pages FROM (SELECT page_type, page_id, count(DISTINCT trajectory_id) AS width FROM fx_page_members GROUP BY ALL) GROUP BY ALL", "fx_page_members", P.page_widths)
 _of("l9_cluster_bootstrap", None, "fx_outcomes", lambda x: P.cluster_bootstrap(x, "v1", DRAWS))
 _of("l10_stratum_summary", f"SELECT variant, stratum, count(*) AS n, count({_JUDGE}) AS judged, round(avg({_JUDGE}), 9) AS judge, count(gold_ref_coverage) AS covered, round(avg(gold_ref_coverage), 6) AS coverage FROM fx_outcomes GROUP BY ALL", "fx_outcomes", P.stratum_summary)
-_of("l16_variant_cost_summary", "SELECT task, CAST(sum(completion_tokens) FILTER (role = 'backbone') AS BIGINT) AS backbone, CAST(sum(completion_tokens) FILTER (role = 'judge') AS BIGINT) AS judge FROM fx_calls GROUP BY task", "fx_calls", lambda x: P.role_costs(x, ["backbone", "judge"]))
 _of("l17_balanced_failure_examples", f"SELECT a.query_id, a.verdict AS before, b.verdict AS after, row_number() OVER (PARTITION BY a.verdict, b.verdict ORDER BY a.query_id) AS place FROM {_V1} a JOIN {_V2} b ON a.query_id = b.query_id WHERE a.verdict <> b.verdict QUALIFY place <= 5", "fx_outcomes", lambda x: P.transition_examples(x, "v1", "v2", 5))
 _of("l21_experiment_integrity", f"SELECT g.variant, count(*) AS missing FROM (SELECT DISTINCT query_id FROM fx_outcomes WHERE variant IN ('v1', 'v2', 'v3', 'v4')) q CROSS JOIN (SELECT unnest({VARIANTS}) AS variant) g LEFT JOIN fx_outcomes o ON o.query_id = q.query_id AND o.variant = g.variant WHERE o.query_id IS NULL GROUP BY g.variant", "fx_outcomes", lambda x: P.missing_cells(x, VARIANTS))
 _of("l23_event_log_summary", f"SELECT sample_id, count(*) OVER (PARTITION BY sample_id) AS events, {_PHASE} AS last_phase FROM fx_calls WHERE sample_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY ts DESC, call_item_uid DESC) = 1", "fx_calls", P.last_events)

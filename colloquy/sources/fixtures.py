@@ -36,6 +36,10 @@ VIEWS = {
     "fx_claim_edges": "SELECT a.trajectory_id, a.claim_id, b.claim_id AS other_id FROM fx_note_claims a JOIN fx_note_claims b ON a.trajectory_id=b.trajectory_id AND a.version=b.version+1 WHERE a.claim_id%20=1",
     # a snapshot's own message and the one before it in its trajectory
     "fx_note_sources": "SELECT snapshot_id, source_message_id AS message_id, 1 AS position FROM fx_note_claims UNION ALL SELECT a.snapshot_id, b.source_message_id, 2 FROM fx_note_claims a JOIN fx_note_claims b ON a.trajectory_id=b.trajectory_id AND a.version=b.version+1",
+    # calls with their model, variant, finish, fingerprint and origin
+    "fx_rich_calls": "SELECT c.*, CASE WHEN role='judge' THEN 'Judge-1' WHEN worker_id=0 THEN 'small' WHEN worker_id=1 THEN 'SMALL' WHEN worker_id=2 THEN 'large' ELSE 'unknown' END AS model, concat('w', worker_id) AS variant, CASE completion_tokens%7 WHEN 0 THEN 'length' WHEN 1 THEN NULL ELSE 'stop' END AS finish, concat('fp', call_item_uid%3) AS fingerprint, CASE WHEN call_item_uid%10=0 THEN 'reused' ELSE 'new' END AS origin FROM fx_calls c",
+    # English answers to the questions of the notes
+    "fx_note_answers": "SELECT query_id, sample_id, question, CASE query_id%3 WHEN 0 THEN 'hiking, painting and chess' WHEN 1 THEN '3 books' ELSE 'green' END AS gold_answer, CASE query_id%5 WHEN 0 THEN 'painting; chess' WHEN 1 THEN 'At least 3 books, retrieved evidence confirms' WHEN 2 THEN 'hiking, painting, chess and pottery' WHEN 3 THEN 'green or blue' ELSE 'some activities' END AS answer_text, CASE query_id%4 WHEN 0 THEN 'correct' WHEN 1 THEN 'partial' ELSE 'incorrect' END AS verdict FROM fx_asks",
     "fx_asks": "SELECT sample_id, message_id AS query_id, phrase AS question FROM fx_phrases WHERE message_id%8 IN (2,6)",
 }
 

@@ -1 +1 @@
-"""See the modules."""
+"""Structured Streaming jobs."""
