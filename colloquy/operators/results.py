@@ -432,3 +432,28 @@ def drift_stats(drift: DataFrame) -> DataFrame:
     bucket = F.when(F.col("length") == 1, "1").when(F.col("length") <= 3, "2-3").otherwise("4+")
     at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY head_tail)").alias(f"p{int(p * 100)}")
     return drift.groupBy(bucket.alias("lengths")).agg(_rows().alias("trajectories"), F.count("head_tail").alias("known"), F.round(F.avg((F.col("bucket") == "possible_drift").cast("double")), 9).alias("drift_rate"), F.round(F.avg("head_tail"), 5).alias("mean"), at(0.1), at(0.25), at(0.5), at(0.75), at(0.9))
+
+
+def family_fields(scored: DataFrame, k: int) -> DataFrame:
+    """Per query the family scores of its first ``k`` candidates and of all, and how many of the first are of another family."""
+    first = F.col("rank") <= k
+    of = lambda c: F.when(first, F.col(c))
+    return scored.groupBy("query_id").agg(F.max(of("family_score")).alias("best_selected"), _mean(of("family_score")).alias("mean_selected"), F.max("family_score").alias("best_of_all"), F.count_if(first & (F.col("mismatch") > 0)).alias("mismatched"))
+
+
+def template_leaks(texts: DataFrame, template: list[str]) -> DataFrame:
+    """How many trajectories hold each of a template's own words in their text, and how many still in their keywords."""
+    words = lambda c: F.split(F.lower(c), "[^a-z]+")
+    x = texts.withColumn("term", F.explode(F.array(*map(F.lit, template))))
+    has = lambda c: F.count_if(F.array_contains(words(c), F.col("term")))
+    return x.groupBy("term").agg(has("text").alias("in_text"), has("keywords").alias("in_keywords"))
+
+
+def reflection(outcomes: DataFrame, calls: DataFrame, least: int = 50) -> DataFrame:
+    """Per variant: queries whose answer was repaired, those whose repair was long enough to be used, those then correct, and
+    the share of correct ones with and without an attempt."""
+    r = calls.where("query_id is not null").groupBy("query_id").agg(F.bool_or(F.col("task") == "answer_repair").alias("tried"), F.bool_or((F.col("task") == "answer_repair") & (F.col("completion_tokens") > least)).alias("u"))
+    x = outcomes.join(r, "query_id", "left").withColumns({"tried": F.coalesce("tried", F.lit(False)), "u": F.coalesce("u", F.lit(False))})
+    right = F.col("verdict") == "correct"
+    share = lambda c: F.round(F.avg(F.when(c, right.cast("double"))), 9)
+    return x.groupBy("variant").agg(_rows().alias("queries"), F.count_if("tried").alias("attempted"), F.count_if("u").alias("used"), F.count_if(F.col("u") & right).alias("rescued"), share(F.col("tried")).alias("correct_if_attempted"), share(~F.col("tried")).alias("correct_otherwise"))

@@ -106,9 +106,10 @@ query("f25_direct_trajectory_rank", f"""WITH {_P}, x AS (SELECT query_id, trajec
 )
 
 
-def seeds(v):
-    """The latest snapshot of each query's two best trajectories, with their place."""
-    best = S.trajectory_scores(matched(v)).where("rank <= 2")
+def seeds(v, among=None):
+    """The latest snapshot of each query's two best trajectories, of those ``among`` which it may choose, with their place."""
+    x = matched(v) if among is None else matched(v).join(among, ["query_id", "trajectory_id"], "left_semi")
+    best = S.trajectory_scores(x).where("rank <= 2")
     return best.join(signals(v).select("trajectory_id", F.col("latest_snapshot_id").alias("snapshot_id")), "trajectory_id").select("query_id", "trajectory_id", "snapshot_id", F.col("rank").alias("place"))
 
 
@@ -118,20 +119,20 @@ _LINKED = f"""{_SEEDS}, ed AS (SELECT trajectory_id, claim_id AS a, other_id AS
   linked AS (SELECT DISTINCT r.query_id, r.trajectory_id, c.snapshot_id FROM reach r JOIN fx_note_claims c ON c.claim_id = r.claim_id ANTI JOIN seeds s ON s.query_id = r.query_id AND s.snapshot_id = c.snapshot_id)"""
 
 
-def linked(v):
-    return S.update_linked(seeds(v), v("fx_note_claims"), v("fx_claim_edges"), 4)
+def linked(v, among=None):
+    return S.update_linked(seeds(v, among), v("fx_note_claims"), v("fx_claim_edges"), 4)
 
 
 query("f14_expand_update_linked", f"WITH RECURSIVE {_LINKED} SELECT query_id, trajectory_id, snapshot_id FROM linked")(linked)
 
 
-def expanded(v):
+def expanded(v, among=None):
     """Seeds, update-linked snapshots and neighbours within one version, each with its kind and score."""
-    s, n = seeds(v), v("fx_note_claims")
+    s, n = seeds(v, among), v("fx_note_claims")
     own = n.select("trajectory_id", "snapshot_id", "version")
     near = s.join(own.select("trajectory_id", "snapshot_id", F.col("version").alias("at")), ["trajectory_id", "snapshot_id"]).select("query_id", "trajectory_id", "at")
     near = near.join(own, "trajectory_id").where("abs(version - at) <= 1").select("query_id", "trajectory_id", "snapshot_id")
-    kinds = {0: s, 1: linked(v), 2: near}
+    kinds = {0: s, 1: linked(v, among), 2: near}
     rows = [df.select("query_id", "trajectory_id", "snapshot_id", F.lit(k).alias("k"), (F.col("place") if k == 0 else F.lit(0)).cast("long").alias("place")) for k, df in kinds.items()]
     one = rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("query_id", "trajectory_id", "snapshot_id").agg(F.min("k").alias("k"), F.max("place").alias("place"))
     x = one.join(n.select("snapshot_id", "version", "text", hash_embedding(F.col("text")).alias("text_vector")), "snapshot_id").join(asked(v), "query_id")
