@@ -13,36 +13,42 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded by the byte-level ranks and decoded again; a null text is empty."""
     from .byte_bpe import round_trip
 
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's fingerprint, its edited text's, and its likeness to that and to the next document's."""
     from .fingerprints import compared_with_next
 
     return compared_with_next(_table(spark, sf_dir, "documents"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every text; a token that crosses lines goes where it starts."""
     from .token_counts import section_token_counts
 
     return section_token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text; empty if it has none."""
     from .html_text import extracted
 
     return extracted(_table(spark, sf_dir, "pages"))
 
 
 def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed matrix of all texts in sequences of 4096 tokens, ids and positions as binaries."""
     from .packing import packed_matrix
 
     return packed_matrix(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict: an explicit rule's, else that of its host's reputation."""
     from .url_reputation import judged_urls
 
     # a labelled page is one whose id has a label: bad if it is of low quality or toxic
@@ -51,6 +57,7 @@ def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measures and verdict by the thresholds of its language and source."""
     from .quality import judged
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -58,24 +65,28 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and the least id that similarity links reach."""
     from .ngram_jaccard import similarity_components
 
     return similarity_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and place."""
     from .packing import pack
 
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language and certainty."""
     from .language_id import identified
 
     return identified(_table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four stages of corpus_pipeline over all documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
