@@ -30,12 +30,12 @@ def evidence_recall(selected: DataFrame, gold: DataFrame, queries: DataFrame) ->
     return queries.select("query_id").join(per, "query_id", "left").select("query_id", F.coalesce("gold", F.lit(0)).alias("gold"), F.coalesce("found", F.lit(0)).alias("found"), F.coalesce(F.col("found") / F.col("gold"), F.lit(1.0)).alias("recall"))
 
 
-def rrf_fuse(scored: DataFrame, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of (query_id, id, dense, sparse); ties by id, descending."""
+def rrf_fuse(scored: DataFrame, k: int = 60, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Reciprocal rank fusion of (query_id, id, dense, sparse); ties by id, descending. Columns to ``keep`` come along."""
     rank = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(c), F.desc("id")))
     x = scored.withColumn("fused", 1 / (k + rank("dense")) + 1 / (k + rank("sparse")))
     last = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("fused"), F.desc("dense"), F.desc("sparse"), F.desc("id")))
-    return x.select("query_id", "id", "fused", last.cast("long").alias("rank"))
+    return x.select("query_id", "id", *keep, "fused", last.cast("long").alias("rank"))
 
 
 def cutoff_universe(ranked: DataFrame, cutoffs: list[int]) -> DataFrame:

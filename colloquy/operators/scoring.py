@@ -109,7 +109,7 @@ def trajectory_scores(x: DataFrame) -> DataFrame:
     dense = 0.75 * F.col("s") + 0.15 * F.col("l") + 0.10 * F.least(F.lit(1.0), bonus / 0.20) + 0.08 * F.col("family_score") + 0.10 * F.col("event_score") - 0.04 * soft
     sparse = overlap(F.col("terms"), F.col("have")) + 0.60 * F.col("family_score") + 0.75 * F.col("event_score") - 0.25 * soft
     y = x.select("query_id", F.col("trajectory_id").alias("id"), F.round(F.greatest(F.lit(0.0), dense), 6).alias("dense"), F.round(F.greatest(F.lit(0.0), sparse), 6).alias("sparse"))
-    return y.join(rrf_fuse(y), ["query_id", "id"]).select("query_id", F.col("id").alias("trajectory_id"), "dense", "sparse", "rank")
+    return rrf_fuse(y, keep=("dense", "sparse")).withColumnRenamed("id", "trajectory_id").drop("fused")
 
 
 def page_scores(questions: DataFrame, pages: DataFrame, widest: int = 6) -> DataFrame:
@@ -127,7 +127,7 @@ def page_scores(questions: DataFrame, pages: DataFrame, widest: int = 6) -> Data
     dense = close + F.when(F.coalesce(F.arrays_overlap("entities", "names"), F.lit(False)), 0.10).otherwise(0.0) + F.when(F.col("width") <= widest, 0.05).otherwise(0.0) + 0.08 * F.col("family_score")
     sparse = F.greatest(F.lit(0.0), overlap(F.col("terms"), F.col("have")) + 0.60 * F.col("family_score") - 0.25 * F.col("mismatch"))
     y = x.select("query_id", F.col("page_id").alias("id"), F.round(dense, 6).alias("dense"), F.round(sparse, 6).alias("sparse"))
-    return y.join(rrf_fuse(y), ["query_id", "id"]).select("query_id", F.col("id").alias("page_id"), "dense", "sparse", "rank")
+    return rrf_fuse(y, keep=("dense", "sparse")).withColumnRenamed("id", "page_id").drop("fused")
 
 
 def index_fallback(ranked: DataFrame, routed: DataFrame, enough: int, most: int) -> DataFrame:
@@ -159,17 +159,17 @@ def snapshot_scores(x: DataFrame) -> DataFrame:
 
 
 def update_linked(seeds: DataFrame, claims: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(query_id, trajectory_id, snapshot_id) seeds -> the other snapshots of their trajectories that claims reach over
-    revisions in at most ``depth`` steps, which the length of a chain bounds."""
+    """(query_id, trajectory_id, snapshot_id) seeds -> the other snapshots of their trajectories that their claims reach over
+    revisions. A trajectory of ``depth`` versions has no longer way, so the closure of its edges is squared until it covers
+    that many steps, before any query is looked at."""
     own = claims.select("trajectory_id", "snapshot_id", "claim_id")
-    both = edges.select("trajectory_id", F.col("claim_id").alias("a"), F.col("other_id").alias("b"))
-    both = both.unionByName(both.select("trajectory_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = seeds.select("query_id", "trajectory_id", "snapshot_id").join(own, ["trajectory_id", "snapshot_id"]).select("query_id", "trajectory_id", "claim_id").distinct()
-    for _ in range(depth):
-        step = seen.join(both, (seen["trajectory_id"] == both["trajectory_id"]) & (F.col("claim_id") == F.col("a"))).select("query_id", seen["trajectory_id"], F.col("b").alias("claim_id"))
-        seen = seen.unionByName(step).distinct()
-    found = seen.join(own, ["trajectory_id", "claim_id"]).select("query_id", "trajectory_id", "snapshot_id").distinct()
-    return found.join(seeds, ["query_id", "snapshot_id"], "left_anti")
+    pair = lambda a, b: edges.select("trajectory_id", F.col(a).alias("a"), F.col(b).alias("b"))
+    reach = pair("claim_id", "other_id").unionByName(pair("other_id", "claim_id")).unionByName(own.select("trajectory_id", F.col("claim_id").alias("a"), F.col("claim_id").alias("b"))).distinct()
+    for _ in range(max(1, (depth - 1).bit_length())):
+        reach = reach.join(reach.toDF("trajectory_id", "b", "c"), ["trajectory_id", "b"]).select("trajectory_id", "a", F.col("c").alias("b")).distinct()
+    near = own.withColumnRenamed("claim_id", "a").join(reach, ["trajectory_id", "a"]).join(own.select("trajectory_id", F.col("claim_id").alias("b"), F.col("snapshot_id").alias("other")), ["trajectory_id", "b"]).select("trajectory_id", "snapshot_id", "other").distinct()
+    found = seeds.select("query_id", "trajectory_id", "snapshot_id").join(near, ["trajectory_id", "snapshot_id"]).select("query_id", "trajectory_id", F.col("other").alias("snapshot_id")).distinct()
+    return found.join(seeds.select("query_id", "snapshot_id"), ["query_id", "snapshot_id"], "left_anti")
 
 
 def snapshot_budget(seeds: Column, listing: Column) -> Column:
