@@ -27,11 +27,6 @@ def history_fingerprints(messages: DataFrame) -> DataFrame:
     return messages.groupBy("sample_id").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x.line), "\n"), 256).alias("fingerprint"))
 
 
-def suppressed_claims(claims: DataFrame) -> DataFrame:
-    """Claims hidden from a context, with the reason: deprecated, else a suspect speaker."""
-    reason = F.when(F.col("status") == "deprecated", "deprecated").when(F.col("suspect"), "speaker_suspect")
-    return claims.select("claim_id", reason.alias("reason")).where("reason is not null")
-
 
 def question_overlap(queries: DataFrame, messages: DataFrame) -> DataFrame:
     """Keyword Jaccard of each query with the messages of its sample."""
@@ -99,11 +94,6 @@ def split_usage(calls: DataFrame) -> DataFrame:
     return n.join(built, "sample_id").select("sample_id", "queries", F.round(F.col("c") / q, 9).alias("calls"), F.round(F.col("l") / q, 3).alias("latency_ms"), F.floor(F.col("t") / q).alias("tokens"))
 
 
-def snapshot_depth(snapshots: DataFrame, m: int) -> DataFrame:
-    """The last ``m`` versions of each trajectory."""
-    top = Window.partitionBy("trajectory_id").orderBy(F.desc("version"))
-    return snapshots.withColumn("depth", F.row_number().over(top)).where(F.col("depth") <= m).select("trajectory_id", "snapshot_id", "depth")
-
 
 def required_rank(gold: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Per query the highest version that holds gold evidence."""
@@ -126,13 +116,6 @@ def compact_calls(calls: DataFrame) -> DataFrame:
     return calls.select("call_item_uid", phase_for_task(F.col("task")).alias("phase"), "prompt_tokens", "completion_tokens", (F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"))
 
 
-def priced_calls(calls: DataFrame, prices: dict[str, tuple[float, float]]) -> DataFrame:
-    """Dollars per role from prices for a million tokens; a call without a price or usage has none and is counted."""
-    cost = F.lit(None).cast("double")
-    for role, (inward, outward) in prices.items():
-        cost = F.when(F.col("role") == role, (F.col("prompt_tokens") * inward + F.col("completion_tokens") * outward) / 1e6).otherwise(cost)
-    return calls.withColumn("cost", cost).groupBy("role").agg(F.round(F.sum("cost"), 6).alias("dollars"), F.count_if(F.col("cost").isNull()).alias("unpriced"))
-
 
 def call_scopes(calls: DataFrame) -> DataFrame:
     """Calls by the narrowest scope that they name: query, sample or shared."""

@@ -13,23 +13,23 @@ from ..functions.text import cosine, judge_score, normalize_answer, phase_for_ta
 
 
 def token_overlap(pairs: DataFrame) -> DataFrame:
-    """(id, predicted, gold) -> clipped unigram precision and token F1; both empty counts as 1."""
+    """(id, predicted, gold) -> clipped unigram precision and token F1; both empty counts as 1. A row counts its own words."""
     words = lambda c: F.filter(F.split(normalize_answer(F.col(c)), " "), lambda w: w != "")
     x = pairs.select("id", words("predicted").alias("p"), words("gold").alias("g"))
-    count = lambda c, n: x.select("id", F.explode(c).alias("w")).groupBy("id", "w").agg(F.count(F.lit(1)).alias(n))
-    both = count("p", "np").join(count("g", "ng"), ["id", "w"]).groupBy("id").agg(F.sum(F.least("np", "ng")).alias("common"))
-    x = x.select("id", F.size("p").alias("p"), F.size("g").alias("g")).join(both, "id", "left").withColumn("common", F.coalesce("common", F.lit(0)))
-    empty = (F.col("p") == 0) & (F.col("g") == 0)
-    bleu = F.when(empty, 1.0).when(F.col("p") == 0, 0.0).otherwise(F.col("common") / F.col("p"))
-    f1 = F.when(empty, 1.0).when(F.col("common") == 0, 0.0).otherwise(2 * F.col("common") / (F.col("p") + F.col("g")))
+    times = lambda c, w: F.size(F.filter(c, lambda v: v == w))
+    shared = F.aggregate(F.array_intersect("p", "g"), F.lit(0), lambda n, w: n + F.least(times("p", w), times("g", w)))
+    x = x.select("id", F.size("p").alias("np"), F.size("g").alias("ng"), shared.alias("common"))
+    empty = (F.col("np") == 0) & (F.col("ng") == 0)
+    bleu = F.when(empty, 1.0).when(F.col("np") == 0, 0.0).otherwise(F.col("common") / F.col("np"))
+    f1 = F.when(empty, 1.0).when(F.col("common") == 0, 0.0).otherwise(2 * F.col("common") / (F.col("np") + F.col("ng")))
     return x.select("id", F.round(bleu, 9).alias("bleu1"), F.round(f1, 9).alias("token_f1"))
 
 
 def aggregate_by_stratum(outcomes: DataFrame) -> DataFrame:
     """Means per variant and stratum, per variant, and over all; nulls are not observed."""
     x = outcomes.withColumn("judge", judge_score(F.col("verdict")))
-    out = x.cube("variant", "stratum").agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), F.count("gold_ref_coverage").alias("observed"), F.round(F.avg("judge"), 9).alias("judge"), F.round(F.avg("token_f1"), 6).alias("token_f1"), F.round(F.avg("gold_ref_coverage"), 6).alias("coverage"))
-    return out.where("g <> 2").select(F.coalesce("variant", F.lit("all")).alias("variant"), F.coalesce("stratum", F.lit("all")).alias("stratum"), "n", "observed", "judge", "token_f1", "coverage")
+    out = x.groupingSets([["variant", "stratum"], ["variant"], []], "variant", "stratum").agg(F.count(F.lit(1)).alias("n"), F.count("gold_ref_coverage").alias("observed"), F.round(F.avg("judge"), 9).alias("judge"), F.round(F.avg("token_f1"), 6).alias("token_f1"), F.round(F.avg("gold_ref_coverage"), 6).alias("coverage"))
+    return out.select(F.coalesce("variant", F.lit("all")).alias("variant"), F.coalesce("stratum", F.lit("all")).alias("stratum"), "n", "observed", "judge", "token_f1", "coverage")
 
 
 def unpivot_metrics(table: DataFrame) -> DataFrame:
@@ -58,16 +58,6 @@ def cost_by_phase(calls: DataFrame) -> DataFrame:
     return calls.groupBy(phase_for_task(F.col("task")).alias("phase")).agg(F.count(F.lit(1)).alias("calls"), F.countDistinct("provider_call_uid").alias("provider_calls"), F.count("prompt_tokens").alias("known"), whole("prompt_tokens").alias("prompt_total"), whole("completion_tokens").alias("completion_total"), F.sum("prompt_tokens").alias("prompt_seen"), F.round(F.sum("latency_ms"), 3).alias("latency_ms"))
 
 
-def call_summary(calls: DataFrame) -> DataFrame:
-    """Overall, by role and by role and task."""
-    return calls.rollup("role", "task").agg(F.count(F.lit(1)).alias("calls"), F.countDistinct("provider_call_uid").alias("provider_calls"), F.sum("completion_tokens").alias("completion_tokens")).select(F.coalesce("role", F.lit("all")).alias("role"), F.coalesce("task", F.lit("all")).alias("task"), "calls", "provider_calls", "completion_tokens")
-
-
-def reconciliation(calls: DataFrame) -> DataFrame:
-    """One row of integrity counts of a call log."""
-    again = F.count(F.lit(1)) - F.countDistinct("call_item_uid")
-    return calls.agg(F.count(F.lit(1)).alias("calls"), again.alias("duplicates"), F.count_if(F.col("sample_id").isNull()).alias("unassigned"), F.count_if(F.col("prompt_tokens").isNull()).alias("unknown_usage"))
-
 
 def token_share(calls: DataFrame, top: int) -> DataFrame:
     """Completion tokens by task as shares, the largest ``top`` and the rest as Other."""

@@ -134,57 +134,9 @@ def judge_counts(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("variant").agg(F.count(judge_score(v)).alias("evaluable"), F.count_if(v == "correct").alias("correct"), F.count_if(v == "partial").alias("partial"), F.count_if(v == "incorrect").alias("failed"))
 
 
-def ablation_grid(ranked: DataFrame, gold: DataFrame, cutoffs: list[int], budgets: list[int]) -> DataFrame:
-    """Per query, cutoff and budget: rows chosen, their tokens, and the share of gold references among them.
 
-    Recall is null for a query without gold references.
-    """
-    run = F.sum("tokens").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    marked = ranked.withColumn("used", run).join(gold.select("query_id", "source_ref").distinct().withColumn("gold", F.lit(1)), ["query_id", "source_ref"], "left")
-    x = marked.withColumn("cutoff", F.explode(_literals(cutoffs))).withColumn("budget", F.explode(_literals(budgets)))
-    chosen = (F.col("rank") <= F.col("cutoff")) & (F.col("used") <= F.col("budget"))
-    tokens = F.coalesce(F.sum(F.when(chosen, F.col("tokens"))), F.lit(0))
-    found = F.count_if(chosen & F.col("gold").isNotNull())
-    return x.groupBy("query_id", "cutoff", "budget").agg(F.count_if(chosen).alias("chosen"), tokens.alias("tokens"), F.round(F.try_divide(found, F.count("gold")), 9).alias("recall"))
-
-
-def cost_recall_curve(grid: DataFrame) -> DataFrame:
-    """Per cutoff and budget the mean tokens and recall; queries without a recall do not count for it."""
-    return grid.groupBy("cutoff", "budget").agg(_rows().alias("queries"), F.round(F.avg("tokens"), 6).alias("tokens"), F.round(F.avg("recall"), 6).alias("recall"))
-
-
-def failure_reasons(queries: DataFrame, gold: DataFrame, snapshots: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
-    """The first stage at which a query lost its gold references: none given, not remembered, not among the
-    candidates, not among the best ``k``; else found."""
-    held = gold.select("query_id", "sample_id", "source_ref").join(snapshots.select("sample_id", "source_ref", "trajectory_id"), ["sample_id", "source_ref"], "left")
-    x = held.join(ranked.select("query_id", "trajectory_id", "rnk"), ["query_id", "trajectory_id"], "left").groupBy("query_id").agg(F.count("trajectory_id").alias("kept"), F.min("rnk").alias("best"))
-    x = queries.select("query_id").join(x, "query_id", "left")
-    reason = F.when(F.col("kept").isNull(), "unknown_no_gold_refs").when(F.col("kept") == 0, "memory_absent").when(F.col("best").isNull(), "coarse_retrieval_miss").when(F.col("best") > k, "fine_retrieval_miss")
-    return x.select("query_id", reason.otherwise("found").alias("reason"))
-
-
-def evidence_funnel(gold: DataFrame, snapshots: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
-    """Per stage the queries with at least one and with all gold references still there."""
-    held = gold.select("query_id", "sample_id", "source_ref").join(snapshots.select("sample_id", "source_ref", "trajectory_id"), ["sample_id", "source_ref"], "left")
-    x = held.join(ranked.select("query_id", "trajectory_id", "rnk"), ["query_id", "trajectory_id"], "left")
-    stages = {"memory": F.col("trajectory_id").isNotNull(), "candidates": F.col("rnk").isNotNull(), "selected": F.coalesce(F.col("rnk") <= k, F.lit(False))}
-    per_ref = x.groupBy("query_id", "source_ref").agg(*[F.bool_or(c).alias(s) for s, c in stages.items()])
-    long = per_ref.unpivot(["query_id", "source_ref"], list(stages), "stage", "hit")
-    per_query = long.groupBy("stage", "query_id").agg(F.bool_or("hit").alias("any"), F.bool_and("hit").alias("all"))
-    return per_query.groupBy("stage").agg(_rows().alias("queries"), F.count_if("any").alias("any_hit"), F.count_if("all").alias("all_hit"))
-
-
-def break_even(calls: DataFrame, baseline: int) -> DataFrame:
-    """Per worker the queries after which its memory phase has paid off against the baseline worker's costs; null with
-    a reason where a query saves nothing. One row of sums for each worker is compared."""
-    memory = phase_for_task(F.col("task")) == "memory"
-    each = F.try_divide(F.sum(F.when(~memory, F.col("completion_tokens"))), F.countDistinct("query_id"))
-    per = calls.groupBy("worker_id").agg(F.sum(F.when(memory, F.col("completion_tokens")).otherwise(0)).alias("upfront"), each.alias("each"))
-    base = per.where(F.col("worker_id") == baseline).agg(F.max("upfront").alias("u"), F.max("each").alias("e"))
-    x = per.where(F.col("worker_id") != baseline).join(F.broadcast(base))  # the base is one row
-    saving = F.col("e") - F.col("each")
-    n = F.greatest(F.lit(0), F.ceil((F.col("upfront") - F.col("u")) / saving))
-    return x.select("worker_id", F.when(saving > 0, n).cast("long").alias("queries"), F.when(saving > 0, "ok").otherwise("no_saving").alias("reason"))
+
+
 
 
 def calls_from_usage(calls: DataFrame) -> DataFrame:
@@ -198,17 +150,6 @@ def repair_summary(calls: DataFrame) -> DataFrame:
     return calls.groupBy(phase_for_task(F.col("task")).alias("phase"), "role").agg(F.count_if(repair).alias("repairs"), F.coalesce(F.sum(F.when(repair, F.col("completion_tokens"))), F.lit(0)).alias("tokens"), F.round(F.avg(repair.cast("double")), 9).alias("share"))
 
 
-def class_localization(outcomes: DataFrame, predicted: str, label: str) -> DataFrame:
-    """One class against the rest: precision, recall and F1 of a variant's verdicts against another's."""
-    side = lambda v, name: outcomes.where(F.col("variant") == v).select("query_id", F.col("verdict").alias(name))
-    cell = side(predicted, "p").join(side(label, "g"), "query_id").groupBy("p", "g").agg(_rows().alias("n"))
-    hit = F.when(F.col("p") == F.col("g"), F.col("n")).otherwise(0)
-    a = cell.groupBy(F.col("p").alias("stage")).agg(F.sum("n").alias("predicted"), F.sum(hit).alias("tp"))
-    b = cell.groupBy(F.col("g").alias("stage")).agg(F.sum("n").alias("labelled"))
-    x = a.join(b, "stage", "full_outer").na.fill(0)
-    ratio = lambda u, v: F.round(F.try_divide(u, v), 9)
-    return x.select("stage", "predicted", "labelled", ratio(F.col("tp"), F.col("predicted")).alias("precision"), ratio(F.col("tp"), F.col("labelled")).alias("recall"), ratio(2 * F.col("tp"), F.col("predicted") + F.col("labelled")).alias("f1"))
-
 
 def quota_sample(rows: DataFrame, group: str, key: str, quota: int) -> DataFrame:
     """``quota`` rows of each group in a hashed order (all, if there are fewer): a sampling operator."""
@@ -236,10 +177,6 @@ def stratum_summary(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("variant", "stratum").agg(_rows().alias("n"), F.count(s).alias("judged"), F.round(F.avg(s), 9).alias("judge"), F.count("gold_ref_coverage").alias("covered"), F.round(F.avg("gold_ref_coverage"), 6).alias("coverage"))
 
 
-def role_costs(calls: DataFrame, roles: list[str]) -> DataFrame:
-    """Completion tokens per task, a column for each role; null where a role has no call."""
-    return calls.groupBy("task").pivot("role", roles).agg(F.sum("completion_tokens"))
-
 
 def run_integrity(calls: DataFrame, gold: DataFrame, messages: DataFrame) -> DataFrame:
     """Findings by kind: repeated call ids, provider calls of several workers, gold references outside their sample."""
@@ -287,16 +224,6 @@ def item_coverage(answers: DataFrame, items: DataFrame) -> DataFrame:
     return x.groupBy("query_id").agg(_rows().alias("items"), F.count_if("covered").alias("covered"), F.bool_and("covered").alias("whole"))
 
 
-def linked_pages(pages: DataFrame) -> DataFrame:
-    """Pages of a sample that share trajectories, the lesser id first, with the number shared.
-
-    Only pages of a common trajectory meet, so the rows made are those of its pages, which the seed cap bounds.
-    """
-    one = pages.select("sample_id", "page_id", "trajectory_id").distinct()
-    other = one.withColumnRenamed("page_id", "linked_id")
-    x = one.join(other, ["sample_id", "trajectory_id"]).where("page_id < linked_id")
-    return x.groupBy("page_id", "linked_id").agg(_rows().alias("shared"))
-
 
 def fine_snapshots(scored: DataFrame, k: int) -> DataFrame:
     """(query_id, trajectory_id, snapshot_id, score): the best snapshot of each trajectory first, then the best of the

@@ -196,8 +196,7 @@ def call_table(calls: DataFrame) -> DataFrame:
     phase = phase_for_task(F.col("task"))
     batch = F.count(F.lit(1)).over(Window.partitionBy("provider_call_uid"))
     x = calls.withColumns({"phase": phase, "batch": F.when(F.col("provider_call_uid").isNotNull(), batch).otherwise(1)})
-    g = x.groupingSets([["role"], ["phase"], ["task"], []], "role", "phase", "task") if hasattr(x, "groupingSets") else x.cube("role", "phase", "task")
-    y = g.agg(F.grouping_id().alias("g"), _rows().alias("calls"), F.countDistinct("provider_call_uid").alias("provider_calls"), F.round(F.avg("batch"), 6).alias("mean_batch"), F.max("batch").alias("max_batch"), F.count_if(F.col("task").contains("repair")).alias("repairs"), F.sum("completion_tokens").alias("completion_tokens"), F.round(F.sum("latency_ms"), 3).alias("latency_ms"))
+    y = x.groupingSets([["role"], ["phase"], ["task"], []], "role", "phase", "task").agg(F.grouping_id().alias("g"), _rows().alias("calls"), F.countDistinct("provider_call_uid").alias("provider_calls"), F.round(F.avg("batch"), 6).alias("mean_batch"), F.max("batch").alias("max_batch"), F.count_if(F.col("task").contains("repair")).alias("repairs"), F.sum("completion_tokens").alias("completion_tokens"), F.round(F.sum("latency_ms"), 3).alias("latency_ms"))
     level = F.when(F.col("g") == 3, "role").when(F.col("g") == 5, "phase").when(F.col("g") == 6, "task").when(F.col("g") == 7, "all")
     return y.withColumn("level", level).where("level is not null").select("level", F.coalesce("role", "phase", "task", F.lit("all")).alias("name"), "calls", "provider_calls", "mean_batch", "max_batch", "repairs", "completion_tokens", "latency_ms")
 

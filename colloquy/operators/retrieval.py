@@ -20,7 +20,7 @@ def flat_lexical_rank(queries: DataFrame, messages: DataFrame) -> DataFrame:
 def budget_prefix(ranked: DataFrame, budget: int, most: int) -> DataFrame:
     """The rows of each ranking before the running sum of tokens first passes the budget, ``most`` at most."""
     run = F.sum("tokens").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("used", run).where((F.col("used") <= budget) & (F.col("rank") <= most))
+    return ranked.where(F.col("rank") <= most).withColumn("used", run).where(F.col("used") <= budget)
 
 
 def evidence_recall(selected: DataFrame, gold: DataFrame, queries: DataFrame) -> DataFrame:

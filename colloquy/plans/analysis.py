@@ -14,7 +14,7 @@ _DRIFT = "SELECT trajectory_id, count(*) AS length, round((CASE WHEN count(*) =
 _BUCKET = "CASE WHEN length = 1 THEN 'singleton' WHEN ht >= 0.7 THEN 'stable' WHEN ht >= 0.55 THEN 'mild' WHEN ht >= 0.4 THEN 'moderate' ELSE 'possible_drift' END"
 _TWO = "FROM (SELECT * FROM fx_outcomes WHERE variant = 'v1') x JOIN (SELECT * FROM fx_outcomes WHERE variant = 'v2') y ON x.query_id = y.query_id"
 _NEEDED = "SELECT g.query_id, max(s.version)::BIGINT AS required_rank FROM fx_gold g JOIN fx_snapshots s ON g.sample_id = s.sample_id AND g.source_ref = s.source_ref GROUP BY g.query_id"
-PRICES, ENVELOPE = {"backbone": (0.15, 0.6)}, 2500
+ENVELOPE = 2500
 
 
 def _of(name: str, sql: str, view: str, op):
