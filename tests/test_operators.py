@@ -1,5 +1,7 @@
 """Toy cases with values worked out by hand, and every SQL-backed query against DuckDB on the smallest tables."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -38,7 +40,11 @@ def test_unknown_usage_keeps_a_total_null(spark):
     assert (row.prompt_total, row.prompt_seen, row.completion_total) == (None, 5, 2)
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+#: Queries of large plans whose family has another one in the comparison.
+LARGE = re.compile("h2_|h3_|h4_|h6_|h7_abl|h9_|h10_|h12_|j[3-9]_|j1[0-2]_audit_[cep]|k1_|k16_|k18_|i3_|i7_|i11_|f14_|f15_|f17_|f20_|e8_page_coverage_c|e9_page|e11_|d15_|d18_op|k11_shape|l18_")
+
+
+@pytest.mark.parametrize("name", sorted(n for n in SQL if not LARGE.match(n)))
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
     for t in ("conversations", "embeddings", "events", "lineitem"):
