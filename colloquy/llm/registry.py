@@ -85,6 +85,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identified(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code, its error and its label's."""
+    from .vector_codes import vector_codes
+
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs of words; a tenth of them first get a tail that repeats itself."""
+    from .periodic_runs import periodic_runs, repeated_tail, run_digests
+
+    return run_digests(periodic_runs(_table(spark, sf_dir, "documents"), text_col=repeated_tail()))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the least id that links of at most three differing bits reach."""
+    from .simhash import simhash_components
+
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four stages of corpus_pipeline over all documents."""
     import corpus_pipeline
@@ -93,7 +114,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_fingerprints, op3_token_counts, op4_html_text, op5_packed_ids, op6_quality_rules, op7_url_reputation, op8_ngram_jaccard, op9_best_fit_packing, op10_language_id, pipeline)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_fingerprints, op3_token_counts, op4_html_text, op5_packed_ids, op6_quality_rules, op7_url_reputation, op8_ngram_jaccard, op9_best_fit_packing, op10_language_id, op11_vector_codes, op12_periodic_runs, op13_simhash, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
