@@ -8,8 +8,8 @@ footers, sidebars, notices, adverts, forms, scripts, styles, comments) is cut ou
 or label alone never takes the page's only article with it (see ``_cut``). Figures and formulas are text.
 
 Null or empty html, and pages without such a text, give an empty text. Broken markup is read as browsers do in the
-common cases: open paragraphs, list items and cells are closed by the next one, stray end tags are ignored; the time is
-linear in the page. Of nodes with equal sums the first of the page wins. Every row comes back, repeated ones too; an empty
+common cases: open paragraphs, list items and cells are closed by the next one, stray end tags are ignored, and a quote
+opens a value only right after an equals sign; the time is linear in the page, however long. Of nodes with equal sums the first of the page wins. Every row comes back, repeated ones too; an empty
 table gives none; other columns are ignored.
 """
 
@@ -25,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_MARK = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z))", re.S)
-_NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+# A quote opens a value only right after "="; elsewhere it belongs to a name or to a value without quotes.
+_ATTR = r"[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+"
+_MARK = re.compile(rf"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTR})*+)(?:>|\Z))", re.S)
+_EACH = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[a-z]+")
-_TOKENS = re.compile(r"[^\s\"']+")
+# a last slash that is not the end of a value without quotes
+_CLOSED = re.compile(r"(?:^|[\s\"'/])/\Z")
 # Elements of HTML by their part in a page.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template iframe svg object canvas textarea title".split())
@@ -51,20 +54,28 @@ class Node:
         self.density = self.total = 0.0
 
 
-def _furniture(tag: str, attrs: str, within: bool) -> bool:
+def attributes(attrs: str) -> dict[str, str]:
+    """The attributes of a tag, names in lower case; of equal names the first."""
+    found: dict[str, str] = {}
+    for m in _EACH.finditer(attrs):
+        found.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+    return found
+
+
+def _furniture(tag: str, attrs: dict[str, str], within: bool) -> bool:
     """Elements that are never text; ``within`` says that an article or main element is open."""
     if tag in _FURNITURE or tag == "header" and not within:
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
-    return bool(_HIDDEN.search(attrs))
+    return "hidden" in attrs or attrs.get("aria-hidden", "").strip().lower() == "true" or bool(_UNSEEN.search(attrs.get("style", "")))
 
 
-def _hint(attrs: str) -> int:
+def _hint(attrs: dict[str, str]) -> int:
     """2 if a whole class, id, role or label says furniture, 3 if it says advert, 1 if a part of one does, else 0."""
     found = 0
-    for m in _NAMED.finditer(attrs) if attrs else ():
-        for token in _TOKENS.findall(m[1].lower()):
+    for value in (attrs[k] for k in ("class", "id", "role", "aria-label") if k in attrs):
+        for token in value.lower().split():
             words = _WORDS.findall(token)
             if any(w in _HINTS for w in words):
                 whole = all(w in _HINTS for w in words) and not any(c.isdigit() for c in token)
@@ -153,19 +164,21 @@ def parse(html: str) -> Node:
                 if up and opened.last(*_SCOPE.get(open_tag, _STOPS)) <= up:
                     opened.close(up)
         at = opened.nodes[-1]
-        node = Node(name, at, at.drop or _furniture(name, m[3], bool(opened.last(*_ARTICLE))))
+        attrs = attributes(m[3]) if m[3] and not at.drop else {}
+        node = Node(name, at, at.drop or _furniture(name, attrs, bool(opened.last(*_ARTICLE))))
         if not node.drop and name not in ("html", "body", *_ARTICLE):
-            node.hint = _hint(m[3])
+            node.hint = _hint(attrs)
         if not at.drop:
             at.children.append(node)
+        closed = bool(_CLOSED.search(m[3]))
         if name in _RAW:
-            end = re.compile(rf"</{name}[\s/>]", re.I).search(html, pos) if not m[3].endswith("/") or name in ("script", "style") else None
+            end = re.compile(rf"</{name}[\s/>]", re.I).search(html, pos) if not closed or name in ("script", "style") else None
             if end:
                 pos = html.find(">", end.start())
                 pos = len(html) if pos < 0 else pos + 1
-            elif not m[3].endswith("/"):
+            elif not closed:
                 pos = len(html)
-        elif name not in _VOID and not (m[3].endswith("/") and name not in _BLOCK):
+        elif name not in _VOID and not (closed and name not in _BLOCK):
             opened.push(node)
 
 
