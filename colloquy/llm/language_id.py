@@ -5,7 +5,7 @@ Features are hashed byte n-grams (2, 3 and 4) of the lower-cased text with every
 of the text's n-grams; a score is the mean of a weight over a text's n-grams, so a whole column is scored in numpy
 without a matrix. The SVMs are fitted in the dual on a bounded sample: of the ``LANGUAGES`` languages with the most
 documents (ties by name) at most ``PER_LANGUAGE`` texts each and ``IN_ALL`` together, those with the least hash of their id
-(ties by id). The Gram matrix on the driver has ``IN_ALL`` rows at most. Every text is then scored, a very long one as a
+(ties by id); of rows with one id and language, the least text. The Gram matrix on the driver has ``IN_ALL`` rows at most. Every text is then scored, a very long one as a
 whole; of equally good languages the first by name is taken.
 
 Nulls: a null text, or one without letters, is ``und`` with score 0; a null language or id is never learned from.
@@ -171,14 +171,16 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fits the model on a bounded sample: at most ``per_language`` documents of each language, ``IN_ALL`` of all."""
     ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", "lang")
     largest = [r[0] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    ids, per_language = ids.where(F.col("lang").isin(largest)), min(per_language, IN_ALL // max(1, len(largest)))
+    # ids that repeat count once: the sample is bounded in rows
+    ids, per_language = ids.where(F.col("lang").isin(largest)).distinct(), min(per_language, IN_ALL // max(1, len(largest)))
     least = lambda x, *by: x.withColumn("k", F.row_number().over(Window.partitionBy("lang", *by).orderBy("o", "doc_id"))).where(F.col("k") <= per_language)
     # first in shares of each language, so that no task ranks a whole language
     shares = least(ids.withColumn("o", F.xxhash64("doc_id")).withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARES))), "share")
-    chosen = stage(least(shares.select("doc_id", "lang", "o")).select("doc_id", "lang").distinct(), "sample")
+    chosen = stage(least(shares.select("doc_id", "lang", "o")).select("doc_id", "lang"), "sample")
     texts = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(small(chosen, 48), ["doc_id", "lang"], "left_semi")
-    made = texts.select("lang", "text").where(F.col("text").rlike(r"\p{L}")).mapInArrow(_shares, "lang string, shares binary")
-    rows = sorted(made.collect())  # at most per_language rows of 24 KB for each language
+    one = texts.where(F.col("text").rlike(r"\p{L}")).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    made = one.select("lang", "text").mapInArrow(_shares, "lang string, shares binary")
+    rows = sorted(made.collect())  # at most per_language rows of 24 KB for each language, whatever repeats
     x = np.empty((len(rows), len(LENGTHS) * BUCKETS), np.float32)
     for k, r in enumerate(rows):
         x[k] = np.frombuffer(r[1], np.float16)
