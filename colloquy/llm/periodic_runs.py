@@ -219,14 +219,13 @@ def repeated_tail(id_col: str = "doc_id", text_col: str = "text") -> Column:
     With g the tenth of that number, n words, a = g % n and p = 1 + (n - a) div (3 + g % 8), each word i from a on is the
     original word a + (i - a) % p. A null id, a null text or one without words stays as it is.
     """
-    words = F.filter(F.split(text_col, SPACE), lambda w: w != "")
+    let = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  computed once a row, not once a word
     h = F.crc32(F.col(id_col).cast("string"))
     g = F.floor(h / 10)
-    n = F.size(words)
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    at = lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
-    made = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), n - 1), at))
+    words = F.filter(F.split(text_col, SPACE), lambda w: w != "")
+    bounds = lambda w: F.struct(w.alias("words"), (g % F.size(w)).alias("a"), (1 + F.floor((F.size(w) - g % F.size(w)) / (3 + g % 8))).alias("p"))
+    word = lambda x, i: F.get(x["words"], F.when(i < x["a"], i).otherwise(x["a"] + (i - x["a"]) % x["p"]).cast("int"))
+    made = let(let(words, bounds), lambda x: F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.size(x["words"]) - 1), lambda i: word(x, i))))
     return F.when((h % 10 == 0) & F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), made).otherwise(F.col(text_col))
 
 
