@@ -41,6 +41,10 @@ VIEWS = {
     # English answers to the questions of the notes
     "fx_note_answers": "SELECT query_id, sample_id, question, CASE query_id%3 WHEN 0 THEN 'hiking, painting and chess' WHEN 1 THEN '3 books' ELSE 'green' END AS gold_answer, CASE query_id%5 WHEN 0 THEN 'painting; chess' WHEN 1 THEN 'At least 3 books, retrieved evidence confirms' WHEN 2 THEN 'hiking, painting, chess and pottery' WHEN 3 THEN 'green or blue' ELSE 'some activities' END AS answer_text, CASE query_id%4 WHEN 0 THEN 'correct' WHEN 1 THEN 'partial' ELSE 'incorrect' END AS verdict FROM fx_asks",
     "fx_asks": "SELECT sample_id, message_id AS query_id, phrase AS question FROM fx_phrases WHERE message_id%8 IN (2,6)",
+    # freely combined English sayings with their speakers, claims made of them, and each claim's sources: its own saying and the one before
+    "fx_sayings": """SELECT event_id AS message_id, user_id AS sample_id, CASE event_id%4 WHEN 0 THEN 'Anna' WHEN 1 THEN 'Ben Carter' WHEN 2 THEN NULL ELSE 'Dora' END AS speaker, concat(CASE event_id%26 WHEN 0 THEN 'I play the guitar and my sister has a violin' WHEN 1 THEN 'I baked a chocolate cake with walnut cookies' WHEN 2 THEN 'My home country, Sweden, is cold in winter' WHEN 3 THEN 'I am reading "The Silent Patient" again' WHEN 4 THEN 'Anna and I went to New York last month' WHEN 5 THEN 'I researched adoption agencies last week' WHEN 6 THEN 'I am a single parent of two kids' WHEN 7 THEN 'As a transgender woman I gave a talk' WHEN 8 THEN 'We saw abstract art at the Museum of Modern Art' WHEN 9 THEN 'I joined a car modification workshop' WHEN 10 THEN 'I just returned from San Francisco yesterday' WHEN 11 THEN 'I enjoy hiking, painting and chess' WHEN 12 THEN 'My favorite dish is lemon pasta because it is quick' WHEN 13 THEN 'I signed up for a pottery class on Monday' WHEN 14 THEN 'Thanks, Ben Carter! Okay, see you soon' WHEN 15 THEN 'I painted a sunset with the rainbow flag' WHEN 16 THEN 'We visited the car show museum two years ago' WHEN 17 THEN 'We started a road trip three days ago and it was great' WHEN 18 THEN 'Our school event was a parade' WHEN 19 THEN 'I finished The Great Gatsby and read twice' WHEN 20 THEN 'I took the military aptitude test today' WHEN 21 THEN 'Running helps me destress' WHEN 22 THEN 'She likes It Ends With Us, of course' WHEN 23 THEN 'I moved to Lake Tahoe; Lake Tahoe is my favorite place' WHEN 24 THEN 'The books are Dune, Emma and Ulysses' WHEN 25 THEN 'Hey, it''s nothing, really' END, '. ', CASE (CAST(floor(event_id/26) AS BIGINT)*7+event_id)%26 WHEN 0 THEN 'I play the guitar and my sister has a violin' WHEN 1 THEN 'I baked a chocolate cake with walnut cookies' WHEN 2 THEN 'My home country, Sweden, is cold in winter' WHEN 3 THEN 'I am reading "The Silent Patient" again' WHEN 4 THEN 'Anna and I went to New York last month' WHEN 5 THEN 'I researched adoption agencies last week' WHEN 6 THEN 'I am a single parent of two kids' WHEN 7 THEN 'As a transgender woman I gave a talk' WHEN 8 THEN 'We saw abstract art at the Museum of Modern Art' WHEN 9 THEN 'I joined a car modification workshop' WHEN 10 THEN 'I just returned from San Francisco yesterday' WHEN 11 THEN 'I enjoy hiking, painting and chess' WHEN 12 THEN 'My favorite dish is lemon pasta because it is quick' WHEN 13 THEN 'I signed up for a pottery class on Monday' WHEN 14 THEN 'Thanks, Ben Carter! Okay, see you soon' WHEN 15 THEN 'I painted a sunset with the rainbow flag' WHEN 16 THEN 'We visited the car show museum two years ago' WHEN 17 THEN 'We started a road trip three days ago and it was great' WHEN 18 THEN 'Our school event was a parade' WHEN 19 THEN 'I finished The Great Gatsby and read twice' WHEN 20 THEN 'I took the military aptitude test today' WHEN 21 THEN 'Running helps me destress' WHEN 22 THEN 'She likes It Ends With Us, of course' WHEN 23 THEN 'I moved to Lake Tahoe; Lake Tahoe is my favorite place' WHEN 24 THEN 'The books are Dune, Emma and Ulysses' WHEN 25 THEN 'Hey, it''s nothing, really' END, '.') AS text FROM events""",
+    "fx_saying_claims": "SELECT sample_id, message_id AS owner_id, CASE message_id%5 WHEN 0 THEN concat('The user said: ', text) WHEN 1 THEN concat('Anna said that ', text) WHEN 2 THEN replace(text, 'I ', 'Ben Carter''s friend ') ELSE text END AS text FROM fx_sayings",
+    "fx_saying_sources": "SELECT message_id AS owner_id, 1 AS position, speaker, text FROM fx_sayings UNION ALL SELECT owner_id, 2, speaker, text FROM (SELECT lead(message_id) OVER (PARTITION BY sample_id ORDER BY message_id) AS owner_id, speaker, text FROM fx_sayings) z WHERE owner_id IS NOT NULL",
 }
 
 
