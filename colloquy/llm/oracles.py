@@ -5,7 +5,11 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 _BEYOND = "{x} > q.{m}[3] * pow(greatest(q.{m}[3] / q.{m}[1], 1.02::DOUBLE), {k})"
 _FOUR = "quantile_disc(ms, [0.25, 0.5, 0.75]) AS ms, quantile_disc(ml, [0.25, 0.5, 0.75]) AS ml, quantile_disc(mr, [0.25, 0.5, 0.75]) AS mr, quantile_disc(mc, [0.25, 0.5, 0.75]) AS mc"
-_PICK = ", ".join(f"CASE WHEN own.n >= 200 AND own.{m}[1] < own.{m}[3] THEN own.{m} WHEN up.n >= 200 AND up.{m}[1] < up.{m}[3] THEN up.{m} WHEN a.{m}[1] < a.{m}[3] THEN a.{m} END AS {m}" for m in ("ms", "ml", "mr", "mc"))
+_FITS = "CASE WHEN {t}.{m}[1] < {t}.{m}[3] THEN {t}.{m} END"
+_BLEND = "CASE WHEN {own} IS NULL THEN {up} WHEN {up} IS NULL THEN {own} ELSE [({own}[1] * {n} + {up}[1] * 16) / ({n} + 16), ({own}[2] * {n} + {up}[2] * 16) / ({n} + 16), ({own}[3] * {n} + {up}[3] * 16) / ({n} + 16)] END"
+_LEVELS = ", ".join(f"{_FITS.format(t=t, m=m)} AS {t}_{m}" for t in ("own", "up", "a") for m in ("ms", "ml", "mr", "mc"))
+_UPPER = ", ".join(f"{_BLEND.format(own=f'up_{m}', up=f'a_{m}', n='n_up')} AS l_{m}" for m in ("ms", "ml", "mr", "mc"))
+_PICK = ", ".join(f"{_BLEND.format(own=f'own_{m}', up=f'l_{m}', n='n_own')} AS {m}" for m in ("ms", "ml", "mr", "mc"))
 
 _QUALITY = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
@@ -22,7 +26,8 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text
   own AS (SELECT lang, source, count(*) AS n, {_FOUR} FROM seen GROUP BY lang, source),
   up AS (SELECT lang, count(*) AS n, {_FOUR} FROM seen GROUP BY lang),
   a AS (SELECT {_FOUR} FROM seen),
-  q AS (SELECT own.lang, own.source, {_PICK} FROM own JOIN up ON own.lang IS NOT DISTINCT FROM up.lang CROSS JOIN a)
+  lv AS (SELECT own.lang, own.source, own.n AS n_own, up.n AS n_up, {_LEVELS} FROM own JOIN up ON own.lang IS NOT DISTINCT FROM up.lang CROSS JOIN a),
+  q AS (SELECT lang, source, {_PICK} FROM (SELECT *, {_UPPER} FROM lv))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(
     {_BEYOND.format(x="(word_chars + 10 * q.mc[2]) / (n_words + 10)", m="mc", k=3)} OR (word_chars + 10 * q.mc[2]) / (n_words + 10) < q.mc[1] / pow(greatest(q.mc[3] / q.mc[1], 1.02::DOUBLE), 3), false)
     AND NOT coalesce(n_symbols > 0 AND {_BEYOND.format(x="f.ms", m="ms", k=3)}, false) AND NOT coalesce(n_dup_lines > 0 AND {_BEYOND.format(x="f.ml", m="ml", k=2)}, false) AND NOT coalesce(n_repeat_words > 0 AND {_BEYOND.format(x="f.mr", m="mr", k=3)}, false) AS kept

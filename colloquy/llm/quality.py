@@ -11,8 +11,8 @@ has none. Up to a quarter of a group may be junk at either end without moving it
 a fence of its own group. For the word length it is read with ``STEADY`` more words of the group's median length, as the
 mean of a few words varies; a document without any symbol, duplicate line or repeated word is never rejected for that.
 
-A group with few documents, or whose quartiles are equal (copies of one text), takes its language's quartiles, and a
-language of that kind the corpus's; if even those are equal, there is no fence. ``LEAST_RATIO`` is far below the spread of
+A group's quartiles are drawn towards its language's, and those towards the corpus's, as if the level above were ``PRIOR`` more
+documents: no size is a switch. A level whose quartiles are equal (copies of one text) is passed over; if all are, there is no fence. ``LEAST_RATIO`` is far below the spread of
 different texts: it only keeps a group of nearly equal texts from rejecting all others.
 
 The texts are read once: measures are written to the shared folder, and sketches and verdicts are made from them.
@@ -38,8 +38,9 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 REACH = {"symbols": 3, "lines": 2, "repeats": 3, "length": 3}
 #: Words of median length that are added to a text before its mean length is judged.
 STEADY = 10
-#: Documents that a group needs for fences of its own, and the least interquartile ratio.
-MIN_GROUP, LEAST_RATIO = 200, 1.02
+#: Documents that the quartiles of the level above weigh as much as: of 16, a quartile is off by a quarter of the interquartile
+#: range (1.36 sigma / sqrt(n)); and the least interquartile ratio.
+PRIOR, LEAST_RATIO = 16, 1.02
 #: Accuracy of the sketches: about 50 KB each at most, exact below this many documents.
 SKETCH_K = 2048
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -121,9 +122,15 @@ def quartiles(measured: DataFrame) -> DataFrame:
     x = named(group, "g").join(named(lang, "l").withColumnRenamed("lang", "__up"), F.col("lang").eqNullSafe(F.col("__up"))).crossJoin(F.broadcast(named(every, "a")))  # one row
 
     def pick(m: str) -> Column:
-        differ = lambda tag: F.col(f"{m}_{tag}.q1") < F.col(f"{m}_{tag}.q3")
-        own, up = (F.col("n_g") >= MIN_GROUP) & differ("g"), (F.col("n_l") >= MIN_GROUP) & differ("l")
-        return F.when(own, F.col(f"{m}_g")).when(up, F.col(f"{m}_l")).when(differ("a"), F.col(f"{m}_a"))
+        """The group's quartiles drawn towards its language's, and those towards the corpus's, the less the more documents
+        they stand on; a level with equal quartiles says nothing."""
+        fits = lambda tag: F.when(F.col(f"{m}_{tag}.q1") < F.col(f"{m}_{tag}.q3"), F.col(f"{m}_{tag}"))
+
+        def blend(own: Column, up: Column, n: str) -> Column:
+            mixed = F.struct(*(((own[q] * F.col(n) + up[q] * PRIOR) / (F.col(n) + PRIOR)).alias(q) for q in ("q1", "q2", "q3")))
+            return F.when(own.isNull(), up).when(up.isNull(), own).otherwise(mixed)
+
+        return blend(fits("g"), blend(fits("l"), fits("a"), "n_l"), "n_g")
 
     return x.select("lang", "source", *(pick(m).alias(m) for m in REACH))
 
