@@ -6,7 +6,7 @@ _WORD = r"[^\x20\x09-\x0D]+"
 _BEYOND = "{x} > q.{m}[3] * pow(greatest(q.{m}[3] / q.{m}[1], 1.02::DOUBLE), {k})"
 _FOUR = "quantile_disc(ms, [0.25, 0.5, 0.75]) AS ms, quantile_disc(ml, [0.25, 0.5, 0.75]) AS ml, quantile_disc(mr, [0.25, 0.5, 0.75]) AS mr, quantile_disc(mc, [0.25, 0.5, 0.75]) AS mc"
 _FITS = "CASE WHEN {t}.{m}[1] < {t}.{m}[3] THEN {t}.{m} END"
-_BLEND = "CASE WHEN {own} IS NULL THEN {up} WHEN {up} IS NULL THEN {own} ELSE [({own}[1] * {n} + {up}[1] * 16) / ({n} + 16), ({own}[2] * {n} + {up}[2] * 16) / ({n} + 16), ({own}[3] * {n} + {up}[3] * 16) / ({n} + 16)] END"
+_BLEND = "CASE WHEN {own} IS NULL THEN {up} WHEN {up} IS NULL THEN {own} ELSE [pow({own}[1], {n} / ({n} + 16)) * pow({up}[1], 16 / ({n} + 16)), pow({own}[2], {n} / ({n} + 16)) * pow({up}[2], 16 / ({n} + 16)), pow({own}[3], {n} / ({n} + 16)) * pow({up}[3], 16 / ({n} + 16))] END"
 _LEVELS = ", ".join(f"{_FITS.format(t=t, m=m)} AS {t}_{m}" for t in ("own", "up", "a") for m in ("ms", "ml", "mr", "mc"))
 _UPPER = ", ".join(f"{_BLEND.format(own=f'up_{m}', up=f'a_{m}', n='n_up')} AS l_{m}" for m in ("ms", "ml", "mr", "mc"))
 _PICK = ", ".join(f"{_BLEND.format(own=f'own_{m}', up=f'l_{m}', n='n_own')} AS {m}" for m in ("ms", "ml", "mr", "mc"))

@@ -127,7 +127,8 @@ def quartiles(measured: DataFrame) -> DataFrame:
         fits = lambda tag: F.when(F.col(f"{m}_{tag}.q1") < F.col(f"{m}_{tag}.q3"), F.col(f"{m}_{tag}"))
 
         def blend(own: Column, up: Column, n: str) -> Column:
-            mixed = F.struct(*(((own[q] * F.col(n) + up[q] * PRIOR) / (F.col(n) + PRIOR)).alias(q) for q in ("q1", "q2", "q3")))
+            # as geometric means: fences are ratios
+            mixed = F.struct(*((F.pow(own[q], F.col(n) / (F.col(n) + PRIOR)) * F.pow(up[q], F.lit(PRIOR) / (F.col(n) + PRIOR))).alias(q) for q in ("q1", "q2", "q3")))
             return F.when(own.isNull(), up).when(up.isNull(), own).otherwise(mixed)
 
         return blend(fits("g"), blend(fits("l"), fits("a"), "n_l"), "n_g")
