@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,36 +89,33 @@ def facet_owners(claims: DataFrame, wanted: DataFrame) -> DataFrame:
     return y.select("sample_id", "category", "surface", owner.alias("claim_id"), F.size(F.array_except("ids", F.array(owner))).alias("copied"))
 
 
-def claim_changes(claims: DataFrame, least: int = 2) -> DataFrame:
+def claim_changes(claims: DataFrame, least: int = 2, stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """What each version of a trajectory changed in the claims of the version before.
 
     ``claims``: trajectory_id, version, claim_id, text, status. A claim of equal normalised text keeps its id: KEEP, or
     DEPRECATE or REVISE if its status changed; another one REVISEs the unmatched claim before it that shares the most
     keywords, at least ``least`` (ties by id), else it is an ADD; what nothing replaces is CARRYed forward.
+
+    ``stage`` may write the matched versions, which are read three times, and give them back.
     """
     norm = normalize_answer(F.col("text"))
     nth = F.row_number().over(Window.partitionBy("trajectory_id", "version", "norm").orderBy("claim_id"))
     now = claims.select("trajectory_id", "version", "claim_id", "status", norm.alias("norm"), keywords(F.col("text")).alias("k")).withColumn("nth", nth)
-    # the next version that a trajectory has, so that its last one carries nothing forward
-    have = now.select("trajectory_id", "version").distinct()
-    old = now.select("trajectory_id", (F.col("version") + 1).alias("version"), F.col("claim_id").alias("old_id"), F.col("status").alias("old_status"), "norm", "nth", F.col("k").alias("old_k")).join(have, ["trajectory_id", "version"], "left_semi")
-    same = now.join(old.drop("old_k"), ["trajectory_id", "version", "norm", "nth"], "full_outer")
-    kept = same.where("claim_id is not null and old_id is not null")
-    op = F.when(F.col("status") == F.col("old_status"), "KEEP").when(F.col("status") == "deprecated", "DEPRECATE").otherwise("REVISE")
-    fresh, gone = same.where("old_id is null").select("trajectory_id", "version", "claim_id", "k"), same.where("claim_id is null").select("trajectory_id", "version", "old_id")
-    gone = gone.join(old.select("old_id", "old_k"), "old_id")
+    # an old claim counts in the version after its own, if its trajectory has that one
+    have = F.collect_set("version").over(Window.partitionBy("trajectory_id"))
+    old = now.withColumn("have", have).where("array_contains(have, version + 1)").select("trajectory_id", (F.col("version") + 1).alias("version"), F.col("claim_id").alias("old_id"), F.col("status").alias("old_status"), "norm", "nth", F.col("k").alias("old_k"))
+    same = stage(now.join(old, ["trajectory_id", "version", "norm", "nth"], "full_outer").select("trajectory_id", "version", "claim_id", "old_id", "status", "old_status", "k", "old_k"))
+    fresh, gone = same.where("old_id is null").select("trajectory_id", "version", "claim_id", "k"), same.where("claim_id is null").select("trajectory_id", "version", "old_id", "old_k")
     near = fresh.join(gone, ["trajectory_id", "version"]).withColumn("shared", F.size(F.array_intersect("k", "old_k"))).where(F.col("shared") >= least)
     # one claim replaces one: the best of both sides
     a = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("shared"), "old_id"))
     b = F.row_number().over(Window.partitionBy("old_id").orderBy(F.desc("shared"), "claim_id"))
-    near = near.withColumns({"a": a, "b": b}).where("a = 1 and b = 1").select("trajectory_id", "version", "claim_id", "old_id")
-    ids = ["trajectory_id", "version", "claim_id", "old_id"]
-    none = F.lit(None).cast("long")
-    return (
-        kept.select(*ids, op.alias("op")).unionByName(near.select(*ids, F.lit("REVISE").alias("op")))
-        .unionByName(fresh.join(near, "claim_id", "left_anti").select("trajectory_id", "version", "claim_id", none.alias("old_id"), F.lit("ADD").alias("op")))
-        .unionByName(gone.join(near, "old_id", "left_anti").select("trajectory_id", "version", none.alias("claim_id"), "old_id", F.lit("CARRY").alias("op")))
-    )
+    near = stage(near.withColumns({"a": a, "b": b}).where("a = 1 and b = 1").select("claim_id", F.col("old_id").alias("revised")))
+    new, replaced = near, near.select(F.col("revised").alias("old_id"), F.lit(1).alias("done"))
+    x = same.join(new, "claim_id", "left").join(replaced, "old_id", "left").where("done is null OR claim_id is not null")
+    changed = F.when(F.col("status") == F.col("old_status"), "KEEP").when(F.col("status") == "deprecated", "DEPRECATE").otherwise("REVISE")
+    op = F.when(F.col("claim_id").isNull(), "CARRY").when(F.col("old_id").isNotNull(), changed).when(F.col("revised").isNotNull(), "REVISE").otherwise("ADD")
+    return x.select("trajectory_id", "version", "claim_id", F.coalesce("old_id", "revised").alias("old_id"), op.alias("op"))
 
 
 def zero_claim_policy(snapshots: DataFrame, claims: DataFrame) -> DataFrame:

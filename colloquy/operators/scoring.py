@@ -148,14 +148,14 @@ def broad_cap(ranked: DataFrame, routed: DataFrame, cap: int) -> DataFrame:
     return x.withColumn("k", k).where(~F.col("only_broad") | (F.col("k") <= cap)).select("query_id", "trajectory_id", "only_broad")
 
 
-def snapshot_scores(x: DataFrame) -> DataFrame:
+def snapshot_scores(x: DataFrame, *more: str) -> DataFrame:
     """(query_id, question_vector, terms, entities, snapshot_id, trajectory_id, version, text, text_vector, names, values) ->
-    score: 0.75 dense + 0.15 lexical + 0.10 symbolic."""
+    score: 0.75 dense + 0.15 lexical + 0.10 symbolic; ``more`` columns stay."""
     met = lambda a, b: F.when(F.coalesce(F.arrays_overlap(a, b), F.lit(False)), 0.05).otherwise(0.0)
     symbolic = F.least(F.lit(0.10), met("entities", "names") + met("terms", "values"))
     dense = F.round(unit_cosine(F.col("question_vector"), F.col("text_vector")), 9)
     score = F.round(0.75 * dense + 0.15 * overlap(F.col("terms"), keywords(F.col("text"))) + 0.10 * F.least(F.lit(1.0), symbolic / 0.10), 6)
-    return x.select("query_id", "trajectory_id", "snapshot_id", "version", score.alias("score"))
+    return x.select("query_id", "trajectory_id", "snapshot_id", "version", score.alias("score"), *more)
 
 
 def update_linked(seeds: DataFrame, claims: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
@@ -179,7 +179,7 @@ def snapshot_budget(seeds: Column, listing: Column) -> Column:
     return F.greatest(F.when(listing, fit(8, 12, 18)).otherwise(fit(6, 10, 14)), seeds)
 
 
-def compact_snapshots(scored: DataFrame) -> DataFrame:
+def compact_snapshots(scored: DataFrame, *more: str) -> DataFrame:
     """(query_id, trajectory_id, snapshot_id, version, score, kind, place, listing): seeds in their place, then the best
     update-linked of each trajectory, other update-linked, and neighbours, within the budget. All rows come back, those
     beyond it with ``kept`` false."""
@@ -188,7 +188,7 @@ def compact_snapshots(scored: DataFrame) -> DataFrame:
     x = scored.withColumn("tier", tier).withColumn("seeds", F.count_if(F.col("kind") == "seed").over(Window.partitionBy("query_id")))
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("tier", "place", F.desc("score"), "version", F.desc("snapshot_id")))
     x = x.withColumn("order", order)
-    return x.withColumn("kept", F.col("order") <= snapshot_budget(F.col("seeds"), F.col("listing"))).select("query_id", "trajectory_id", "snapshot_id", "version", "kind", "tier", "order", "kept", "listing")
+    return x.withColumn("kept", F.col("order") <= snapshot_budget(F.col("seeds"), F.col("listing"))).select("query_id", "trajectory_id", "snapshot_id", "version", "kind", "tier", "order", "kept", "listing", *more)
 
 
 def compact_sources(kept: DataFrame, sources: DataFrame) -> DataFrame:
@@ -210,7 +210,8 @@ def compact_sources(kept: DataFrame, sources: DataFrame) -> DataFrame:
 def raw_rescue(questions: DataFrame, messages: DataFrame, prefilter: int = 80, few: int = 8, many: int = 12) -> DataFrame:
     """The messages of a question's sample that the words alone find: the ``prefilter`` best by shared keywords and terms in
     the text, then the best ``few`` (``many`` for a list) with the vectors' cosine; system turns only if nothing else is found."""
-    x = questions.join(messages.withColumn("text_vector", hash_embedding(F.col("content"))), "sample_id")
+    known = messages if "text_vector" in messages.columns else messages.withColumn("text_vector", hash_embedding(F.col("content")))
+    x = questions.join(known, "sample_id")
     hits = F.size(F.filter("terms", lambda t: F.contains(F.lower(F.col("content")), t)))
     x = x.withColumn("lexical", overlap(F.col("terms"), keywords(F.col("content"))) + F.least(F.lit(1.0), hits / 4)).where("lexical > 0")
     x = x.withColumn("plain", F.max((F.col("role") != "system").cast("int")).over(Window.partitionBy("query_id"))).where((F.col("role") != "system") | (F.col("plain") == 0))

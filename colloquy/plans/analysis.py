@@ -86,7 +86,7 @@ def _(v):
 
 @query("k2_topk_coverage", f"SELECT t.query_id, count(*) AS gold, count(*) FILTER (rnk <= 2) AS in_top, count(rnk) AS in_pool, round(count(*) FILTER (rnk <= 2) / count(*), 9) AS recall, count(rnk) = count(*) AS coverable FROM ({_GOLD}) t LEFT JOIN fx_ranked r ON r.query_id = t.query_id AND r.trajectory_id = t.trajectory_id GROUP BY t.query_id")
 def _(v):
-    return A.topk_coverage(v("fx_ranked"), R.gold_trajectories(v("fx_gold"), v("fx_snapshots")), 2)
+    return A.topk_coverage(v.table("fx_ranked"), R.gold_trajectories(v("fx_gold"), v("fx_snapshots")), 2)
 
 
 @query("d3_transition_shortlist", f"WITH c AS (SELECT fx_claims.*, version FROM fx_claims JOIN fx_snapshots USING (snapshot_id)) SELECT a.claim_id, b.claim_id AS previous_id, len(list_intersect({_KEYS.format('a.text')}, {_KEYS.format('b.text')})) AS shared, row_number() OVER (PARTITION BY a.claim_id ORDER BY shared DESC, b.claim_id) AS rank FROM c a JOIN c b ON a.trajectory_id = b.trajectory_id AND a.version = b.version + 1 WHERE shared > 0 QUALIFY rank <= 3")

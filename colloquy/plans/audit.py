@@ -28,15 +28,15 @@ def answers(v):
 
 
 def support(v):
-    return A.support_items(answers(v), v("fx_messages"))
+    return v.once("support_items", lambda: A.support_items(answers(v), v("fx_messages")))
 
 
 def context(v):
-    return A.context_claims(v("fx_expanded"), v("fx_claims"))
+    return v.once("context_claims", lambda: A.context_claims(v.table("fx_expanded"), v("fx_claims")))
 
 
 def audit(v):
-    return A.auditability(v("fx_answers"), labels(v), events(v), index(v), v("fx_page_members"), v("fx_messages"), support(v), context(v))
+    return v.once("audit", lambda: A.auditability(v("fx_answers"), labels(v), events(v), index(v), v("fx_page_members"), v("fx_messages"), support(v), context(v)))
 
 
 def packets(v):
@@ -173,8 +173,8 @@ query("j15_condition_kappa", f"{_SIDES}, n AS (SELECT condition, count(*) AS pai
 )
 
 query("d11_speaker_grounding_audit", "SELECT claim_id, regexp_matches(lower(source_text), '\\b(my|our|mine|ours)\\b') AND len(list_filter(regexp_extract_all(text, '\\b([A-Z][a-z]+)''s\\b', 1), lambda n: lower(n) <> lower(speaker))) > 0 AS suspect, regexp_matches(lower(text), '\\b(the user|the assistant)\\b') AS generic FROM fx_note_claims")(
-    lambda v: A.grounding(v("fx_note_claims"))
+    lambda v: A.grounding(v.table("fx_note_claims"))
 )
 query("b7_suppressed_claim_filter", "SELECT claim_id, CASE WHEN status = 'deprecated' THEN 'deprecated' WHEN contains(lower(source_text), 'my ') AND regexp_extract(text, '([A-Z][a-z]+)''s', 1) NOT IN ('', speaker) THEN 'speaker_suspect' END AS reason, reason IS NULL AS kept FROM fx_note_claims")(
-    lambda v: A.context_claims(v("fx_note_claims").selectExpr("sample_id AS query_id", "snapshot_id"), v("fx_note_claims").withColumn("source_ref", F.col("source_message_id")), A.grounding(v("fx_note_claims"))).select("claim_id", "reason", "kept")
+    lambda v: A.context_claims(v.table("fx_note_claims").selectExpr("sample_id AS query_id", "snapshot_id"), v.table("fx_note_claims").withColumn("source_ref", F.col("source_message_id")), A.grounding(v.table("fx_note_claims"))).select("claim_id", "reason", "kept")
 )

@@ -23,11 +23,11 @@ _CAND = r"""x AS (SELECT sample_id, message_id, phrase, nullif(regexp_extract(lo
 
 
 def wanted(v):
-    return B.candidates(v("fx_notes").select("sample_id", "message_id", F.col("phrase").alias("text")))
+    return B.candidates(v.table("fx_notes").select("sample_id", "message_id", F.col("phrase").alias("text")))
 
 
 def claims(v):
-    return v("fx_note_claims")
+    return v.table("fx_note_claims")
 
 
 _IDS = "array_to_string(ids, ' ')"
@@ -44,12 +44,13 @@ query("d16_fallback_claims", f"WITH {_CAND}, g AS (SELECT sample_id, surface, mi
     lambda v: B.fallback_claims(wanted(v)).withColumn("messages", M.shown("message_ids")).drop("message_ids")
 )
 query("d17_match_features", f"WITH {_CAND}, u AS (SELECT sample_id, surface, category, unnest(ids) AS m FROM ca) SELECT n.message_id, array_to_string(list_sort({_KEYS.format('n.phrase')}), ' ') AS terms, array_to_string(list_sort({_NAMES.format('n.phrase')}), ' ') AS names, coalesce(string_agg(DISTINCT surface, '|' ORDER BY surface), '') AS surfaces, coalesce(string_agg(DISTINCT category, '|' ORDER BY category), '') AS tags FROM fx_notes n LEFT JOIN u ON u.sample_id = n.sample_id AND u.m = n.message_id GROUP BY n.message_id, n.phrase")(
-    lambda v: B.match_features(v("fx_notes").withColumnRenamed("phrase", "text"), wanted(v), S.names_in(F.col("text"))).select("message_id", M.shown("terms").alias("terms"), M.shown("names").alias("names"), F.coalesce(F.array_join("surfaces", "|"), F.lit("")).alias("surfaces"), F.coalesce(F.array_join("tags", "|"), F.lit("")).alias("tags"))
+    lambda v: B.match_features(v.table("fx_notes").withColumnRenamed("phrase", "text"), wanted(v), S.names_in(F.col("text"))).select("message_id", M.shown("terms").alias("terms"), M.shown("names").alias("names"), F.coalesce(F.array_join("surfaces", "|"), F.lit("")).alias("surfaces"), F.coalesce(F.array_join("tags", "|"), F.lit("")).alias("tags"))
 )
 
 
 def changes(v):
-    return B.claim_changes(claims(v))
+    parts = iter("ab")
+    return v.once("claim_changes", lambda: B.claim_changes(claims(v), stage=lambda df: v.once(f"claim_changes_{next(parts)}", lambda: df)))
 
 
 _CHANGES = f"""n AS (SELECT trajectory_id, version, claim_id, status, {_NORM.format('text')} AS norm, {_KEYS.format('text')} AS k, row_number() OVER (PARTITION BY trajectory_id, version, {_NORM.format('text')} ORDER BY claim_id) AS nth FROM fx_note_claims),
@@ -96,19 +97,19 @@ query("d14_historical_evidence_card", f"WITH {_CARDS} SELECT cu.trajectory_id, s
 
 def incoming(v):
     text = F.col("phrase")
-    return v("fx_notes").select("sample_id", "message_id", keywords(text).alias("terms"), S.names_in(text).alias("names"))
+    return v.table("fx_notes").select("sample_id", "message_id", keywords(text).alias("terms"), S.names_in(text).alias("names"))
 
 
 query("d5_build_trajectories", None)(lambda v: B.build_trajectories(incoming(v), 6))
 query("d4_match_trajectory", f"""WITH o AS (SELECT sample_id, trajectory_id, {_KEYS.format("string_agg(phrase, ' ' ORDER BY version)")} AS words, {_KEYS.format("arg_max(phrase, version)")} AS latest FROM fx_notes WHERE version <= 3 GROUP BY ALL), i AS (SELECT sample_id, message_id, {_KEYS.format('phrase')} AS terms, {_NAMES.format('phrase')} AS names FROM fx_notes WHERE version = 4),
   x AS (SELECT i.message_id, o.trajectory_id, round(0.6::DOUBLE * len(list_intersect(terms, words)) / len(list_distinct(list_concat(terms, words))) + 0.2::DOUBLE * coalesce(len(list_intersect(terms, latest)) / nullif(len(list_distinct(list_concat(terms, latest))), 0), 0) + 0.2::DOUBLE * len(list_intersect(terms, words)) / len(terms) + CASE WHEN len(list_intersect(names, words)) > 0 THEN 0.10::DOUBLE ELSE 0 END, 9) AS score, row_number() OVER (PARTITION BY i.message_id ORDER BY len(list_intersect(terms, words)) + 2 * len(list_intersect(names, words)) DESC, o.trajectory_id) AS place FROM i JOIN o ON o.sample_id = i.sample_id WHERE len(list_intersect(terms, words)) > 0),
   b AS (SELECT message_id, trajectory_id, score FROM x WHERE place <= 32 QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY score DESC, trajectory_id) = 1) SELECT i.message_id, CASE WHEN score >= 0.72 THEN trajectory_id END AS trajectory_id, score FROM i LEFT JOIN b ON b.message_id = i.message_id""")(
-    lambda v: B.matched_trajectory(incoming(v).join(v("fx_notes").where("version = 4").select("message_id"), "message_id", "left_semi"), _open(v))
+    lambda v: B.matched_trajectory(incoming(v).join(v.table("fx_notes").where("version = 4").select("message_id"), "message_id", "left_semi"), _open(v))
 )
 
 
 def _open(v):
-    n = v("fx_notes").where("version <= 3").groupBy("sample_id", "trajectory_id").agg(F.array_join(M.ordered(F.col("phrase"), "version"), " ").alias("t"), F.max_by("phrase", "version").alias("l"))
+    n = v.table("fx_notes").where("version <= 3").groupBy("sample_id", "trajectory_id").agg(F.array_join(M.ordered(F.col("phrase"), "version"), " ").alias("t"), F.max_by("phrase", "version").alias("l"))
     return n.select("sample_id", "trajectory_id", keywords(F.col("t")).alias("words"), keywords(F.col("l")).alias("latest"))
 
 

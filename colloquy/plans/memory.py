@@ -16,15 +16,15 @@ _NUMBERS = "coalesce(array_to_string(list_sort(list_distinct(list({0}))), ' '),
 
 
 def index(v):
-    return M.memory_index(v("fx_snapshots"), v("fx_claims"), v("fx_page_members"))
+    return v.once("memory_index", lambda: M.memory_index(v("fx_snapshots"), v("fx_claims"), v("fx_page_members")))
 
 
 def events(v):
-    return M.retrieval_events(M.saved_events(v("fx_event_items")), v("fx_messages"))
+    return v.once("retrieval_events", lambda: M.retrieval_events(M.saved_events(v.table("fx_event_items")), v("fx_messages")))
 
 
 def labels(v):
-    return M.gold_labels(v("fx_queries"), v("fx_gold"), v("fx_snapshots"), v("fx_claims"), v("fx_page_members"))
+    return v.once("gold_labels", lambda: M.gold_labels(v("fx_queries"), v("fx_gold"), v("fx_snapshots"), v("fx_claims"), v("fx_page_members")))
 
 
 @query("a9_build_memory_index", f"WITH refs AS ({_REFS}), r AS (SELECT trajectory_id, {_LIST.format('source_ref')} AS source_refs FROM refs GROUP BY 1), p AS (SELECT trajectory_id, {_NUMBERS.format('page_id')} AS page_ids FROM fx_page_members WHERE page_type <> 'index' GROUP BY 1) SELECT sample_id, s.trajectory_id, count(*) AS length, string_agg(CAST(snapshot_id AS VARCHAR), ' ' ORDER BY version) AS snapshot_ids, source_refs, coalesce(page_ids, '') AS page_ids, string_agg(content, chr(10) ORDER BY version) AS text FROM fx_snapshots s JOIN r ON r.trajectory_id = s.trajectory_id LEFT JOIN p ON p.trajectory_id = s.trajectory_id GROUP BY sample_id, s.trajectory_id, source_refs, page_ids")
@@ -41,7 +41,7 @@ def _(v):
 
 
 query("a8_load_json_columns", "SELECT query_id, tier, CASE WHEN rnk % 2 = 1 THEN CAST(item_id AS VARCHAR) ELSE '' END AS ids FROM fx_event_items")(
-    lambda v: v("fx_event_items").select("query_id", "tier", M.shown(M.json_ids(F.when(F.col("rnk") % 2 == 1, F.concat(F.lit("["), F.col("item_id"), F.lit("]"))).otherwise("{not json"))).alias("ids"))
+    lambda v: v.table("fx_event_items").select("query_id", "tier", M.shown(M.json_ids(F.when(F.col("rnk") % 2 == 1, F.concat(F.lit("["), F.col("item_id"), F.lit("]"))).otherwise("{not json"))).alias("ids"))
 )
 query("b6_latest_claims", "SELECT trajectory_id, claim_id, status FROM fx_claims c WHERE snapshot_id = (SELECT arg_max(s.snapshot_id, s.version) FROM fx_snapshots s WHERE s.trajectory_id = c.trajectory_id)")(
     lambda v: M.latest_claims(v("fx_snapshots"), v("fx_claims"))
@@ -113,13 +113,13 @@ def direct(v):
 
 
 def items(v) -> dict:
-    sources = v("fx_event_items").where("tier = 'source'")
-    selected, ix = v("fx_ranked").where("rnk <= 2"), index(v)
+    sources = v.table("fx_event_items").where("tier = 'source'")
+    selected, ix = v.table("fx_ranked").where("rnk <= 2"), index(v)
     refs = M.snapshot_refs(v("fx_snapshots"), v("fx_claims"))
     depth = lambda m: M.depth_items(selected, v("fx_snapshots"), refs, m)
     return {
-        "full": M.full_items(v("fx_expanded"), sources), "no_pages_direct": M.direct_items(direct(v), ix), "pages_only": M.page_items(v("fx_page_ranks"), v("fx_page_members"), ix),
-        "flat_raw": M.flat_items(R.flat_lexical_rank(v("fx_queries"), v("fx_history")), v("fx_snapshots")), "snapshot_m1": depth(1), "snapshot_m2": depth(2), "source_supported_only": M.claim_items(v("fx_expanded"), v("fx_claims")),
+        "full": M.full_items(v.table("fx_expanded"), sources), "no_pages_direct": M.direct_items(direct(v), ix), "pages_only": M.page_items(v.table("fx_page_ranks"), v("fx_page_members"), ix),
+        "flat_raw": M.flat_items(R.flat_lexical_rank(v("fx_queries"), v("fx_history")), v("fx_snapshots")), "snapshot_m1": depth(1), "snapshot_m2": depth(2), "source_supported_only": M.claim_items(v.table("fx_expanded"), v("fx_claims")),
     }
 
 
@@ -132,7 +132,8 @@ for _name, _variant in (("h2_ablation_full", "full"), ("h3_ablation_direct", "no
 
 
 def grid(v):
-    return M.ablation_grid(M.all_items(list(items(v).values())), labels(v), GRID_CUTOFFS, GRID_BUDGETS)
+    every = v.once("ablation_items", lambda: M.all_items(list(items(v).values())))
+    return v.once("ablation_grid", lambda: M.ablation_grid(every, labels(v), GRID_CUTOFFS, GRID_BUDGETS))
 
 
 _RATE = "round(count(*) FILTER ({0}) / nullif(count({0}), 0), 9)"

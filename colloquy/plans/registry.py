@@ -11,7 +11,7 @@ from ..functions.text import cosine, estimate_tokens, keywords, normalize_answer
 from ..operators import dialogue as D
 from ..operators import evaluation as E
 from ..operators import retrieval as R
-from ..sources.fixtures import view, with_views
+from ..sources.fixtures import Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,10 +21,10 @@ DRAWS = 10_000
 
 
 def query(name: str, sql: str | None):
-    """Registers ``f(v)``, v giving a fixture view by name; ``sql`` is None where DuckDB can't express it."""
+    """Registers ``f(v)``, v being the fixture ``Views``; ``sql`` is None where DuckDB can't express it."""
 
     def keep(f):
-        QUERIES[name] = lambda spark, sf_dir: f(lambda v: view(spark, sf_dir, v))
+        QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
         if sql is not None:
             SQL[name] = with_views(sql)
         return f
@@ -117,7 +117,7 @@ def _(v):
 
 @query("f29_cutoff_universe", "SELECT query_id, cutoff, count(DISTINCT trajectory_id) AS universe FROM fx_ranked JOIN (SELECT unnest([1, 2, 3, 5]) AS cutoff) ON rnk <= cutoff GROUP BY ALL")
 def _(v):
-    return R.cutoff_universe(v("fx_ranked"), CUTOFFS)
+    return R.cutoff_universe(v.table("fx_ranked"), CUTOFFS)
 
 
 @query("g2_g3_token_overlap", f"""WITH p AS (SELECT q.query_id AS id, list_filter(string_split({_NORM.format('h.content')}, ' '), lambda w: w <> '') AS p, list_filter(string_split({_NORM.format('q.question')}, ' '), lambda w: w <> '') AS g FROM fx_queries q JOIN fx_history h ON q.sample_id = h.sample_id AND h.turn_index = 0),
@@ -150,7 +150,7 @@ def _(v):
 
 @query("h13_trajectory_cutoff_curve", "WITH t AS (SELECT DISTINCT g.query_id, s.trajectory_id FROM fx_gold g JOIN fx_snapshots s ON g.sample_id = s.sample_id AND g.source_ref = s.source_ref), r AS (SELECT cutoff, t.query_id, avg(CASE WHEN k.rnk <= cutoff THEN 1.0 ELSE 0.0 END) AS r FROM t LEFT JOIN fx_ranked k ON k.query_id = t.query_id AND k.trajectory_id = t.trajectory_id CROSS JOIN (SELECT unnest([1, 2, 3, 5]) AS cutoff) GROUP BY ALL) SELECT cutoff, round(avg(r), 9) AS recall, round(avg(CASE WHEN r = 1 THEN 1.0 ELSE 0.0 END), 9) AS all_gold_rate, count(*) AS queries FROM r GROUP BY cutoff")
 def _(v):
-    return R.rank_recall(v("fx_ranked"), R.gold_trajectories(v("fx_gold"), v("fx_snapshots")), CUTOFFS)
+    return R.rank_recall(v.table("fx_ranked"), R.gold_trajectories(v("fx_gold"), v("fx_snapshots")), CUTOFFS)
 
 
 @query("i9_amortized_curve", f"WITH o AS (SELECT sum(CASE WHEN {_PHASE} = 'memory' THEN completion_tokens END) AS upfront, sum(CASE WHEN {_PHASE} <> 'memory' THEN completion_tokens END) / count(DISTINCT query_id) AS each_one FROM fx_calls) SELECT n, round((upfront + each_one * n) / n, 6) AS cost FROM o, (SELECT unnest([1, 10, 100]) AS n)")
@@ -165,7 +165,7 @@ def _(v):
 
 @query("k4_first_hit_rank", "SELECT t.query_id, min(r.rnk) AS first_rank FROM (SELECT DISTINCT g.query_id, s.trajectory_id FROM fx_gold g JOIN fx_snapshots s ON g.sample_id = s.sample_id AND g.source_ref = s.source_ref) t LEFT JOIN fx_ranked r ON r.query_id = t.query_id AND r.trajectory_id = t.trajectory_id GROUP BY t.query_id")
 def _(v):
-    return R.first_hit_rank(v("fx_ranked"), R.gold_trajectories(v("fx_gold"), v("fx_snapshots")))
+    return R.first_hit_rank(v.table("fx_ranked"), R.gold_trajectories(v("fx_gold"), v("fx_snapshots")))
 
 
 @query("k19_run_diff", "SELECT coalesce(a.verdict, 'missing') AS before, coalesce(b.verdict, 'missing') AS after, count(*) AS n FROM (SELECT * FROM fx_outcomes WHERE variant = 'v1') a FULL JOIN (SELECT * FROM fx_outcomes WHERE variant = 'v2') b ON a.query_id = b.query_id GROUP BY 1, 2")

@@ -68,7 +68,7 @@ def _(v):
 
 @query("f6_rank_fill", "WITH g AS (SELECT DISTINCT g.query_id, s.trajectory_id FROM fx_gold g JOIN fx_snapshots s ON g.sample_id = s.sample_id AND g.source_ref = s.source_ref), a AS (SELECT query_id, trajectory_id, 0 AS tier, trajectory_id AS pos FROM g UNION ALL SELECT r.query_id, r.trajectory_id, 1, rnk FROM fx_ranked r ANTI JOIN g ON g.query_id = r.query_id AND g.trajectory_id = r.trajectory_id) SELECT query_id, trajectory_id, row_number() OVER (PARTITION BY query_id ORDER BY tier, pos, trajectory_id) AS place FROM a QUALIFY place <= 3")
 def _(v):
-    return P.rank_fill(R.gold_trajectories(v("fx_gold"), v("fx_snapshots")), v("fx_ranked"), 3)
+    return P.rank_fill(R.gold_trajectories(v("fx_gold"), v("fx_snapshots")), v.table("fx_ranked"), 3)
 
 
 @query("f27_budget_items", f"SELECT query_id, message_id, rank, CAST(least(tokens, 60 - before) AS BIGINT) AS kept, tokens > 60 - before AS truncated FROM (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({_RANKED})) WHERE before < 60")
@@ -96,9 +96,9 @@ def _(v):
 
 @query("h7_supported_claims", "SELECT query_id, count(*) AS claims, count(DISTINCT source_message_id) AS sources FROM fx_ranked r JOIN fx_claims c ON c.trajectory_id = r.trajectory_id WHERE rnk <= 2 AND source_message_id IS NOT NULL GROUP BY query_id")
 def _(v):
-    return P.supported_claims(v("fx_claims"), v("fx_ranked").where("rnk <= 2"))
+    return P.supported_claims(v("fx_claims"), v.table("fx_ranked").where("rnk <= 2"))
 
 
 @query("k10_cutoff_diagnostics", "WITH t AS (SELECT DISTINCT g.query_id, s.trajectory_id FROM fx_gold g JOIN fx_snapshots s ON g.sample_id = s.sample_id AND g.source_ref = s.source_ref), r AS (SELECT cutoff, t.query_id, avg(CASE WHEN k.rnk <= cutoff THEN 1.0 ELSE 0.0 END) AS r FROM t LEFT JOIN fx_ranked k ON k.query_id = t.query_id AND k.trajectory_id = t.trajectory_id CROSS JOIN (SELECT unnest([1, 2, 3, 5]) AS cutoff) GROUP BY ALL), c AS (SELECT cutoff, avg(r) AS a, avg(CASE WHEN r = 1 THEN 1.0 ELSE 0.0 END) AS b FROM r GROUP BY cutoff) SELECT level, min(cutoff) FILTER (a >= level AND b >= level) AS cutoff FROM c, (SELECT unnest([0.5, 0.95, 0.99])::DOUBLE AS level) GROUP BY level")
 def _(v):
-    return P.cutoff_choice(R.rank_recall(v("fx_ranked"), R.gold_trajectories(v("fx_gold"), v("fx_snapshots")), [1, 2, 3, 5]), [0.5, 0.95, 0.99])
+    return P.cutoff_choice(R.rank_recall(v.table("fx_ranked"), R.gold_trajectories(v("fx_gold"), v("fx_snapshots")), [1, 2, 3, 5]), [0.5, 0.95, 0.99])

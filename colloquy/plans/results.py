@@ -109,7 +109,7 @@ def _time_questions(v):
 
 
 query("k7_temporal_grounding", "WITH g AS (SELECT query_id, sample_id, source_ref, TRUE AS g FROM fx_gold), r AS (SELECT e.query_id, m.source_ref, e.item_id % 2 = 0 AS anchored FROM fx_event_items e JOIN fx_messages m ON m.message_id = e.item_id WHERE tier = 'source'), b AS (SELECT coalesce(g.query_id, r.query_id) AS query_id, coalesce(g.source_ref, r.source_ref) AS source_ref, g.g, r.anchored FROM g FULL JOIN r ON g.query_id = r.query_id AND g.source_ref = r.source_ref), y AS (SELECT b.query_id, bool_or(m.turn_index % 2 = 0) AS dated, coalesce(bool_or(anchored), FALSE) AS visible, coalesce(bool_and(anchored IS NOT NULL) FILTER (g), FALSE) AS whole FROM b JOIN fx_queries q ON q.query_id = b.query_id LEFT JOIN fx_messages m ON m.sample_id = q.sample_id AND m.source_ref = b.source_ref GROUP BY b.query_id) SELECT q.query_id, dated, visible, CASE WHEN dated IS NOT NULL THEN '' END AS terms, dated AND whole AND NOT visible AS anchor_missing FROM fx_queries q LEFT JOIN y ON y.query_id = q.query_id")(
-    lambda v: X.temporal_grounding(_time_questions(v), v("fx_gold"), v("fx_event_items").where("tier = 'source'").join(v("fx_messages").select(F.col("message_id").alias("item_id"), "source_ref"), "item_id").select("query_id", "source_ref", (F.col("item_id") % 2 == 0).alias("anchored")), v("fx_messages").withColumn("occurred_at", F.when(F.col("turn_index") % 2 == 0, "1 May, 2023")))
+    lambda v: X.temporal_grounding(_time_questions(v), v("fx_gold"), v.table("fx_event_items").where("tier = 'source'").join(v("fx_messages").select(F.col("message_id").alias("item_id"), "source_ref"), "item_id").select("query_id", "source_ref", (F.col("item_id") % 2 == 0).alias("anchored")), v("fx_messages").withColumn("occurred_at", F.when(F.col("turn_index") % 2 == 0, "1 May, 2023")))
 )
 _LAYER = lambda t: f"(SELECT coalesce(bool_or(contains({_NORM.format('t.text')}, {_NORM.format('a.gold_answer')})), FALSE) FROM ({t}) t WHERE t.sample_id = a.sample_id)"
 query("k8_preservation_stage", f"WITH s AS (SELECT query_id, verdict, {_LAYER('SELECT sample_id, text FROM fx_claims')} AS claims, {_LAYER('SELECT sample_id, content AS text FROM fx_snapshots WHERE version = 1')} AS summaries FROM fx_answers a WHERE gold_answer IS NOT NULL) SELECT query_id, claims, summaries, CASE WHEN NOT claims THEN 'storage_miss' WHEN NOT summaries THEN 'compression_miss_summaries' WHEN verdict <> 'correct' THEN 'answer_error' ELSE 'kept' END AS lost_at FROM s")(
@@ -180,8 +180,8 @@ def _weighted(v):
 
 _GT = f"SELECT DISTINCT g.query_id, r.trajectory_id FROM fx_gold g JOIN ({_REFS}) r ON r.sample_id = g.sample_id AND r.source_ref = g.source_ref"
 query("l19_cutoff_replay", f"WITH t AS ({_GT}), f AS (SELECT p.query_id, m.trajectory_id, min(p.rnk) AS pr FROM fx_page_ranks p JOIN fx_page_members m ON m.page_id = p.page_id GROUP BY ALL), d AS (SELECT query_id, max(rnk) AS deep FROM fx_page_ranks GROUP BY 1), x AS (SELECT t.query_id, pages, cutoff, max(deep) AS deep, avg(coalesce(pr <= pages AND k.rnk <= cutoff, FALSE)::INT) AS r FROM t LEFT JOIN f ON f.query_id = t.query_id AND f.trajectory_id = t.trajectory_id LEFT JOIN fx_ranked k ON k.query_id = t.query_id AND k.trajectory_id = t.trajectory_id LEFT JOIN d ON d.query_id = t.query_id, (SELECT unnest([1, 2]) AS pages), (SELECT unnest([1, 2, 4]) AS cutoff) GROUP BY ALL) SELECT pages, cutoff, count(*) AS queries, count(*) FILTER (deep >= pages) AS replayable, round(avg(r) FILTER (deep >= pages), 9) AS recall FROM x GROUP BY ALL")(
-    lambda v: X.cutoff_replay(v("fx_page_ranks"), v("fx_page_members"), v("fx_ranked"), R.gold_trajectories(v("fx_gold"), M.snapshot_refs(v("fx_snapshots"), v("fx_claims"))), [1, 2], [1, 2, 4])
+    lambda v: X.cutoff_replay(v.table("fx_page_ranks"), v("fx_page_members"), v.table("fx_ranked"), R.gold_trajectories(v("fx_gold"), M.snapshot_refs(v("fx_snapshots"), v("fx_claims"))), [1, 2], [1, 2, 4])
 )
 query("h13_page_cutoff_curve", f"WITH t AS (SELECT DISTINCT t.query_id, m.page_id FROM ({_GT}) t JOIN fx_page_members m ON m.trajectory_id = t.trajectory_id AND m.page_type <> 'index'), d AS (SELECT query_id, max(rnk) AS deep FROM fx_page_ranks GROUP BY 1), x AS (SELECT cutoff, t.query_id, avg(coalesce(p.rnk <= cutoff, FALSE)::INT) AS r, max(deep) AS deep FROM t LEFT JOIN fx_page_ranks p ON p.query_id = t.query_id AND p.page_id = t.page_id LEFT JOIN d ON d.query_id = t.query_id, (SELECT unnest([1, 2, 3]) AS cutoff) GROUP BY ALL) SELECT cutoff, count(*) FILTER (deep >= cutoff) AS observed, round(avg(r) FILTER (deep >= cutoff), 9) AS recall, round(avg((r = 1)::INT) FILTER (deep >= cutoff), 9) AS all_gold_rate FROM x GROUP BY cutoff")(
-    lambda v: X.page_curve(v("fx_page_ranks"), labels(v).select("query_id", F.explode("page_ids").alias("page_id")), [1, 2, 3])
+    lambda v: X.page_curve(v.table("fx_page_ranks"), labels(v).select("query_id", F.explode("page_ids").alias("page_id")), [1, 2, 3])
 )

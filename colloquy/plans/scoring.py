@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.answers import hash_embedding
 from ..functions.text import unit_cosine
+from ..operators import contexts as C
 from ..operators import memory as M
 from ..operators import retrieval as R
+from ..operators import retrieve as T
 from ..operators import scoring as S
 from .registry import _KEYS, query
 
@@ -34,12 +36,16 @@ _OVER = f"over_ AS (SELECT query_id, trajectory_id, round({_JAC.format('asked',
 _FUSE = "SELECT query_id, id, dense, sparse, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, dense DESC, sparse DESC, id DESC) AS rank FROM (SELECT *, 1 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, id DESC)) + 1 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY sparse DESC, id DESC)) AS fused FROM {0})"
 
 
+def claims(v):
+    return v.table("fx_note_claims")
+
+
 def asked(v):
-    return S.question_profiles(v("fx_asks"))
+    return v.once("questions", lambda: S.question_profiles(v("fx_asks")))
 
 
 def signals(v):
-    return S.trajectory_signals(v("fx_note_claims"))
+    return v.once("trajectory_signals", lambda: S.trajectory_signals(claims(v)))
 
 
 def matched(v):
@@ -67,7 +73,7 @@ query("f5_trajectory_score", f"WITH {_P}, {_F5} SELECT query_id, id AS trajector
 
 
 def pages(v):
-    n = v("fx_note_claims").withColumn("page_type", F.explode(F.array(F.lit("index"), F.lit("topic"))))
+    n = claims(v).withColumn("page_type", F.explode(F.array(F.lit("index"), F.lit("topic"))))
     n = n.withColumn("page_id", F.when(F.col("page_type") == "index", F.col("sample_id") * 10).otherwise(F.col("sample_id") * 10 + 1 + F.col("trajectory_id") % 3))
     return n.groupBy("sample_id", "page_id", "page_type").agg(F.array_join(M.ordered(F.col("text"), "claim_id"), " ").alias("text"), F.countDistinct("trajectory_id").alias("width"))
 
@@ -80,16 +86,46 @@ query("f2_page_score", f"""WITH {_Q}, {_PAGES}, p AS (SELECT q.*, pg.page_id, pg
   SELECT query_id, id AS page_id, dense, sparse, rank FROM ({_FUSE.format('d')})""")(lambda v: S.page_scores(asked(v), pages(v)))
 
 
-def routed(v):
-    x = S.pairs(asked(v).select("query_id", "sample_id"), signals(v).select("sample_id", "trajectory_id"))
-    return x.where("trajectory_id % 5 = query_id % 5").select("query_id", "trajectory_id")
+def members(v):
+    """Which topic pages list which trajectories."""
+    return claims(v).select("trajectory_id", (F.col("sample_id") * 10 + 1 + F.col("trajectory_id") % 3).alias("page_id")).distinct()
+
+
+def index_tables(v):
+    """The index that retrieval reads, each table written once."""
+    made = []
 
+    def table(name):
+        if not made:
+            made.append(T.build_index(claims(v), pages(v), members(v), v("fx_claim_edges"), v("fx_note_sources"), notes(v), 4))
+        return made[0][name]
 
-query("f9_index_fallback_expand", f"WITH {_P}, {_OVER}, own AS (SELECT query_id, trajectory_id FROM p WHERE trajectory_id % 5 = query_id % 5), n AS (SELECT query_id, count(*) AS n FROM own GROUP BY 1), rest AS (SELECT r.query_id, r.trajectory_id, row_number() OVER (PARTITION BY r.query_id ORDER BY score DESC, r.trajectory_id DESC) AS k FROM ranked r LEFT JOIN n ON n.query_id = r.query_id ANTI JOIN own ON own.query_id = r.query_id AND own.trajectory_id = r.trajectory_id WHERE score > 0 AND coalesce(n, 0) < 3) SELECT query_id, trajectory_id, 'page' AS origin FROM own UNION ALL SELECT query_id, trajectory_id, 'index' FROM rest WHERE k <= 24")(
+    return {name: v.once(f"index_{name}", lambda name=name: table(name)) for name in ("trajectories", "pages", "members", "snapshots", "linked", "sources", "messages")}
+
+
+def chosen(v):
+    """The best page of each question."""
+    return v.once("chosen_pages", lambda: T.ranked_pages(asked(v), index_tables(v)["pages"], BROAD).where("rank = 1"))
+
+
+def routed(v):
+    return chosen(v).join(members(v), "page_id").select("query_id", "trajectory_id", (F.col("width") > BROAD).alias("broad"))
+
+
+#: In these queries a question takes one page, a page is broad beyond three trajectories, and broad pages give two: so that each
+#: of the ways to a candidate is taken.
+BROAD = 3
+_CHOSEN = f"""{_PAGES}, pp AS (SELECT q.*, pg.page_id, pg.width, {_KEYS.format('pg.text')} AS have, {_NAMES.format('pg.text')} AS names, pg.text AS page FROM q JOIN pg ON pg.sample_id = q.sample_id),
+  ph AS (SELECT *, len(list_intersect(fam, have)) AS fh, len(list_intersect(terms, have)) AS qh, len(list_intersect(list_filter(terms, lambda w: NOT list_contains(entities, w)), have)) AS oh FROM pp),
+  pf AS (SELECT *, CASE WHEN family IS NULL THEN 0 ELSE round(least(1, least(0.48::DOUBLE, fh / len(fam) * 1.10::DOUBLE) + least(0.30::DOUBLE, qh * 0.08::DOUBLE) + least(0.30::DOUBLE, oh * 0.12::DOUBLE)), 9) END AS fs, CASE WHEN family IS NOT NULL AND fh = 0 AND qh = 0 AND oh = 0 THEN 0.25::DOUBLE ELSE 0 END AS mm FROM ph),
+  pd AS (SELECT query_id, page_id AS id, round({_COS.format('question', 'page')} + CASE WHEN {_MET.format('entities', 'names')} THEN 0.10::DOUBLE ELSE 0 END + CASE WHEN width <= {BROAD} THEN 0.05::DOUBLE ELSE 0 END + 0.08::DOUBLE * fs, 6) AS dense, round(greatest(0, {_JAC.format('terms', 'have')} + 0.60::DOUBLE * fs - 0.25::DOUBLE * mm), 6) AS sparse FROM pf),
+  sel AS (SELECT query_id, id AS page_id, rank FROM ({_FUSE.format('pd')}) WHERE rank = 1), mem AS (SELECT DISTINCT trajectory_id, sample_id * 10 + 1 + trajectory_id % 3 AS page_id FROM fx_note_claims),
+  rt AS (SELECT s.query_id, m.trajectory_id, bool_and(pg.width > {BROAD}) AS broad FROM sel s JOIN mem m ON m.page_id = s.page_id JOIN pg ON pg.page_id = s.page_id GROUP BY 1, 2)"""
+query("f9_index_fallback_expand", f"WITH {_P}, {_OVER}, {_CHOSEN}, n AS (SELECT query_id, count(*) AS n FROM rt GROUP BY 1), rest AS (SELECT r.query_id, r.trajectory_id, row_number() OVER (PARTITION BY r.query_id ORDER BY score DESC, r.trajectory_id DESC) AS k FROM ranked r LEFT JOIN n ON n.query_id = r.query_id ANTI JOIN rt ON rt.query_id = r.query_id AND rt.trajectory_id = r.trajectory_id WHERE score > 0 AND coalesce(n, 0) < 3) SELECT query_id, trajectory_id, 'page' AS origin FROM rt UNION ALL SELECT query_id, trajectory_id, 'index' FROM rest WHERE k <= 24")(
     lambda v: S.index_fallback(ranked(v), routed(v), 3, 24)
 )
-query("f10_broad_entity_cap", f"WITH {_P}, {_OVER}, own AS (SELECT query_id, trajectory_id, score, trajectory_id % 5 <> query_id % 5 AS only_broad FROM ranked) SELECT query_id, trajectory_id, only_broad FROM own QUALIFY NOT only_broad OR row_number() OVER (PARTITION BY query_id, only_broad ORDER BY score DESC, trajectory_id DESC) <= 6")(
-    lambda v: S.broad_cap(ranked(v), S.pairs(asked(v).select("query_id", "sample_id"), signals(v).select("sample_id", "trajectory_id")).selectExpr("query_id", "trajectory_id", "trajectory_id % 5 <> query_id % 5 AS broad"), 6)
+query("f10_broad_entity_cap", f"WITH {_P}, {_OVER}, {_CHOSEN}, own AS (SELECT r.query_id, r.trajectory_id, r.score, rt.broad AS only_broad FROM ranked r JOIN rt ON rt.query_id = r.query_id AND rt.trajectory_id = r.trajectory_id) SELECT query_id, trajectory_id, only_broad FROM own QUALIFY NOT only_broad OR row_number() OVER (PARTITION BY query_id, only_broad ORDER BY score DESC, trajectory_id DESC) <= 2")(
+    lambda v: S.broad_cap(ranked(v), routed(v), 2)
 )
 
 
@@ -109,7 +145,7 @@ query("f25_direct_trajectory_rank", f"""WITH {_P}, x AS (SELECT query_id, trajec
 def seeds(v, among=None):
     """The latest snapshot of each query's two best trajectories, of those ``among`` which it may choose, with their place."""
     x = matched(v) if among is None else matched(v).join(among, ["query_id", "trajectory_id"], "left_semi")
-    best = S.trajectory_scores(x).where("rank <= 2")
+    best = (S.trajectory_scores(x) if among is not None else v.once("trajectory_scores", lambda: S.trajectory_scores(x))).where("rank <= 2")
     return best.join(signals(v).select("trajectory_id", F.col("latest_snapshot_id").alias("snapshot_id")), "trajectory_id").select("query_id", "trajectory_id", "snapshot_id", F.col("rank").alias("place"))
 
 
@@ -120,7 +156,7 @@ _LINKED = f"""{_SEEDS}, ed AS (SELECT trajectory_id, claim_id AS a, other_id AS
 
 
 def linked(v, among=None):
-    return S.update_linked(seeds(v, among), v("fx_note_claims"), v("fx_claim_edges"), 4)
+    return S.update_linked(seeds(v, among), claims(v), v("fx_claim_edges"), 4)
 
 
 query("f14_expand_update_linked", f"WITH RECURSIVE {_LINKED} SELECT query_id, trajectory_id, snapshot_id FROM linked")(linked)
@@ -128,7 +164,11 @@ query("f14_expand_update_linked", f"WITH RECURSIVE {_LINKED} SELECT query_id, tr
 
 def expanded(v, among=None):
     """Seeds, update-linked snapshots and neighbours within one version, each with its kind and score."""
-    s, n = seeds(v, among), v("fx_note_claims")
+    return v.once("expanded", lambda: _expanded(v)) if among is None else _expanded(v, among)
+
+
+def _expanded(v, among=None):
+    s, n = seeds(v, among), claims(v)
     own = n.select("trajectory_id", "snapshot_id", "version")
     near = s.join(own.select("trajectory_id", "snapshot_id", F.col("version").alias("at")), ["trajectory_id", "snapshot_id"]).select("query_id", "trajectory_id", "at")
     near = near.join(own, "trajectory_id").where("abs(version - at) <= 1").select("query_id", "trajectory_id", "snapshot_id")
@@ -170,7 +210,7 @@ query("f19_raw_rescue", f"""WITH {_Q}, n AS (SELECT sample_id, message_id, phras
 
 
 def evidence(v):
-    s = seeds(v).join(v("fx_note_claims").where("status <> 'deprecated'").select("snapshot_id", "claim_id", "text"), "snapshot_id", "left")
+    s = seeds(v).join(claims(v).where("status <> 'deprecated'").select("snapshot_id", "claim_id", "text"), "snapshot_id", "left")
     return s.groupBy("query_id").agg(F.array_join(M.ordered(F.col("text"), "place"), " ").alias("texts"), F.count("text").alias("sources"), F.countDistinct("trajectory_id").alias("trajectories"), F.count("snapshot_id").alias("snapshots"), F.count("claim_id").alias("claims"))
 
 
@@ -193,3 +233,42 @@ def _(v):
 
 # the greedy loop has no SQL form; tests hold it against a plain loop
 query("f7_coverage_greedy", None)(lambda v: S.coverage_greedy(S.trajectory_scores(matched(v)).join(signals(v).select("trajectory_id", "names", "values", "items", "have"), "trajectory_id"), 3))
+
+
+_CANDIDATES = f"""{_P}, {_OVER}, {_CHOSEN}, ct AS (SELECT query_id, count(*) FILTER (NOT broad) + least(count(*) FILTER (broad), 2) AS n FROM rt GROUP BY 1),
+  ca AS (SELECT o.query_id, o.trajectory_id, o.score, CASE WHEN broad IS NULL THEN 'index' WHEN broad THEN 'broad' ELSE 'page' END AS origin FROM over_ o LEFT JOIN rt ON rt.query_id = o.query_id AND rt.trajectory_id = o.trajectory_id LEFT JOIN ct ON ct.query_id = o.query_id WHERE broad IS NOT NULL OR coalesce(n, 0) < 3),
+  cb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, origin ORDER BY score DESC, trajectory_id DESC) AS k FROM ca) WHERE k <= CASE origin WHEN 'page' THEN 1000000000 WHEN 'broad' THEN 2 ELSE 24 END AND (origin <> 'index' OR score > 0)),
+  {_F5}, dc AS (SELECT d.* FROM d JOIN cb ON cb.query_id = d.query_id AND cb.trajectory_id = d.id), rk AS ({_FUSE.format('dc')}), best AS (SELECT query_id, id AS trajectory_id, rank AS place FROM rk WHERE rank <= 2),
+  seeds AS (SELECT b.*, (SELECT arg_max(c.snapshot_id, c.version) FROM fx_note_claims c WHERE c.trajectory_id = b.trajectory_id) AS snapshot_id FROM best b)"""
+_EVENTS = f"""{_CANDIDATES}{_COMPACT[len(_SEEDS):]}, so AS (SELECT c.query_id, c.trajectory_id, c.version, c.snapshot_id, c.listing, c.k AS grp, s.message_id, s.position FROM co c JOIN fx_note_sources s ON s.snapshot_id = c.snapshot_id WHERE o <= budget),
+  u1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, message_id ORDER BY grp, trajectory_id, version, snapshot_id, position) AS first FROM so), u2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, snapshot_id ORDER BY position, message_id) AS nth FROM u1 WHERE first = 1),
+  u3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grp, trajectory_id, version, snapshot_id, position) AS place FROM u2 WHERE grp = 0 OR (grp = 1 AND nth <= 2) OR nth <= 1),
+  src AS (SELECT query_id, message_id, row_number() OVER (PARTITION BY query_id ORDER BY grp, message_id) AS rank FROM u3 WHERE grp = 0 OR place <= CASE WHEN listing THEN 40 ELSE 28 END),
+  ev1 AS (SELECT s.query_id, string_agg(c.text, ' ' ORDER BY place) AS texts, count(c.claim_id) AS claims FROM seeds s LEFT JOIN fx_note_claims c ON c.snapshot_id = s.snapshot_id AND c.status <> 'deprecated' GROUP BY 1),
+  ev2 AS (SELECT q.query_id, coalesce(claims, 0) AS claims, list_distinct(list_concat(terms, entities)) AS need, lower(coalesce(texts, '')) AS hay FROM q LEFT JOIN ev1 ON ev1.query_id = q.query_id),
+  wk AS (SELECT query_id, claims = 0 OR coalesce(len(list_filter(need, lambda w: contains(hay, w))) / nullif(len(need), 0) < 0.34, FALSE) AS weak FROM ev2),
+  nt AS (SELECT sample_id, message_id, phrase AS content, CASE WHEN message_id % 3 = 0 THEN 'system' ELSE 'user' END AS role FROM fx_notes), r1 AS (SELECT q.query_id, q.question, q.listing, nt.*, {_LEX} AS lexical FROM q JOIN wk ON wk.query_id = q.query_id AND weak JOIN nt ON nt.sample_id = q.sample_id),
+  r2 AS (SELECT *, max((role <> 'system')::INT) OVER (PARTITION BY query_id) AS plain FROM r1 WHERE lexical > 0), r3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 9) DESC, message_id) AS k FROM r2 WHERE role <> 'system' OR plain = 0),
+  r4 AS (SELECT *, round(0.65::DOUBLE * {_COS.format('question', 'content')} + 0.35::DOUBLE * lexical, 6) AS score FROM r3 WHERE k <= 80), res AS (SELECT query_id, message_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, message_id) AS rank FROM r4 QUALIFY rank <= CASE WHEN listing THEN 12 ELSE 8 END)"""
+_JOINED = "coalesce((SELECT string_agg({0}, ' ' ORDER BY {1}) FROM {2} z WHERE z.query_id = q.query_id{3}), '') AS {4}"
+_EVENT_LISTS = ", ".join(_JOINED.format(*x) for x in (("page_id", "rank", "sel", "", "page_ids"), ("id", "id", "rk", "", "candidate_ids"), ("trajectory_id", "place", "best", "", "trajectory_ids"), ("snapshot_id", "o", "co", " AND o <= budget", "expanded_ids"), ("message_id", "rank", "src", "", "source_ids"), ("message_id", "rank", "res", "", "rescued_ids")))
+EVENT_LISTS = ["page_ids", "candidate_ids", "trajectory_ids", "expanded_ids", "source_ids", "rescued_ids"]
+
+
+def retrieved(v):
+    """The events of all questions."""
+    return v.once("retrieved", lambda: T.retrieve(asked(v), index_tables(v), T.Settings(pages=1, broad=BROAD, broad_most=2), lambda name, df: v.once(f"retrieve_{name}", lambda: df)))
+
+
+query("f30_retrieve", f"WITH RECURSIVE {_EVENTS} SELECT q.sample_id, q.query_id, {_EVENT_LISTS}, wk.weak FROM q JOIN wk ON wk.query_id = q.query_id")(
+    lambda v: retrieved(v).select("sample_id", "query_id", *(M.shown(c).alias(c) for c in EVENT_LISTS), "weak")
+)
+
+
+def contexts(v, policies=None):
+    """Contexts of all policies, or of some."""
+    p = C.policy_table(v.spark, policies)
+    return C.variant_contexts(asked(v), index_tables(v), claims(v), pages(v), p, T.Settings(pages=1, broad=BROAD, broad_most=2), (lambda name, df: v.once(f"f28_{name}", lambda: df)) if policies is None else (lambda name, df: df))
+
+
+query("f28_variant_contexts", None)(contexts)

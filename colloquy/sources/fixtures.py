@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .staging import version_of, written_once
+
 TABLES = ("conversations", "embeddings", "events", "lineitem")
 VIEWS = {
     "fx_messages": "SELECT conv_id AS sample_id, CAST(turn AS INT) AS turn_index, role, text AS content, conv_id*1000+turn AS message_id, concat('D1:', turn+1) AS source_ref FROM conversations",
@@ -63,6 +66,26 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.table(own(name))
 
 
+class Views:
+    """The fixture views of a folder by name, and tables over them that are written once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir, self._version = spark, sf_dir.rstrip("/"), None
+
+    def __call__(self, name: str) -> DataFrame:
+        return view(self.spark, self.sf_dir, name)
+
+    def table(self, name: str) -> DataFrame:
+        """A view that many queries read, written once."""
+        return self.once(name, lambda: self(name))
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What ``make`` gives, written once for these inputs under ``name``."""
+        if self._version is None:
+            self._version = version_of(self.spark, [f"{self.sf_dir}/{t}.parquet" for t in TABLES])
+        return written_once(self.spark, self._version, name, make)
+
+
 def _chain(name: str) -> list[str]:
     """The view and those that it reads, in order."""
     used = re.findall(r"\bfx_\w+", VIEWS[name])
