@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def token_overlap(pairs: DataFrame) -> DataFrame:
 
 def aggregate_by_stratum(outcomes: DataFrame) -> DataFrame:
     """Means per variant and stratum, per variant, and over all; nulls are not observed."""
-    x = outcomes.withColumn("judge", judge_score(F.col("verdict")))
+    x = outcomes.withColumn("judge", judge_score(F.col("verdict"))).withColumn("judge_accuracy", F.when(F.col("judge").isNotNull(), (F.col("judge") == 1).cast("double")))
     out = x.groupingSets([["variant", "stratum"], ["variant"], []], "variant", "stratum").agg(F.count(F.lit(1)).alias("n"), F.count("gold_ref_coverage").alias("observed"), F.round(F.avg("judge"), 9).alias("judge"), F.round(F.avg("token_f1"), 6).alias("token_f1"), F.round(F.avg("gold_ref_coverage"), 6).alias("coverage"))
     return out.select(F.coalesce("variant", F.lit("all")).alias("variant"), F.coalesce("stratum", F.lit("all")).alias("stratum"), "n", "observed", "judge", "token_f1", "coverage")
 
@@ -92,16 +93,16 @@ def query_strata(gold: DataFrame, snapshots: DataFrame, claims: DataFrame) -> Da
     return x.select("query_id", F.when(F.col("deep"), "strict_deep_history").when(F.col("update"), "update_sensitive").otherwise("ordinary").alias("stratum"))
 
 
-#: Draws that a resampling task makes.
-DRAW_BLOCK = 500
+#: Different units that a resampling task holds, about, and draws that it makes at once.
+CELLS, DRAW_BLOCK = 4096, 500
 #: The metrics that outcomes may have.
-METRICS = ("judge", "token_f1", "gold_ref_coverage", "prompt_tokens")
+METRICS = ("judge", "judge_accuracy", "token_f1", "bleu1", "abstained", "gold_ref_coverage", "source_supported", "unsupported_risk", "validated_judge", "prompt_tokens")
 
 
 def metric_deltas(outcomes: DataFrame, baseline: str) -> DataFrame:
     """(variant, query_id, sample_id, of, metric, d): every metric's difference to the baseline's outcome of the same
     query, null where one is unknown; ``of`` is the baseline's stratum."""
-    x = outcomes.withColumn("judge", judge_score(F.col("verdict")))
+    x = outcomes.withColumn("judge", judge_score(F.col("verdict"))).withColumn("judge_accuracy", F.when(F.col("judge").isNotNull(), (F.col("judge") == 1).cast("double")))
     names = [m for m in METRICS if m in x.columns]
     base = x.where(F.col("variant") == baseline).select("query_id", F.col("stratum").alias("of"), *(F.col(m).cast("double").alias(f"b_{m}") for m in names))
     pairs = F.array(*(F.struct(F.lit(m).alias("metric"), F.round(F.col(m).cast("double") - F.col(f"b_{m}"), 12).alias("d")) for m in names))
@@ -112,25 +113,41 @@ def resampled(cells: DataFrame, draws: int, seed: int) -> DataFrame:
     """(variant, metric, part, draw, m): the mean of each of ``draws`` resamples with replacement.
 
     A row of ``cells`` stands for ``times`` equal units, each with the sum ``d`` of ``n`` pairs. How often a row's units
-    come up in a resample is multinomial, so a resample costs as many steps as there are different units.
+    come up in a resample is multinomial. Rows are dealt to buckets of about ``CELLS`` by hash: a task draws how often each bucket
+    comes up, which all tasks of a resample draw alike, and then, given that, its own rows. The sums of the buckets add up to
+    exactly a multinomial resample, whatever the number of rows, and no row is held twice.
     """
+    group = ["variant", "metric", "part"]
+    x = cells.select(*group, F.col("d").cast("double").alias("d"), F.col("n").cast("double").alias("n"), F.col("times").cast("long").alias("times"))
+    buckets = max(1, -(-x.count() // CELLS))
+    x = x.withColumn("bucket", F.pmod(F.xxhash64("d", "n"), F.lit(buckets)).cast("int"))
+    totals = x.groupBy(*group, "bucket").agg(F.sum("times").alias("units"))
+    all_ = totals.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("bucket", "units"))).alias("totals"))
+    none = F.lit(None).cast("array<struct<bucket: int, units: bigint>>")
+    heads = all_.select(*group, F.explode("totals.bucket").alias("bucket"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("double").alias("n"), F.lit(None).cast("long").alias("times"), "totals")
+    both = x.select(*group, "bucket", "d", "n", "times", none.alias("totals")).unionByName(heads)
 
     def run(key, table):
-        variant, metric, part, block = (k.as_py() for k in key)
-        table = table.sort_by([("d", "ascending"), ("n", "ascending")])
+        variant, metric, part, bucket = (k.as_py() for k in key)
+        head = next(t for t in table.column("totals").to_pylist() if t is not None)
+        table = table.filter(pc.is_valid(table.column("times"))).sort_by([("d", "ascending"), ("n", "ascending")])
         d, n, times = (table.column(c).to_numpy() for c in ("d", "n", "times"))
-        rng = np.random.default_rng([seed, zlib.crc32(f"{variant}:{metric}:{part}".encode()), block])
-        todo, step, found = min(DRAW_BLOCK, draws - block * DRAW_BLOCK), max(1, (1 << 22) // len(d)), []
-        for at in range(0, todo, step):
-            w = rng.multinomial(times.sum(), times / times.sum(), size=min(step, todo - at))
-            found.append((w @ d) / (w @ n))
-        m = np.concatenate(found)
-        same = lambda v: pa.array([v] * len(m), pa.string())
-        return pa.table({"variant": same(variant), "metric": same(metric), "part": same(part), "draw": pa.array(np.arange(len(m)) + block * DRAW_BLOCK), "m": pa.array(m)})
-
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // DRAW_BLOCK)))
-    x = cells.select("variant", "metric", "part", F.col("d").cast("double").alias("d"), F.col("n").cast("double").alias("n"), F.col("times").cast("long").alias("times"), blocks.alias("block"))
-    return x.groupBy("variant", "metric", "part", "block").applyInArrow(run, "variant string, metric string, part string, draw long, m double")
+        units = np.array([t["units"] for t in head])
+        own = [t["bucket"] for t in head].index(bucket)
+        stream, found = [seed, zlib.crc32(f"{variant}:{metric}:{part}".encode())], []
+        for block in range(-(-draws // DRAW_BLOCK)):
+            todo = min(DRAW_BLOCK, draws - block * DRAW_BLOCK)
+            here = np.random.default_rng([*stream, block]).multinomial(units.sum(), units / units.sum(), size=todo)[:, own]
+            rng, step = np.random.default_rng([*stream, block, bucket + 1]), max(1, (1 << 22) // len(d))
+            for at in range(0, todo, step):
+                w = rng.multinomial(here[at : at + step], times / times.sum())
+                found.append((w @ d, w @ n))
+        same = lambda v: pa.array([v] * draws, pa.string())
+        sums = [np.concatenate([f[k] for f in found]) for k in (0, 1)]
+        return pa.table({"variant": same(variant), "metric": same(metric), "part": same(part), "draw": pa.array(np.arange(draws)), "d": pa.array(sums[0]), "n": pa.array(sums[1])})
+
+    made = both.groupBy(*group, "bucket").applyInArrow(run, "variant string, metric string, part string, draw long, d double, n double")
+    return made.groupBy(*group, "draw").agg((F.sum("d") / F.sum("n")).alias("m"))
 
 
 def interval(means: DataFrame, deltas: DataFrame) -> DataFrame:

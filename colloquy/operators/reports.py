@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.answers import covers_item
 from ..functions.text import judge_score, normalize_answer, phase_for_task
 from .evaluation import interval, metric_deltas, resampled
+from .results import provider_key
 
 
 def _rows() -> Column:
@@ -202,9 +203,10 @@ def last_events(calls: DataFrame) -> DataFrame:
 
 
 def call_ledger(calls: DataFrame) -> DataFrame:
-    """Per provider call: attempts and the last one's task and usage, ties of time by id."""
+    """Per provider call: attempts and the last one's task and usage, ties of time by id. A call without a provider's id is one
+    for itself."""
     last = lambda c: F.max_by(F.col(c), F.struct("ts", "call_item_uid"))
-    return calls.groupBy("provider_call_uid").agg(F.countDistinct("call_item_uid").alias("attempts"), last("task").alias("task"), last("completion_tokens").alias("completion_tokens"))
+    return calls.groupBy(provider_key().alias("key"), "provider_call_uid").agg(F.countDistinct("call_item_uid").alias("attempts"), last("task").alias("task"), last("completion_tokens").alias("completion_tokens")).drop("key")
 
 
 def cluster_bootstrap(outcomes: DataFrame, baseline: str, draws: int, seed: int = 7) -> DataFrame:
@@ -242,7 +244,7 @@ def supported_claims(claims: DataFrame, selected: DataFrame) -> DataFrame:
 
 def repair_events(calls: DataFrame) -> DataFrame:
     """One event for each repair call and each call that shares its provider call with an earlier one (a cache hit)."""
-    earlier = F.row_number().over(Window.partitionBy("provider_call_uid").orderBy("call_item_uid")) > 1
+    earlier = F.row_number().over(Window.partitionBy(provider_key()).orderBy("call_item_uid")) > 1
     kinds = F.array_compact(F.array(F.when(F.col("task").contains("repair"), "repair"), F.when(F.col("again"), "cache_hit")))
     x = calls.withColumn("again", earlier & F.col("provider_call_uid").isNotNull())
     return x.select("call_item_uid", phase_for_task(F.col("task")).alias("phase"), F.explode(kinds).alias("kind"))

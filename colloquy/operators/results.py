@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -191,10 +189,15 @@ def candidate_scaling(cost: DataFrame, memory: DataFrame) -> DataFrame:
     return m.join(memory.select("sample_id", "messages", "trajectories", "snapshots"), "sample_id").withColumn("reduction", F.round(F.try_divide("direct", "routed"), 9))
 
 
+def provider_key() -> Column:
+    """The provider call of a row; a row without one is alone, so that no task gets all of these."""
+    return F.coalesce(F.concat(F.lit("p"), F.col("provider_call_uid").cast("string")), F.concat(F.lit("i"), F.col("call_item_uid").cast("string")), F.lit("none"))
+
+
 def call_table(calls: DataFrame) -> DataFrame:
     """Calls overall, by role, by phase and by task: logical and provider calls, batches, repairs, repeats and latency."""
     phase = phase_for_task(F.col("task"))
-    batch = F.count(F.lit(1)).over(Window.partitionBy("provider_call_uid"))
+    batch = F.count(F.lit(1)).over(Window.partitionBy(provider_key()))
     x = calls.withColumns({"phase": phase, "batch": F.when(F.col("provider_call_uid").isNotNull(), batch).otherwise(1)})
     y = x.groupingSets([["role"], ["phase"], ["task"], []], "role", "phase", "task").agg(F.grouping_id().alias("g"), _rows().alias("calls"), F.countDistinct("provider_call_uid").alias("provider_calls"), F.round(F.avg("batch"), 6).alias("mean_batch"), F.max("batch").alias("max_batch"), F.count_if(F.col("task").contains("repair")).alias("repairs"), F.sum("completion_tokens").alias("completion_tokens"), F.round(F.sum("latency_ms"), 3).alias("latency_ms"))
     level = F.when(F.col("g") == 3, "role").when(F.col("g") == 5, "phase").when(F.col("g") == 6, "task").when(F.col("g") == 7, "all")
@@ -211,7 +214,7 @@ def shares(calls: DataFrame, by: str, value: str, top: int) -> DataFrame:
 def repair_chains(calls: DataFrame) -> DataFrame:
     """Per query the order of its repairs and repeats, with the tokens that they cost. An action is a repair, or a call that
     shares its provider call with an earlier one (a cache hit)."""
-    earlier = F.row_number().over(Window.partitionBy("provider_call_uid").orderBy("call_item_uid")) > 1
+    earlier = F.row_number().over(Window.partitionBy(provider_key()).orderBy("call_item_uid")) > 1
     x = calls.where("query_id is not null").withColumn("kind", F.when(F.col("task").contains("repair"), "repair").when(earlier & F.col("provider_call_uid").isNotNull(), "cache_hit")).where("kind is not null")
     chain = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "call_item_uid", "kind"))), lambda s: s.kind), ">")
     return x.groupBy("query_id").agg(_rows().alias("events"), chain.alias("chain"), F.sum("completion_tokens").alias("tokens"))
@@ -223,35 +226,58 @@ def repair_contrast(outcomes: DataFrame, repaired: DataFrame) -> DataFrame:
     return x.groupBy("variant", F.coalesce("r", F.lit(False)).alias("repaired")).agg(_rows().alias("n"), _mean(judge_score(F.col("verdict"))).alias("judge"))
 
 
-def min_cover(refs: DataFrame, most: int = 16) -> DataFrame:
-    """(query_id, gold, sets): the least number of sets that hold all gold references together, null if they never do.
+def least_cover(need: int, parts: list[int]) -> int | None:
+    """The least number of bit sets ``parts`` whose union holds ``need``; None if there is none.
 
-    Exact: sizes are tried in order over the sets that hold any gold; ``most`` of them are searched so, a query with more
-    takes the greedy bound, which ``exact`` tells.
+    Branch and bound: sets inside others go; the search takes the missing bit that the fewest sets have, tries these sets, the
+    largest gain first, and leaves a branch whose sets so far, and as many as the largest gain needs for the rest, reach no
+    less than the best found. The greedy choice is the first bound. Exact for every number of sets.
     """
+    parts = sorted({p & need for p in parts} - {0}, key=lambda p: -p.bit_count())
+    parts = [p for k, p in enumerate(parts) if not any(p | q == q for q in parts[:k])]
+    have = 0
+    for p in parts:
+        have |= p
+    if have != need:
+        return None
+    best, left = 0, need
+    while left:
+        left &= ~max(parts, key=lambda p: (p & left).bit_count())
+        best += 1
+    holders = {b: [p for p in parts if p >> b & 1] for b in range(need.bit_length()) if need >> b & 1}
+    seen: dict[int, int] = {}
+    todo = [(need, 0)]
+    while todo:
+        left, used = todo.pop()
+        if not left:
+            best = min(best, used)
+            continue
+        gain = max((p & left).bit_count() for p in parts)
+        if used + -(-left.bit_count() // gain) >= best or seen.get(left, best) <= used:
+            continue
+        seen[left] = used
+        bit = min((b for b in holders if left >> b & 1), key=lambda b: len({p & left for p in holders[b]}))
+        ways = sorted({p & left for p in holders[bit]}, key=lambda p: p.bit_count())
+        todo += [(left & ~p, used + 1) for k, p in enumerate(ways) if not any(p | q == q for q in ways[k + 1 :])]
+    return best
+
+
+def min_cover(refs: DataFrame) -> DataFrame:
+    """(query_id, gold, sets): the least number of sets that hold all gold references together, null if they never do; exact
+    for every query, which ``exact`` says as before."""
 
     def search(frames):
         for rows in frames:
             out = []
             for i, gold, sets in zip(rows.query_id, rows.gold, rows.sets, strict=True):
-                need = set(gold)
-                parts = sorted({frozenset(need & set(s)) for s in sets} - {frozenset()}, key=lambda s: (-len(s), sorted(s)))
-                parts = [s for k, s in enumerate(parts) if not any(s < t for t in parts)]
-                if not need or need - set().union(*parts):
-                    out.append((i, 0 if not need else None, True))
-                elif len(parts) <= most:
-                    out.append((i, next(k for k in range(1, len(parts) + 1) if any(need <= set().union(*c) for c in combinations(parts, k))), True))
-                else:
-                    n = 0
-                    while need:
-                        need -= max(parts, key=lambda s: len(s & need))
-                        n += 1
-                    out.append((i, n, False))
+                bit = {g: 1 << k for k, g in enumerate(sorted(set(gold)))}
+                out.append((i, least_cover((1 << len(bit)) - 1, [sum(bit[x] for x in set(s) if x in bit) for s in sets]), True))
             yield pd.DataFrame(out, columns=["query_id", "needed", "exact"]).astype({"needed": "Int64"})
 
     return refs.select("query_id", "gold", "sets").mapInPandas(search, "query_id long, needed long, exact boolean")
 
 
+
 def failure_kind(rows: DataFrame) -> DataFrame:
     """(query_id, gold_answer, answer_text, verdict) of grounded answers that are not correct: overgenerated, incomplete or a
     selection error, from their items and numbers."""

@@ -193,4 +193,4 @@ def _(v):
 
 @query("l7_paired_bootstrap", None)  # random draws
 def _(v):
-    return E.bootstrap_interval(v("fx_outcomes"), "v1", DRAWS)
+    return E.bootstrap_interval(v("fx_outcome_details"), "v1", DRAWS)

@@ -42,12 +42,12 @@ _of("i16_rebuild_calls_from_usage", "SELECT query_id, task, CAST(sum(prompt_toke
 _of("j12_audit_sample", "SELECT stratum, query_id, row_number() OVER (PARTITION BY stratum ORDER BY md5(stratum || ':' || query_id), query_id) AS place FROM fx_outcomes WHERE variant = 'v1' QUALIFY place <= 20", "fx_outcomes", lambda x: P.quota_sample(x.where("variant = 'v1'"), "stratum", "query_id", 20))
 _of("j13_counterbalanced_tasks", "SELECT query_id, annotator, position, CASE WHEN (query_id + annotator + position) % 2 = 0 THEN 'packet' ELSE 'dialogue' END AS condition FROM fx_queries, (SELECT unnest([0, 1]) AS annotator), (SELECT unnest([0, 1]) AS position)", "fx_queries", lambda x: P.counterbalanced_tasks(x, "query_id"))
 _of("k13_page_granularity_fields", "SELECT page_type, width, count(*) AS pages FROM (SELECT page_type, page_id, count(DISTINCT trajectory_id) AS width FROM fx_page_members GROUP BY ALL) GROUP BY ALL", "fx_page_members", P.page_widths)
-_of("l9_cluster_bootstrap", None, "fx_outcomes", lambda x: P.cluster_bootstrap(x, "v1", DRAWS))
+_of("l9_cluster_bootstrap", None, "fx_outcome_details", lambda x: P.cluster_bootstrap(x, "v1", DRAWS))
 _of("l10_stratum_summary", f"SELECT variant, stratum, count(*) AS n, count({_JUDGE}) AS judged, round(avg({_JUDGE}), 9) AS judge, count(gold_ref_coverage) AS covered, round(avg(gold_ref_coverage), 6) AS coverage FROM fx_outcomes GROUP BY ALL", "fx_outcomes", P.stratum_summary)
 _of("l17_balanced_failure_examples", f"SELECT a.query_id, a.verdict AS before, b.verdict AS after, row_number() OVER (PARTITION BY a.verdict, b.verdict ORDER BY a.query_id) AS place FROM {_V1} a JOIN {_V2} b ON a.query_id = b.query_id WHERE a.verdict <> b.verdict QUALIFY place <= 5", "fx_outcomes", lambda x: P.transition_examples(x, "v1", "v2", 5))
 _of("l21_experiment_integrity", f"SELECT g.variant, count(*) AS missing FROM (SELECT DISTINCT query_id FROM fx_outcomes WHERE variant IN ('v1', 'v2', 'v3', 'v4')) q CROSS JOIN (SELECT unnest({VARIANTS}) AS variant) g LEFT JOIN fx_outcomes o ON o.query_id = q.query_id AND o.variant = g.variant WHERE o.query_id IS NULL GROUP BY g.variant", "fx_outcomes", lambda x: P.missing_cells(x, VARIANTS))
 _of("l23_event_log_summary", f"SELECT sample_id, count(*) OVER (PARTITION BY sample_id) AS events, {_PHASE} AS last_phase FROM fx_calls WHERE sample_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY ts DESC, call_item_uid DESC) = 1", "fx_calls", P.last_events)
-_of("l24_call_ledger", "SELECT provider_call_uid, count(*) OVER (PARTITION BY provider_call_uid) AS attempts, task, completion_tokens FROM fx_calls QUALIFY row_number() OVER (PARTITION BY provider_call_uid ORDER BY ts DESC, call_item_uid DESC) = 1", "fx_calls", P.call_ledger)
+_of("l24_call_ledger", "SELECT provider_call_uid, count(*) OVER (PARTITION BY provider_call_uid, CASE WHEN provider_call_uid IS NULL THEN call_item_uid END) AS attempts, task, completion_tokens FROM fx_calls QUALIFY row_number() OVER (PARTITION BY provider_call_uid, CASE WHEN provider_call_uid IS NULL THEN call_item_uid END ORDER BY ts DESC, call_item_uid DESC) = 1", "fx_calls", P.call_ledger)
 
 
 @query("c20_deprecated_surface_hit", f"SELECT q.query_id, coalesce(bool_or(contains({_NORM.format('q.question')}, c.shown)), FALSE) AS hit FROM fx_queries q LEFT JOIN (SELECT sample_id, {_NORM.format('text')} AS shown FROM fx_claims WHERE status = 'deprecated' AND length({_NORM.format('text')}) >= 12) c ON c.sample_id = q.sample_id GROUP BY q.query_id")
@@ -84,7 +84,7 @@ def _(v):
 _of("i14_fallback_repair_events", f"SELECT call_item_uid, {_PHASE} AS phase, 'repair' AS kind FROM fx_calls WHERE contains(task, 'repair') UNION ALL SELECT call_item_uid, {_PHASE}, 'cache_hit' FROM fx_calls QUALIFY row_number() OVER (PARTITION BY provider_call_uid ORDER BY call_item_uid) > 1", "fx_calls", P.repair_events)
 _of("l12_answer_ablation_table", f"SELECT variant, count(*) AS n, count({_JUDGE}) AS judge_n, round(avg({_JUDGE}), 6) AS judge, count(token_f1) AS token_f1_n, round(avg(token_f1), 6) AS token_f1, count(gold_ref_coverage) AS coverage_n, round(avg(gold_ref_coverage), 6) AS coverage, count(prompt_tokens) AS prompt_tokens_n, round(avg(prompt_tokens), 6) AS prompt_tokens FROM fx_outcomes GROUP BY variant", "fx_outcomes", P.answer_table)
 _of("l6_stratified_sample", "SELECT o.stratum, query_id, place, prevalence FROM (SELECT stratum, query_id, row_number() OVER (PARTITION BY stratum ORDER BY md5(stratum || ':' || query_id), query_id) AS place FROM fx_outcomes WHERE variant = 'v1') o JOIN (SELECT stratum, round(count(*) / (SELECT count(*) FROM fx_outcomes WHERE variant = 'v1'), 9) AS prevalence FROM fx_outcomes WHERE variant = 'v1' GROUP BY 1) p ON o.stratum = p.stratum WHERE place <= CASE o.stratum WHEN 'A' THEN 30 WHEN 'R' THEN 86 WHEN 'N' THEN 84 ELSE 0 END", "fx_outcomes", lambda x: P.stratified_sample(x.where("variant = 'v1'"), "stratum", "query_id", {"A": 15, "R": 43, "N": 42}, 200))
-_of("l8_prevalence_bootstrap", None, "fx_outcomes", lambda x: P.prevalence_bootstrap(x, "v1", ["A", "N", "R"], DRAWS))
+_of("l8_prevalence_bootstrap", None, "fx_outcome_details", lambda x: P.prevalence_bootstrap(x, "v1", ["A", "N", "R"], DRAWS))
 
 
 @query("f12_fine_snapshots", "WITH s AS (SELECT a.sample_id AS query_id, a.trajectory_id, a.snapshot_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM fx_vectors a JOIN (SELECT sample_id, arg_min(embedding, snapshot_id) AS embedding FROM fx_vectors GROUP BY sample_id) b ON a.sample_id = b.sample_id), r AS (SELECT *, (row_number() OVER (PARTITION BY query_id, trajectory_id ORDER BY score DESC, snapshot_id) > 1)::INT AS rest FROM s) SELECT query_id, snapshot_id, row_number() OVER (PARTITION BY query_id ORDER BY rest, score DESC, snapshot_id) AS place FROM r QUALIFY place <= 12")

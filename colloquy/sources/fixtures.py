@@ -22,6 +22,7 @@ VIEWS = {
     "fx_vectors": "SELECT label AS sample_id, vec_id AS snapshot_id, embedding, label*1000+CAST(floor((rn-1)/6) AS BIGINT) AS trajectory_id, (rn-1)%6+1 AS version FROM (SELECT e.*, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings e) z",
     "fx_calls": "SELECT event_id AS call_item_uid, CAST(floor(event_id/2) AS BIGINT) AS provider_call_uid, event_id%4 AS worker_id, CASE WHEN event_id%9=0 THEN NULL ELSE user_id%20 END AS sample_id, CASE WHEN event_id%9=0 THEN NULL ELSE user_id END AS query_id, CASE event_type WHEN 'signup' THEN 'episodic_extract' WHEN 'view' THEN 'wiki_page_rerank' WHEN 'click' THEN 'answer_generation' WHEN 'purchase' THEN 'benchmark_judge' ELSE 'answer_repair' END AS task, CASE event_type WHEN 'purchase' THEN 'judge' ELSE 'backbone' END AS role, CASE WHEN event_id%11=0 THEN NULL ELSE CAST(floor(value*10) AS BIGINT) END AS prompt_tokens, CAST(regexp_extract(props,'([0-9]+)',1) AS BIGINT) AS completion_tokens, value AS latency_ms, ts FROM events",
     "fx_outcomes": "SELECT concat('v', l_linenumber) AS variant, l_orderkey AS query_id, min(l_suppkey) AS sample_id, min(l_returnflag) AS stratum, CASE min(l_partkey)%3 WHEN 0 THEN 'correct' WHEN 1 THEN 'partial' ELSE 'incorrect' END AS verdict, min(l_discount)*10 AS token_f1, CASE WHEN min(l_partkey)%13=0 THEN NULL ELSE min(l_tax)*10 END AS gold_ref_coverage, CAST(floor(min(l_quantity)*100) AS BIGINT) AS prompt_tokens FROM lineitem GROUP BY l_linenumber, l_orderkey",
+    "fx_outcome_details": "SELECT o.*, round(token_f1*0.8+(query_id%5)*0.02, 6) AS bleu1, CASE WHEN query_id%7=0 THEN 1.0 ELSE 0.0 END AS abstained, CASE WHEN query_id%11=0 THEN NULL WHEN gold_ref_coverage>=0.4 THEN 1.0 ELSE 0.0 END AS source_supported, CASE WHEN verdict='incorrect' AND token_f1>0.3 THEN 1.0 ELSE 0.0 END AS unsupported_risk, CASE verdict WHEN 'correct' THEN CASE WHEN gold_ref_coverage>=0.4 THEN 1.0 ELSE 0.5 END WHEN 'partial' THEN 0.5 WHEN 'incorrect' THEN 0.0 END AS validated_judge FROM fx_outcomes o",
     "fx_phrases": "SELECT event_id AS message_id, user_id AS sample_id, concat(1+event_id%28, ' May, 2023') AS occurred_at, CASE event_id%8 WHEN 0 THEN concat('I went to a pottery workshop ', 2+event_id%5, ' days ago') WHEN 1 THEN 'I enjoy hiking, painting and chess' WHEN 2 THEN 'How many books did Anna read last year?' WHEN 3 THEN 'Thanks, bye!' WHEN 4 THEN 'My favorite color is green' WHEN 5 THEN concat('[D', 1+event_id%3, ':', event_id%20, '] Anna: I met Ben yesterday') WHEN 6 THEN 'Which cities have both Anna and Ben visited?' ELSE concat('VERDICT: ', CASE event_id%3 WHEN 0 THEN 'CORRECT' WHEN 1 THEN 'PARTIAL' ELSE 'INCORRECT' END) END AS phrase FROM events",
     # what one retrieval of each query of fx_queries found, tier by tier
     "fx_page_ranks": "SELECT r.sample_id, r.query_id, p.page_id, row_number() OVER (PARTITION BY r.query_id ORDER BY min(r.rnk), p.page_id) AS rnk FROM fx_ranked r JOIN fx_page_members p ON r.trajectory_id=p.trajectory_id WHERE p.page_type='topic' GROUP BY r.sample_id, r.query_id, p.page_id",

@@ -83,3 +83,47 @@ def test_a_deprecated_claim_is_looked_for_as_a_whole(spark):
     claims = spark.createDataFrame([(1, "deprecated", start + "and is torn"), (2, "deprecated", start + "and is torn")], "sample_id long, status string, text string")
     answers = spark.createDataFrame([(1, 1, start + "and is whole"), (2, 2, "Yes, " + start + "and is torn.")], "query_id long, sample_id long, answer string")
     assert {r.query_id: r.hit for r in P.deprecated_hits(answers, claims).collect()} == {1: False, 2: True}
+
+
+def test_buckets_of_units_give_multinomial_resamples(spark, monkeypatch):
+    """Many buckets, few units each: counts of every resample add up, and its mean varies as resamples do."""
+    import numpy as np
+
+    values = np.random.default_rng(3).normal(size=400).round(6).tolist()
+    cells = spark.createDataFrame([("v", "m", "", v, 1, 1) for v in values] + [("v", "m", "p", 1.0, 1, 3), ("w", "m", "", 2.0, 2, 5)], "variant string, metric string, part string, d double, n int, times int")
+    monkeypatch.setattr(E, "CELLS", 20)
+    got = E.resampled(cells, 4000, 1).toPandas()
+    mine = got[(got.variant == "v") & (got.part == "")].sort_values("draw").m.to_numpy()
+    assert len(got) == 3 * 4000 and set(got[got.part == "p"].m) == {1.0} and set(got[got.variant == "w"].m) == {1.0}
+    plain = np.random.default_rng(9).choice(values, size=(4000, 400)).mean(1)
+    assert abs(mine.mean() - plain.mean()) < 0.005 and abs(mine.std() / plain.std() - 1) < 0.05
+    wide = lambda x: np.quantile(x, 0.975) - np.quantile(x, 0.025)
+    assert abs(wide(mine) / (2 * 1.96 * np.std(values) / 20) - 1) < 0.05
+    again = E.resampled(cells, 4000, 1).toPandas().sort_values(["variant", "part", "draw"]).m.to_numpy()
+    assert np.allclose(again, got.sort_values(["variant", "part", "draw"]).m.to_numpy())
+
+
+def test_least_cover_is_exact():
+    import random
+    from itertools import combinations
+
+    from colloquy.operators.results import least_cover
+
+    rng = random.Random(4)
+    for _ in range(400):
+        bits, n = rng.randint(1, 10), rng.randint(0, 14)
+        parts = [rng.getrandbits(bits) & rng.getrandbits(bits) for _ in range(n)]
+        need = (1 << bits) - 1
+        union = lambda c: sum(1 << b for b in range(bits) if any(p >> b & 1 for p in c))
+        want = next((k for k in range(1, n + 1) if any(union(c) == need for c in combinations(parts, k))), None)
+        assert least_cover(need, parts) == want
+    assert least_cover(0, [1, 2]) == 0
+    big = [sum(1 << (b % 60) for b in range(k, k + 7)) for k in range(60)]  # windows of 7 around a circle of 60
+    assert least_cover((1 << 60) - 1, big) == 9
+
+
+def test_calls_without_a_provider_are_counted_one_by_one(spark):
+    rows = [(1, None, 5, "repair_x"), (2, None, 5, "answer"), (3, 7, 5, "answer"), (4, 7, 6, "answer")]
+    calls = spark.createDataFrame([(i, u, w, t, i, 1, 1.0, i) for i, u, w, t in rows], "call_item_uid long, provider_call_uid long, worker_id long, task string, ts long, completion_tokens long, latency_ms double, query_id long").withColumn("role", F.lit("r"))
+    assert sorted((r.provider_call_uid or 0, r.attempts) for r in P.call_ledger(calls).collect()) == [(0, 1), (0, 1), (7, 2)]
+    assert {(r.call_item_uid, r.kind) for r in P.repair_events(calls).collect()} == {(1, "repair"), (4, "cache_hit")}
