@@ -73,4 +73,36 @@ WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_al
 SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, min(other.doc_id) AS component_id
 FROM d JOIN reach ON reach.a = d.r JOIN d other ON other.r = reach.b LEFT JOIN size ON size.r = d.r GROUP BY d.r, d.doc_id, size.n"""
 
-SQL: dict[str, str] = {"op6_quality_rules": _QUALITY, "op7_url_reputation": _URLS, "op8_ngram_jaccard": _JACCARD}
+# Plain rounds over rows of one component each; the queries' vectors have 64 components.
+_VECTORS = """
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r, vec_id, label, embedding AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  x AS (SELECT r, d // 4 AS part, d % 4 AS pos, CAST(floor(256 * e[d + 1]::DOUBLE) AS BIGINT) AS x FROM kept, range(64) AS t(d)),
+  c0 AS (SELECT part, r AS entry, pos, x AS y FROM x WHERE r < 64),
+""" + "".join(f"""  d{k} AS (SELECT x.r, x.part, c.entry, sum((x.x - c.y) * (x.x - c.y)) AS d FROM x JOIN c{k} c ON c.part = x.part AND c.pos = x.pos GROUP BY ALL),
+  a{k} AS (SELECT r, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM d{k} GROUP BY r, part),
+""" + (f"""  s{k} AS (SELECT x.part, a.entry, x.pos, sum(x.x) AS s, count(*) AS n FROM x JOIN a{k} a ON a.r = x.r AND a.part = x.part GROUP BY ALL),
+  c{k + 1} AS (SELECT c.part, c.entry, c.pos, coalesce(CAST((s - ((s % n) + n) % n) // n AS BIGINT), y) AS y FROM c{k} c LEFT JOIN s{k} s ON s.part = c.part AND s.entry = c.entry AND s.pos = c.pos),
+""" if k < 2 else "") for k in range(3)) + """  f AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM c2) AS codebooks_sha256 FROM f JOIN kept USING (r)"""
+
+# The CRC-32 bit by bit, then every pair of equal six-word windows, joined into stretches of one lag.
+_BYTES = "list_transform(range(length(CAST(doc_id AS VARCHAR))), lambda i: ascii(substr(CAST(doc_id AS VARCHAR), CAST(i + 1 AS INT), 1)))"
+_RUNS = rf"""
+WITH b AS (SELECT row_number() OVER () AS r, doc_id, {_BYTES} AS bytes, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * len(bytes)), lambda k: k)), lambda c, k: CASE WHEN (CASE WHEN k % 8 = 0 THEN xor(c, bytes[CAST(k // 8 + 1 AS INT)]::BIGINT) ELSE c END) & 1 = 1
+      THEN xor((CASE WHEN k % 8 = 0 THEN xor(c, bytes[CAST(k // 8 + 1 AS INT)]::BIGINT) ELSE c END) >> 1, 3988292384::BIGINT) ELSE (CASE WHEN k % 8 = 0 THEN xor(c, bytes[CAST(k // 8 + 1 AS INT)]::BIGINT) ELSE c END) >> 1 END), 4294967295::BIGINT) AS h FROM b),
+  g AS (SELECT *, (h // 10) % len(w) AS a, h // 10 AS g FROM h),
+  e AS (SELECT r, doc_id, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN list_transform(range(len(w)), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (len(w) - a) // (3 + g % 8)) + 1] END) ELSE w END AS w FROM g),
+  x AS (SELECT r, i, w[i + 1] AS word FROM (SELECT r, w, unnest(range(len(w))) AS i FROM e)),
+  six AS (SELECT r, i, hash(word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o, lead(word, 5) OVER o) AS k, lead(word, 5) OVER o IS NOT NULL AS whole FROM x WINDOW o AS (PARTITION BY r ORDER BY i)),
+  p AS (SELECT s.r, s.i, t.i - s.i AS q FROM six s JOIN six t ON t.r = s.r AND t.k = s.k AND t.i > s.i WHERE s.whole AND t.whole AND t.i - s.i <= (SELECT len(w) FROM e WHERE e.r = s.r) // 2),
+  st AS (SELECT r, q, min(i) AS s, max(i) + 6 AS t FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS isle FROM p) GROUP BY r, q, isle),
+  ru AS (SELECT r, s, t + q - s AS n, min(q) AS q FROM st WHERE t - s >= greatest(12 - q, q) GROUP BY r, s, t + q - s),
+  gone AS (SELECT DISTINCT r, unnest(range(s + q, s + n)) AS i FROM ru),
+  kept AS (SELECT x.r, string_agg(word, ' ' ORDER BY x.i) AS text FROM x ANTI JOIN gone ON gone.r = x.r AND gone.i = x.i GROUP BY x.r),
+  di AS (SELECT r, count(*) AS n_runs, arg_min((s, n, q), (-n, s, q)) AS best, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM ru GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best[1]::BIGINT AS start, best[2]::BIGINT AS length, best[3]::BIGINT AS period, CAST(1000 * best[2] // best[3] AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256, CAST(len(w) AS BIGINT) AS n_words
+FROM e LEFT JOIN di ON di.r = e.r LEFT JOIN kept ON kept.r = e.r"""
+
+SQL: dict[str, str] = {"op6_quality_rules": _QUALITY, "op7_url_reputation": _URLS, "op8_ngram_jaccard": _JACCARD, "op11_vector_codes": _VECTORS, "op12_periodic_runs": _RUNS}
