@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import evaluation as E
 from colloquy.operators import retrieval as R
-from colloquy.plans import analysis, audit, build, extraction, memory, reports, results, rules, scoring, sources, streams  # noqa: F401  (add their queries)
+from colloquy.plans import analysis, audit, build, extraction, memory, outputs, reports, results, rules, scoring, sources, streams  # noqa: F401  (add their queries)
 from colloquy.plans.registry import QUERIES, SQL
 from colloquy.sources.fixtures import view
 
