@@ -17,7 +17,8 @@ differ by more than the threshold cannot link); what is still large is compared
 passes the size, second and third order before it is counted, and buckets of the same members are compared once. Tokens
 that very many classes have are dealt over several tasks in every join. No link between different components is lost.
 
-Nulls, empty texts and texts without words have no shingles and link with nothing. Repeated rows and repeated ids keep
+Nulls, empty texts and texts without words have no shingles and link with nothing; very long texts are taken whole, alone in
+memory; an empty table gives no row. Repeated rows and repeated ids keep
 their rows; a null id is never the smallest id of a component unless all its ids are null. Other columns are ignored.
 """
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .runtime import dealt_join, small, stage
-from .wordhash import shingle_sets
+from .wordhash import parts, shingle_sets
 
 #: Similarity in hundredths and words in a shingle.
 THRESHOLD, WIDTH = 75, 5
@@ -57,7 +58,7 @@ def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: (id, n, key), key being a digest of its set; n and key are 0 for an empty set."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             sets = list(shingle_sets(b.column("text"), width))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(_digests(sets))], ["doc_id", "n", "key"])
 
@@ -68,13 +69,13 @@ def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def _hash_order_survivors(docs: DataFrame, text_col: str, width: int, threshold: int) -> DataFrame:
     """(key, n) of the classes that pass the first order.
 
-    Rows to the shuffle, made from a batch of documents: (h, key) for a token that one class of the batch has; one
-    (h, null) for a token that several have, so a token of very many documents costs a row for each batch; and
+    Rows to the shuffle, made from some 8 MB of documents at once: (h, key) for a token that one class of them has; one
+    (h, null) for a token that several have, so a token of very many documents costs a row for each 8 MB; and
     (some h, key, n, known) for each class, known being its tokens that were seen to be shared in the batch.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             sets = [x for x in shingle_sets(b.column("text"), width) if len(x)]
             if not sets:
                 continue
@@ -119,7 +120,7 @@ def _whole_sets(docs: DataFrame, sets: DataFrame, alive: DataFrame, id_col: str,
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             sets = [x for x in shingle_sets(b.column("text"), width) if len(x)]
             if sets:
                 keys, first = np.unique(_digests(sets), return_index=True)
