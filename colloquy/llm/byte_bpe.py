@@ -6,7 +6,8 @@ once, each time touching only the two neighbours. A piece is thus encoded once a
 words seen in earlier batches are remembered. The batch is the corpus, and not the whole table, so that texts never go
 through a shuffle.
 
-A null text is empty and has no ids. Every row comes back, repeated ones too; other columns are ignored.
+A null text is empty and has no ids. Every row comes back, repeated ones too; an empty table gives no row; a very long text is a
+corpus for itself, encoded as a whole; other columns are ignored.
 """
 
 from __future__ import annotations

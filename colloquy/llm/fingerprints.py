@@ -9,7 +9,8 @@ of the smaller set (1 for two empty texts, 0 if one is empty).
 The next document of a table is the next lower id (after the last, the first again); equal ids are ordered by their
 text, null ids come last, null texts are empty. Rows are dealt to blocks of neighbouring ids, each block also gets the
 first row of the next one, and every block is read in order: no pass sorts the table in one task. Repeated rows stay;
-an empty table gives no rows; other columns are ignored.
+an empty table gives no rows; other columns are ignored. Ids are whole numbers (others are cast to them); rows of one id lie in
+one block. A very long text is chunked as a whole, with its edited text and the next one in memory.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ section by an explicit rule: ``start`` (where its first character is), ``end`` (
 of it, the earlier on a tie). Sections are the lines of a text, each with the newline that ends it; they cover it, so
 the counts of a document add up to its tokens.
 
-A null text is empty; an empty text has one empty section without tokens. Repeated rows come back each; other columns
-are ignored. A token that is part of a character spans that character.
+A null text is empty; an empty text has one empty section without tokens; a very long text is encoded as a whole, alone.
+Repeated rows come back each; an empty table gives no row; other columns are ignored. A token that is part of a character spans that character.
 """
 
 from __future__ import annotations

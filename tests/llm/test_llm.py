@@ -349,3 +349,26 @@ def test_against_duckdb(spark, name):
     got = registry.queries()[name](spark, sf)
     assert sorted(names) == sorted(got.columns)
     assert Counter(tuple(r[c] for c in names) for r in got.collect()) == Counter(want.fetchall())
+
+
+def test_ids_and_bytes_of_byte_bpe(spark):
+    from colloquy.llm.byte_bpe import decoded, encoded, read_ranks
+
+    import tiktoken
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+    rows = sample() + [(900, "日本 é"), (901, None)]
+    ids = encoded(docs_of(spark, rows), path, pattern)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in ids.collect()) == Counter((i, tuple(library.encode_ordinary(t or ""))) for i, t in rows)
+    assert Counter((r.doc_id, bytes(r.bytes)) for r in decoded(ids, path, pattern).collect()) == Counter((i, (t or "").encode()) for i, t in rows)
+
+
+def test_packed_matrix_is_written_as_it_is(spark, tmp_path):
+    from colloquy.llm.packing import packed_matrix, write_packed
+
+    packed = packed_matrix(docs_of(spark, sample()), public_tokenizers.path("word_bpe_49k.json"), 64)
+    write_packed(packed, str(tmp_path / "packed"))
+    back = spark.read.parquet(str(tmp_path / "packed"))
+    shown = lambda df: Counter((r.sequence_id, r.n_tokens, bytes(r.ids), tuple(r.cu_seqlens), bytes(r.position_ids)) for r in df.collect())
+    assert shown(back) == shown(packed.select(back.columns))
