@@ -21,18 +21,21 @@ LEAST_SCORE = 0.05
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the quality rules keep."""
+    """Keeps what the quality rules keep. Null, empty and short texts go (the base rule); repeated rows stay; a null language or
+    source is a group of its own; texts are measured whole, however long; columns beyond those of documents are left out."""
     return judged(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those of no recognisable language."""
+    """Drops documents without a letter and those of no recognisable language. Null and empty texts go; null languages and ids are
+    never learned from, but their texts are judged; repeated rows stay; very long texts are scored whole."""
     docs = docs.select(*COLUMNS)
     return predicted(docs, train(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of linked documents; of repeated rows, one."""
+    """Keeps the document with the least id of each group of linked documents; of repeated rows, one. Texts without words are linked
+    with nothing and stay; a null id goes if its group has another; very long texts count with all their shingles."""
     docs = docs.select(*COLUMNS)
     found = stage(similarity_components(docs).select("doc_id", "component_id"), "components")
     gone = stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
@@ -45,7 +48,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of at most 4096 tokens: one row per piece."""
+    """Packs the documents into sequences of at most 4096 tokens: one row per piece. Null and empty texts are the end token alone, very
+    long ones several pieces; repeated rows are packed each; an empty table gives no row."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
