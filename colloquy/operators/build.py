@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import salience, spaced, temporal_match
 from ..functions.text import keywords, normalize_answer
+from .containment import found_in
 from .memory import shown, sorted_set
 
 #: What a faithful memory keeps: (category, relation, pattern); the surface is the pattern's group. A small configuration.
@@ -50,9 +51,12 @@ def _covers(text: Column, surface: Column) -> Column:
 def preservation(wanted: DataFrame, claims: DataFrame) -> DataFrame:
     """Each candidate's state: ``covered`` by claims of its sample (text, and the time if it has one), ``weak`` if they don't
     rest on all its messages, else ``missing``. Claims: sample_id, text, source_message_id."""
-    x = wanted.join(claims.select("sample_id", "text", "source_message_id"), "sample_id", "left")
-    hit = F.coalesce(_covers(F.col("text"), F.col("surface")) & temporal_match(F.coalesce("temporal", F.lit("")), F.col("text")), F.lit(False))
-    y = x.groupBy("sample_id", "category", "relation", "surface").agg(F.first("message_ids").alias("message_ids"), F.collect_set(F.when(hit, F.col("source_message_id"))).alias("by"))
+    known = claims.select("sample_id", "text", "source_message_id").distinct().withColumn("said", normalize_answer(F.col("text")))
+    asked = wanted.withColumn("norm", normalize_answer(F.col("surface")))
+    met = found_in(asked.select("sample_id", F.col("norm").alias("surface")), known.select("sample_id", F.struct("text", "source_message_id").alias("text_id"), F.col("said").alias("text")), words=True).withColumnRenamed("surface", "norm")
+    x = asked.join(met, ["sample_id", "norm"], "left")
+    hit = F.col("text_id").isNotNull() & temporal_match(F.coalesce("temporal", F.lit("")), F.coalesce("text_id.text", F.lit("")))
+    y = x.groupBy("sample_id", "category", "relation", "surface").agg(F.first("message_ids").alias("message_ids"), F.collect_set(F.when(hit, F.col("text_id.source_message_id"))).alias("by"))
     state = F.when(F.size("by") == 0, "missing").when(F.size(F.array_except("message_ids", "by")) > 0, "weak").otherwise("covered")
     return y.select("sample_id", "category", "relation", "surface", F.size("message_ids").alias("sources"), state.alias("state"))
 

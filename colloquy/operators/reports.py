@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.answers import covers_item
 from ..functions.text import judge_score, normalize_answer, phase_for_task
+from .containment import found_in
 from .evaluation import interval, metric_deltas, resampled
 from .results import provider_key
 
@@ -47,8 +48,9 @@ def deprecated_hits(answers: DataFrame, claims: DataFrame, least: int = 12) -> D
     """(query_id, sample_id, answer): whether a deprecated claim's whole normalised text, if long enough, stands in it."""
     shown = normalize_answer(F.col("text"))
     old = claims.where("status = 'deprecated'").select("sample_id", shown.alias("shown")).where(F.length("shown") >= least).distinct()
-    x = answers.join(old, "sample_id", "left").withColumn("hit", F.coalesce(F.contains(normalize_answer(F.col("answer")), F.col("shown")), F.lit(False)))
-    return x.groupBy("query_id").agg(F.bool_or("hit").alias("hit"))
+    said = answers.select("sample_id", F.col("query_id").alias("text_id"), normalize_answer(F.col("answer")).alias("text"))
+    hits = found_in(old.withColumnRenamed("shown", "surface"), said).select(F.col("text_id").alias("query_id"), F.lit(True).alias("hit")).distinct()
+    return answers.select("query_id").distinct().join(hits, "query_id", "left").select("query_id", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
 def snapshot_texts(snapshots: DataFrame, claims: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.answers import answer_items, covers_item, is_abstention, is_time_question, relative_times
 from ..functions.rules import NUMBERS
 from ..functions.text import judge_score, normalize_answer, phase_for_task
+from .containment import found_in
 
 #: What makes an answer one of limited evidence.
 EVIDENCE_LIMITED = [r"\bretrieved evidence (?:confirms|supports|shows|found|contains)\b", r"\bin the retrieved evidence\b", r"\bbased on (?:the )?retrieved (?:context|evidence)\b", r"\bat least\b", r"\bconfirmed\b.*\b(?:retrieved|evidence|context)\b"]
@@ -315,10 +316,11 @@ def preservation_stages(answers: DataFrame, layers: dict[str, DataFrame]) -> Dat
     """Per query whether its gold answer stands in each layer (sample_id, text), and where it was lost: before storage, in the
     compression to the next layers, or only in the answer."""
     x = answers.where("gold_answer is not null").select("query_id", "sample_id", "gold_answer", "verdict")
+    x = asked = x.withColumn("norm", normalize_answer(F.col("gold_answer")))
     for name, texts in layers.items():
-        hit = F.contains(normalize_answer(F.col("text")), normalize_answer(F.col("gold_answer")))
-        found = x.select("query_id", "sample_id", "gold_answer").join(texts.select("sample_id", "text"), "sample_id").groupBy("query_id").agg(F.bool_or(hit).alias(name))
-        x = x.join(found, "query_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+        said = texts.select("sample_id", F.lit(0).alias("text_id"), normalize_answer(F.col("text")).alias("text"))
+        found = found_in(asked.select("sample_id", F.col("norm").alias("surface")), said).select("sample_id", F.col("surface").alias("norm"), F.lit(True).alias(name))
+        x = x.join(found, ["sample_id", "norm"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
     first, *rest = layers
     lost = F.when(~F.col(first), "storage_miss")
     for name in rest:
@@ -329,10 +331,11 @@ def preservation_stages(answers: DataFrame, layers: dict[str, DataFrame]) -> Dat
 def surface_survival(wanted: DataFrame, claims: DataFrame, summaries: DataFrame, pages: DataFrame) -> DataFrame:
     """Per sample how many surfaces are in its messages, and of those in its claims, trajectories and pages. Claims, summaries
     and pages are (sample_id, text)."""
-    x = wanted.select("sample_id", "surface").distinct()
+    x = asked = wanted.select("sample_id", "surface").distinct().withColumn("norm", normalize_answer(F.col("surface")))
     for name, texts in (("in_claims", claims), ("in_trajectories", summaries), ("in_pages", pages)):
-        t = texts.groupBy("sample_id").agg(F.concat_ws("\n", F.collect_list(normalize_answer(F.col("text")))).alias("all"))
-        x = x.join(t, "sample_id", "left").withColumn(name, F.coalesce(F.contains("all", normalize_answer(F.col("surface"))), F.lit(False))).drop("all")
+        said = texts.select("sample_id", F.lit(0).alias("text_id"), normalize_answer(F.col("text")).alias("text"))
+        found = found_in(asked.select("sample_id", F.col("norm").alias("surface")), said).select("sample_id", F.col("surface").alias("norm"), F.lit(True).alias(name))
+        x = x.join(found, ["sample_id", "norm"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
     return x.groupBy("sample_id").agg(_rows().alias("surfaces"), *(F.count_if(c).alias(c) for c in ("in_claims", "in_trajectories", "in_pages")))
 
 

@@ -23,7 +23,7 @@ _CAND = r"""x AS (SELECT sample_id, message_id, phrase, nullif(regexp_extract(lo
 
 
 def wanted(v):
-    return B.candidates(v.table("fx_notes").select("sample_id", "message_id", F.col("phrase").alias("text")))
+    return v.once("candidates", lambda: B.candidates(v.table("fx_notes").select("sample_id", "message_id", F.col("phrase").alias("text"))))
 
 
 def claims(v):

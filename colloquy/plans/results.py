@@ -12,7 +12,7 @@ from ..operators import memory as M
 from ..operators import results as X
 from ..operators import retrieval as R
 from .audit import support
-from .build import claims, wanted
+from .build import _CAND, claims, wanted
 from .memory import _CELLS, _HITS, _REFS, events, grid, hits, index, labels
 from .registry import _JUDGE, _NORM, _PHASE, _TOKENS, query
 from .reports import _ITEM_TOKENS, _ITEMS
@@ -113,9 +113,10 @@ query("k7_temporal_grounding", "WITH g AS (SELECT query_id, sample_id, source_re
 )
 _LAYER = lambda t: f"(SELECT coalesce(bool_or(contains({_NORM.format('t.text')}, {_NORM.format('a.gold_answer')})), FALSE) FROM ({t}) t WHERE t.sample_id = a.sample_id)"
 query("k8_preservation_stage", f"WITH s AS (SELECT query_id, verdict, {_LAYER('SELECT sample_id, text FROM fx_claims')} AS claims, {_LAYER('SELECT sample_id, content AS text FROM fx_snapshots WHERE version = 1')} AS summaries FROM fx_answers a WHERE gold_answer IS NOT NULL) SELECT query_id, claims, summaries, CASE WHEN NOT claims THEN 'storage_miss' WHEN NOT summaries THEN 'compression_miss_summaries' WHEN verdict <> 'correct' THEN 'answer_error' ELSE 'kept' END AS lost_at FROM s")(
-    lambda v: X.preservation_stages(v("fx_answers"), {"claims": v("fx_claims"), "summaries": v("fx_snapshots").where("version = 1").withColumnRenamed("content", "text")})
+    lambda v: X.preservation_stages(v.table("fx_answers"), {"claims": v.table("fx_claims"), "summaries": v.table("fx_snapshots").where("version = 1").withColumnRenamed("content", "text")})
 )
-query("k9_source_surface_preservation", None)(lambda v: X.surface_survival(wanted(v), claims(v), claims(v).where("version >= 3"), claims(v).where("status = 'active'")))
+_IN = "count(*) FILTER (EXISTS (SELECT 1 FROM fx_note_claims c WHERE c.sample_id = sf.sample_id AND contains({0}, {1}){2}))".format(_NORM.format("c.text"), _NORM.format("sf.surface"), "{0}")
+query("k9_source_surface_preservation", f"WITH {_CAND}, sf AS (SELECT DISTINCT sample_id, surface FROM ca) SELECT sample_id, count(*) AS surfaces, {_IN.format('')} AS in_claims, {_IN.format(' AND c.version >= 3')} AS in_trajectories, {_IN.format(chr(32) + 'AND c.status = ' + chr(39) + 'active' + chr(39))} AS in_pages FROM sf GROUP BY sample_id")(lambda v: X.surface_survival(wanted(v), claims(v), claims(v).where("version >= 3"), claims(v).where("status = 'active'")))
 
 
 def _targets(v):
