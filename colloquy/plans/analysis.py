@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analysis as A
+from ..operators import dense as N
 from ..operators import evaluation as E
 from ..operators import retrieval as R
 from .registry import _JUDGE, _KEYS, _NORM, _PHASE, _RANKED, _TOKENS, query
@@ -61,6 +62,17 @@ def _(v):
     return A.dense_topk(asked, v("fx_vectors"))
 
 
+def _near(v, probes):
+    asked = v("fx_vectors").where("version = 1").select(F.col("sample_id").alias("by"), F.col("trajectory_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = N.topk(asked, v("fx_vectors").select(F.col("sample_id").alias("by"), F.col("snapshot_id").alias("vec_id"), "embedding"), 4, 8, probes)
+    return found.select("query_id", F.col("vec_id").alias("snapshot_id"), "score", "rank")
+
+
+_TOP4 = "SELECT q.trajectory_id AS query_id, s.snapshot_id, round(list_cosine_similarity(s.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.trajectory_id ORDER BY score DESC, s.snapshot_id) AS rank FROM fx_vectors q JOIN fx_vectors s ON q.sample_id = s.sample_id WHERE q.version = 1 QUALIFY rank <= 4"
+query("f24_block_topk", _TOP4)(lambda v: _near(v, None))
+query("f24_cell_topk", None)(lambda v: _near(v, 6))  # approximate: its recall is tested
+
+
 @query("g1_exact_match", f"SELECT query_id, message_id, CASE WHEN {_NORM.format('question')} = {_NORM.format('content')} THEN 1.0 ELSE 0.0 END::DOUBLE AS exact FROM fx_queries q JOIN fx_history h ON q.sample_id = h.sample_id")
 def _(v):
     from ..functions.text import normalize_answer
