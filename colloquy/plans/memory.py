@@ -95,7 +95,7 @@ _ITEMS = f"""refs_ AS ({_REFS}),
     UNION SELECT query_id, 'flat_raw', rank, s.trajectory_id FROM fl JOIN fx_snapshots s ON s.sample_id = fl.sample_id AND s.source_ref = fl.source_ref UNION SELECT query_id, 'snapshot_m' || depth, rank, trajectory_id FROM dd UNION SELECT query_id, 'source_supported_only', rank, trajectory_id FROM cl)"""
 _SHOW = "SELECT i.query_id, i.rank, i.item_id, i.tokens, coalesce((SELECT string_agg(what, ' ' ORDER BY what) FROM refs r WHERE r.query_id = i.query_id AND r.variant = i.variant AND r.rank = i.rank), '') AS refs FROM items i WHERE i.variant = '{0}'"
 _CELLS = f"""{_ITEMS}, used AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id, variant ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM items),
-  cells AS (SELECT query_id, variant, cutoff, budget FROM fx_queries, (SELECT unnest({M.VARIANTS}) AS variant), (SELECT unnest({GRID_CUTOFFS}) AS cutoff), (SELECT unnest({GRID_BUDGETS}) AS budget)),
+  cells AS (SELECT query_id, variant, cutoff, budget FROM fx_queries, (SELECT unnest(['full', 'no_pages_direct', 'pages_only', 'flat_raw', 'snapshot_m1', 'snapshot_m2', 'source_supported_only']) AS variant), (SELECT unnest({GRID_CUTOFFS}) AS cutoff), (SELECT unnest({GRID_BUDGETS}) AS budget)),
   sel AS (SELECT c.*, u.rank, u.tokens FROM cells c JOIN used u ON u.query_id = c.query_id AND u.variant = c.variant AND u.cut <= c.cutoff AND u.used <= c.budget),
   gr AS (SELECT DISTINCT query_id, source_ref AS what FROM ({_GOLD}) WHERE source_ref IS NOT NULL), gt AS (SELECT DISTINCT query_id, trajectory_id AS what FROM ({_GOLD}) WHERE trajectory_id IS NOT NULL),
   hr AS (SELECT s.query_id, s.variant, s.cutoff, s.budget, count(DISTINCT gr.what) AS n FROM sel s JOIN refs r ON r.query_id = s.query_id AND r.variant = s.variant AND r.rank = s.rank JOIN gr ON gr.query_id = r.query_id AND gr.what = r.what GROUP BY ALL),

@@ -13,9 +13,12 @@ from .registry import DRAWS, _JUDGE, _NORM, _PHASE, _RANKED, _TOKENS, query
 VARIANTS = ["v1", "v2", "v3", "v4"]
 _SPACED = "trim(regexp_replace(coalesce({0}, ''), '\\s+', ' ', 'g'))"
 _ITEMS = f"list_filter(list_transform(regexp_split_to_array(regexp_replace({_SPACED}, ' and ', ', ', 'gi'), '[,;]'), lambda x: trim(x)), lambda x: x <> '')"
-_MARKERS = " OR ".join("contains(lower({0}), '" + m.replace("'", "''") + "')" for m in T.ABSTENTIONS)
+# the words of the definitions, written for the comparison alone
+_ABSTAINS = ["not enough", "not supported", "cannot answer", "can't answer", "do not have enough", "don't have enough", "insufficient", "unknown", "not available", "no retrieved evidence"]
+_FILLERS = "a an and are as at be been for has have in is it of or the to was were with"
+_MARKERS = " OR ".join("contains(lower({0}), '" + m.replace("'", "''") + "')" for m in _ABSTAINS)
 _ALL_TOKENS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9+]+'))"
-_KEPT = f"list_filter({_ALL_TOKENS}, lambda w: w NOT IN ({', '.join(repr(w) for w in T.STOP_WORDS)}))"
+_KEPT = f"list_filter({_ALL_TOKENS}, lambda w: w NOT IN ({', '.join(repr(w) for w in _FILLERS.split())}))"
 _ITEM_TOKENS = f"CASE WHEN len({_KEPT}) > 0 THEN {_KEPT} ELSE {_ALL_TOKENS} END"
 _V1, _V2 = "(SELECT * FROM fx_outcomes WHERE variant = 'v1')", "(SELECT * FROM fx_outcomes WHERE variant = 'v2')"
 

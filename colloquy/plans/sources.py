@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import functions as F
 
 from ..functions.answers import answer_items
+from ..functions.text import keywords
 from ..operators import memory as M
 from ..operators import results as X
 from ..sources import readers as S
-from .build import TEMPLATE, summary
-from .registry import _JUDGE, query
+from .build import _SUMMARY, _SUMTEXT, TEMPLATE, summary
+from .registry import _JUDGE, _KEYS, query
 from .reports import _ITEMS
 from .scoring import _OVER, _P, ranked, signals
 
@@ -34,11 +37,18 @@ def items(v):
 query("a2_scan_multiturn_json", "SELECT CAST(sample_id AS VARCHAR) AS id, count(*) AS messages, CASE sample_id % 4 WHEN 1 THEN 'home' WHEN 2 THEN 'work' WHEN 3 THEN 'travel' END AS scene, CASE WHEN sample_id % 4 = 0 THEN 'unknown_scene' WHEN sample_id % 6 = 1 THEN 'structured_image' END AS excluded FROM fx_messages GROUP BY sample_id")(
     lambda v: S.multiturn_items(items(v)).select("id", F.size("messages").alias("messages"), "scene", "excluded")
 )
-query("a3_structured_image_filter", "SELECT query_id, query_id % 16 = 2 AS image FROM fx_asks")(
-    lambda v: v("fx_asks").select("query_id", S.holds_image(F.when(F.col("query_id") % 16 == 2, '{"a": [{"b": {"image_url": "x"}}]}').when(F.col("query_id") % 16 == 6, '{"text": "an \\"image\\": here", "type": "text"}').when(F.col("query_id") % 16 == 10, '{"note": "type image"}').otherwise('{"q": 1}')).alias("image"))
+_KEYS_OF_IMAGES = "'image', 'images', 'image_url', 'image_urls', 'image_path', 'image_paths', 'photo', 'photos', 'picture', 'pictures', 'attachment', 'attachments'"
+_TREE = f"SELECT DISTINCT p.query_id FROM (SELECT query_id, CASE WHEN json_valid(payload) THEN payload ELSE 'null' END AS j FROM fx_payloads) p, json_tree(p.j) t WHERE CAST(t.key AS VARCHAR) IN ({_KEYS_OF_IMAGES}) OR (CAST(t.key AS VARCHAR) = 'type' AND t.type = 'VARCHAR' AND lower(t.atom ->> '$') IN ('image', 'image_url', 'input_image', 'input_image_url', 'image_path', 'photo', 'picture'))"
+query("a3_structured_image_filter", f"SELECT query_id, query_id IN ({_TREE}) AS image FROM fx_payloads")(
+    lambda v: S.image_payloads(v.table("fx_payloads"), "query_id", "payload", _levels(v)).withColumnRenamed("id", "query_id")
 )
 
 
+def _levels(v):
+    n = count()
+    return lambda df: v.once(f"payload_level_{next(n)}", lambda: df)
+
+
 def predictions(v):
     a = v("fx_note_answers").where("query_id % 7 <> 0")
     p = a.selectExpr("query_id AS id", "concat(' ', answer_text) AS prediction", "CASE WHEN query_id % 13 = 0 THEN 'other' ELSE question END AS query")
@@ -74,8 +84,9 @@ query("b10_text_only_summary", f"{_TEXT} SELECT state, visual, count(*) AS n, co
 query("k14_family_ranking_fields", f"WITH {_P}, {_OVER} SELECT r.query_id, round(max(g.fs) FILTER (rank <= 3), 9)::DOUBLE AS best_selected, round(avg(g.fs) FILTER (rank <= 3), 9)::DOUBLE AS mean_selected, round(max(g.fs), 9)::DOUBLE AS best_of_all, count(*) FILTER (rank <= 3 AND g.mm > 0) AS mismatched FROM ranked r JOIN g ON g.query_id = r.query_id AND g.trajectory_id = r.trajectory_id GROUP BY r.query_id")(
     lambda v: X.family_fields(ranked(v), 3)
 )
-query("k15_metadata_term_diagnostics", "SELECT term, (SELECT count(DISTINCT trajectory_id) FROM fx_note_claims WHERE status = 'active' AND NOT (regexp_matches(lower(source_text), '\\b(my|our|mine|ours)\\b') AND len(list_filter(regexp_extract_all(text, '\\b([A-Z][a-z]+)''s\\b', 1), lambda n: lower(n) <> lower(speaker))) > 0)) AS in_text, 0::BIGINT AS in_keywords FROM (SELECT unnest(['who', 'what', 'kinds', 'latest']) AS term)")(
-    lambda v: X.template_leaks(_summaries(v), TEMPLATE)
+query("k15_metadata_term_diagnostics", f"WITH {_SUMMARY}, l AS (SELECT trajectory_id, arg_max(text, version) AS latest FROM fx_note_claims GROUP BY 1), t AS (SELECT su.trajectory_id, {_SUMTEXT} AS text FROM su JOIN l ON l.trajectory_id = su.trajectory_id) SELECT term, count(*) FILTER (list_contains(regexp_extract_all(lower(text), '[a-z]+'), term)) AS in_text, count(*) FILTER (list_contains({_KEYS.format('text')}, term)) AS in_keywords FROM t, (SELECT unnest(['who', 'what', 'kinds', 'latest', 'anna', 'is']) AS term) GROUP BY term")(
+    # keywords as they are before the template's words are taken out
+    lambda v: X.template_leaks(_summaries(v).withColumn("keywords", M.shown(keywords(F.col("text")))), [*TEMPLATE, "anna", "is"])
 )
 
 

@@ -49,6 +49,8 @@ VIEWS = {
     "fx_sayings": """SELECT event_id AS message_id, user_id AS sample_id, CASE event_id%4 WHEN 0 THEN 'Anna' WHEN 1 THEN 'Ben Carter' WHEN 2 THEN NULL ELSE 'Dora' END AS speaker, concat(CASE event_id%26 WHEN 0 THEN 'I play the guitar and my sister has a violin' WHEN 1 THEN 'I baked a chocolate cake with walnut cookies' WHEN 2 THEN 'My home country, Sweden, is cold in winter' WHEN 3 THEN 'I am reading "The Silent Patient" again' WHEN 4 THEN 'Anna and I went to New York last month' WHEN 5 THEN 'I researched adoption agencies last week' WHEN 6 THEN 'I am a single parent of two kids' WHEN 7 THEN 'As a transgender woman I gave a talk' WHEN 8 THEN 'We saw abstract art at the Museum of Modern Art' WHEN 9 THEN 'I joined a car modification workshop' WHEN 10 THEN 'I just returned from San Francisco yesterday' WHEN 11 THEN 'I enjoy hiking, painting and chess' WHEN 12 THEN 'My favorite dish is lemon pasta because it is quick' WHEN 13 THEN 'I signed up for a pottery class on Monday' WHEN 14 THEN 'Thanks, Ben Carter! Okay, see you soon' WHEN 15 THEN 'I painted a sunset with the rainbow flag' WHEN 16 THEN 'We visited the car show museum two years ago' WHEN 17 THEN 'We started a road trip three days ago and it was great' WHEN 18 THEN 'Our school event was a parade' WHEN 19 THEN 'I finished The Great Gatsby and read twice' WHEN 20 THEN 'I took the military aptitude test today' WHEN 21 THEN 'Running helps me destress' WHEN 22 THEN 'She likes It Ends With Us, of course' WHEN 23 THEN 'I moved to Lake Tahoe; Lake Tahoe is my favorite place' WHEN 24 THEN 'The books are Dune, Emma and Ulysses' WHEN 25 THEN 'Hey, it''s nothing, really' END, '. ', CASE (CAST(floor(event_id/26) AS BIGINT)*7+event_id)%26 WHEN 0 THEN 'I play the guitar and my sister has a violin' WHEN 1 THEN 'I baked a chocolate cake with walnut cookies' WHEN 2 THEN 'My home country, Sweden, is cold in winter' WHEN 3 THEN 'I am reading "The Silent Patient" again' WHEN 4 THEN 'Anna and I went to New York last month' WHEN 5 THEN 'I researched adoption agencies last week' WHEN 6 THEN 'I am a single parent of two kids' WHEN 7 THEN 'As a transgender woman I gave a talk' WHEN 8 THEN 'We saw abstract art at the Museum of Modern Art' WHEN 9 THEN 'I joined a car modification workshop' WHEN 10 THEN 'I just returned from San Francisco yesterday' WHEN 11 THEN 'I enjoy hiking, painting and chess' WHEN 12 THEN 'My favorite dish is lemon pasta because it is quick' WHEN 13 THEN 'I signed up for a pottery class on Monday' WHEN 14 THEN 'Thanks, Ben Carter! Okay, see you soon' WHEN 15 THEN 'I painted a sunset with the rainbow flag' WHEN 16 THEN 'We visited the car show museum two years ago' WHEN 17 THEN 'We started a road trip three days ago and it was great' WHEN 18 THEN 'Our school event was a parade' WHEN 19 THEN 'I finished The Great Gatsby and read twice' WHEN 20 THEN 'I took the military aptitude test today' WHEN 21 THEN 'Running helps me destress' WHEN 22 THEN 'She likes It Ends With Us, of course' WHEN 23 THEN 'I moved to Lake Tahoe; Lake Tahoe is my favorite place' WHEN 24 THEN 'The books are Dune, Emma and Ulysses' WHEN 25 THEN 'Hey, it''s nothing, really' END, '.') AS text FROM events""",
     "fx_saying_claims": "SELECT sample_id, message_id AS owner_id, CASE message_id%5 WHEN 0 THEN concat('The user said: ', text) WHEN 1 THEN concat('Anna said that ', text) WHEN 2 THEN replace(text, 'I ', 'Ben Carter''s friend ') ELSE text END AS text FROM fx_sayings",
     "fx_saying_sources": "SELECT message_id AS owner_id, 1 AS position, speaker, text FROM fx_sayings UNION ALL SELECT owner_id, 2, speaker, text FROM (SELECT lead(message_id) OVER (PARTITION BY sample_id ORDER BY message_id) AS owner_id, speaker, text FROM fx_sayings) z WHERE owner_id IS NOT NULL",
+    # questions in payloads as chat services send them, some with images, some that only speak of them, some broken
+    "fx_payloads": """SELECT query_id, concat('{"id": ', query_id, ', "messages": [{"role": "user", "content": "', question, '"}', CASE CAST(floor(query_id/8) AS BIGINT)%8 WHEN 0 THEN ', {"content": [{"type": "text"}, {"Type": "x", "parts": [{"image_url": null}]}]}' WHEN 1 THEN ', {"content": [[{"type": "IMAGE"}]]}' WHEN 2 THEN concat(', {"content": "say ', chr(92), '"image', chr(92), '": 1"}') WHEN 3 THEN ', {"content": "type image_url photo"}' WHEN 4 THEN ', {"note": {"deep": {"deeper": [1, {"photos": []}]}}}' WHEN 5 THEN ', {"type": ["image"]}' WHEN 6 THEN ', {broken' ELSE '' END, ']}') AS payload FROM fx_asks""",
     # what a model may write about an exchange, well-formed and not
     "fx_model_outputs": """SELECT event_id AS output_id, CASE event_id%10 WHEN 0 THEN concat('SUMMARY_CONTENT: a trip to the lake', chr(10), 'CONTEXT: chat', chr(10), 'KEYWORDS: lake, trip', chr(10), '[CLAIMS]', chr(10), '- status=active | source_message_ids=m1, m2 | text=Anna went to the lake', chr(10), '- status=confirmed | text=Ben = tall', chr(10), '[OPS]', chr(10), '- op=ADD | target_claim_id=tmp-c1 | rationale=new') WHEN 1 THEN concat('<think>', chr(10), 'SUMMARY_CONTENT of what', chr(10), '</think>', chr(10), 'Here it is', chr(10), 'SUMMARY_CONTENT: x', chr(10), 'CONTEXT: y: z', chr(10), 'KEYWORDS: none', chr(10), '[CLAIMS]', chr(10), '- status=Pending Confirmation | source_message_ids=none | text=maybe') WHEN 2 THEN concat('SUMMARY_CONTENT: only this', chr(10), 'no colon here', chr(10), '[CLAIMS]', chr(10), 'status=active | text=no bullet', chr(10), '- status=active | broken', chr(10), '- text=no status', chr(10), '- status=active') WHEN 3 THEN concat('NO_MEMORY') WHEN 4 THEN concat('KEYWORDS: a, b', chr(10), 'CONTEXT: c', chr(10), 'SUMMARY_CONTENT: d', chr(10), '[CLAIMS]', chr(10), '* status: active | text: mended claim', chr(10), '1) status=conflicted|text=numbered one', chr(10), 'plain words', chr(10), '[OPS]', chr(10), '• op: revise | target_claim_id: c7') WHEN 5 THEN concat('SUMMARY_CONTENT: s', chr(10), 'CONTEXT: c', chr(10), 'KEYWORDS: k', chr(10), '[CLAIMS]', chr(10), '- status=unsure | text=bad status', chr(10), '[OPS]', chr(10), '- op=NUKE | target_claim_id=c1', chr(10), '- op=DEPRECATE | rationale=no target', chr(10), '- target_claim_id=c2') WHEN 6 THEN concat('<think> never closed', chr(10), 'and on', chr(10), 'SUMMARY_CONTENT: ends it', chr(10), 'CONTEXT: c', chr(10), '', chr(10), 'KEYWORDS: k', chr(10), '[CLAIMS]', chr(10), '- <think>x</think>status=active | text=inline') WHEN 7 THEN '' WHEN 8 THEN CAST(NULL AS VARCHAR(9)) WHEN 9 THEN concat('CONTEXT: c', chr(10), '[DISPLAY_ITEMS]', chr(10), '- one', chr(10), '- two words', chr(10), 'three', chr(10), '[CLAIMS]', chr(10), '- status=active | text=last | text=wins') END AS text FROM events""",
 }

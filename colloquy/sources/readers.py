@@ -5,6 +5,9 @@ Each reader takes lines or rows as a DataFrame, so that files of any number are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +16,35 @@ DROPPED_CATEGORY = 5
 SCENES = {"1": "home", "2": "work", "3": "travel"}
 DIALOGUE = "sample_id string, qa_uid string, question string, answer string, evidence array<string>, category int, category_name string, full_conversation string"
 MULTITURN = "id string, messages array<struct<role:string,content:string>>, test_point string, meta struct<scene:string>"
-#: Keys and types that make a JSON object an image.
-IMAGE_KEYS, IMAGE_TYPES = ["image", "image_url", "img_url"], ["image", "input_image", "image_url"]
+# Keys and types that make a JSON object an image.
+IMAGE_KEYS = ["image", "images", "image_url", "image_urls", "image_path", "image_paths", "photo", "photos", "picture", "pictures", "attachment", "attachments"]
+IMAGE_TYPES = ["image", "image_url", "input_image", "input_image_url", "image_path", "photo", "picture"]
+
+
+def image_payloads(payloads: DataFrame, id_col: str, text_col: str, stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(id, image): whether a JSON text has, at any depth, an object with an image key or an image type; strings are not looked
+    into, and a text that is null or no JSON has none. Rows of one id count together; a null id has no image.
+
+    Texts are parsed to VARIANT; each round looks at one level of what is left and opens the next, until nothing is left to
+    open. A text with an image leaves at once. ``stage`` may write a level, so that deep texts don't make long plans.
+    """
+    ids = payloads.select(F.col(id_col).alias("id"))
+    level = payloads.select(F.col(id_col).alias("id"), F.try_parse_json(F.col(text_col).cast("string")).alias("v"))
+    found = None
+    v = F.col("v")
+    while True:
+        kind = F.schema_of_variant(v)
+        object_ = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
+        keyed = reduce(lambda a, b: a | b, (F.variant_get(v, f"$.{k}", "variant").isNotNull() for k in IMAGE_KEYS))
+        typed = F.coalesce(F.schema_of_variant(F.variant_get(v, "$.type", "variant")) == "STRING", F.lit(False)) & F.lower(F.try_variant_get(v, "$.type", "string")).isin(list(IMAGE_TYPES))
+        level = stage(level.where(v.isNotNull() & F.coalesce(kind.rlike("^(OBJECT|ARRAY)"), F.lit(False))).withColumn("hit", object_ & F.coalesce(keyed | typed, F.lit(False))))
+        hits = level.where("hit").select("id").distinct()
+        found = hits if found is None else found.unionByName(hits)
+        if level.isEmpty():
+            break
+        rest = level.join(hits, "id", "left_anti")
+        level = rest.lateralJoin(rest.sparkSession.tvf.variant_explode(F.col("v").outer())).select("id", F.col("value").alias("v"))
+    return ids.join(found.distinct().withColumn("image", F.lit(True)), "id", "left").select("id", F.coalesce("image", F.lit(False)).alias("image"))
 
 
 def holds_image(text: Column) -> Column:
