@@ -136,7 +136,8 @@ def entity_mentions(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """The columns of ``texts`` but the text, with (surface, start, length): the first place of each entity of the sample's
     lexicon that a text names as whole words, whatever the case.
 
-    Texts meet the lexicon by the first word of an entity, never all by all; the rest is compared at that word's place.
+    Texts meet the lexicon by the first word of an entity, never all by all; the rest is compared at that word's place. Neither
+    side is broadcast: words are many times larger than the texts that their size is estimated from.
     """
     own = [c for c in texts.columns if c != "text"]
     word = r"[\p{L}\p{N}_]+"
@@ -148,7 +149,7 @@ def entity_mentions(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     ends = lambda x: F.struct(x["words"].alias("words"), x["gaps"].alias("gaps"), F.aggregate(F.zip_with(x["gaps"], x["words"], lambda g, w: F.length(g) + F.coalesce(F.length(w), F.lit(0))), F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n))).alias("at"))
     placed = let(let(both, ends), lambda x: F.transform(x["words"], lambda w, i: F.struct(w.alias("word"), x["at"][i].alias("at"), x["gaps"][i].alias("gap"))))
     seen = texts.select(*own, lower.alias("lower"), F.explode(placed).alias("p")).select(*own, "lower", F.col("p.word").alias("word"), (F.col("p.at") + F.length("p.gap")).alias("start"))
-    met = seen.join(first, ["sample_id", "word"])
+    met = seen.join(first.hint("merge"), ["sample_id", "word"])
     n = F.length("key")
     after = F.substring(F.col("lower"), F.col("start") + n + 1, F.lit(1))
     hit = met.where((F.substring(F.col("lower"), F.col("start") + 1, n) == F.col("key")) & ~after.rlike(r"[\p{L}\p{N}_]"))

@@ -127,3 +127,11 @@ def test_entities_are_whole_words_at_their_first_place(spark):
     texts = [(1, 1, "Annex and new  york, New York; ANN's york"), (1, 2, "yorker O'Neil"), (2, 3, "né Zoë. Zoës zoë"), (1, 4, None), (1, 5, ""), (3, 6, "Ann")]
     got = E.entity_mentions(spark.createDataFrame(texts, "sample_id int, id int, text string"), lexicon).collect()
     assert Counter((r.id, r.surface, r.start, r.length) for r in got) == Counter([(1, "York", 15, 4), (1, "New York", 21, 8), (1, "Ann", 31, 3), (2, "O'Neil", 7, 6), (3, "Zoë", 3, 3)])
+
+
+def test_words_of_texts_are_not_broadcast(spark):
+    texts = spark.createDataFrame([(1, 2, "Anna met Ben Carter and ben carter")], "sample_id int, message_id int, text string")
+    lexicon = spark.createDataFrame([(1, "ben carter", "Ben Carter"), (1, "anna", "Anna"), (2, "ben", "Ben")], "sample_id int, key string, surface string")
+    found = E.entity_mentions(texts, lexicon)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(found.select("surface", "start", "length").collect()) == [("Anna", 0, 4), ("Ben Carter", 9, 10)]
