@@ -4,6 +4,7 @@ A surface is posted under one piece of it, the one that the fewest texts of its
 only texts that have a surface's piece are looked through. Pieces are words, or three characters where a surface may begin and end inside
 words (shorter surfaces are their own piece). A surface with a piece that no text has is dropped before the join. The work is
 linear in the texts and in what shares a surface's rarest piece; a piece is joined with its group, so that a hot group is many keys.
+Pieces are many times larger than the texts that a size is estimated from, so that no side of these joins may be broadcast.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ def found_in(surfaces: DataFrame, texts: DataFrame, by: str = "sample_id", words
     posted = t.select(by, "text_id", "text", F.explode(F.array_distinct(pieces)).alias("piece"))
     seen = posted.groupBy(by, "piece").agg(F.count(F.lit(1)).alias("texts"))
     asked = s.where(surface != "").select(by, "surface", F.explode(F.array_distinct(own)).alias("piece"))
-    known = asked.join(seen, [by, "piece"], "left").groupBy(by, "surface").agg(F.min_by("piece", F.struct(F.coalesce("texts", F.lit(0)), "piece")).alias("piece"), F.min(F.coalesce("texts", F.lit(0))).alias("texts")).where("texts > 0").drop("texts")
+    known = asked.join(seen.hint("merge"), [by, "piece"], "left").groupBy(by, "surface").agg(F.min_by("piece", F.struct(F.coalesce("texts", F.lit(0)), "piece")).alias("piece"), F.min(F.coalesce("texts", F.lit(0))).alias("texts")).where("texts > 0").drop("texts")
     inside = F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), surface, F.lit(" "))) if words else F.contains(text, surface)
-    hits = posted.join(known, [by, "piece"]).where(inside).select(by, "surface", "text_id")
-    empty = s.where(surface == "").join(t.where(text == "") if words else t, by).select(by, "surface", "text_id")
+    hits = posted.join(known.hint("merge"), [by, "piece"]).where(inside).select(by, "surface", "text_id")
+    empty = s.where(surface == "").join((t.where(text == "") if words else t).hint("merge"), by).select(by, "surface", "text_id")
     return hits.unionByName(empty).distinct()

@@ -8,6 +8,13 @@ import pytest
 from colloquy.operators.containment import found_in
 
 
+def test_no_side_of_the_index_is_broadcast(spark):
+    # sizes are estimated from the texts, pieces are many times larger
+    x = spark.createDataFrame([(1, "tea", 1)], "sample_id int, surface string, text_id int")
+    plan = found_in(x.select("sample_id", "surface"), x.select("sample_id", "text_id", x.surface.alias("text")))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 @pytest.mark.parametrize("words", [False, True])
 def test_index_finds_what_all_pairs_find(spark, words):
     rng = random.Random(words)
