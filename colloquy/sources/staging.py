@@ -3,6 +3,9 @@
 A version is a digest of the input files' names, sizes and times, so that changed inputs make a new one. What is written lies in
 the folder that driver and executors share; a table is known only once its write has ended, and a lost executor reads it
 again instead of computing what is above it.
+
+Repeated texts and vectors take hardly any room in a file and all of it in memory, so that a size estimated from files lets joins
+broadcast what no driver can hold. Only a table of a few files' bytes may be broadcast; the others are joined by merging.
 """
 
 from __future__ import annotations
@@ -14,8 +17,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of the files of a table that joins may broadcast, at most.
+BROADCAST_FILES = 256 << 10
 _OWN: dict[str, str] = {}
-_WRITTEN: dict[tuple[str, str, str], tuple[str, object]] = {}
+_WRITTEN: dict[tuple[str, str, str], tuple[str, object, bool]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,9 +57,12 @@ def written_once(spark: SparkSession, version: str, name: str, make: Callable[[]
         df = make()
         path = f"{shared_dir(spark)}/colloquy-{key[0]}/{version}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
-        _WRITTEN[key] = (path, df.schema)
-    path, schema = _WRITTEN[key]
-    return spark.read.schema(schema).parquet(path)
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        size = root.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(root).getLength()
+        _WRITTEN[key] = (path, df.schema, size <= BROADCAST_FILES)
+    path, schema, little = _WRITTEN[key]
+    table = spark.read.schema(schema).parquet(path)
+    return table if little else table.hint("merge")
 
 
 def forget(spark: SparkSession) -> bool:
