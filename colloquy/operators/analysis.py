@@ -181,7 +181,7 @@ def drift_summary(drift: DataFrame) -> DataFrame:
 
 def low_drift_examples(drift: DataFrame, most: int = 10) -> DataFrame:
     """The trajectories of lowest head-tail cosine, singletons excluded; a top-k report."""
-    return drift.where("bucket <> 'singleton' and head_tail is not null").orderBy("head_tail", "trajectory_id").limit(most).select("trajectory_id", "head_tail")
+    return drift.where("bucket <> 'singleton' and head_tail is not null").orderBy("head_tail", "trajectory_id", *(c for c in ("sample_id",) if c in drift.columns)).limit(most).select("trajectory_id", "head_tail")
 
 
 def complete_weighted_metric(outcomes: DataFrame) -> DataFrame:

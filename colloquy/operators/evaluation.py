@@ -74,14 +74,19 @@ def amortized_cost(calls: DataFrame, queries: list[int]) -> DataFrame:
     return one.select(F.explode(F.array(*map(F.lit, queries))).alias("n"), "upfront", "each").select("n", F.round((F.col("upfront") + F.col("each") * F.col("n")) / F.col("n"), 6).alias("cost"))
 
 
-def trajectory_drift(vectors: DataFrame) -> DataFrame:
-    """Cosines between the first and last and between adjacent snapshots of each trajectory, with a bucket."""
-    order = Window.partitionBy("trajectory_id").orderBy("version")
+#: A trajectory is one of its sample.
+OWN = ("sample_id", "trajectory_id")
+
+
+def trajectory_drift(vectors: DataFrame, by: tuple[str, ...] = ("trajectory_id",)) -> DataFrame:
+    """Cosines between the first and last and between adjacent snapshots of each trajectory, with a bucket. ``by`` tells trajectories
+    apart: where samples may use the same numbers, the sample belongs to it, else versions of two trajectories are mixed."""
+    order = Window.partitionBy(*by).orderBy("version")
     x = vectors.withColumn("prev", F.lag("embedding").over(order)).withColumn("step", cosine(F.col("prev"), F.col("embedding")))
-    d = x.groupBy("trajectory_id").agg(F.count(F.lit(1)).alias("length"), F.min_by("embedding", "version").alias("head"), F.max_by("embedding", "version").alias("tail"), F.avg("step").alias("mean"), F.min("step").alias("least"))
+    d = x.groupBy(*by).agg(F.count(F.lit(1)).alias("length"), F.min_by("embedding", "version").alias("head"), F.max_by("embedding", "version").alias("tail"), F.avg("step").alias("mean"), F.min("step").alias("least"))
     d = d.withColumn("ht", F.when(F.col("length") == 1, 1.0).otherwise(cosine(F.col("head"), F.col("tail"))))
     bucket = F.when(F.col("length") == 1, "singleton").when(F.col("ht") >= 0.7, "stable").when(F.col("ht") >= 0.55, "mild").when(F.col("ht") >= 0.4, "moderate").otherwise("possible_drift")
-    return d.select("trajectory_id", "length", F.round("ht", 6).alias("head_tail"), F.round("mean", 6).alias("adjacent_mean"), F.round("least", 6).alias("adjacent_min"), bucket.alias("bucket"))
+    return d.select(*by, "length", F.round("ht", 6).alias("head_tail"), F.round("mean", 6).alias("adjacent_mean"), F.round("least", 6).alias("adjacent_min"), bucket.alias("bucket"))
 
 
 def query_strata(gold: DataFrame, snapshots: DataFrame, claims: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from ..operators import retrieval as R
 from .registry import _JUDGE, _KEYS, _NORM, _PHASE, _RANKED, _TOKENS, query
 
 _GOLD = "SELECT DISTINCT g.query_id, s.trajectory_id FROM fx_gold g JOIN fx_snapshots s ON g.sample_id = s.sample_id AND g.source_ref = s.source_ref"
-_DRIFT = "SELECT trajectory_id, count(*) AS length, round((CASE WHEN count(*) = 1 THEN 1.0 ELSE list_cosine_similarity(arg_min(embedding::DOUBLE[], version), arg_max(embedding::DOUBLE[], version)) END)::DOUBLE, 6) AS ht FROM fx_vectors GROUP BY trajectory_id"
-_BUCKET = "CASE WHEN length = 1 THEN 'singleton' WHEN ht >= 0.7 THEN 'stable' WHEN ht >= 0.55 THEN 'mild' WHEN ht >= 0.4 THEN 'moderate' ELSE 'possible_drift' END"
+_DRIFT = "SELECT *, round(raw, 6) AS ht FROM (SELECT sample_id, trajectory_id, count(*) AS length, (CASE WHEN count(*) = 1 THEN 1.0 ELSE list_cosine_similarity(arg_min(embedding::DOUBLE[], version), arg_max(embedding::DOUBLE[], version)) END)::DOUBLE AS raw FROM fx_vectors GROUP BY sample_id, trajectory_id)"
+_BUCKET = "CASE WHEN length = 1 THEN 'singleton' WHEN raw >= 0.7 THEN 'stable' WHEN raw >= 0.55 THEN 'mild' WHEN raw >= 0.4 THEN 'moderate' ELSE 'possible_drift' END"
 _TWO = "FROM (SELECT * FROM fx_outcomes WHERE variant = 'v1') x JOIN (SELECT * FROM fx_outcomes WHERE variant = 'v2') y ON x.query_id = y.query_id"
 _NEEDED = "SELECT g.query_id, max(s.version)::BIGINT AS required_rank FROM fx_gold g JOIN fx_snapshots s ON g.sample_id = s.sample_id AND g.source_ref = s.source_ref GROUP BY g.query_id"
 ENVELOPE = 2500
@@ -34,8 +34,8 @@ _of("i6_scope_cost_calls", "SELECT CASE WHEN query_id IS NOT NULL THEN 'query' W
 _of("j7_binary_label_metrics", f"SELECT stratum, n, round(same / n, 9) AS accuracy, round(tp / nullif(pp, 0), 9) AS precision, round(tp / nullif(gp, 0), 9) AS recall, round(2 * tp / nullif(pp + gp, 0), 9) AS f1 FROM (SELECT x.stratum, count(*) AS n, count(*) FILTER (x.verdict = 'correct' AND y.verdict = 'correct') AS tp, count(*) FILTER (x.verdict = 'correct') AS pp, count(*) FILTER (y.verdict = 'correct') AS gp, count(*) FILTER ((x.verdict = 'correct') = (y.verdict = 'correct')) AS same {_TWO} GROUP BY x.stratum)", "fx_outcomes", lambda x: A.binary_metrics(x, "v1", "v2"))
 _of("j15_cohen_kappa", f"WITH t AS (SELECT x.verdict AS a, y.verdict AS b {_TWO}), n AS (SELECT count(*) AS n, avg(CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0 END) AS po FROM t), p AS (SELECT sum((SELECT count(*) FROM t WHERE a = v) * (SELECT count(*) FROM t WHERE b = v))::DOUBLE AS xy FROM (SELECT unnest(['correct', 'partial', 'incorrect']) AS v)) SELECT n AS pairs, round(po, 9) AS agreement, round((po - xy / (n * n)) / (1 - xy / (n * n)), 9) AS kappa FROM n, p", "fx_outcomes", lambda x: A.cohen_kappa(x, "v1", "v2"))
 _of("k12_trajectory_length_stats", "WITH t AS (SELECT count(*) AS n FROM fx_vectors GROUP BY trajectory_id) SELECT count(*) AS trajectories, round(avg(n), 9) AS mean, quantile_disc(n, 0.5) AS median, quantile_disc(n, 0.9) AS p90, quantile_disc(n, 0.95) AS p95, max(n) AS longest, round(avg(CASE WHEN n >= 6 THEN 1.0::DOUBLE ELSE 0 END), 9) AS at_limit FROM t", "fx_vectors", lambda x: A.length_stats(x, 6))
-_of("l2_drift_summary", f"SELECT {_BUCKET} AS bucket, count(*) AS trajectories, round(avg(length), 9) AS mean_length, round(avg(ht), 5) AS head_tail FROM ({_DRIFT}) GROUP BY 1", "fx_vectors", lambda x: A.drift_summary(E.trajectory_drift(x)))
-_of("l4_low_drift_examples", f"SELECT trajectory_id, ht AS head_tail FROM ({_DRIFT}) WHERE length > 1 ORDER BY ht, trajectory_id LIMIT 10", "fx_vectors", lambda x: A.low_drift_examples(E.trajectory_drift(x)))
+_of("l2_drift_summary", f"SELECT {_BUCKET} AS bucket, count(*) AS trajectories, round(avg(length), 9) AS mean_length, round(avg(ht), 5) AS head_tail FROM ({_DRIFT}) GROUP BY 1", "fx_vectors", lambda x: A.drift_summary(E.trajectory_drift(x, E.OWN)))
+_of("l4_low_drift_examples", f"SELECT trajectory_id, ht AS head_tail FROM ({_DRIFT}) WHERE length > 1 AND ht IS NOT NULL ORDER BY ht, trajectory_id, sample_id LIMIT 10", "fx_vectors", lambda x: A.low_drift_examples(E.trajectory_drift(x, E.OWN)))
 _of("l11_complete_weighted_metric", "SELECT variant, count(*) AS n, count(gold_ref_coverage) AS observed, CASE WHEN count(*) = count(gold_ref_coverage) THEN round(avg(gold_ref_coverage), 6) END AS coverage FROM fx_outcomes GROUP BY variant", "fx_outcomes", A.complete_weighted_metric)
 _of("l14_token_budget_audit", f"SELECT variant, count(*) FILTER (prompt_tokens <= {ENVELOPE}) AS passed, count(*) FILTER (prompt_tokens > {ENVELOPE}) AS failed, count(*) FILTER (prompt_tokens IS NULL) AS unavailable, count(*) FILTER (prompt_tokens < {9 * ENVELOPE // 10}) AS underused FROM fx_outcomes GROUP BY variant", "fx_outcomes", lambda x: A.token_budget_audit(x, ENVELOPE))
 

@@ -173,9 +173,9 @@ def _(v):
     return E.run_diff(v("fx_outcomes"), "v1", "v2")
 
 
-@query("l1_trajectory_drift", "WITH x AS (SELECT *, embedding::DOUBLE[] AS e, lag(embedding::DOUBLE[]) OVER (PARTITION BY trajectory_id ORDER BY version) AS p FROM fx_vectors), d AS (SELECT trajectory_id, count(*) AS length, CASE WHEN count(*) = 1 THEN 1.0 ELSE list_cosine_similarity(arg_min(e, version), arg_max(e, version)) END AS ht, avg(list_cosine_similarity(p, e)) AS m, min(list_cosine_similarity(p, e)) AS l FROM x GROUP BY trajectory_id) SELECT trajectory_id, length, round(ht::DOUBLE, 6) AS head_tail, round(m, 6) AS adjacent_mean, round(l, 6) AS adjacent_min, CASE WHEN length = 1 THEN 'singleton' WHEN ht >= 0.7 THEN 'stable' WHEN ht >= 0.55 THEN 'mild' WHEN ht >= 0.4 THEN 'moderate' ELSE 'possible_drift' END AS bucket FROM d")
+@query("l1_trajectory_drift", "WITH x AS (SELECT *, embedding::DOUBLE[] AS e, lag(embedding::DOUBLE[]) OVER (PARTITION BY sample_id, trajectory_id ORDER BY version) AS p FROM fx_vectors), d AS (SELECT sample_id, trajectory_id, count(*) AS length, CASE WHEN count(*) = 1 THEN 1.0 ELSE list_cosine_similarity(arg_min(e, version), arg_max(e, version)) END AS ht, avg(list_cosine_similarity(p, e)) AS m, min(list_cosine_similarity(p, e)) AS l FROM x GROUP BY sample_id, trajectory_id) SELECT trajectory_id, length, round(ht::DOUBLE, 6) AS head_tail, round(m, 6) AS adjacent_mean, round(l, 6) AS adjacent_min, CASE WHEN length = 1 THEN 'singleton' WHEN ht >= 0.7 THEN 'stable' WHEN ht >= 0.55 THEN 'mild' WHEN ht >= 0.4 THEN 'moderate' ELSE 'possible_drift' END AS bucket FROM d")
 def _(v):
-    return E.trajectory_drift(v("fx_vectors"))
+    return E.trajectory_drift(v("fx_vectors"), E.OWN).drop("sample_id")
 
 
 @query("l5_query_strata", "WITH l AS (SELECT sample_id, source_ref FROM (SELECT *, max(version) OVER (PARTITION BY trajectory_id) AS top FROM fx_snapshots) WHERE version = top), g AS (SELECT g.query_id, bool_or(l.source_ref IS NULL) AS deep, bool_or(g.message_id IN (SELECT source_message_id FROM fx_claims WHERE status = 'deprecated')) AS upd FROM fx_gold g LEFT JOIN l ON l.sample_id = g.sample_id AND l.source_ref = g.source_ref GROUP BY g.query_id) SELECT query_id, CASE WHEN deep THEN 'strict_deep_history' WHEN upd THEN 'update_sensitive' ELSE 'ordinary' END AS stratum FROM g")
