@@ -5,7 +5,9 @@ Every score is a row of (query, candidate) inside a sample; arrays hold sets of
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -256,21 +258,31 @@ def coverage_greedy(candidates: DataFrame, k: int) -> DataFrame:
     less ``REPEAT`` times the share of its terms that are covered already; ties by rank. A query's pool is bounded.
     """
 
-    def choose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rank").reset_index(drop=True)
-        sets = {c: [set(v) for v in rows[c]] for c in GAINS}
-        covered, left, out = {c: set() for c in GAINS}, list(range(len(rows))), []
-        while left and len(out) < k:
-            def gain(i):
-                new = sum(w * len(sets[c][i] - covered[c]) for c, w in GAINS.items())
-                return new - REPEAT * len(sets["have"][i] & covered["have"]) / max(1, len(sets["have"][i]))
+    def choose(pool: list[dict]) -> list[tuple]:
+        pool.sort(key=lambda r: r["rank"])
+        sets = {c: [set(r[c]) for r in pool] for c in GAINS}
+        covered, left, out = {c: set() for c in GAINS}, list(range(len(pool))), []
+
+        def gain(i):
+            new = sum(w * len(sets[c][i] - covered[c]) for c, w in GAINS.items())
+            return new - REPEAT * len(sets["have"][i] & covered["have"]) / max(1, len(sets["have"][i]))
 
+        while left and len(out) < k:
             best = left[0] if not out else max(left, key=lambda i: (round(gain(i), 9), -i))
-            out.append((key[0], int(rows.trajectory_id[best]), len(out) + 1, round(float(gain(best)), 9)))
+            out.append((pool[best]["trajectory_id"], len(out) + 1, round(float(gain(best)), 9)))
             left.remove(best)
             for c in GAINS:
                 covered[c] |= sets[c][best]
-        return pd.DataFrame(out, columns=["query_id", "trajectory_id", "place", "gain"])
-
-    pool = candidates.where(F.col("rank") <= POOL).select("query_id", "trajectory_id", "rank", *GAINS)
-    return pool.groupBy("query_id").applyInPandas(choose, "query_id long, trajectory_id long, place long, gain double")
+        return out
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                rows = [(q, *x) for q, pool in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for x in choose(pool)]
+                yield pa.RecordBatch.from_pylist([dict(zip(shape.names, r, strict=True)) for r in rows], shape)
+
+    # many queries' pools travel in one batch: a call for each query would cost more than its choice
+    shape = pa.schema([("query_id", pa.int64()), ("trajectory_id", pa.int64()), ("place", pa.int64()), ("gain", pa.float64())])
+    pool = candidates.where(F.col("rank") <= POOL).groupBy("query_id").agg(F.collect_list(F.struct("trajectory_id", "rank", *GAINS)).alias("pool"))
+    return pool.mapInArrow(chosen, "query_id long, trajectory_id long, place long, gain double")

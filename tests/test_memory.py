@@ -78,6 +78,14 @@ def test_greedy_cover_takes_what_is_new(spark):
     assert [(r.trajectory_id, r.place) for r in x.orderBy("place").collect()] == [(10, 1), (12, 2)]
 
 
+def test_greedy_covers_of_many_queries_share_a_call(spark):
+    rows = [(q, 10 * q + k, k + 1, ["anna", f"n{k}"][: 1 + k % 2], [], ["chess"] * (k == 3), [f"w{k}"]) for q in range(600) for k in range(5)]
+    x = S.coverage_greedy(spark.createDataFrame(rows, "query_id long, trajectory_id long, rank long, names array<string>, values array<string>, items array<string>, have array<string>"), 2)
+    assert "InPandas" not in x._jdf.queryExecution().executedPlan().toString()  # a call for each query
+    got = {(r.query_id, r.place): r.trajectory_id - 10 * r.query_id for r in x.collect()}
+    assert got == {(q, p): k for q in range(600) for p, k in ((1, 0), (2, 3))}
+
+
 def test_broad_pages_split_around_the_farthest(spark):
     rows = [(1, k, 1, [1.0, 0.0] if k < 4 else [0.0, 1.0]) for k in range(8)]
     got = {}
