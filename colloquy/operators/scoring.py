@@ -132,13 +132,19 @@ def page_scores(questions: DataFrame, pages: DataFrame, widest: int = 6) -> Data
     return rrf_fuse(y, keep=("dense", "sparse")).withColumnRenamed("id", "page_id").drop("fused")
 
 
+def with_few(rows: DataFrame, routed: DataFrame, enough: int) -> DataFrame:
+    """The rows of queries with fewer than ``enough`` routed trajectories, none included."""
+    n = routed.select("query_id", "trajectory_id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(n.where(F.col("n") >= enough).select("query_id"), "query_id", "left_anti")
+
+
 def index_fallback(ranked: DataFrame, routed: DataFrame, enough: int, most: int) -> DataFrame:
     """The routed trajectories (query_id, trajectory_id), and for queries with fewer than ``enough`` of them the best
     ``most`` others by ``overlap_rank`` that share anything; ``origin`` says which."""
     own = routed.select("query_id", "trajectory_id").distinct()
-    n = own.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    rest = ranked.select("query_id", "trajectory_id", "score").where("score > 0").join(own, ["query_id", "trajectory_id"], "left_anti").join(n, "query_id", "left").where(F.coalesce("n", F.lit(0)) < enough)
-    rest = rest.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("trajectory_id")))).where(F.col("k") <= most)
+    rest = with_few(ranked.select("query_id", "trajectory_id", "score"), own, enough).join(own, ["query_id", "trajectory_id"], "left_anti")
+    # the best come first, so that a score of 0 is looked for behind the ranking and no score is made twice
+    rest = rest.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("trajectory_id")))).where((F.col("k") <= most) & (F.col("score") > 0))
     return own.withColumn("origin", F.lit("page")).unionByName(rest.select("query_id", "trajectory_id", F.lit("index").alias("origin")))
 
 

@@ -91,21 +91,18 @@ def members(v):
     return claims(v).select("trajectory_id", (F.col("sample_id") * 10 + 1 + F.col("trajectory_id") % 3).alias("page_id")).distinct()
 
 
-def index_tables(v):
-    """The index that retrieval reads, each table written once."""
-    made = []
+def index_table(v, name):
+    """One table of the index that retrieval reads, written once."""
+    return v.once(f"index_{name}", lambda: T.build_index(claims(v), pages(v), members(v), v("fx_claim_edges"), v("fx_note_sources"), notes(v), 4)[name])
 
-    def table(name):
-        if not made:
-            made.append(T.build_index(claims(v), pages(v), members(v), v("fx_claim_edges"), v("fx_note_sources"), notes(v), 4))
-        return made[0][name]
 
-    return {name: v.once(f"index_{name}", lambda name=name: table(name)) for name in ("trajectories", "pages", "members", "snapshots", "linked", "sources", "messages")}
+def index_tables(v):
+    return {name: index_table(v, name) for name in ("trajectories", "pages", "members", "snapshots", "linked", "sources", "messages")}
 
 
 def chosen(v):
     """The best page of each question."""
-    return v.once("chosen_pages", lambda: T.ranked_pages(asked(v), index_tables(v)["pages"], BROAD).where("rank = 1"))
+    return v.once("chosen_pages", lambda: T.ranked_pages(asked(v), index_table(v, "pages"), BROAD).where("rank = 1"))
 
 
 def routed(v):
@@ -122,7 +119,7 @@ _CHOSEN = f"""{_PAGES}, pp AS (SELECT q.*, pg.page_id, pg.width, {_KEYS.format('
   sel AS (SELECT query_id, id AS page_id, rank FROM ({_FUSE.format('pd')}) WHERE rank = 1), mem AS (SELECT DISTINCT trajectory_id, sample_id * 10 + 1 + trajectory_id % 3 AS page_id FROM fx_note_claims),
   rt AS (SELECT s.query_id, m.trajectory_id, bool_and(pg.width > {BROAD}) AS broad FROM sel s JOIN mem m ON m.page_id = s.page_id JOIN pg ON pg.page_id = s.page_id GROUP BY 1, 2)"""
 query("f9_index_fallback_expand", f"WITH {_P}, {_OVER}, {_CHOSEN}, n AS (SELECT query_id, count(*) AS n FROM rt GROUP BY 1), rest AS (SELECT r.query_id, r.trajectory_id, row_number() OVER (PARTITION BY r.query_id ORDER BY score DESC, r.trajectory_id DESC) AS k FROM ranked r LEFT JOIN n ON n.query_id = r.query_id ANTI JOIN rt ON rt.query_id = r.query_id AND rt.trajectory_id = r.trajectory_id WHERE score > 0 AND coalesce(n, 0) < 3) SELECT query_id, trajectory_id, 'page' AS origin FROM rt UNION ALL SELECT query_id, trajectory_id, 'index' FROM rest WHERE k <= 24")(
-    lambda v: S.index_fallback(ranked(v), routed(v), 3, 24)
+    lambda v: S.index_fallback(S.overlap_rank(S.with_family(S.pairs(S.with_few(asked(v), routed(v), 3), signals(v)))), routed(v), 3, 24)
 )
 query("f10_broad_entity_cap", f"WITH {_P}, {_OVER}, {_CHOSEN}, own AS (SELECT r.query_id, r.trajectory_id, r.score, rt.broad AS only_broad FROM ranked r JOIN rt ON rt.query_id = r.query_id AND rt.trajectory_id = r.trajectory_id) SELECT query_id, trajectory_id, only_broad FROM own QUALIFY NOT only_broad OR row_number() OVER (PARTITION BY query_id, only_broad ORDER BY score DESC, trajectory_id DESC) <= 2")(
     lambda v: S.broad_cap(ranked(v), routed(v), 2)

@@ -84,6 +84,18 @@ def test_contexts_show_what_their_policy_says(spark, views):
     assert any(used.get(("full_context_matched", q), 0) < n for (v, q), n in used.items() if v == "full_context")
 
 
+def test_routes_need_the_pages_of_the_index_alone(spark):
+    made = []
+
+    class Told(Views):
+        def once(self, name, make):
+            made.append(name)
+            return make()
+
+    P.routed(Told(spark, DATA))
+    assert [n for n in made if n.startswith("index_")] == ["index_pages"]
+
+
 def test_staged_tables_follow_their_version(spark):
     calls = []
 
