@@ -3,6 +3,9 @@
 A policy is a row: where evidence comes from (routing), what of it is shown (evidence), and flags. Questions are keyed by the
 routings that any policy needs, so that pages, trajectories, snapshots and messages are ranked once for each (question, routing)
 by the functions of ``retrieve``, and policies are joined to what comes out: a new policy is a new row, not another plan.
+
+Whole dialogues are by far the most of what comes out. What they use up is summed along a sample's messages, before any question meets
+them, and they go from that join to the result: they are neither written in between nor sorted once more for each question.
 """
 
 from __future__ import annotations
@@ -82,16 +85,16 @@ def variant_contexts(questions: DataFrame, index: dict[str, DataFrame], claims:
     if "hybrid_raw_messages" in wanted:
         found = hybrid_messages(questions.select("query_id", "sample_id", "question"), messages.select("sample_id", "message_id", "turn_index", "content")).where(F.col("rank") <= MESSAGES)
         rows.append(flat_row(found.join(messages.select("message_id", "content"), "message_id"), "hybrid_raw_messages", "message", F.col("rank"), F.col("message_id"), F.col("content")))
-    if "all_raw_messages" in wanted:
-        order = F.row_number().over(Window.partitionBy("sample_id").orderBy("turn_index", "message_id"))
-        every = messages.withColumn("rank", order).join(questions.select("query_id", "sample_id"), "sample_id")
-        rows.append(flat_row(every, "all_raw_messages", "message", F.col("rank"), F.col("message_id"), F.col("content")))
     if "naive_dense_chunks" in wanted:
         near = questions.select("query_id", "sample_id", "question_vector").join(_chunks(messages).withColumn("v", hash_embedding(F.col("text"))), "sample_id").withColumn("close", F.round(unit_cosine(F.col("question_vector"), F.col("v")), 6))
         near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("close"), "chunk_id"))).where(F.col("rank") <= CHUNKS)
         rows.append(flat_row(near, "naive_dense_chunks", "chunk", F.col("rank"), F.col("chunk_id"), F.col("text")))
-    if not rows:
+    if not rows and "all_raw_messages" not in wanted:
         raise ValueError("no policy with a known routing")
+    shown = ["query_id", "variant", "section", "rank", "item_id", "text", "tokens"]
+    every = _dialogues(questions, messages, policies) if "all_raw_messages" in wanted else None
+    if not rows:
+        return _within(every, _whole(every)).select(shown)
     items = rows[0]
     for r in rows[1:]:
         items = items.unionByName(r)
@@ -107,6 +110,27 @@ def variant_contexts(questions: DataFrame, index: dict[str, DataFrame], claims:
     x = x.withColumn("text", F.when((section == "snapshot") & (e == "flat_claim_state"), F.col("flat")).otherwise(F.col("text"))).withColumn("tokens", estimate_tokens(F.col("text")))
     place = F.array_position(F.array(*map(F.lit, SECTIONS)), section)
     used = F.sum("tokens").over(Window.partitionBy("query_id", "variant").orderBy("place", "rank", "item_id").rowsBetween(Window.unboundedPreceding, 0))
-    whole = F.sum(F.when(F.col("variant") == "full", F.col("tokens"))).over(Window.partitionBy("query_id"))
-    x = x.withColumn("place", place).withColumn("used", used).withColumn("whole", whole)
-    return x.where(~F.col("matched") | F.col("whole").isNull() | (F.col("used") <= F.col("whole"))).select("query_id", "variant", "section", "rank", "item_id", "text", "tokens")
+    cut = x.where("matched").withColumn("place", place).withColumn("used", used)
+    whole = _whole(x) if every is None else _whole(x.select("query_id", "variant", "tokens").unionByName(every.select("query_id", "variant", "tokens")))
+    x = x.where("not matched").select(shown).unionByName(_within(cut, whole).select(shown))
+    return x if every is None else x.unionByName(_within(every, whole).select(shown))
+
+
+def _whole(x: DataFrame) -> DataFrame:
+    """(query_id, whole): the tokens of each question's ``full`` context."""
+    return x.where(F.col("variant") == "full").groupBy("query_id").agg(F.sum("tokens").alias("whole"))
+
+
+def _within(x: DataFrame, whole: DataFrame) -> DataFrame:
+    """The rows of policies that are not matched, and of the others those up to the question's ``whole``."""
+    cut = x.where("matched").join(whole, "query_id", "left").where(F.col("whole").isNull() | (F.col("used") <= F.col("whole"))).drop("whole")
+    return x.where("not matched").unionByName(cut)
+
+
+def _dialogues(questions: DataFrame, messages: DataFrame, policies: DataFrame) -> DataFrame:
+    """Every message of a question's sample, for each policy that shows whole dialogues, with the tokens ``used`` so far."""
+    ahead = Window.partitionBy("sample_id").orderBy("turn_index", "message_id")
+    x = messages.select("sample_id", "message_id", "turn_index", F.col("content").alias("text"), estimate_tokens(F.col("content")).alias("tokens"))
+    x = x.select("sample_id", F.lit("message").alias("section"), F.row_number().over(ahead).cast("long").alias("rank"), F.col("message_id").cast("long").alias("item_id"), "text", "tokens", F.sum("tokens").over(ahead.rowsBetween(Window.unboundedPreceding, 0)).alias("used"))
+    some = policies.where((F.col("routing") == "all_raw_messages") & (F.col("evidence") == "raw_messages")).select("variant", "matched")
+    return questions.select("query_id", "sample_id").join(x, "sample_id").crossJoin(F.broadcast(some))

@@ -84,6 +84,22 @@ def test_contexts_show_what_their_policy_says(spark, views):
     assert any(used.get(("full_context_matched", q), 0) < n for (v, q), n in used.items() if v == "full_context")
 
 
+def test_whole_dialogues_are_not_written_for_each_question(spark, views):
+    some, staged = [p for p in C.POLICIES if p[0] in ("hybrid_raw_rag", "full_context", "full_context_matched")], {}
+
+    def stage(name, df):
+        staged[name] = df
+        return df
+
+    asked = P.asked(views).limit(5)
+    got = Counter((r.variant, r.query_id, r.item_id, r.tokens) for r in C.variant_contexts(asked, P.index_tables(views), P.claims(views), P.pages(views), C.policy_table(spark, some), stage=stage).collect())
+    assert {r.routing for r in staged["context_items"].select("routing").distinct().collect()} == {"hybrid_raw_messages"}
+    # without a full context nothing is cut: every message of the question's sample, once
+    every = {(r.query_id, r.message_id) for r in asked.join(P.notes(views), "sample_id").collect()}
+    for variant in ("full_context", "full_context_matched"):
+        assert {(q, i): n for (v, q, i, _), n in got.items() if v == variant} == dict.fromkeys(every, 1)
+
+
 def test_routes_need_the_pages_of_the_index_alone(spark):
     made = []
 
