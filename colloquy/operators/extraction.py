@@ -10,7 +10,7 @@ Null texts say nothing; an empty table gives no row; of equal findings in one te
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +21,8 @@ from ..functions import extraction as X
 
 #: Bytes of a rule table, at most: it is held by every task.
 RULE_BYTES = 8 << 20
+#: Characters of texts whose findings a task remembers, about: a saying that is said again is not searched again.
+KNOWN_CHARS = 2 << 20
 
 
 class Matcher:
@@ -59,6 +61,24 @@ class Matcher:
                         break
 
 
+class Remembered:
+    """What ``find`` says of a text, asked once for each text among about ``room`` characters of them."""
+
+    def __init__(self, find: Callable[[str], list], room: int = KNOWN_CHARS):
+        self.find, self.room, self.left, self.known = find, room, room, {}
+
+    def __call__(self, text: str) -> list:
+        if text in self.known:
+            return self.known[text]
+        said = self.find(text)
+        cost = 64 + len(text)
+        if cost > self.left:
+            self.known, self.left = {}, self.room
+        if cost <= self.left:
+            self.known[text], self.left = said, self.left - cost
+        return said
+
+
 def rule_hits(texts: DataFrame, rules: DataFrame, text_col: str = "text") -> DataFrame:
     """The columns of ``texts`` but the text, with (rule_id, place, family, category, relation, clean, found, said, span, start, n)
     of every match of every rule: what is found is cleaned as the rule says, ``said`` is the value before that, and ``n`` counts
@@ -71,18 +91,24 @@ def rule_hits(texts: DataFrame, rules: DataFrame, text_col: str = "text") -> Dat
     made = ["rule_id", "place", "family", "category", "relation", "clean", "found", "said", "span", "start", "n"]
     numbers = ("place", "start", "n")
 
+    def found(matcher: Matcher, text: str) -> list[tuple]:
+        out = []
+        for k, value, span, start in matcher.hits(text):
+            r = table[k]
+            out += [(r["rule_id"], r["place"], r["family"], kind or r["category"], r["relation"], r["clean"], surface, value, span, start, n) for n, (surface, kind) in enumerate(X.surfaces(r["clean"] or "", value, span, start, text))]
+        return out
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(table)
+        findings = Remembered(lambda text: found(matcher, text))
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 rows, told = [], []
                 for row, text in enumerate(part.column(text_col).to_pylist()):
-                    for k, value, span, start in matcher.hits(text) if text else ():
-                        r = table[k]
-                        for n, (surface, kind) in enumerate(X.surfaces(r["clean"] or "", value, span, start, text)):
-                            rows.append(row)
-                            told.append((r["rule_id"], r["place"], r["family"], kind or r["category"], r["relation"], r["clean"], surface, value, span, start, n))
+                    now = findings(text) if text else []
+                    rows += [row] * len(now)
+                    told += now
                 held = part.select(own).take(pa.array(rows, pa.int64()))
                 columns = [pa.array([t[k] for t in told], pa.int32() if c in numbers else pa.string()) for k, c in enumerate(made)]
                 yield pa.RecordBatch.from_arrays([*held.columns, *columns], [*own, *made])

@@ -135,3 +135,20 @@ def test_words_of_texts_are_not_broadcast(spark):
     found = E.entity_mentions(texts, lexicon)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(found.select("surface", "start", "length").collect()) == [("Anna", 0, 4), ("Ben Carter", 9, 10)]
+
+
+def test_a_repeated_text_is_searched_once():
+    asked = []
+    findings = E.Remembered(lambda t: asked.append(t) or [t.upper()], room=200)
+    assert [findings(t) for t in ("a", "b", "a", "b")] == [["A"], ["B"], ["A"], ["B"]] and asked == ["a", "b"]
+    long = "x" * 500  # never held
+    assert findings(long) == findings(long) == [long.upper()] and len(findings.known) < 3
+    assert [findings(t) for t in map(str, range(50))] == [[t] for t in map(str, range(50))] and len(findings.known) <= 3
+
+
+def test_repeated_texts_say_the_same_in_every_row(spark):
+    text = "I play the violin in Lake Tahoe. My favorite dish is lemon pasta"
+    rules = X.rule_table(spark, X.term_rules())
+    hits = E.rule_hits(spark.createDataFrame([(k, text if k % 2 else "Nothing") for k in range(40)], "owner_id long, text string").coalesce(1), rules).collect()
+    by = {k: Counter(tuple(r)[1:] for r in hits if r.owner_id == k) for k in range(40)}
+    assert all(by[k] == by[k % 2] for k in by) and len(by[1]) > 2
