@@ -18,7 +18,8 @@ def keywords(text: Column) -> Column:
 
 def overlap(a: Column, b: Column) -> Column:
     """Jaccard of two keyword sets; 0 if either is empty."""
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
+    let = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  computed once a row
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))).otherwise(0.0)
 
 
 def estimate_tokens(text: Column) -> Column:

@@ -67,14 +67,15 @@ def with_family(x: DataFrame) -> DataFrame:
     """Adds ``family_score`` (at most 1) and ``mismatch`` (0.25, or 0.12 where the candidate has items or values at all):
     how well a candidate's terms fit the item family that a question asks for; both 0 without a family."""
     words = F.create_map(*(y for name, w in FAMILIES.items() for y in (F.lit(name), _literal(w))))[F.col("family")]
-    size = lambda a, b: F.size(F.array_intersect(a, b))
-    hits, asked, things = size(words, "have"), size("terms", "have"), F.size(F.array_except("terms", "entities"))
-    objects = size(F.array_except("terms", "entities"), "have")
+    size = lambda a, b: F.when(F.col("family").isNotNull(), F.size(F.array_intersect(a, b)))
+    # columns of their own, so that a pair's sets are met once each, and only where a family is asked for
+    x = x.withColumns({"_hits": size(words, "have"), "_asked": size("terms", "have"), "_objects": size(F.array_except("terms", "entities"), "have")})
+    hits, asked, objects = F.col("_hits"), F.col("_asked"), F.col("_objects")
     concrete = (F.size("items") + F.size("values")) > 0
     score = F.least(F.lit(0.48), hits / F.size(words) * 1.10) + F.least(F.lit(0.30), asked * 0.08) + F.least(F.lit(0.30), objects * 0.12) + F.when(concrete & ((hits > 0) | (objects > 0)), 0.10).otherwise(0.0)
-    none = (hits == 0) & (asked == 0) & (objects == 0) & (things >= 0)
+    none = (hits == 0) & (asked == 0) & (objects == 0)
     known = F.col("family").isNotNull()
-    return x.withColumns({"family_score": F.when(known, F.round(F.least(F.lit(1.0), score), 9)).otherwise(0.0), "mismatch": F.when(known & none, F.when(concrete, 0.12).otherwise(0.25)).otherwise(0.0)})
+    return x.withColumns({"family_score": F.when(known, F.round(F.least(F.lit(1.0), score), 9)).otherwise(0.0), "mismatch": F.when(known & none, F.when(concrete, 0.12).otherwise(0.25)).otherwise(0.0)}).drop("_hits", "_asked", "_objects")
 
 
 def with_event(x: DataFrame) -> DataFrame:
