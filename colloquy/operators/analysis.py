@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, estimate_tokens, judge_score, keywords, overlap, phase_for_task
+from ..functions.text import estimate_tokens, judge_score, keywords, overlap, phase_for_task
+from . import dense
 
 
 def _rows() -> Column:
@@ -76,9 +77,25 @@ def backtracks(ranked: DataFrame) -> DataFrame:
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 4) -> DataFrame:
-    """The ``k`` vectors of a query's sample with the highest cosine; ties (to six places) by id."""
-    x = vectors.join(queries, "sample_id").withColumn("score", F.round(cosine(F.col("embedding"), F.col("query")), 6))
-    return x.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "snapshot_id"))).where(F.col("rank") <= k).select("query_id", "snapshot_id", "score", "rank")
+    """The ``k`` vectors of a query's sample with the highest cosine; ties (to six places) by id. Every pair is compared, in blocks.
+
+    Pairs without a cosine (no direction, another length) come last, with a null score.
+    """
+    kind = lambda c: F.when(dense.usable(c), F.size(c)).alias("length")
+    q = queries.where("sample_id is not null").select("sample_id", kind("query"), "query_id", "query")
+    v = vectors.where("sample_id is not null").select("sample_id", kind("embedding"), "snapshot_id", "embedding")
+    by = F.struct("sample_id", "length").alias("by")
+    found = dense.all_pairs(q.select(by, "query_id", "query"), v.select(by, F.col("snapshot_id").alias("vec_id"), "embedding"), k)
+    found = found.select("query_id", F.col("vec_id").alias("snapshot_id"), "score", "rank")
+    # queries with fewer than k cosines take the least ids of the other vectors of their sample
+    comparable = v.where("length is not null").groupBy("sample_id", "length").agg(_rows().alias("n"))
+    n = q.join(comparable, ["sample_id", "length"], "left").groupBy("query_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).where(F.col("n") < k)
+    place = F.row_number().over(Window.partitionBy("sample_id", "length").orderBy("snapshot_id"))
+    least = v.select("sample_id", F.col("length").alias("own"), "snapshot_id", place.alias("place")).where(F.col("place") <= k)
+    rest = q.select("sample_id", "length", "query_id").join(n, "query_id").join(least, "sample_id").where("length is null or own is null or own <> length")
+    rank = (F.col("n") + F.row_number().over(Window.partitionBy("query_id").orderBy("snapshot_id"))).cast("int")
+    rest = rest.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.unionByName(rest.select("query_id", "snapshot_id", F.lit(None).cast("double").alias("score"), "rank"))
 
 
 def judge_accuracy(outcomes: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,10 +28,14 @@ def _unit(rows: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _usable(df: DataFrame, vector: str) -> DataFrame:
-    """Without vectors that have no direction."""
+def usable(vector: str) -> Column:
+    """Whether a vector has a direction and is finite."""
     square = F.aggregate(F.transform(vector, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return df.where(F.col(vector).isNotNull() & (F.size(vector) > 0) & (square > 0))
+    return F.col(vector).isNotNull() & (F.size(vector) > 0) & (square > 0) & (square < math.inf)
+
+
+def _usable(df: DataFrame, vector: str) -> DataFrame:
+    return df.where(usable(vector))
 
 
 def centroids(vectors: DataFrame, cells: int, sample: int = SAMPLE, seed: int = 5) -> np.ndarray:
@@ -71,6 +75,17 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int = 4, cells: int = 16, pr
         return q.select("query_id", F.lit(None).cast(vectors.schema["vec_id"].dataType).alias("vec_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     v = _celled(v, "embedding", c, 1).select("by", "vec_id", "embedding", F.col("cells")[0].alias("cell"))
     q = _celled(q, "query", c, probes or len(c)).select("by", "query_id", "query", F.explode("cells").alias("cell"))
+    return _nearest(q, v, k)
+
+
+def all_pairs(queries: DataFrame, vectors: DataFrame, k: int = 4) -> DataFrame:
+    """What ``topk`` gives, with every pair of a group compared and nothing fitted; a group's vectors are of one length."""
+    cell = F.lit(0).alias("cell")
+    return _nearest(_usable(queries, "query").select("by", "query_id", "query", cell), _usable(vectors, "embedding").select("by", "vec_id", "embedding", cell), k)
+
+
+def _nearest(q: DataFrame, v: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of each query among the vectors of its group's cells, by block pairs."""
     # how many blocks a group's cell is dealt to
     deal = lambda df, most, name: df.groupBy("by", "cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
     blocks = deal(v, BLOCK, "vb").join(deal(q, QUERIES, "qb"), ["by", "cell"])
@@ -78,7 +93,7 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int = 4, cells: int = 16, pr
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = v.join(blocks, ["by", "cell"]).withColumn("vi", mark("vec_id", "vb")).withColumn("qi", each("qb"))
     right = q.join(blocks, ["by", "cell"]).withColumn("qi", mark("query_id", "qb")).withColumn("vi", each("vb"))
-    vec, ask = vectors.schema["vec_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    vec, ask = v.schema["vec_id"].dataType.simpleString(), q.schema["query_id"].dataType.simpleString()
     doubles = lambda x: F.transform(x, lambda y: y.cast("double"))
     both = left.select("by", "cell", "vi", "qi", "vec_id", F.lit(None).cast(ask).alias("query_id"), doubles("embedding").alias("x"), F.lit(0).alias("side")).unionByName(right.select("by", "cell", "vi", "qi", F.lit(None).cast(vec).alias("vec_id"), "query_id", doubles("query").alias("x"), F.lit(1).alias("side")))
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy.operators import analysis as A
 from colloquy.operators import dense as N
 
 VECTORS, QUERIES = "by int, vec_id long, embedding array<float>, cell int", "by int, query_id long, query array<float>"
@@ -55,3 +56,16 @@ def test_no_vectors(spark):
     v, q, _, _ = made(spark, 60, 6)
     assert N.topk(q, v.limit(0), 4).count() == 0 == N.topk(q.limit(0), v, 4).count()
     assert N.centroids(v.where(F.lit(False)), 4).shape[0] == 0
+
+
+def test_all_pairs_in_blocks_with_those_without_a_cosine_last(spark):
+    v = [(1, 1, [1.0, 0.0]), (1, 2, None), (1, 3, [0.0, 0.0]), (1, 4, [1.0, 1.0]), (1, 5, [1.0, 0.0, 0.0]), (1, 6, [float("nan"), 1.0]), (1, 7, []), (None, 8, [1.0, 0.0]), (2, 9, [1.0, 0.0])]
+    asks = [(1, 50, [2.0, 0.0]), (1, 51, None), (1, 52, [0.0, 1.0, 0.0]), (2, 53, [0.0, 3.0]), (3, 54, [1.0, 0.0]), (None, 55, [1.0, 0.0])]
+    found = A.dense_topk(spark.createDataFrame(asks, "sample_id int, query_id long, query array<float>"), spark.createDataFrame(v, "sample_id int, snapshot_id long, embedding array<float>"))
+    got = [tuple(r) for r in found.orderBy("query_id", "rank").collect()]
+    assert got[:4] == [(50, 1, 1.0, 1), (50, 4, 0.707107, 2), (50, 2, None, 3), (50, 3, None, 4)]
+    assert got[4:8] == [(51, i, None, i) for i in (1, 2, 3, 4)]
+    assert got[8:] == [(52, 5, 0.0, 1), (52, 1, None, 2), (52, 2, None, 3), (52, 3, None, 4), (53, 9, 0.0, 1)]
+    # pairs are products of blocks, not rows of a join
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan
