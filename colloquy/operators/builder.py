@@ -17,8 +17,10 @@ import datetime as dt
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +33,14 @@ SHARED = 2
 _SPACE, _OTHER, _WORD = re.compile(r"\s+"), re.compile(r"[^a-z0-9\s]"), re.compile(r"[a-z0-9][a-z0-9\-']+")
 
 
+@lru_cache(1 << 14)
 def _plain(text: str) -> str:
     return _SPACE.sub(" ", _OTHER.sub(" ", text.lower())).strip()
 
 
-def _keys(text: str) -> set[str]:
-    return {w for w in _WORD.findall(text.lower()) if len(w) > 2}
+@lru_cache(1 << 14)
+def _keys(text: str) -> frozenset[str]:
+    return frozenset(w for w in _WORD.findall(text.lower()) if len(w) > 2)
 
 
 @dataclass
@@ -87,9 +91,11 @@ def changed_claims(old: list[tuple[str, str, str]], new: list[tuple[str, str]],
 
 
 class MemoryBuilder:
-    """The open trajectories of a sample, and what an exchange does to them. ``touched`` and ``closed`` tell which numbers changed."""
+    """The open trajectories of a sample, and what an exchange does to them. ``touched`` and ``closed`` tell which numbers changed.
 
-    def __init__(self, sample: str, most: int, least: float = CONTINUE, idle: dt.timedelta | None = None):
+    Times are numbers with a number as ``idle``, or time stamps with a time difference."""
+
+    def __init__(self, sample: str, most: int, least: float = CONTINUE, idle: dt.timedelta | int | None = None):
         self.sample, self.most, self.least, self.idle = sample, most, least, idle
         self.open: dict[int, Trajectory] = {}
         self.next, self.last = 0, None
@@ -162,22 +168,28 @@ def build_memory(table: DataFrame, most: int, least: float = CONTINUE, idle: str
     With ``idle``, a sample's trajectories close after so long without an exchange; at the end they close as idle if that time
     had passed by ``until`` (a UTC time), else as finalize.
     """
-    wait = pd.Timedelta(idle).to_pytimedelta() if idle else None
-    end = pd.Timestamp(until) if until else None
+    wait = pd.Timedelta(idle).value // 1000 if idle else None
+    end = pd.Timestamp(until).value // 1000 if until else None
+    kinds = {"version": pa.int32(), "message_id": pa.int64(), "score": pa.float64(), "ts": pa.timestamp("us", "UTC")}
+
+    def batch(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kinds.get(c, pa.string())) for c in COLUMNS], COLUMNS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         builder = None
         finish = lambda b: b.close_all("idle" if wait is not None and end is not None and b.last + wait < end else "finalize")
-        for pdf in batches:
+        for b in batches:
             rows = []
-            for r in pdf.itertuples(index=False):
-                if builder is None or builder.sample != r.sample_id:
+            # times as microseconds
+            ts = b.column("ts").cast(pa.timestamp("us", "UTC")).cast(pa.int64()).to_pylist()
+            for sample, message_id, at, terms, names, claims in zip(*(ts if c == "ts" else b.column(c).to_pylist() for c in ("sample_id", "message_id", "ts", "terms", "names", "claims")), strict=True):
+                if builder is None or builder.sample != sample:
                     rows += finish(builder) if builder else []
-                    builder = MemoryBuilder(r.sample_id, most, least, wait)
-                rows += builder.add(r.message_id, r.ts, r.terms, r.names, [(c["text"], c["status"]) for c in r.claims])
+                    builder = MemoryBuilder(sample, most, least, wait)
+                rows += builder.add(message_id, at, terms, names, [(c["text"], c["status"]) for c in claims])
             if rows:
-                yield frame(rows)
+                yield batch(rows)
         if builder:
-            yield frame(finish(builder))
+            yield batch(finish(builder))
 
-    return exchanges(table).repartition("sample_id").sortWithinPartitions("sample_id", "ts", "message_id").mapInPandas(run, ROWS)
+    return exchanges(table).repartition("sample_id").sortWithinPartitions("sample_id", "ts", "message_id").mapInArrow(run, ROWS)

@@ -155,3 +155,52 @@ def test_ids_do_not_collide():
     b.next = 100_000
     (row,) = [r for r in b.add(1, START, ["x"], [], []) if r["kind"] == "snapshot"]
     assert row["trajectory_id"] == "1:t100000" != "2:t0"
+
+
+def test_a_repeated_text_is_searched_once_and_rows_do_not_pass_through_pandas(spark):
+    B._keys.cache_clear()
+    B.changed_claims([("a", "the big red house", "active")] * 40, [("a small blue garden", "active")] * 40, "p")
+    assert B._keys.cache_info().misses == 2
+    x = spark.sql("SELECT 'a' AS sample_id, 1L AS message_id, timestamp '2020-01-01' AS ts, array('house') AS terms, array('anna') AS names, array(struct('x' AS text, 'active' AS status)) AS claims")
+    found = B.build_memory(x, 4)
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    assert sorted((r.kind, str(r.ts)) for r in found.collect()) == [(k, "2020-01-01 00:00:00") for k in ("claim", "op", "snapshot", "trajectory")]
+
+
+def test_a_stream_removes_only_what_it_had_stored():
+    import pandas as pd
+
+    from colloquy.streaming.memory import MemoryProcessor
+
+    class State:
+        def __init__(self, value=None):
+            self.value, self.rows, self.removed = value, {}, 0
+
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        iterator = lambda self: iter(list(self.rows.items()))
+        containsKey = lambda self, k: k in self.rows
+        getValue = lambda self, k: self.rows[k]
+
+        def update(self, value):
+            self.value = value
+
+        def updateValue(self, k, v):
+            self.rows[k] = v
+
+        def removeKey(self, k):
+            self.removed += 1
+            del self.rows[k]
+
+    class Handle:
+        getValueState = lambda self, *_: State()
+        getMapState = lambda self, *_: State()
+        registerTimer = deleteTimer = lambda self, at: None
+
+    p = MemoryProcessor(2, 0.3, "2 days")
+    p.init(Handle())
+    part = lambda first, n: [pd.DataFrame([(k, pd.Timestamp("2020-01-01") + pd.Timedelta(minutes=k), ["house"], [], []) for k in range(first, first + n)], columns=["message_id", "ts", "terms", "names", "claims"])]
+    list(p.handleInputRows(("a",), iter(part(0, 5)), None))
+    assert p.open.removed == 0 and list(p.open.rows) == [(2,)]
+    list(p.handleInputRows(("a",), iter(part(5, 1)), None))
+    assert p.open.removed == p.claims.removed == 1 and not p.open.rows
