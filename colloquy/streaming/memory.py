@@ -32,16 +32,18 @@ class MemoryProcessor(StatefulProcessor):
     def _load(self, sample: str) -> tuple[MemoryBuilder, int | None]:
         builder = MemoryBuilder(sample, self.most, self.least, self.wait)
         timer = None
-        if self.head.exists():
-            builder.next, last, timer = self.head.get()
-            builder.last = pd.Timestamp(last, unit="us")
+        if not self.head.exists():
+            return builder, timer
+        builder.next, last, timer = self.head.get()
+        builder.last = pd.Timestamp(last, unit="us")
         for (n,), (words, latest, length, message_id) in self.open.iterator():
             held = self.claims.getValue((n,)) if self.claims.containsKey((n,)) else ([], [], [])
             builder.open[n] = Trajectory(set(words), set(latest), length, message_id, list(zip(*held, strict=True)))
         return builder, timer
 
-    def _store(self, builder: MemoryBuilder, timer: int | None) -> None:
-        for n in builder.closed:
+    def _store(self, builder: MemoryBuilder, timer: int | None, stored: set[int]) -> None:
+        # each call crosses to the JVM: what opened and closed in between was never stored
+        for n in builder.closed & stored:
             self.open.removeKey((n,))
             self.claims.removeKey((n,))
         for n in builder.touched:
@@ -52,7 +54,7 @@ class MemoryProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         builder, timer = self._load(key[0])
-        out = []
+        stored, out = set(builder.open), []
         # in order of time, then id: the batches of one micro-batch come in any order
         for r in pd.concat(list(rows)).sort_values(["ts", "message_id"], kind="stable").itertuples(index=False):
             out += builder.add(r.message_id, r.ts, r.terms, r.names, [(c["text"], c["status"]) for c in r.claims])
@@ -60,15 +62,16 @@ class MemoryProcessor(StatefulProcessor):
         if timer is not None and timer != due:
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(due)
-        self._store(builder, due)
+        self._store(builder, due, stored)
         yield frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         builder, timer = self._load(key[0])
         if timer is not None and expiredTimerInfo.getExpiryTimeInMs() < timer:
             return
+        stored = set(builder.open)
         out = builder.close_all("idle")
-        self._store(builder, None)
+        self._store(builder, None, stored)
         yield frame(out)
 
     def close(self) -> None:
