@@ -96,15 +96,18 @@ def page_links(seeds: DataFrame, kept: DataFrame) -> DataFrame:
 
 def page_metadata(seeds: DataFrame, signals: DataFrame, most: int = 3, examples: int = 4) -> DataFrame:
     """Per page its most frequent names, values and terms (ties by name) and its richest trajectories."""
-    x = seeds.join(signals.select("trajectory_id", "names", "values", "items", "terms"), "trajectory_id")
-    top = None
-    for field in ("names", "values", "terms"):
-        v = x.select(*_KEY, F.explode(field).alias("v")).groupBy(*_KEY, "v").agg(_rows().alias("n"))
-        v = v.withColumn("r", F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.desc("n"), "v"))).where(F.col("r") <= most)
-        v = v.groupBy(*_KEY).agg(ordered(F.col("v"), "r").alias(field))
-        top = v if top is None else top.join(v, _KEY, "full_outer")
+    fields = ("names", "values", "terms")
     rich = F.size("names") + F.size("values") + F.size("items") + F.size("terms")
-    r = x.withColumn("r", F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.desc(rich), "trajectory_id"))).where(F.col("r") <= examples)
+    s = signals.select("trajectory_id", rich.alias("rich"), *fields)
+    # a page lies in one sample: its trajectories' lists are dealt once, and all counts are made where they then are
+    own = seeds.join(s.drop("rich"), "trajectory_id").select(*_KEY, *fields).repartition("sample_id")
+    marked = lambda f: F.transform(F.coalesce(f, F.array().cast("array<string>")), lambda v: F.struct(F.lit(f).alias("field"), v.alias("v")))
+    v = own.select(*_KEY, F.inline(F.concat(*map(marked, fields)))).groupBy(*_KEY, "field", "v").agg(_rows().alias("n"))
+    v = v.withColumn("r", F.row_number().over(Window.partitionBy(*_KEY, "field").orderBy(F.desc("n"), "v"))).where(F.col("r") <= most)
+    lists = v.groupBy(*_KEY, "field").agg(ordered(F.col("v"), "r").alias("list"))
+    top = lists.groupBy(*_KEY).agg(*(F.max(F.when(F.col("field") == f, F.col("list"))).alias(f) for f in fields))
+    x = seeds.join(s.select("trajectory_id", "rich"), "trajectory_id")
+    r = x.withColumn("r", F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.desc("rich"), "trajectory_id"))).where(F.col("r") <= examples)
     r = r.groupBy(*_KEY).agg(ordered(F.col("trajectory_id"), "r").alias("representatives"))
     n = seeds.groupBy(*_KEY).agg(_rows().alias("width"))
     return n.join(r, _KEY).join(top, _KEY, "left")

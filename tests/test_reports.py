@@ -1,5 +1,7 @@
 """Toy cases of the answer functions and report operators, with values worked out by hand."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +129,16 @@ def test_calls_without_a_provider_are_counted_one_by_one(spark):
     calls = spark.createDataFrame([(i, u, w, t, i, 1, 1.0, i) for i, u, w, t in rows], "call_item_uid long, provider_call_uid long, worker_id long, task string, ts long, completion_tokens long, latency_ms double, query_id long").withColumn("role", F.lit("r"))
     assert sorted((r.provider_call_uid or 0, r.attempts) for r in P.call_ledger(calls).collect()) == [(0, 1), (0, 1), (7, 2)]
     assert {(r.call_item_uid, r.kind) for r in P.repair_events(calls).collect()} == {(1, "repair"), (4, "cache_hit")}
+
+
+def test_a_page_counts_its_words_without_dealing_each_of_them(spark):
+    from colloquy.operators import pages as G
+
+    seeds = spark.createDataFrame([(1, "topic", "a", k, False) for k in (1, 2, 3)] + [(1, "index", "all", 1, False), (2, "topic", "a", 4, False)], "sample_id long, seed_type string, seed_key string, trajectory_id long, broad boolean")
+    lists = [(1, ["n1", "n2"], ["v"], [], ["t1", "t2", "t3", "t4"]), (2, ["n2"], [], ["i"], ["t4", "t3"]), (3, [], [], [], ["t4"]), (4, [], [], [], [])]
+    found = G.page_metadata(seeds, spark.createDataFrame(lists, "trajectory_id long, names array<string>, values array<string>, items array<string>, terms array<string>"), 2, 2)
+    got = {(r.sample_id, r.seed_type): (r.width, r.representatives, r.names, r["values"], r.terms) for r in found.collect()}
+    assert got[(1, "topic")] == (3, [1, 2], ["n2", "n1"], ["v"], ["t4", "t3"])
+    assert got[(1, "index")] == (1, [1], ["n1", "n2"], ["v"], ["t1", "t2"])
+    assert got[(2, "topic")] == (1, [4], None, None, None)
+    assert not re.search(r"hashpartitioning\([^)]*\bv#", found._jdf.queryExecution().executedPlan().toString())
