@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import audit as A
 from ..operators import memory as M
 from ..operators import reports as P
-from .memory import _CELLS, _GOLD, _HITS, _REFS, events, grid, hits, index, labels
+from .memory import _CELLS, _GOLD, _HITS, _REFS, events, hits, index, items, labels
 from .registry import _JUDGE, _TOKENS, query
 
 METHODS = ["observed", "full_context_proxy", "flat_raw"]
@@ -43,6 +43,15 @@ def packets(v):
     return A.audit_packets(audit(v), v("fx_answers"), support(v), context(v), v("fx_messages"))
 
 
+PROXIES = ["flat_raw", "no_pages_direct"]
+
+
+def proxy_grid(v):
+    """The one cell of the ablation grid and the variants of it that packets are held against."""
+    every = items(v)
+    return M.ablation_grid(M.all_items([every[x] for x in PROXIES]), labels(v), [15], [400], PROXIES)
+
+
 _ISSUES = "('unsupported_extra_items', 'unsupported_count', 'invalid_supporting_refs', 'scope_mismatched_extra_item', 'overgeneric_item')"
 _SUPPORT = f"""sup AS (SELECT * FROM fx_support WHERE kind = 'valid'),
   parts AS (SELECT query_id, query_id || ':supported_list_item:item ' || message_id AS item_id, 'supported_list_item' AS kind, 'item ' || message_id AS text, CASE WHEN message_id % 4 = 0 THEN source_ref END AS ref, CASE WHEN message_id % 4 = 0 THEN message_id END AS mid FROM sup
@@ -131,7 +140,7 @@ query("j10_audit_packet_cost", f"""WITH {_PACKETS}, {_CELLS_OWN}, pk AS (SELECT
   fd AS (SELECT q.query_id, count(m.source_ref) AS s, sum({_TOKENS.format('m.content')}) AS t FROM fx_queries q JOIN fx_messages m ON m.sample_id = q.sample_id GROUP BY 1)
   SELECT * FROM pk UNION ALL SELECT 'full_dialogue', count(*), round(avg(s), 9), median(s), round(avg(t), 9), median(t), 0, NULL, NULL FROM fd
   UNION ALL SELECT variant, count(*), round(avg(items), 9), median(items), round(avg(tokens), 9), median(tokens), NULL, NULL, NULL FROM grid WHERE cutoff = 15 AND budget = 400 AND variant IN ('flat_raw', 'no_pages_direct') GROUP BY variant""")(
-    lambda v: A.packet_costs(packets(v), v("fx_queries"), v("fx_messages"), v("fx_audit_labels"), grid(v).where("cutoff = 15 AND budget = 400"), ["flat_raw", "no_pages_direct"])
+    lambda v: A.packet_costs(packets(v), v("fx_queries"), v("fx_messages"), v("fx_audit_labels"), proxy_grid(v), PROXIES)
 )
 query("j11_audit_examples", f"WITH {_AUDIT}, k AS (SELECT query_id, stage, round(support_coverage, 9) AS support_coverage, reason, CASE WHEN risk THEN 'unsupported_answer_risk' WHEN leakage THEN 'deprecated_leakage' WHEN conflict THEN 'conflict_visible' WHEN support_coverage < 1 THEN 'low_support_overlap' END AS kind FROM audit) SELECT *, row_number() OVER (PARTITION BY kind ORDER BY query_id) AS place FROM k WHERE kind IS NOT NULL QUALIFY place <= 50")(
     lambda v: A.audit_examples(audit(v), 50)
