@@ -96,19 +96,28 @@ def ranked_pages(questions: DataFrame, pages: DataFrame, widest: int) -> DataFra
 
 
 def candidates(questions: DataFrame, chosen: DataFrame, index: dict[str, DataFrame], s: Settings) -> DataFrame:
-    """(query_id, trajectory_id, origin, every signal and score): what the chosen pages give, ``broad`` where broad pages alone do,
-    and ``index`` others for questions with few. A question with ``direct`` takes every trajectory of its sample instead."""
+    """(query_id, trajectory_id, latest_snapshot_id, origin, score, dense, sparse): what the chosen pages give, ``broad`` where broad pages
+    alone do, and ``index`` others for questions with few. A question with ``direct`` takes every trajectory of its sample instead.
+
+    A question brings its few pages and a trajectory those that list it, so that a pair is routed and scored where the sample's
+    questions and trajectories meet; only its scores go on to the question's ranking.
+    """
     routed = chosen.join(index["members"], "page_id").groupBy("query_id", "trajectory_id").agg(F.bool_and(F.col("width") > s.broad).alias("broad"))
     count = routed.groupBy("query_id").agg((F.count_if(~F.col("broad")) + F.least(F.count_if("broad"), F.lit(s.broad_most))).alias("n"))
+    own = chosen.groupBy("query_id").agg(F.collect_list(F.struct("page_id", "width")).alias("chosen"))
+    listed = index["members"].groupBy("trajectory_id").agg(F.collect_set("page_id").alias("pages"))
     direct = F.col("direct") if "direct" in questions.columns else F.lit(False)
-    x = questions.join(count, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).join(index["trajectories"], "sample_id")
-    # a question's trajectories of its sample are met once: those of its pages, and all if these are few
-    x = x.join(routed, ["query_id", "trajectory_id"], "left").where(F.col("broad").isNotNull() | (F.col("n") < s.enough) | direct)
-    x = S.overlap_rank(S.with_event(S.with_family(x))).drop("rank")
-    x = x.withColumn("origin", F.when(direct, "direct").when(F.col("broad").isNull(), "index").when(F.col("broad"), "broad").otherwise("page"))
+    asked = questions.join(own.join(count, "query_id", "left"), "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    x = asked.join(index["trajectories"].join(listed, "trajectory_id", "left"), "sample_id")
+    routes = F.filter("chosen", lambda p: F.array_contains("pages", p.page_id))
+    x = x.withColumn("routes", F.coalesce(F.transform(routes, lambda p: p.width > s.broad), F.array().cast("array<boolean>"))).drop("chosen", "pages")
+    x = x.where((F.size("routes") > 0) | (F.col("n") < s.enough) | direct)
+    x = S.with_scores(S.with_overlap(S.with_event(S.with_family(x))))
+    origin = F.when(direct, "direct").when(F.size("routes") == 0, "index").when(F.forall("routes", lambda b: b), "broad").otherwise("page")
+    x = x.select("query_id", "trajectory_id", "latest_snapshot_id", origin.alias("origin"), "score", "dense", "sparse").repartition("query_id")
     k = F.row_number().over(Window.partitionBy("query_id", "origin").orderBy(F.desc("score"), F.desc("trajectory_id")))
     most = F.when(F.col("origin").isin("page", "direct"), F.lit(1 << 30)).when(F.col("origin") == "broad", s.broad_most).otherwise(s.added)
-    return x.withColumn("k", k).where((F.col("k") <= most) & ((F.col("origin") != "index") | (F.col("score") > 0)))
+    return x.withColumn("k", k).where((F.col("k") <= most) & ((F.col("origin") != "index") | (F.col("score") > 0))).drop("k")
 
 
 def traced(questions: DataFrame, index: dict[str, DataFrame], s: Settings, stage: Callable[[str, DataFrame], DataFrame]) -> dict[str, DataFrame]:
@@ -116,19 +125,22 @@ def traced(questions: DataFrame, index: dict[str, DataFrame], s: Settings, stage
     asked = questions.where(~F.col("direct")) if "direct" in questions.columns else questions
     chosen = stage("chosen_pages", ranked_pages(asked, index["pages"], s.broad).where(F.col("rank") <= s.pages))
     scored = candidates(questions, chosen, index, s)
-    best = S.trajectory_scores(scored)
-    best = stage("ranked_trajectories", best.join(scored.select("query_id", "trajectory_id", "latest_snapshot_id"), ["query_id", "trajectory_id"]).select("query_id", "trajectory_id", "rank", "latest_snapshot_id"))
-    seeds = best.where(F.col("rank") <= s.trajectories).select("query_id", "trajectory_id", F.col("latest_snapshot_id").alias("snapshot_id"), F.col("rank").alias("place"))
+    best = rrf_fuse(scored.withColumnRenamed("trajectory_id", "id"), keep=("latest_snapshot_id",)).withColumnRenamed("id", "trajectory_id")
+    best = stage("ranked_trajectories", best.select("query_id", "trajectory_id", "rank", "latest_snapshot_id"))
+    seeds = best.where(F.col("rank") <= s.trajectories).select("query_id", "trajectory_id", F.col("latest_snapshot_id").alias("seed"), F.col("rank").cast("long").alias("seed_place"))
     snap = index["snapshots"]
-    own = snap.select("trajectory_id", "snapshot_id", "version")
-    linked = seeds.join(index["linked"].drop("sample_id"), ["trajectory_id", "snapshot_id"]).select("query_id", "trajectory_id", F.col("other").alias("snapshot_id"))
-    at = seeds.join(own.select("snapshot_id", F.col("version").alias("at")), "snapshot_id").select("query_id", "trajectory_id", "at")
-    near = at.join(own, "trajectory_id").where(F.abs(F.col("version") - F.col("at")) <= s.radius).select("query_id", "trajectory_id", "snapshot_id")
-    kinds = [df.select("query_id", "trajectory_id", "snapshot_id", F.lit(k).alias("k"), (F.col("place") if k == 0 else F.lit(0)).cast("long").alias("place")) for k, df in enumerate((seeds, linked, near))]
-    one = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).groupBy("query_id", "trajectory_id", "snapshot_id").agg(F.min("k").alias("k"), F.max("place").alias("place"))
-    kind = F.when(F.col("k") == 0, "seed").when(F.col("k") == 1, "update_linked").otherwise("neighbor")
-    x = one.withColumn("kind", kind).join(snap.select("snapshot_id", "version", "text", "text_vector", "names", "values", "live", "claims"), "snapshot_id").join(questions.select("query_id", "question_vector", "terms", "entities", "listing"), "query_id")
-    kept = stage("compacted", S.compact_snapshots(S.snapshot_scores(x, "kind", "place", "listing", "live", "claims"), "live", "claims", "place"))
+    linked = index["linked"].groupBy("trajectory_id", F.col("snapshot_id").alias("seed")).agg(F.collect_set("other").alias("linked"))
+    at = snap.select("trajectory_id", F.col("snapshot_id").alias("seed"), F.col("version").alias("at")).join(linked, ["trajectory_id", "seed"], "left")
+    # a seed's question goes to its trajectory, whose snapshots it meets once; only scores go back to the question
+    x = seeds.join(at, ["trajectory_id", "seed"]).join(questions.select("query_id", "question_vector", "terms", "entities", "listing"), "query_id")
+    x = x.join(snap.select("trajectory_id", "snapshot_id", "version", "text", "text_vector", "names", "values", "live", "claims"), "trajectory_id")
+    is_seed = F.col("snapshot_id") == F.col("seed")
+    reached = F.coalesce(F.array_contains("linked", F.col("snapshot_id")), F.lit(False))
+    near = F.abs(F.col("version") - F.col("at")) <= s.radius
+    kind = F.when(is_seed, "seed").when(reached, "update_linked").when(near, "neighbor")
+    x = x.withColumns({"kind": kind, "place": F.when(is_seed, F.col("seed_place")).otherwise(0)}).where("kind is not null")
+    kept = S.snapshot_scores(x, "kind", "place", "listing", "live", "claims").repartition("query_id")
+    kept = stage("compacted", S.compact_snapshots(kept, "live", "claims", "place"))
     return {"pages": chosen, "trajectories": best, "snapshots": kept, "messages": S.compact_sources(kept, index["sources"].drop("sample_id"))}
 
 

@@ -89,19 +89,23 @@ def with_event(x: DataFrame) -> DataFrame:
     return x.withColumn("event_score", F.when(about, F.round(F.coalesce(F.array_max(F.transform("events", one)), F.lit(0.0)), 9)).otherwise(0.0))
 
 
-def overlap_rank(x: DataFrame) -> DataFrame:
-    """``pairs`` with family scores, ranked by what questions and candidates share: Jaccard, names 0.25, values 0.15, a list
-    or count 0.10, 0.80 times the family score, less 0.30 times its mismatch; ties by id, descending."""
+def with_overlap(x: DataFrame) -> DataFrame:
+    """``pairs`` with family scores, and ``score`` by what questions and candidates share: Jaccard, names 0.25, values 0.15, a
+    list or count 0.10, 0.80 times the family score, less 0.30 times its mismatch."""
     asked = F.when(F.col("family").isNotNull(), F.array_union("terms", F.array("family"))).otherwise(F.col("terms"))
     met = lambda a, b: F.coalesce(F.arrays_overlap(a, b), F.lit(False))
     score = overlap(asked, F.col("have")) + F.when(met("entities", "names"), 0.25).otherwise(0.0) + F.when(met("terms", "values"), 0.15).otherwise(0.0) + F.when(F.col("listing") & (F.size("items") > 0), 0.10).otherwise(0.0) + F.when(F.col("counting") & F.col("text").rlike("[0-9]"), 0.10).otherwise(0.0)
     score = F.round(score + 0.80 * F.col("family_score") - 0.30 * F.col("mismatch"), 9)
-    x = x.withColumn("score", score)
-    return x.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("trajectory_id"))))
+    return x.withColumn("score", score)
 
 
-def trajectory_scores(x: DataFrame) -> DataFrame:
-    """``pairs`` with family and event scores -> (query_id, trajectory_id, dense, sparse, fused rank).
+def overlap_rank(x: DataFrame) -> DataFrame:
+    """``pairs`` with family scores, ranked by ``with_overlap``; ties by id, descending."""
+    return with_overlap(x).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("trajectory_id"))))
+
+
+def with_scores(x: DataFrame) -> DataFrame:
+    """``pairs`` with family and event scores, and ``dense`` and ``sparse``.
 
     The text vectors are the deterministic hash embeddings; an event that fits strongly softens a family's mismatch.
     """
@@ -111,7 +115,12 @@ def trajectory_scores(x: DataFrame) -> DataFrame:
     soft = F.when(F.col("event_score") >= 0.70, F.least("mismatch", F.lit(0.05))).otherwise(F.col("mismatch"))
     dense = 0.75 * F.col("s") + 0.15 * F.col("l") + 0.10 * F.least(F.lit(1.0), bonus / 0.20) + 0.08 * F.col("family_score") + 0.10 * F.col("event_score") - 0.04 * soft
     sparse = overlap(F.col("terms"), F.col("have")) + 0.60 * F.col("family_score") + 0.75 * F.col("event_score") - 0.25 * soft
-    y = x.select("query_id", F.col("trajectory_id").alias("id"), F.round(F.greatest(F.lit(0.0), dense), 6).alias("dense"), F.round(F.greatest(F.lit(0.0), sparse), 6).alias("sparse"))
+    return x.withColumns({"dense": F.round(F.greatest(F.lit(0.0), dense), 6), "sparse": F.round(F.greatest(F.lit(0.0), sparse), 6)}).drop("s", "l")
+
+
+def trajectory_scores(x: DataFrame) -> DataFrame:
+    """``pairs`` with family and event scores -> (query_id, trajectory_id, dense, sparse, fused rank)."""
+    y = with_scores(x).select("query_id", F.col("trajectory_id").alias("id"), "dense", "sparse")
     return rrf_fuse(y, keep=("dense", "sparse")).withColumnRenamed("id", "trajectory_id").drop("fused")
 
 
@@ -204,7 +213,8 @@ def compact_sources(kept: DataFrame, sources: DataFrame) -> DataFrame:
     """The messages of the kept snapshots: all of seeds, two of an update-linked snapshot, one of a neighbour, each message
     in its first group, 28 in all (40 for a list), seeds always; ordered by group, then by message."""
     group = F.when(F.col("kind") == "seed", 0).when(F.col("kind") == "update_linked", 1).otherwise(2)
-    x = kept.where("kept").withColumn("group", group).join(sources, "snapshot_id")
+    # one exchange for all that follows: a query's sources are few
+    x = kept.where("kept").withColumn("group", group).join(sources, "snapshot_id").repartition("query_id")
     # a message belongs to the first snapshot that names it, in the order of groups, trajectories and versions
     first = F.row_number().over(Window.partitionBy("query_id", "message_id").orderBy("group", "trajectory_id", "version", "snapshot_id", "position"))
     x = x.withColumn("first", first).where("first = 1")
@@ -223,10 +233,11 @@ def raw_rescue(questions: DataFrame, messages: DataFrame, prefilter: int = 80, f
     x = questions.join(known, "sample_id")
     hits = F.size(F.filter("terms", lambda t: F.contains(F.lower(F.col("content")), t)))
     x = x.withColumn("lexical", overlap(F.col("terms"), keywords(F.col("content"))) + F.least(F.lit(1.0), hits / 4)).where("lexical > 0")
-    x = x.withColumn("plain", F.max((F.col("role") != "system").cast("int")).over(Window.partitionBy("query_id"))).where((F.col("role") != "system") | (F.col("plain") == 0))
-    x = x.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("lexical", 9)), "turn_index"))).where(F.col("k") <= prefilter)
+    # scored where question and message meet: vectors and texts of a pair are not sent to its question's ranking
     score = F.round(0.65 * F.round(unit_cosine(F.col("question_vector"), F.col("text_vector")), 9) + 0.35 * F.col("lexical"), 6)
-    x = x.withColumn("score", score)
+    x = x.select("query_id", "message_id", "turn_index", "role", "listing", F.round("lexical", 9).alias("lexical"), score.alias("score"))
+    x = x.withColumn("plain", F.max((F.col("role") != "system").cast("int")).over(Window.partitionBy("query_id"))).where((F.col("role") != "system") | (F.col("plain") == 0))
+    x = x.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lexical"), "turn_index"))).where(F.col("k") <= prefilter)
     x = x.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "turn_index")))
     return x.where(F.col("rank") <= F.when(F.col("listing"), many).otherwise(few)).select("query_id", "message_id", "score", "rank")
 

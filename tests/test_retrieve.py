@@ -120,3 +120,20 @@ def test_staged_tables_follow_their_version(spark):
         return spark.range(n)
 
     assert [written_once(spark, v, "t", lambda n=n: make(n)).count() for v, n in (("v1", 3), ("v1", 4), ("v2", 5))] == [3, 3, 5] and calls == [3, 5]
+
+
+def test_pairs_are_scored_where_they_meet_and_only_their_scores_go_on(views):
+    asked, index, settings = P.asked(views), P.index_tables(views), T.Settings(pages=1, broad=3, broad_most=2)
+    chosen = T.ranked_pages(asked, index["pages"], settings.broad).where("rank = 1")
+    found = T.candidates(asked, chosen, index, settings)
+    assert found.columns == ["query_id", "trajectory_id", "latest_snapshot_id", "origin", "score", "dense", "sparse"]
+    assert {r.origin for r in found.select("origin").distinct().collect()} >= {"page", "index"}
+    staged = {}
+
+    def stage(name, df):
+        staged[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return df
+
+    T.traced(asked, index, settings, stage)
+    # signals of trajectories are read by one join, not once more to rank what it found
+    assert sum("Relation" in line and "latest_snapshot_id" in line for line in staged["ranked_trajectories"].splitlines()) == 1
