@@ -14,7 +14,8 @@ Equal sets are one class from the start. A bucket is not expanded into all its p
 with one leader, links are closed into components, and only members of different components of a bucket are then
 compared with one another. Small buckets are joined with themselves. A large one is first cut by sizes (two sets that
 differ by more than the threshold cannot link); what is still large is compared in blocks of sets, each pair of which
-passes the size, second and third order before it is counted, and buckets of the same members are compared once. Tokens
+passes the size, second and third order before it is counted. Buckets of the same members are compared once, and those
+of nearly the same ones together. Tokens
 that very many classes have are dealt over several tasks in every join. No link between different components is lost.
 
 Nulls, empty texts and texts without words have no shingles and link with nothing; very long texts are taken whole, alone in
@@ -133,20 +134,22 @@ def _whole_sets(docs: DataFrame, sets: DataFrame, alive: DataFrame, id_col: str,
 
 
 def _with_prefixes(whole: DataFrame, threshold: int) -> DataFrame:
-    """Adds the prefix of each class under the three frequency-based orders; tokens of one class alone are left out.
+    """(key, n, copies, tokens, p1, p2, p3): the tokens that other classes have too, and the prefix of each class under the three
+    frequency-based orders; tokens of one class alone are left out.
 
     Such tokens come first in these orders, so that they use up the prefix of a class that has many of them.
     """
     token = whole.select("key", F.explode("tokens").alias("h"))
     df = token.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # what a class has alone is in no intersection: its shared tokens are all that is kept of it
     shared = token.join(df, "h").groupBy("key").agg(F.collect_list(F.struct("df", "h")).alias("s"))
     room = (F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1 - (F.col("n") - F.size("s"))).cast("int")
-    x = whole.join(shared, "key").withColumn("room", room).where("room > 0")
+    x = whole.select("key", "n", "copies").join(shared, "key").withColumn("room", room).where("room > 0")
     first = F.sort_array("s")
     second = F.sort_array(F.transform("s", lambda t: F.struct(t.df, F.xxhash64(t.h, F.lit(2)).alias("o"), t.h.alias("h"))))
     third = F.sort_array(F.transform("s", lambda t: F.struct(F.floor(F.log2(t.df)).alias("df"), F.xxhash64(t.h, F.lit(3)).alias("o"), t.h.alias("h"))))
     cut = lambda s: F.transform(F.slice(s, F.lit(1), F.col("room")), lambda t: t.h)
-    return x.select("key", "n", "copies", "tokens", cut(first).alias("p1"), cut(second).alias("p2"), cut(third).alias("p3"))
+    return x.select("key", "n", "copies", F.transform("s", lambda t: t.h).alias("tokens"), cut(first).alias("p1"), cut(second).alias("p2"), cut(third).alias("p3"))
 
 
 def _links(pairs: DataFrame, whole: DataFrame, threshold: int) -> DataFrame:
@@ -224,6 +227,22 @@ def _sub_buckets(big: DataFrame, threshold: int) -> DataFrame:
     return stage(dealt_join(rows, kept, "sub", "key", kept.select("sub", F.col("members").alias("rows"))), "sub_members")
 
 
+def _crowds(members: DataFrame) -> DataFrame:
+    """(sub, members, size, key, n, comp) of large buckets -> the same of crowds: a passage of many tokens makes many buckets of nearly
+    the same members, each of which would bring their whole sets. Buckets whose least class (by hash) is the same become one,
+    unless that makes more comparisons than each for itself; all pairs of a bucket stay together."""
+    least = stage(members.groupBy("sub").agg(F.min(F.xxhash64("key")).alias("crowd"), F.first("members").alias("rows")), "least")
+    counts = least.select("sub", "rows")
+    together = dealt_join(members.select("sub", "key"), least.select("sub", "crowd"), "sub", "key", counts).select("crowd", "key").distinct().groupBy("crowd").agg(F.count(F.lit(1)).cast("double").alias("together"))
+    apart = least.groupBy("crowd").agg(F.sum(F.col("rows").cast("double") * F.col("rows")).alias("apart"))
+    fewer = F.col("together") * F.col("together") <= F.col("apart")
+    choice = stage(least.join(together, "crowd").join(apart, "crowd").select("sub", F.when(fewer, F.col("crowd")).otherwise(F.col("sub")).alias("crowd")), "choice")
+    met = dealt_join(members.select("sub", "key", "n", "comp"), choice, "sub", "key", counts)
+    met = stage(met.groupBy(F.col("crowd").alias("sub"), "key").agg(F.first("n").alias("n"), F.first("comp").alias("comp")), "crowds")
+    sizes = stage(met.groupBy("sub").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("size")), "sizes")
+    return dealt_join(met, sizes, "sub", "key", sizes.select("sub", F.col("members").alias("rows")))
+
+
 def class_components(whole: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(node, root) over the keys of ``whole``, which has prefixes; keys without a link are left out."""
     alike = lambda a, b: 100 * F.least(a, b) >= threshold * F.greatest(a, b)
@@ -250,7 +269,7 @@ def class_components(whole: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     found = found.unionByName(_links(rest.join(known, ["a", "b"], "left_anti"), whole, threshold))
 
     if large:
-        crowd = subs.where(F.col("members") > PAIR_BUCKET)
+        crowd = _crowds(subs.where(F.col("members") > PAIR_BUCKET))
         blocks = F.greatest(F.ceil(F.col("members") / BLOCK_CLASSES), F.ceil(F.col("size") / BLOCK_TOKENS)).cast("int")
         crowd = crowd.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
         # block i of a bucket meets every block j of it: it stands left for j > i and right for j < i
