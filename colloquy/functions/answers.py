@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import normalize_answer
 
@@ -55,10 +60,19 @@ def covers_item(answer: Column, item: Column, least: float = 0.67) -> Column:
     return (name != "") & (F.contains(normalize_answer(answer), name) | F.coalesce(shared >= least, F.lit(False)))
 
 
+@F.arrow_udf(returnType=T.ArrayType(T.DoubleType()))
+def _embedded(texts: pa.Array) -> pa.Array:
+    known = texts.is_valid().to_numpy(zero_copy_only=False)
+    digests = b"".join(hashlib.sha256(t.encode()).digest() for t in texts.drop_null().to_pylist())
+    v = np.frombuffer(digests, np.uint8).reshape(-1, 32) / 255.0 - 0.5
+    norm = np.zeros(len(v))
+    for i in range(32):  # one after the other: the same sums as those of a row
+        norm += v[:, i] * v[:, i]
+    flat = pa.array((v / np.sqrt(norm)[:, None]).ravel())
+    ends = np.concatenate(([0], np.cumsum(known) * 32)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array(~known))
+
+
 def hash_embedding(text: Column) -> Column:
-    """A unit vector of 32 numbers made from the bytes of the text's SHA-256. Digest and norm are made once a text."""
-    once = lambda value, use: F.transform(F.array(value), use)[0]
-    byte = lambda d, i: F.conv(F.substring(d, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 - 0.5
-    raw = once(F.sha2(text, 256), lambda d: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: byte(d, i)))
-    norm = lambda r: F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, v: s + v * v))
-    return once(raw, lambda r: once(norm(r), lambda n: F.transform(r, lambda v: v / n)))
+    """A unit vector of 32 numbers made from the bytes of the text's SHA-256, of a batch of texts at once."""
+    return F.coalesce(_embedded(text.cast("string")), F.array_repeat(F.lit(None).cast("double"), 32))

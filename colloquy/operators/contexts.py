@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.answers import hash_embedding
-from ..functions.text import estimate_tokens, unit_cosine
+from ..functions.text import estimate_tokens, rounded, unit_cosine
 from .memory import ordered
 from .retrieve import Settings, traced
 from .scoring import hybrid_messages
@@ -62,39 +62,38 @@ def variant_contexts(questions: DataFrame, index: dict[str, DataFrame], claims:
     """
     wanted = {r["routing"] for r in policies.select("routing").distinct().collect()}  # a row for each kind of routing
     tiers = [(r, d) for r, d in (("wiki_routed", False), ("all_trajectories", True)) if r in wanted]
-    key, plain = F.struct("query_id", "routing"), [c for c in questions.columns if c != "query_id"]
     rows = []
-    columns = ["query_id", "routing", "section", "rank", "item_id", "text", "flat", "latest", "has_source"]
+    columns = ["query_id", "routing", "section", "rank", "item_id", "text", "flat", "latest", "has_source", "tokens", "flat_tokens"]
     yes, none = F.lit(True), F.lit(None).cast("string")
+    tokens = lambda c: estimate_tokens(F.col(c)).alias("tokens")  # noqa: E731  counted once a text, before any question meets it
     if tiers:
-        routes = F.explode(F.array(*(F.struct(F.lit(r).alias("routing"), F.lit(d).alias("direct")) for r, d in tiers)))
-        keyed = questions.withColumn("r", routes).select(*plain, "query_id", F.col("r.routing").alias("routing"), F.col("r.direct").alias("direct")).select(key.alias("query_id"), *plain, "direct")
-        t = {name: stage(f"contexts_{name}", df) for name, df in traced(keyed, index, settings, stage).items()}
+        t = traced(questions, index, settings, stage, tiers)
         split = [F.col("query_id.query_id").alias("query_id"), F.col("query_id.routing").alias("routing")]
-        row = lambda df, section, rank, item, text, flat=none, latest=yes, source=yes: df.select(*split, F.lit(section).alias("section"), rank.cast("long").alias("rank"), item.cast("long").alias("item_id"), text.alias("text"), flat.alias("flat"), latest.alias("latest"), source.alias("has_source"))
-        rows.append(row(t["pages"].join(pages.select("page_id", "text"), "page_id"), "page", F.col("rank"), F.col("page_id"), F.col("text")))
+        row = lambda df, section, rank, item, text, flat=none, latest=yes, source=yes: df.select(*split, F.lit(section).alias("section"), rank.cast("long").alias("rank"), item.cast("long").alias("item_id"), text.alias("text"), flat.alias("flat"), latest.alias("latest"), source.alias("has_source"), "tokens", ("flat_tokens" if "flat_tokens" in df.columns else F.lit(0).cast("long").alias("flat_tokens")))
+        rows.append(row(t["pages"].join(pages.select("page_id", "text", tokens("text")), "page_id"), "page", F.col("rank"), F.col("page_id"), F.col("text")))
         best = t["trajectories"].where(F.col("rank") <= settings.trajectories)
-        rows.append(row(best.join(index["trajectories"].select("trajectory_id", "text"), "trajectory_id"), "trajectory", F.col("rank"), F.col("trajectory_id"), F.col("text")))
-        said = claims.groupBy("snapshot_id").agg(F.array_join(ordered(F.concat(F.lit("["), F.col("status"), F.lit("] "), F.col("text")), "claim_id"), "\\n").alias("text"), F.array_join(ordered(F.col("text"), "claim_id"), "\\n").alias("flat"))
+        rows.append(row(best.join(index["trajectories"].select("trajectory_id", "text", tokens("text")), "trajectory_id"), "trajectory", F.col("rank"), F.col("trajectory_id"), F.col("text")))
+        said = claims.groupBy("snapshot_id").agg(F.array_join(ordered(F.concat(F.lit("["), F.col("status"), F.lit("] "), F.col("text")), "claim_id"), "\\n").alias("text"), F.array_join(ordered(F.col("text"), "claim_id"), "\\n").alias("flat")).select("*", tokens("text"), tokens("flat").alias("flat_tokens"))
         backed = index["sources"].select("snapshot_id").distinct().withColumn("backed", F.lit(True))
         snaps = t["snapshots"].where("kept").join(said, "snapshot_id").join(backed, "snapshot_id", "left")
         rows.append(row(snaps, "snapshot", F.col("order"), F.col("snapshot_id"), F.col("text"), F.col("flat"), F.col("kind") == "seed", F.coalesce("backed", F.lit(False))))
-        rows.append(row(t["messages"].join(index["messages"].select("message_id", "content"), "message_id"), "source", F.col("rank"), F.col("message_id"), F.col("content")))
-    flat_row = lambda df, routing, section, rank, item, text: df.select("query_id", F.lit(routing).alias("routing"), F.lit(section).alias("section"), rank.cast("long").alias("rank"), item.cast("long").alias("item_id"), text.alias("text"), none.alias("flat"), yes.alias("latest"), yes.alias("has_source"))
+        rows.append(row(t["messages"].join(index["messages"].select("message_id", "content", tokens("content")), "message_id"), "source", F.col("rank"), F.col("message_id"), F.col("content")))
+    flat_row = lambda df, routing, section, rank, item, text: df.select("query_id", F.lit(routing).alias("routing"), F.lit(section).alias("section"), rank.cast("long").alias("rank"), item.cast("long").alias("item_id"), text.alias("text"), none.alias("flat"), yes.alias("latest"), yes.alias("has_source"), "tokens", F.lit(0).cast("long").alias("flat_tokens"))
     messages = index["messages"]
     if "hybrid_raw_messages" in wanted:
-        found = hybrid_messages(questions.select("query_id", "sample_id", "question"), messages.select("sample_id", "message_id", "turn_index", "content")).where(F.col("rank") <= MESSAGES)
-        rows.append(flat_row(found.join(messages.select("message_id", "content"), "message_id"), "hybrid_raw_messages", "message", F.col("rank"), F.col("message_id"), F.col("content")))
+        found = hybrid_messages(questions.select("query_id", "sample_id", "question", "question_vector"), messages).where(F.col("rank") <= MESSAGES)
+        rows.append(flat_row(found.join(messages.select("message_id", "content", tokens("content")), "message_id"), "hybrid_raw_messages", "message", F.col("rank"), F.col("message_id"), F.col("content")))
     if "naive_dense_chunks" in wanted:
-        near = questions.select("query_id", "sample_id", "question_vector").join(_chunks(messages).withColumn("v", hash_embedding(F.col("text"))), "sample_id").withColumn("close", F.round(unit_cosine(F.col("question_vector"), F.col("v")), 6))
+        near = questions.select("query_id", "sample_id", "question_vector").join(_chunks(messages).select("*", tokens("text"), hash_embedding(F.col("text")).alias("v")), "sample_id").withColumn("close", unit_cosine(F.col("question_vector"), F.col("v")))
+        near = near.select("query_id", "chunk_id", "text", "tokens", rounded(F.col("close"), 6).alias("close"))
         near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("close"), "chunk_id"))).where(F.col("rank") <= CHUNKS)
         rows.append(flat_row(near, "naive_dense_chunks", "chunk", F.col("rank"), F.col("chunk_id"), F.col("text")))
     if not rows and "all_raw_messages" not in wanted:
         raise ValueError("no policy with a known routing")
     shown = ["query_id", "variant", "section", "rank", "item_id", "text", "tokens"]
-    every = _dialogues(questions, messages, policies) if "all_raw_messages" in wanted else None
+    whole_too = "all_raw_messages" in wanted
     if not rows:
-        return _within(every, _whole(every)).select(shown)
+        return _dialogues(questions, messages, policies, _whole(_totals(questions, messages, policies))).select(shown)
     items = rows[0]
     for r in rows[1:]:
         items = items.unionByName(r)
@@ -107,13 +106,16 @@ def variant_contexts(questions: DataFrame, index: dict[str, DataFrame], claims:
         .when(section == "source", F.col("sources") & states).when(section == "message", e == "raw_messages").otherwise(e == "raw_chunks")
     )
     x = items.join(F.broadcast(policies), "routing").where(shows)  # a row for each policy
-    x = x.withColumn("text", F.when((section == "snapshot") & (e == "flat_claim_state"), F.col("flat")).otherwise(F.col("text"))).withColumn("tokens", estimate_tokens(F.col("text")))
+    x = x.withColumn("tokens", F.when((section == "snapshot") & (e == "flat_claim_state"), F.col("flat_tokens")).otherwise(F.col("tokens")))
+    x = x.withColumn("text", F.when((section == "snapshot") & (e == "flat_claim_state"), F.col("flat")).otherwise(F.col("text")))
     place = F.array_position(F.array(*map(F.lit, SECTIONS)), section)
     used = F.sum("tokens").over(Window.partitionBy("query_id", "variant").orderBy("place", "rank", "item_id").rowsBetween(Window.unboundedPreceding, 0))
     cut = x.where("matched").withColumn("place", place).withColumn("used", used)
-    whole = _whole(x) if every is None else _whole(x.select("query_id", "variant", "tokens").unionByName(every.select("query_id", "variant", "tokens")))
-    x = x.where("not matched").select(shown).unionByName(_within(cut, whole).select(shown))
-    return x if every is None else x.unionByName(_within(every, whole).select(shown))
+    told = x.select("query_id", "variant", "tokens")
+    whole = _whole(told.unionByName(_totals(questions, messages, policies)) if whole_too else told)
+    cut = cut.join(whole, "query_id", "left").where(F.col("whole").isNull() | (F.col("used") <= F.col("whole")))
+    x = x.where("not matched").select(shown).unionByName(cut.select(shown))
+    return x.unionByName(_dialogues(questions, messages, policies, whole).select(shown)) if whole_too else x
 
 
 def _whole(x: DataFrame) -> DataFrame:
@@ -121,16 +123,22 @@ def _whole(x: DataFrame) -> DataFrame:
     return x.where(F.col("variant") == "full").groupBy("query_id").agg(F.sum("tokens").alias("whole"))
 
 
-def _within(x: DataFrame, whole: DataFrame) -> DataFrame:
-    """The rows of policies that are not matched, and of the others those up to the question's ``whole``."""
-    cut = x.where("matched").join(whole, "query_id", "left").where(F.col("whole").isNull() | (F.col("used") <= F.col("whole"))).drop("whole")
-    return x.where("not matched").unionByName(cut)
+def _shown_whole(policies: DataFrame) -> DataFrame:
+    return policies.where((F.col("routing") == "all_raw_messages") & (F.col("evidence") == "raw_messages")).select("variant", "matched")
 
 
-def _dialogues(questions: DataFrame, messages: DataFrame, policies: DataFrame) -> DataFrame:
-    """Every message of a question's sample, for each policy that shows whole dialogues, with the tokens ``used`` so far."""
+def _totals(questions: DataFrame, messages: DataFrame, policies: DataFrame) -> DataFrame:
+    """(query_id, variant, tokens): what a whole dialogue uses up, for each policy that shows it."""
+    total = messages.groupBy("sample_id").agg(F.sum(estimate_tokens(F.col("content"))).alias("tokens"))
+    return questions.select("query_id", "sample_id").join(total, "sample_id").crossJoin(F.broadcast(_shown_whole(policies))).select("query_id", "variant", "tokens")
+
+
+def _dialogues(questions: DataFrame, messages: DataFrame, policies: DataFrame, whole: DataFrame) -> DataFrame:
+    """Every message of a question's sample, for each policy that shows whole dialogues, and of matched ones those up to the
+    question's ``whole``, which it brings along: the messages are not sent once more to be cut."""
     ahead = Window.partitionBy("sample_id").orderBy("turn_index", "message_id")
     x = messages.select("sample_id", "message_id", "turn_index", F.col("content").alias("text"), estimate_tokens(F.col("content")).alias("tokens"))
     x = x.select("sample_id", F.lit("message").alias("section"), F.row_number().over(ahead).cast("long").alias("rank"), F.col("message_id").cast("long").alias("item_id"), "text", "tokens", F.sum("tokens").over(ahead.rowsBetween(Window.unboundedPreceding, 0)).alias("used"))
-    some = policies.where((F.col("routing") == "all_raw_messages") & (F.col("evidence") == "raw_messages")).select("variant", "matched")
-    return questions.select("query_id", "sample_id").join(x, "sample_id").crossJoin(F.broadcast(some))
+    asked = questions.select("query_id", "sample_id").join(whole, "query_id", "left")
+    x = asked.join(x, "sample_id").crossJoin(F.broadcast(_shown_whole(policies)))
+    return x.where(~F.col("matched") | F.col("whole").isNull() | (F.col("used") <= F.col("whole")))

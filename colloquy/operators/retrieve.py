@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.answers import hash_embedding
-from ..functions.text import keywords, overlap, unit_cosine
+from ..functions.text import keywords
 from . import scoring as S
 from .memory import ordered
 from .retrieval import rrf_fuse
@@ -52,14 +52,14 @@ def build_index(claims: DataFrame, pages: DataFrame, members: DataFrame, edges:
     own = claims.select("sample_id", "trajectory_id", "snapshot_id", "version", "text", "status", "claim_id")
     snapshots = own.groupBy("sample_id", "trajectory_id", "snapshot_id", "version").agg(F.array_join(ordered(F.col("text"), "claim_id"), " ").alias("text"), F.array_join(ordered(F.when(F.col("status") != "deprecated", F.col("text")), "claim_id"), " ").alias("live"), F.count_if(F.col("status") != "deprecated").alias("claims"))
     text = F.col("text")
-    snapshots = snapshots.select("*", hash_embedding(text).alias("text_vector"), S.names_in(text).alias("names"), F.regexp_extract_all("text", F.lit("favorite color is ([a-z]+)"), F.lit(1)).alias("values"))
+    snapshots = snapshots.select("*", hash_embedding(text).alias("text_vector"), keywords(text).alias("have"), S.names_in(text).alias("names"), F.regexp_extract_all("text", F.lit("favorite color is ([a-z]+)"), F.lit(1)).alias("values"))
     every = claims.select("sample_id", "trajectory_id", "snapshot_id").distinct()
     reach = S.update_linked(every.select(F.col("snapshot_id").alias("query_id"), "trajectory_id", "snapshot_id"), claims, edges, depth)
     return {
         "trajectories": S.trajectory_signals(claims), "pages": p, "members": members.join(samples, "trajectory_id").select("sample_id", "page_id", "trajectory_id").distinct(), "snapshots": snapshots,
         "linked": reach.join(samples, "trajectory_id").select("sample_id", "trajectory_id", F.col("query_id").alias("snapshot_id"), F.col("snapshot_id").alias("other")),
         "sources": sources.join(every, "snapshot_id").select("sample_id", "snapshot_id", "message_id", "position"),
-        "messages": messages.withColumn("text_vector", hash_embedding(F.col("content"))),
+        "messages": S.with_words(messages),
     }
 
 
@@ -87,17 +87,21 @@ def read_index(spark: SparkSession, path: str, version: str | None = None) -> di
 
 def ranked_pages(questions: DataFrame, pages: DataFrame, widest: int) -> DataFrame:
     """(query_id, page_id, width, rank): the pages of a question's sample, as ``scoring.page_scores`` ranks them."""
-    x = S.with_family(questions.join(pages, "sample_id"))
-    close = F.round(unit_cosine(F.col("question_vector"), F.col("text_vector")), 9)
-    dense = close + F.when(F.coalesce(F.arrays_overlap("entities", "names"), F.lit(False)), 0.10).otherwise(0.0) + F.when(F.col("width") <= widest, 0.05).otherwise(0.0) + 0.08 * F.col("family_score")
-    sparse = F.greatest(F.lit(0.0), overlap(F.col("terms"), F.col("have")) + 0.60 * F.col("family_score") - 0.25 * F.col("mismatch"))
-    y = x.select("query_id", F.col("page_id").alias("id"), F.round(dense, 6).alias("dense"), F.round(sparse, 6).alias("sparse"), "width")
+    y = S.page_pairs(questions, pages, widest).withColumnRenamed("page_id", "id")
     return rrf_fuse(y, keep=("dense", "sparse", "width")).withColumnRenamed("id", "page_id").drop("fused", "dense", "sparse")
 
 
-def candidates(questions: DataFrame, chosen: DataFrame, index: dict[str, DataFrame], s: Settings) -> DataFrame:
+def keyed(rows: DataFrame, routings: list[tuple[str, bool]]) -> DataFrame:
+    """``rows`` for each of the routings (name, direct), with (query_id, routing) as their ``query_id``; as they are without routings."""
+    if not routings:
+        return rows
+    return rows.withColumn("query_id", F.explode(F.array(*(F.struct("query_id", F.lit(name).alias("routing")) for name, _ in routings))))
+
+
+def candidates(questions: DataFrame, chosen: DataFrame, index: dict[str, DataFrame], s: Settings, routings: list[tuple[str, bool]] = []) -> DataFrame:  # noqa: B006
     """(query_id, trajectory_id, latest_snapshot_id, origin, score, dense, sparse): what the chosen pages give, ``broad`` where broad pages
-    alone do, and ``index`` others for questions with few. A question with ``direct`` takes every trajectory of its sample instead.
+    alone do, and ``index`` others for questions with few. With ``routings`` (name, direct) the ids are those of ``keyed``, and a direct one
+    takes every trajectory of its question's sample instead; a pair is scored once for all of them.
 
     A question brings its few pages and a trajectory those that list it, so that a pair is routed and scored where the sample's
     questions and trajectories meet; only its scores go on to the question's ranking.
@@ -106,34 +110,42 @@ def candidates(questions: DataFrame, chosen: DataFrame, index: dict[str, DataFra
     count = routed.groupBy("query_id").agg((F.count_if(~F.col("broad")) + F.least(F.count_if("broad"), F.lit(s.broad_most))).alias("n"))
     own = chosen.groupBy("query_id").agg(F.collect_list(F.struct("page_id", "width")).alias("chosen"))
     listed = index["members"].groupBy("trajectory_id").agg(F.collect_set("page_id").alias("pages"))
-    direct = F.col("direct") if "direct" in questions.columns else F.lit(False)
-    asked = questions.join(own.join(count, "query_id", "left"), "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    x = asked.join(index["trajectories"].join(listed, "trajectory_id", "left"), "sample_id")
+    asked = S.with_hashes(questions).join(own.join(count, "query_id", "left"), "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    x = asked.join(S.with_hashes(index["trajectories"]).join(listed, "trajectory_id", "left"), "sample_id")
     routes = F.filter("chosen", lambda p: F.array_contains("pages", p.page_id))
     x = x.withColumn("routes", F.coalesce(F.transform(routes, lambda p: p.width > s.broad), F.array().cast("array<boolean>"))).drop("chosen", "pages")
-    x = x.where((F.size("routes") > 0) | (F.col("n") < s.enough) | direct)
+    origin = F.when(F.size("routes") == 0, F.when(F.col("n") < s.enough, "index")).when(F.forall("routes", lambda b: b), "broad").otherwise("page")
+    x = x.withColumn("origin", origin).drop("routes")
+    if not any(direct for _, direct in routings):
+        x = x.where("origin is not null")
     x = S.with_scores(S.with_overlap(S.with_event(S.with_family(x))))
-    origin = F.when(direct, "direct").when(F.size("routes") == 0, "index").when(F.forall("routes", lambda b: b), "broad").otherwise("page")
-    x = x.select("query_id", "trajectory_id", "latest_snapshot_id", origin.alias("origin"), "score", "dense", "sparse").repartition("query_id")
+    x = x.select("query_id", "trajectory_id", "latest_snapshot_id", "origin", "score", "dense", "sparse")
+    if routings:
+        ways = F.array(*(F.struct(F.struct("query_id", F.lit(name).alias("routing")).alias("query_id"), (F.lit("direct") if direct else F.col("origin")).alias("origin")) for name, direct in routings))
+        x = x.withColumn("way", F.explode(ways)).where("way.origin is not null").select("way.query_id", "trajectory_id", "latest_snapshot_id", "way.origin", "score", "dense", "sparse")
+    x = x.repartition("query_id")
     k = F.row_number().over(Window.partitionBy("query_id", "origin").orderBy(F.desc("score"), F.desc("trajectory_id")))
     most = F.when(F.col("origin").isin("page", "direct"), F.lit(1 << 30)).when(F.col("origin") == "broad", s.broad_most).otherwise(s.added)
     return x.withColumn("k", k).where((F.col("k") <= most) & ((F.col("origin") != "index") | (F.col("score") > 0))).drop("k")
 
 
-def traced(questions: DataFrame, index: dict[str, DataFrame], s: Settings, stage: Callable[[str, DataFrame], DataFrame]) -> dict[str, DataFrame]:
-    """What each tier gives: ``pages``, ``trajectories`` (all candidates with their rank), ``snapshots`` (kept and not), ``messages``."""
-    asked = questions.where(~F.col("direct")) if "direct" in questions.columns else questions
+def traced(questions: DataFrame, index: dict[str, DataFrame], s: Settings, stage: Callable[[str, DataFrame], DataFrame], routings: list[tuple[str, bool]] = []) -> dict[str, DataFrame]:  # noqa: B006
+    """What each tier gives: ``pages``, ``trajectories`` (all candidates with their rank), ``snapshots`` (kept and not), ``messages``;
+    for each of the ``routings`` if there are any, with the ids of ``keyed``."""
+    paged = [r for r in routings if not r[1]]
+    asked = questions if paged or not routings else questions.limit(0)
     chosen = stage("chosen_pages", ranked_pages(asked, index["pages"], s.broad).where(F.col("rank") <= s.pages))
-    scored = candidates(questions, chosen, index, s)
+    scored = candidates(questions, chosen, index, s, routings)
     best = rrf_fuse(scored.withColumnRenamed("trajectory_id", "id"), keep=("latest_snapshot_id",)).withColumnRenamed("id", "trajectory_id")
     best = stage("ranked_trajectories", best.select("query_id", "trajectory_id", "rank", "latest_snapshot_id"))
     seeds = best.where(F.col("rank") <= s.trajectories).select("query_id", "trajectory_id", F.col("latest_snapshot_id").alias("seed"), F.col("rank").cast("long").alias("seed_place"))
     snap = index["snapshots"]
     linked = index["linked"].groupBy("trajectory_id", F.col("snapshot_id").alias("seed")).agg(F.collect_set("other").alias("linked"))
+    asked = keyed(questions.select("query_id", "question_vector", "terms", "entities", "listing"), routings)
     at = snap.select("trajectory_id", F.col("snapshot_id").alias("seed"), F.col("version").alias("at")).join(linked, ["trajectory_id", "seed"], "left")
     # a seed's question goes to its trajectory, whose snapshots it meets once; only scores go back to the question
-    x = seeds.join(at, ["trajectory_id", "seed"]).join(questions.select("query_id", "question_vector", "terms", "entities", "listing"), "query_id")
-    x = x.join(snap.select("trajectory_id", "snapshot_id", "version", "text", "text_vector", "names", "values", "live", "claims"), "trajectory_id")
+    x = seeds.join(at, ["trajectory_id", "seed"]).join(S.with_hashes(asked), "query_id")
+    x = x.join(S.with_hashes(snap.select("trajectory_id", "snapshot_id", "version", "have", "text_vector", "names", "values", "live", "claims")), "trajectory_id")
     is_seed = F.col("snapshot_id") == F.col("seed")
     reached = F.coalesce(F.array_contains("linked", F.col("snapshot_id")), F.lit(False))
     near = F.abs(F.col("version") - F.col("at")) <= s.radius
@@ -141,7 +153,7 @@ def traced(questions: DataFrame, index: dict[str, DataFrame], s: Settings, stage
     x = x.withColumns({"kind": kind, "place": F.when(is_seed, F.col("seed_place")).otherwise(0)}).where("kind is not null")
     kept = S.snapshot_scores(x, "kind", "place", "listing", "live", "claims").repartition("query_id")
     kept = stage("compacted", S.compact_snapshots(kept, "live", "claims", "place"))
-    return {"pages": chosen, "trajectories": best, "snapshots": kept, "messages": S.compact_sources(kept, index["sources"].drop("sample_id"))}
+    return {"pages": keyed(chosen, paged or routings), "trajectories": best, "snapshots": kept, "messages": S.compact_sources(kept, index["sources"].drop("sample_id"))}
 
 
 def retrieve(questions: DataFrame, index: dict[str, DataFrame], settings: Settings = Settings(), stage: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> DataFrame:

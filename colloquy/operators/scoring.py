@@ -10,9 +10,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.answers import hash_embedding
-from ..functions.text import keywords, overlap, unit_cosine
+from ..functions.text import hashed, keywords, overlap, rounded, unit_cosine
 from .memory import ordered
 from .retrieval import SEARCH_STOP_WORDS, rrf_fuse
 
@@ -26,8 +27,26 @@ def _strings() -> Column:
     return F.array().cast("array<string>")
 
 
-def _literal(words: list[str]) -> Column:
-    return F.array(*map(F.lit, words))
+def _literal(words: list[str], hashes: bool = False) -> Column:
+    return F.array(*(F.xxhash64(F.lit(w)) if hashes else F.lit(w) for w in words))
+
+
+def _hashes(x: DataFrame, column: str) -> bool:
+    return x.schema[column].dataType == T.ArrayType(T.LongType(), x.schema[column].dataType.containsNull)
+
+
+def _apart(flag: Column) -> Column:
+    """A flag through a function of an element. The column list that it stands in is then compiled by itself and cut into small methods: a
+    list with several set operations that is fused with its join makes a method beyond what a JVM compiles, which is many times slower."""
+    return F.exists(F.array(flag), lambda b: b)
+
+
+def with_hashes(x: DataFrame) -> DataFrame:
+    """Questions or candidates with their sets of words as 64-bit hashes, so that a pair compares numbers."""
+    sets = {c: hashed(F.col(c)) for c in ("terms", "entities", "have", "names", "values", "items") if c in x.columns}
+    if "events" in x.columns:
+        sets["events"] = F.transform("events", lambda e: F.struct(hashed(e.terms).alias("terms"), e.temporal.alias("temporal")))
+    return x.withColumns(sets)
 
 
 def names_in(text: Column) -> Column:
@@ -40,9 +59,9 @@ def question_profiles(asks: DataFrame) -> DataFrame:
     q = F.lower("question")
     family = F.lit(None).cast("string")
     for name, words in reversed(FAMILIES.items()):
-        family = F.when(F.arrays_overlap(keywords(F.col("question")), _literal(words)), name).otherwise(family)
-    terms = F.filter(keywords(F.col("question")), lambda w: ~w.isin(SEARCH_STOP_WORDS))
-    return asks.select("query_id", "sample_id", "question", terms.alias("terms"), names_in(F.substring("question", 2, 1 << 20)).alias("entities"), family.alias("family"), q.rlike("^how many").alias("counting"), q.rlike("^which").alias("listing"), q.rlike(r"\b(when|date|year|last)\b").alias("temporal"), hash_embedding(F.col("question")).alias("question_vector"))
+        family = F.when(F.arrays_overlap("_words", _literal(words)), name).otherwise(family)
+    terms = F.filter("_words", lambda w: ~w.isin(SEARCH_STOP_WORDS))
+    return asks.withColumn("_words", keywords(F.col("question"))).select("query_id", "sample_id", "question", terms.alias("terms"), names_in(F.substring("question", 2, 1 << 20)).alias("entities"), family.alias("family"), q.rlike("^how many").alias("counting"), q.rlike("^which").alias("listing"), q.rlike(r"\b(when|date|year|last)\b").alias("temporal"), hash_embedding(F.col("question")).alias("question_vector"))
 
 
 def trajectory_signals(claims: DataFrame) -> DataFrame:
@@ -59,44 +78,52 @@ def trajectory_signals(claims: DataFrame) -> DataFrame:
 
 
 def pairs(questions: DataFrame, signals: DataFrame) -> DataFrame:
-    """Each question with the candidates of its sample."""
-    return questions.join(signals, "sample_id")
+    """Each question with the candidates of its sample; their sets of words are hashes."""
+    return with_hashes(questions).join(with_hashes(signals), "sample_id")
 
 
 def with_family(x: DataFrame) -> DataFrame:
     """Adds ``family_score`` (at most 1) and ``mismatch`` (0.25, or 0.12 where the candidate has items or values at all):
     how well a candidate's terms fit the item family that a question asks for; both 0 without a family."""
-    words = F.create_map(*(y for name, w in FAMILIES.items() for y in (F.lit(name), _literal(w))))[F.col("family")]
+    hashes = _hashes(x, "have")
+    words = F.create_map(*(y for name, w in FAMILIES.items() for y in (F.lit(name), _literal(w, hashes))))[F.col("family")]
     size = lambda a, b: F.when(F.col("family").isNotNull(), F.size(F.array_intersect(a, b)))
     # columns of their own, so that a pair's sets are met once each, and only where a family is asked for
-    x = x.withColumns({"_hits": size(words, "have"), "_asked": size("terms", "have"), "_objects": size(F.array_except("terms", "entities"), "have")})
+    x = x.withColumns({"_hits": size(words, "have"), "_asked": size("terms", "have"), "_objects": size(F.array_except("terms", "entities"), "have"), "_known": _apart(F.col("family").isNotNull())})
     hits, asked, objects = F.col("_hits"), F.col("_asked"), F.col("_objects")
     concrete = (F.size("items") + F.size("values")) > 0
     score = F.least(F.lit(0.48), hits / F.size(words) * 1.10) + F.least(F.lit(0.30), asked * 0.08) + F.least(F.lit(0.30), objects * 0.12) + F.when(concrete & ((hits > 0) | (objects > 0)), 0.10).otherwise(0.0)
     none = (hits == 0) & (asked == 0) & (objects == 0)
-    known = F.col("family").isNotNull()
-    return x.withColumns({"family_score": F.when(known, F.round(F.least(F.lit(1.0), score), 9)).otherwise(0.0), "mismatch": F.when(known & none, F.when(concrete, 0.12).otherwise(0.25)).otherwise(0.0)}).drop("_hits", "_asked", "_objects")
+    known = F.col("_known")
+    x = x.withColumns({"_fits": F.when(known, F.least(F.lit(1.0), score)).otherwise(0.0), "mismatch": F.when(known & none, F.when(concrete, 0.12).otherwise(0.25)).otherwise(0.0)})
+    return x.withColumn("family_score", rounded(F.col("_fits"), 9)).drop("_hits", "_asked", "_objects", "_known", "_fits")
 
 
 def with_event(x: DataFrame) -> DataFrame:
     """Adds ``event_score``: the best of a candidate's events that a question's object terms hit; 0 unless the question is
     about time or an action and has an object."""
-    acts = F.array_intersect("terms", _literal(ACTIONS))
-    things = F.array_except("terms", _literal(ACTIONS))
+    known = _literal(ACTIONS, _hashes(x, "terms"))
+    x = x.withColumns({"_acts": F.array_intersect("terms", known), "_things": F.array_except("terms", known), "_dated": _apart(F.col("temporal"))})
     hit = lambda e, terms: F.size(F.array_intersect(e.terms, terms))
-    one = lambda e: F.when(hit(e, things) > 0, F.least(F.lit(1.0), 0.70 + 0.10 * hit(e, things) + 0.10 * hit(e, acts) + F.when(e.temporal, 0.05).otherwise(0.0))).otherwise(0.0)
-    about = F.col("temporal") | (F.size(acts) > 0)
-    return x.withColumn("event_score", F.when(about, F.round(F.coalesce(F.array_max(F.transform("events", one)), F.lit(0.0)), 9)).otherwise(0.0))
+    acts = lambda e: F.when(F.size("_acts") > 0, hit(e, F.col("_acts"))).otherwise(0)
+    score = lambda e, n: F.when(n > 0, F.least(F.lit(1.0), 0.70 + 0.10 * n + 0.10 * acts(e) + F.when(e.temporal, 0.05).otherwise(0.0))).otherwise(0.0)
+    # an event's hits are counted once
+    one = lambda e: F.transform(F.array(hit(e, F.col("_things"))), lambda n: score(e, n))[0]
+    about = (F.col("_dated") | (F.size("_acts") > 0)) & (F.size("_things") > 0)
+    x = x.withColumn("_best", F.when(about, F.coalesce(F.array_max(F.transform("events", one)), F.lit(0.0))).otherwise(0.0))
+    return x.withColumn("event_score", rounded(F.col("_best"), 9)).drop("_acts", "_things", "_dated", "_best")
 
 
 def with_overlap(x: DataFrame) -> DataFrame:
     """``pairs`` with family scores, and ``score`` by what questions and candidates share: Jaccard, names 0.25, values 0.15, a
     list or count 0.10, 0.80 times the family score, less 0.30 times its mismatch."""
-    asked = F.when(F.col("family").isNotNull(), F.array_union("terms", F.array("family"))).otherwise(F.col("terms"))
+    family = F.xxhash64("family") if _hashes(x, "terms") else F.col("family")
+    asked = F.when(F.col("family").isNotNull(), F.array_union("terms", F.array(family))).otherwise(F.col("terms"))
     met = lambda a, b: F.coalesce(F.arrays_overlap(a, b), F.lit(False))
-    score = overlap(asked, F.col("have")) + F.when(met("entities", "names"), 0.25).otherwise(0.0) + F.when(met("terms", "values"), 0.15).otherwise(0.0) + F.when(F.col("listing") & (F.size("items") > 0), 0.10).otherwise(0.0) + F.when(F.col("counting") & F.col("text").rlike("[0-9]"), 0.10).otherwise(0.0)
-    score = F.round(score + 0.80 * F.col("family_score") - 0.30 * F.col("mismatch"), 9)
-    return x.withColumn("score", score)
+    listed = _apart(F.col("listing") & (F.size("items") > 0))
+    score = overlap(asked, F.col("have")) + F.when(met("entities", "names"), 0.25).otherwise(0.0) + F.when(met("terms", "values"), 0.15).otherwise(0.0) + F.when(listed, 0.10).otherwise(0.0) + F.when(F.col("counting") & F.col("text").rlike("[0-9]"), 0.10).otherwise(0.0)
+    x = x.withColumn("_score", score + 0.80 * F.col("family_score") - 0.30 * F.col("mismatch"))
+    return x.withColumn("score", rounded(F.col("_score"), 9)).drop("_score")
 
 
 def overlap_rank(x: DataFrame) -> DataFrame:
@@ -109,13 +136,16 @@ def with_scores(x: DataFrame) -> DataFrame:
 
     The text vectors are the deterministic hash embeddings; an event that fits strongly softens a family's mismatch.
     """
-    x = x.withColumns({c: F.round(unit_cosine(F.col("question_vector"), F.col(v)), 9) for c, v in (("s", "text_vector"), ("l", "latest_vector"))})
     met = lambda a, b: F.coalesce(F.arrays_overlap(a, b), F.lit(False))
     bonus = F.when(met("entities", "names"), 0.10).otherwise(0.0) + F.when(met("terms", "values"), 0.05).otherwise(0.0)
+    # beside the cosines, and so out of the join's method
+    x = x.withColumns({"_bonus": bonus, "_shared": overlap(F.col("terms"), F.col("have"))} | {c: unit_cosine(F.col("question_vector"), F.col(v)) for c, v in (("s", "text_vector"), ("l", "latest_vector"))})
+    x = x.withColumns({c: rounded(F.col(c), 9) for c in ("s", "l")})
     soft = F.when(F.col("event_score") >= 0.70, F.least("mismatch", F.lit(0.05))).otherwise(F.col("mismatch"))
-    dense = 0.75 * F.col("s") + 0.15 * F.col("l") + 0.10 * F.least(F.lit(1.0), bonus / 0.20) + 0.08 * F.col("family_score") + 0.10 * F.col("event_score") - 0.04 * soft
-    sparse = overlap(F.col("terms"), F.col("have")) + 0.60 * F.col("family_score") + 0.75 * F.col("event_score") - 0.25 * soft
-    return x.withColumns({"dense": F.round(F.greatest(F.lit(0.0), dense), 6), "sparse": F.round(F.greatest(F.lit(0.0), sparse), 6)}).drop("s", "l")
+    dense = 0.75 * F.col("s") + 0.15 * F.col("l") + 0.10 * F.least(F.lit(1.0), F.col("_bonus") / 0.20) + 0.08 * F.col("family_score") + 0.10 * F.col("event_score") - 0.04 * soft
+    sparse = F.col("_shared") + 0.60 * F.col("family_score") + 0.75 * F.col("event_score") - 0.25 * soft
+    x = x.withColumns({"dense": F.greatest(F.lit(0.0), dense), "sparse": F.greatest(F.lit(0.0), sparse)})
+    return x.withColumns({c: rounded(F.col(c), 6) for c in ("dense", "sparse")}).drop("s", "l", "_bonus", "_shared")
 
 
 def trajectory_scores(x: DataFrame) -> DataFrame:
@@ -124,6 +154,16 @@ def trajectory_scores(x: DataFrame) -> DataFrame:
     return rrf_fuse(y, keep=("dense", "sparse")).withColumnRenamed("id", "trajectory_id").drop("fused")
 
 
+def page_pairs(questions: DataFrame, pages: DataFrame, widest: int) -> DataFrame:
+    """Each question with the pages of its sample, which have their signals, and their ``dense`` and ``sparse`` (``page_scores``)."""
+    x = with_family(pairs(questions, pages))
+    x = x.withColumns({"_close": unit_cosine(F.col("question_vector"), F.col("text_vector")), "_named": F.coalesce(F.arrays_overlap("entities", "names"), F.lit(False)), "_shared": overlap(F.col("terms"), F.col("have"))})
+    dense = rounded(F.col("_close"), 9) + F.when(F.col("_named"), 0.10).otherwise(0.0) + F.when(F.col("width") <= widest, 0.05).otherwise(0.0) + 0.08 * F.col("family_score")
+    sparse = F.greatest(F.lit(0.0), F.col("_shared") + 0.60 * F.col("family_score") - 0.25 * F.col("mismatch"))
+    x = x.select("query_id", "page_id", "width", dense.alias("dense"), sparse.alias("sparse"))
+    return x.withColumns({c: rounded(F.col(c), 6) for c in ("dense", "sparse")})
+
+
 def page_scores(questions: DataFrame, pages: DataFrame, widest: int = 6) -> DataFrame:
     """(query_id, page_id, dense, sparse, rank) of the pages of a question's sample.
 
@@ -134,11 +174,7 @@ def page_scores(questions: DataFrame, pages: DataFrame, widest: int = 6) -> Data
     others = F.max((F.col("page_type") != "index").cast("int")).over(Window.partitionBy("sample_id"))
     p = pages.withColumn("others", others).where((F.col("page_type") != "index") | (F.col("others") == 0)).drop("others")
     p = p.withColumns({"have": keywords(F.col("text")), "names": names_in(F.col("text")), "items": _strings(), "values": _strings(), "text_vector": hash_embedding(F.col("text"))})
-    x = with_family(questions.join(p, "sample_id"))
-    close = F.round(unit_cosine(F.col("question_vector"), F.col("text_vector")), 9)
-    dense = close + F.when(F.coalesce(F.arrays_overlap("entities", "names"), F.lit(False)), 0.10).otherwise(0.0) + F.when(F.col("width") <= widest, 0.05).otherwise(0.0) + 0.08 * F.col("family_score")
-    sparse = F.greatest(F.lit(0.0), overlap(F.col("terms"), F.col("have")) + 0.60 * F.col("family_score") - 0.25 * F.col("mismatch"))
-    y = x.select("query_id", F.col("page_id").alias("id"), F.round(dense, 6).alias("dense"), F.round(sparse, 6).alias("sparse"))
+    y = page_pairs(questions, p, widest).select("query_id", F.col("page_id").alias("id"), "dense", "sparse")
     return rrf_fuse(y, keep=("dense", "sparse")).withColumnRenamed("id", "page_id").drop("fused")
 
 
@@ -168,12 +204,15 @@ def broad_cap(ranked: DataFrame, routed: DataFrame, cap: int) -> DataFrame:
 
 def snapshot_scores(x: DataFrame, *more: str) -> DataFrame:
     """(query_id, question_vector, terms, entities, snapshot_id, trajectory_id, version, text, text_vector, names, values) ->
-    score: 0.75 dense + 0.15 lexical + 0.10 symbolic; ``more`` columns stay."""
+    score: 0.75 dense + 0.15 lexical + 0.10 symbolic; ``more`` columns stay. ``have`` may bring the text's keywords; sets of words may
+    be hashes (``with_hashes``), if those of both sides are."""
     met = lambda a, b: F.when(F.coalesce(F.arrays_overlap(a, b), F.lit(False)), 0.05).otherwise(0.0)
     symbolic = F.least(F.lit(0.10), met("entities", "names") + met("terms", "values"))
-    dense = F.round(unit_cosine(F.col("question_vector"), F.col("text_vector")), 9)
-    score = F.round(0.75 * dense + 0.15 * overlap(F.col("terms"), keywords(F.col("text"))) + 0.10 * F.least(F.lit(1.0), symbolic / 0.10), 6)
-    return x.select("query_id", "trajectory_id", "snapshot_id", "version", score.alias("score"), *more)
+    have = F.col("have") if "have" in x.columns else keywords(F.col("text"))
+    x = x.withColumns({"_dense": unit_cosine(F.col("question_vector"), F.col("text_vector")), "_shared": overlap(F.col("terms"), have), "_symbolic": symbolic})
+    score = 0.75 * rounded(F.col("_dense"), 9) + 0.15 * F.col("_shared") + 0.10 * F.least(F.lit(1.0), F.col("_symbolic") / 0.10)
+    x = x.select("query_id", "trajectory_id", "snapshot_id", "version", score.alias("score"), *more)
+    return x.withColumn("score", rounded(F.col("score"), 6))
 
 
 def update_linked(seeds: DataFrame, claims: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
@@ -226,16 +265,25 @@ def compact_sources(kept: DataFrame, sources: DataFrame) -> DataFrame:
     return x.select("query_id", "message_id", "group", last.alias("rank"))
 
 
+def with_words(messages: DataFrame) -> DataFrame:
+    """Messages with their keywords (``have``) and vectors, made once each where they are not there yet."""
+    made = {"have": keywords(F.col("content")), "text_vector": hash_embedding(F.col("content"))}
+    return messages.withColumns({c: value for c, value in made.items() if c not in messages.columns})
+
+
 def raw_rescue(questions: DataFrame, messages: DataFrame, prefilter: int = 80, few: int = 8, many: int = 12) -> DataFrame:
     """The messages of a question's sample that the words alone find: the ``prefilter`` best by shared keywords and terms in
     the text, then the best ``few`` (``many`` for a list) with the vectors' cosine; system turns only if nothing else is found."""
-    known = messages if "text_vector" in messages.columns else messages.withColumn("text_vector", hash_embedding(F.col("content")))
-    x = questions.join(known, "sample_id")
-    hits = F.size(F.filter("terms", lambda t: F.contains(F.lower(F.col("content")), t)))
-    x = x.withColumn("lexical", overlap(F.col("terms"), keywords(F.col("content"))) + F.least(F.lit(1.0), hits / 4)).where("lexical > 0")
+    known = with_words(messages)
+    known = known.select("sample_id", "message_id", "turn_index", "role", "text_vector", F.lower("content").alias("hay"), hashed(F.col("have")).alias("have"))
+    x = questions.withColumn("asked", hashed(F.col("terms"))).join(known, "sample_id")
+    x = x.withColumn("hits", F.size(F.filter("terms", lambda t: F.contains(F.col("hay"), t))))
+    x = x.withColumn("lexical", overlap(F.col("asked"), F.col("have")) + F.least(F.lit(1.0), F.col("hits") / 4)).where("lexical > 0")
     # scored where question and message meet: vectors and texts of a pair are not sent to its question's ranking
-    score = F.round(0.65 * F.round(unit_cosine(F.col("question_vector"), F.col("text_vector")), 9) + 0.35 * F.col("lexical"), 6)
-    x = x.select("query_id", "message_id", "turn_index", "role", "listing", F.round("lexical", 9).alias("lexical"), score.alias("score"))
+    x = x.withColumn("close", unit_cosine(F.col("question_vector"), F.col("text_vector")))
+    score = 0.65 * rounded(F.col("close"), 9) + 0.35 * F.col("lexical")
+    x = x.select("query_id", "message_id", "turn_index", "role", "listing", "lexical", score.alias("score"))
+    x = x.withColumns({"lexical": rounded(F.col("lexical"), 9), "score": rounded(F.col("score"), 6)})
     x = x.withColumn("plain", F.max((F.col("role") != "system").cast("int")).over(Window.partitionBy("query_id"))).where((F.col("role") != "system") | (F.col("plain") == 0))
     x = x.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lexical"), "turn_index"))).where(F.col("k") <= prefilter)
     x = x.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "turn_index")))
@@ -254,14 +302,17 @@ def evidence_state(questions: DataFrame, evidence: DataFrame, weak: float = 0.34
 
 def hybrid_messages(questions: DataFrame, messages: DataFrame) -> DataFrame:
     """Messages of a question's sample by reciprocal ranks: shared keywords (ties by turn) and cosine of the hash embeddings
-    (ties by id)."""
-    x = questions.withColumn("qv", hash_embedding(F.col("question"))).join(messages.withColumn("mv", hash_embedding(F.col("content"))), "sample_id")
-    q, m = keywords(F.col("question")), keywords(F.col("content"))
-    hit = F.size(F.array_intersect(q, m))
-    x = x.withColumns({"lexical": F.round(hit + F.coalesce(hit / F.nullif(F.size(q), F.lit(0)), F.lit(0.0)), 9), "dense": F.round(unit_cosine(F.col("qv"), F.col("mv")), 6)})
+    (ties by id). Keywords and vectors are made once a question and once a message, and only scores go on to the ranking."""
+    q = questions if "question_vector" in questions.columns else questions.withColumn("question_vector", hash_embedding(F.col("question")))
+    q = q.select("query_id", "sample_id", "question_vector", hashed(keywords(F.col("question"))).alias("asked"))
+    m = with_words(messages).select("sample_id", "message_id", "turn_index", "text_vector", hashed(F.col("have")).alias("have"))
+    x = q.join(m, "sample_id").withColumn("hit", F.size(F.array_intersect("asked", "have")))
+    lexical = F.col("hit") + F.coalesce(F.try_divide("hit", F.size("asked")), F.lit(0.0))
+    x = x.select("query_id", "message_id", "turn_index", lexical.alias("lexical"), unit_cosine(F.col("question_vector"), F.col("text_vector")).alias("dense"))
+    x = x.withColumns({"lexical": rounded(F.col("lexical"), 9), "dense": rounded(F.col("dense"), 6)})
     by = lambda *c: F.row_number().over(Window.partitionBy("query_id").orderBy(*c))
-    fused = F.round(1 / (60 + by(F.desc("lexical"), "turn_index")) + 1 / (60 + by(F.desc("dense"), "message_id")), 12)
-    x = x.withColumn("fused", fused)
+    fused = 1 / (60 + by(F.desc("lexical"), "turn_index")) + 1 / (60 + by(F.desc("dense"), "message_id"))
+    x = x.withColumn("fused", fused).withColumn("fused", rounded(F.col("fused"), 12))
     return x.select("query_id", "message_id", "lexical", "dense", "fused", by(F.desc("fused"), F.desc("dense"), F.desc("lexical"), "message_id").alias("rank"))
 
 

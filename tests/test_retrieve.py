@@ -137,3 +137,75 @@ def test_pairs_are_scored_where_they_meet_and_only_their_scores_go_on(views):
     T.traced(asked, index, settings, stage)
     # signals of trajectories are read by one join, not once more to rank what it found
     assert sum("Relation" in line and "latest_snapshot_id" in line for line in staged["ranked_trajectories"].splitlines()) == 1
+
+
+def test_a_pair_is_scored_once_for_all_routings(views):
+    asked, index, settings = P.asked(views), P.index_tables(views), T.Settings(pages=1, broad=3, broad_most=2)
+    chosen = T.ranked_pages(asked, index["pages"], settings.broad).where("rank = 1")
+    both = T.candidates(asked, chosen, index, settings, [("wiki", False), ("all", True)])
+    split = both.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.routing").alias("routing"), "trajectory_id", "origin", "score", "dense", "sparse")
+    plain = T.candidates(asked, chosen, index, settings).select("query_id", "trajectory_id", "origin", "score", "dense", "sparse")
+    assert Counter(map(tuple, split.where("routing = 'wiki'").drop("routing").collect())) == Counter(map(tuple, plain.collect()))
+    direct = split.where("routing = 'all'").collect()
+    assert {r.origin for r in direct} == {"direct"}
+    assert {(r.query_id, r.trajectory_id) for r in direct} == {(r.query_id, r.trajectory_id) for r in asked.join(index["trajectories"], "sample_id").collect()}
+    # trajectories are read once, below what deals a pair out to routings
+    lines = both._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("Relation" in line and "latest_vector" in line for line in lines) == 1
+
+
+def test_pairs_meet_prepared_words(views):
+    # no text is cut into words, and no vector made, where a question has met a message
+    index = P.index_tables(views)
+    for plan in (S.raw_rescue(P.asked(views), index["messages"]), S.hybrid_messages(P.asked(views), index["messages"])):
+        lines = plan._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        join = next(i for i, line in enumerate(lines) if "Join Inner" in line)
+        assert not any(word in line for line in lines[:join] for word in ("regexp_extract_all", "sha2", "_embedded"))
+
+
+def test_pair_scores_are_compiled(spark, views):
+    # a method of more than 8000 bytes is never compiled by a JVM
+    x = S.with_scores(S.with_overlap(P.matched(views)))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = x.select("query_id", "trajectory_id", "score", "dense", "sparse")._jdf.queryExecution().debug().codegenToSeq()
+        assert max(made.apply(i)._3().maxMethodCodeSize() for i in range(made.size())) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_rounding_and_vectors_are_those_of_spark(spark):
+    import hashlib
+    import math
+    import random
+
+    from colloquy.functions.answers import hash_embedding
+    from colloquy.functions.text import rounded, unit_cosine
+
+    rng = random.Random(5)
+    values = [rng.uniform(-2, 2) for _ in range(2000)] + [rng.randint(-(10**7), 10**7) / 2e6 for _ in range(2000)] + [0.1234565, -0.0000005, float("nan"), float("inf"), 1e300, -0.0, None]
+    d = spark.createDataFrame([(v,) for v in values], "v double")
+    for n in (6, 9, 12):
+        assert d.where(~rounded(F.col("v"), n).eqNullSafe(F.round("v", n))).count() == 0
+    raw = [b / 255 - 0.5 for b in hashlib.sha256("tëa".encode()).digest()]
+    norm = 0.0
+    for v in raw:
+        norm += v * v
+    t = spark.createDataFrame([("tëa", [1.0, 0.0], [0.6, 0.8]), (None, None, [1.0])], "t string, a array<double>, b array<double>")
+    got = t.select(hash_embedding(F.col("t")).alias("v"), unit_cosine(F.col("a"), F.col("b")).alias("short"), unit_cosine(hash_embedding(F.col("t")), hash_embedding(F.col("t"))).alias("self")).collect()
+    assert got[0].v == [v / math.sqrt(norm) for v in raw] and got[0].short == 0.6 and abs(got[0].self - 1) < 1e-12
+    assert got[1].v == [None] * 32
+
+
+def test_tokens_are_counted_before_questions_meet_texts(spark, views):
+    staged = {}
+
+    def stage(name, df):
+        staged[name] = df
+        return df
+
+    some = [p for p in C.POLICIES if p[0] in ("hybrid_raw_rag", "hybrid_raw_rag_matched")]
+    plan = C.variant_contexts(P.asked(views), P.index_tables(views), P.claims(views), P.pages(views), C.policy_table(spark, some), stage=lambda name, df: stage(name, views.once(f"counted_{name}", lambda: df)))
+    assert {"tokens", "flat_tokens"} <= set(staged["context_items"].columns)
+    assert "regexp_extract_all" not in plan._jdf.queryExecution().optimizedPlan().toString()
